@@ -66,6 +66,6 @@ def dot_literal(cols: list[str], coefs, intercept: float = 0.0) -> Column:
 def sq_dist_literal(cols: list[str], center) -> Column:
     expr = None
     for c, m in zip(cols, center):
-        t = F.pow(F.col(c).cast("double") - F.lit(float(m)), 2)
+        t = (F.col(c).cast("double") - F.lit(float(m))) * (F.col(c).cast("double") - F.lit(float(m)))
         expr = t if expr is None else expr + t
     return expr

@@ -256,7 +256,7 @@ def grid_knn(query: DataFrame, data: DataFrame, qkey: str, dkey: str, features:
     pending = q
     d2 = None
     for i in range(len(features)):
-        t = F.pow(F.col(f"q_{i}") - F.col(f"d_{i}"), 2)
+        t = (F.col(f"q_{i}") - F.col(f"d_{i}")) * (F.col(f"q_{i}") - F.col(f"d_{i}"))
         d2 = t if d2 is None else d2 + t
     for level in range(levels):
         scale = float(2 ** level)

@@ -167,7 +167,7 @@ def _explode_ring(df: DataFrame, cell_cols: list[str], ring: int, out: str = "nc
 def _sqdist(a: str, b: str, d: int) -> Column:
     e = None
     for i in range(d):
-        t = F.pow(F.col(f"{a}{i}") - F.col(f"{b}{i}"), 2)
+        t = (F.col(f"{a}{i}") - F.col(f"{b}{i}")) * (F.col(f"{a}{i}") - F.col(f"{b}{i}"))
         e = t if e is None else e + t
     return e
 

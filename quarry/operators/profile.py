@@ -155,7 +155,7 @@ def output_schema_timeseries(samples: DataFrame, target: str, horizon: int) -> D
     """min/max/mean over the flattened horizon targets (scalar or array)."""
     is_array = samples.schema[target].dataType.simpleString().startswith("array")
     y = F.explode(F.col(target)) if is_array else F.col(target)
-    flat = samples.select(y.cast("double").alias("y"))
+    flat = samples.select(y.alias("y")).select(F.col("y").cast("double").alias("y"))
     return flat.agg(F.min("y").alias("min"), F.max("y").alias("max"), F.avg("y").alias("mean")).withColumn(
         "forecast_horizon", F.lit(horizon)
     )
