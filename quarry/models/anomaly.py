@@ -383,8 +383,8 @@ class OneClassModel:
         return self.score(df).withColumn("prediction", (F.col("score") > 0).cast("double"))
 
     def save(self, path: str) -> str:
-        _write_meta(path, {"features": self.feature_cols, "w": list(map(float, self.w)), "rho": self.rho,
-                           "rff": self.rff.getStatement()})
+        self.rff.write().overwrite().save(f"{path}/rff")
+        _write_meta(path, {"features": self.feature_cols, "w": list(map(float, self.w)), "rho": self.rho})
         return path
 
 

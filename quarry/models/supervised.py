@@ -18,7 +18,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
+from pyspark import keyword_only
+from pyspark.ml import Transformer
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,23 +53,40 @@ def feature_stages(df: DataFrame, features: list[str], handle_invalid: str = "ke
     return stages
 
 
+class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma) (Rahimi & Recht 2007).
+
+    A persistable pipeline stage whose transform is built-in higher-order
+    column functions over the vector's array form (JVM side, no Python in
+    the hot path); W and b are stored as stage params."""
+
+    weights = Param(Params._dummy(), "weights", "projection matrix W (D x d)")
+    offsets = Param(Params._dummy(), "offsets", "phase offsets b (D)")
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None, weights=None, offsets=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df):
+        W = self.getOrDefault(self.weights)
+        b = self.getOrDefault(self.offsets)
+        scale = math.sqrt(2.0 / len(b))
+        x = vector_to_array(F.col(self.getInputCol()))
+        rows = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in w]).alias("w"), F.lit(float(o)).alias("b"))
+                         for w, o in zip(W, b)])
+        z = F.transform(rows, lambda r: F.lit(scale) * F.cos(
+            F.aggregate(F.zip_with(r["w"], x, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v) + r["b"]))
+        return df.withColumn(self.getOutputCol(), array_to_vector(z))
+
+
 def rff_stage(d: int, n_components: int, gamma: float, seed: int = SEED, in_col: str = FEATURES,
-              out_col: str = "rff") -> SQLTransformer:
-    """Random Fourier features z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma)
-    (Rahimi & Recht 2007), as a persistable SQL stage of built-in
-    higher-order functions (JVM side, no Python in the hot path)."""
+              out_col: str = "rff") -> RandomFourierFeatures:
+    """Seeded random Fourier feature stage for an RBF kernel of width gamma."""
     rng = np.random.default_rng(seed)
     W = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(n_components, d))
     b = rng.uniform(0.0, 2 * math.pi, size=n_components)
-    w_lit = "array(" + ", ".join("array(" + ", ".join(repr(float(v)) for v in row) + ")" for row in W) + ")"
-    b_lit = "array(" + ", ".join(repr(float(v)) for v in b) + ")"
-    scale = repr(math.sqrt(2.0 / n_components))
-    expr = (
-        f"array_to_vector(transform(arrays_zip({w_lit}, {b_lit}), "
-        f"wb -> {scale} * cos(aggregate(zip_with(wb['0'], vector_to_array(`{in_col}`), (a, x) -> a * x), "
-        f"0D, (acc, v) -> acc + v) + wb['1'])))"
-    )
-    return SQLTransformer(statement=f"SELECT *, {expr} AS `{out_col}` FROM __THIS__")
+    return RandomFourierFeatures(inputCol=in_col, outputCol=out_col, weights=W.tolist(), offsets=b.tolist())
 
 
 def feature_variance(df: DataFrame, features: list[str]) -> float:

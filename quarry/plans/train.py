@@ -160,7 +160,7 @@ def train_many(spark: SparkSession, df: DataFrame, cfg: TrainConfig, persist: bo
             rows.append(run_row(cfg.experiment, name, order, cfg.task, "", params, {}, None, False, start,
                                 status="FAILED", error=f"{type(exc).__name__}: {exc}"[:2000]))
     if not models:
-        raise RuntimeError(f"all models failed: {[r[-4] for r in rows]}")
+        raise RuntimeError(f"all models failed: {[(r[2], r[12]) for r in rows]}")
     runs = runs_frame(spark, rows)
     board = leaderboard(runs.where(F.col("status") == "FINISHED"), "score", direction)
     return TrainResult(runs, board, models, d, feats, prepared)
