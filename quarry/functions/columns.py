@@ -55,3 +55,15 @@ def letter_share(text: Column | str) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     letters = F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
     return safe_div(letters.cast("double"), F.length(t).cast("double"))
+
+
+BROADCAST_ROW_LIMIT = 500_000
+
+
+def bounded_broadcast(small: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Broadcast a lookup table only after checking its size: it is cached,
+    counted, and hinted for broadcast when it has at most ``limit`` rows;
+    otherwise it is returned as is and the join stays a shuffle join."""
+    small = small.cache()
+    n = small.count()
+    return F.broadcast(small) if n <= limit else small

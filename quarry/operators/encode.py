@@ -2,10 +2,9 @@
 
 build  = distinct values per column, ``dense_rank`` in sorted order (codes
          0..k-1, the sorted order of a label encoder; "10" < "9" < "a").
-apply  = equi-join on (value); the dictionary side is a small aggregate, so
-         AQE converts the join to a broadcast at run time when the measured
-         dictionary is below the broadcast threshold, and keeps a shuffle join
-         when it is not (high-cardinality columns).
+apply  = equi-join on (value); the dictionary is cached and counted first
+         and broadcast only below a row limit (no shuffle of the fact table);
+         a high-cardinality dictionary keeps a shuffle join.
 decode = the same join in the other direction.
 Null values are never encoded: they stay null (not_null_mask).
 """
@@ -15,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import categorical_columns
+from quarry.functions.columns import bounded_broadcast, categorical_columns
 
 
 def build_dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,6 +32,7 @@ def apply_dictionary(df: DataFrame, dictionary: DataFrame, columns: list[str], s
     """Replace (or add, with ``suffix``) each column by its code; unknown or
     null values give null."""
     out = df
+    dictionary = bounded_broadcast(dictionary)
     for c in columns:
         d = dictionary.where(F.col("column") == c).select(
             F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__code_{c}")
@@ -85,7 +85,7 @@ def decode_label(df: DataFrame, dictionary: DataFrame, code_col: str, out_col: s
     d = dictionary
     if column is not None:
         d = d.where(F.col("column") == column)
-    d = d.select(F.col("code").alias("__dcode"), F.col("value").alias(out_col))
+    d = bounded_broadcast(d.select(F.col("code").alias("__dcode"), F.col("value").alias(out_col)))
     out = df.join(d, df[code_col] == d["__dcode"], "left").drop("__dcode")
     return out.withColumn("decoding_failed", F.col(out_col).isNull() & F.col(code_col).isNotNull())
 

@@ -47,7 +47,14 @@ def profile_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per numeric column: dtype, nullable, null_count, min, max, mean,
-    sample std, exact (interpolated) median and the range text."""
+    sample std, exact (interpolated) median and the range text.
+
+    Pass 1 is one aggregate with every statistic of every column; the exact
+    medians then come from bounded histogram refinement over the same
+    columns (:func:`exact_quantiles`). Nothing keeps a per-value map of a
+    whole column."""
+    from quarry.functions.stats import exact_quantiles
+
     cols = columns or numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
@@ -58,10 +65,17 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
             F.max(x).alias(f"{i}__max"),
             F.avg(x).alias(f"{i}__mean"),
             F.stddev_samp(x).alias(f"{i}__std"),
-            F.median(x).alias(f"{i}__median"),
+            F.count(x).alias(f"{i}__n"),
         ]
-    wide = df.agg(*aggs)
-    long = _stack(wide, cols, ["null_count", "min", "max", "mean", "std", "median"])
+    wide_row = df.agg(*aggs).first()  # one row: statistics per column
+    ranges = {c: (int(wide_row[f"{i}__n"]), wide_row[f"{i}__min"], wide_row[f"{i}__max"]) for i, c in enumerate(cols)}
+    medians = exact_quantiles(df, cols, 0.5, ranges=ranges)
+    spark = df.sparkSession
+    fields = ["null_count", "min", "max", "mean", "std"]
+    rows = [(c, int(wide_row[f"{i}__null_count"]), *[wide_row[f"{i}__{f}"] for f in fields[1:]], medians[c])
+            for i, c in enumerate(cols)]
+    long = spark.createDataFrame(rows, "column string, null_count bigint, min double, max double, mean double, "
+                                       "std double, median double")
     dtypes = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(df.schema[c].dataType.simpleString()))])
     return long.select(
         "column",

@@ -12,8 +12,8 @@ order (hash prefixes, or day/minute of the timestamp):
 1. count rows per (group, bucket) — a small aggregate with map-side combine;
 2. a running sum over that small table gives each bucket's rank range;
    a bucket whose whole range lies in one segment decides all its rows,
-   which then pass through a join with that small table (broadcast at run
-   time by AQE when small) — no shuffle of the data itself;
+   which then pass through a join with that small table (broadcast after a
+   size check) — no shuffle of the data itself;
 3. only rows of *edge* buckets (at most one per cut and group) go on to the
    next, finer level; they are checkpointed to the shared checkpoint folder
    so the last level does not rescan the input;
@@ -31,7 +31,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import hash_hex
+from quarry.functions.columns import bounded_broadcast, hash_hex
 
 TEST_SIZE = 0.2
 VAL_SIZE = 0.1
@@ -99,7 +99,7 @@ def rank_segments(
         lo = _segment(F.col("__before") + 1, cuts, names)
         hi = _segment(F.col("__before") + F.col("__cnt"), cuts, names)
         cnt = cnt.withColumn("__kind", F.when(lo == hi, lo))
-        rows = rows.join(cnt.select(*keyset, "__before", *cut_names, "__kind"), keyset)
+        rows = rows.join(bounded_broadcast(cnt.select(*keyset, "__before", *cut_names, "__kind")), keyset)
         decided.append(rows.where(F.col("__kind").isNotNull()).select(*cols, F.col("__kind").alias(out_col)))
         rows = rows.where(F.col("__kind").isNull()).drop("__kind")
         if i == 0 and checkpoint_edges:
@@ -202,7 +202,7 @@ def kfold(df: DataFrame, key: str, k: int = 5, label: str | None = None, seed: i
     cnt = tmp.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__cnt"))
     w_run = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     cnt = cnt.select("__g", "__b", F.coalesce(F.sum("__cnt").over(w_run), F.lit(0)).alias("__before"))
-    j = tmp.join(cnt, ["__g", "__b"])
+    j = tmp.join(bounded_broadcast(cnt), ["__g", "__b"])
     r = F.row_number().over(Window.partitionBy("__g", "__b").orderBy("__h", key)) + F.col("__before")
     return j.withColumn(out_col, ((r - 1) % k).cast("int")).drop("__h", "__g", "__b", "__before")
 
@@ -220,6 +220,6 @@ def dense_index(df: DataFrame, time_col: str, key: str, series: str | None = Non
         F.coalesce(F.sum("__cnt").over(w_run), F.lit(0)).alias("__before"),
         F.sum("__cnt").over(Window.partitionBy("__g")).alias("__n"),
     )
-    j = tmp.join(cnt, ["__g", "__b"])
+    j = tmp.join(bounded_broadcast(cnt), ["__g", "__b"])
     r = F.row_number().over(Window.partitionBy("__g", "__b").orderBy(F.col(time_col).asc_nulls_first(), F.col(key)))
     return j.withColumn(out_col, (r - 1 + F.col("__before")).cast("bigint")).drop("__b", "__before")

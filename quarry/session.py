@@ -42,6 +42,7 @@ def get_spark(master: str | None = None, app: str = "quarry", partitions: int |
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
+        .config("spark.sql.files.openCostInBytes", str(1024 * 1024))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -22,6 +22,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import bounded_broadcast
 from quarry.operators.select import align_scoring_schema
 
 
@@ -67,7 +68,7 @@ def key_position(df: DataFrame, key: str, n_buckets: int = 4096) -> DataFrame:
     x = df.withColumn("__kb", F.floor((F.col(key) - F.lit(lo)) / F.lit(width)))
     cnt = x.groupBy("__kb").agg(F.count(F.lit(1)).alias("__c"))
     cnt = prefix_sum(cnt, "__kb", "__c", "__before", inclusive=False)
-    j = x.join(cnt.select("__kb", "__before"), "__kb")
+    j = x.join(bounded_broadcast(cnt.select("__kb", "__before")), "__kb")
     rn = F.row_number().over(Window.partitionBy("__kb").orderBy(key))
     return j.withColumn("position", (rn - 1 + F.col("__before")).cast("bigint")).drop("__kb", "__before")
 
@@ -83,7 +84,7 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str, inclusiv
     tot = tot.withColumn("__boff", F.coalesce(F.sum("__bt").over(wb), F.lit(0)))
     w = Window.partitionBy("__blk").orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    y = x.join(tot.select("__blk", "__boff"), "__blk")
+    y = x.join(bounded_broadcast(tot.select("__blk", "__boff")), "__blk")
     return y.withColumn(out, (F.coalesce(F.sum(value_col).over(w), F.lit(0)) + F.col("__boff")).cast("bigint")).drop(
         "__blk", "__boff")
 
