@@ -67,3 +67,18 @@ def bounded_broadcast(small: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> Dat
     small = small.cache()
     n = small.count()
     return F.broadcast(small) if n <= limit else small
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    The frame is persisted first: a reliable checkpoint otherwise computes
+    its plan twice (once for the eager count, once to write the files). The
+    persisted copy is released once the checkpoint files exist; the result
+    reads from those files, so a lost executor never replays the lineage."""
+    from pyspark import StorageLevel
+
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

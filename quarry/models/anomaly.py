@@ -16,14 +16,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.columns import hash_unit
+from quarry.functions.columns import materialize, bounded_broadcast, hash_unit
 from quarry.functions.stats import moments, quadratic_form, quantile
 
 SEED = 42
+_DEBUG = False
 EULER_GAMMA = 0.5772156649
 
 
@@ -232,64 +233,77 @@ def fit_elliptic_envelope(train: DataFrame, features: list[str], contamination:
 
 # ----------------------------------------------------------------- kNN on a grid + LOF
 def grid_knn(query: DataFrame, data: DataFrame, qkey: str, dkey: str, features: list[str], k: int,
-             exclude_self: bool, cell: list[float], grid_dims: int = 3) -> DataFrame:
+             exclude_self: bool, cell: list[float], grid_dims: int = 3, max_finer: int = 12) -> DataFrame:
     """Exact k nearest neighbours (Euclidean; ties broken by neighbour key).
 
-    Level r uses cells of side ``cell_i * 2^r`` on the first ``grid_dims``
-    features. Every unresolved query point is exploded to the 3^g cells
-    around its own cell and equi-joined with the data points of those cells
-    (no cross join). A query is resolved once it has k candidates whose
-    k-th distance is within the level's covered radius ``2^r * min(cell)``;
-    a coordinate subset never overestimates a distance, so no closer point
-    can lie outside the searched cells. Unresolved points (sparse regions)
-    move to the next, coarser level; once a cell is wider than the data's
-    range every point is covered, so the loop always ends.
+    Cells at level l have sides ``cell_i * 2^l`` on the first ``grid_dims``
+    features. Each query starts at the level where its neighbourhood is
+    expected to hold about 2k points: points of dense base cells start at
+    finer levels (l < 0), so a cell holding a large share of the rows is cut
+    into many small cells and never joined with itself as a whole. In every
+    round an unresolved query is exploded to the 3^g cells around its own
+    cell at its level and equi-joined with the data points of those cells
+    (data rows are keyed once per level in use; no cross join). A query is
+    resolved once it has k candidates whose k-th distance is within the
+    covered radius ``2^l * min(cell)`` (a coordinate subset never
+    overestimates a distance, so nothing closer lies outside); otherwise it
+    moves one level coarser. Once a cell is wider than the data's range
+    every point is covered, so the loop always ends.
     Returns (q, n, dist, rk) with rk = 1..k."""
     gd = min(grid_dims, len(features))
-    gcols = features[:gd]
     d = data.select(F.col(dkey).alias("n"), *[F.col(c).cast("double").alias(f"d_{i}") for i, c in enumerate(features)])
     q = query.select(F.col(qkey).alias("q"), *[F.col(c).cast("double").alias(f"q_{i}") for i, c in enumerate(features)])
     rng = d.agg(*[(F.max(f"d_{i}") - F.min(f"d_{i}")).alias(f"r{i}") for i in range(gd)]).first()
     span = max([float(rng[f"r{i}"] or 0.0) / max(cell[i], 1e-12) for i in range(gd)] + [1.0])
-    levels = int(math.ceil(math.log2(span))) + 2
-    done = None
-    pending = q
+    top_level = int(math.ceil(math.log2(span))) + 1
+
+    def cell_at(prefix: str, level: Column) -> list[Column]:
+        scale = F.pow(F.lit(2.0), level.cast("double"))
+        return [F.floor(F.col(f"{prefix}_{i}") / (F.lit(cell[i]) * scale)).cast("bigint") for i in range(gd)]
+
+    cnames = [f"__c{i}" for i in range(gd)]
+    # start level: finer where the base cell is dense (about 2k points per cell)
+    base = d.groupBy(*[c.alias(n) for c, n in zip(cell_at("d", F.lit(0)), cnames)]).agg(F.count(F.lit(1)).alias("cnt"))
+    finer = F.least(F.lit(max_finer), F.greatest(F.lit(0), F.ceil(
+        F.log2(F.col("cnt") / F.lit(2.0 * k)) / F.lit(float(gd))))).cast("int")
+    q = q.select("*", *[c.alias(n) for c, n in zip(cell_at("q", F.lit(0)), cnames)]).join(
+        bounded_broadcast(base.select(*cnames, (-finer).alias("lvl"))), cnames, "left").drop(*cnames)
+    pending = q.withColumn("lvl", F.coalesce(F.col("lvl"), F.lit(0))).transform(materialize)
     d2 = None
     for i in range(len(features)):
         t = (F.col(f"q_{i}") - F.col(f"d_{i}")) * (F.col(f"q_{i}") - F.col(f"d_{i}"))
         d2 = t if d2 is None else d2 + t
-    for level in range(levels):
-        scale = float(2 ** level)
-        sides = [c * scale for c in cell]
-        dcell = F.array(*[F.floor(F.col(f"d_{i}") / F.lit(sides[i])).cast("bigint") for i in range(gd)])
-        qcell = [F.floor(F.col(f"q_{i}") / F.lit(sides[i])).cast("bigint") for i in range(gd)]
+    done = None
+    for _ in range(top_level + max_finer + 2):
+        levels = [r["lvl"] for r in pending.select("lvl").distinct().collect()]  # a handful of small ints
+        dl = None
+        for lv in levels:
+            part = d.select("*", F.lit(lv).alias("lvl"), *[c.alias(n) for c, n in zip(cell_at("d", F.lit(lv)), cnames)])
+            dl = part if dl is None else dl.unionByName(part)
         ex = pending
-        for i in range(gd):
-            ex = ex.withColumn(f"__o{i}", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-        ex = ex.withColumn("cell", F.array(*[qcell[i] + F.col(f"__o{i}") for i in range(gd)])).drop(
-            *[f"__o{i}" for i in range(gd)])
-        pairs = ex.join(d.withColumn("cell", dcell), "cell")
+        for i, c in enumerate(cell_at("q", F.col("lvl"))):
+            ex = ex.withColumn("__o", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(
+                cnames[i], c + F.col("__o")).drop("__o")
+        pairs = ex.join(dl, ["lvl", *cnames])
         if exclude_self:
             pairs = pairs.where(F.col("q") != F.col("n"))
-        pairs = pairs.select("q", "n", d2.alias("d2"))
+        pairs = pairs.select("q", "lvl", "n", d2.alias("d2"))
         w = Window.partitionBy("q").orderBy("d2", "n")
         top = pairs.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
         wq = Window.partitionBy("q")
         top = top.withColumn("__cnt", F.count(F.lit(1)).over(wq)).withColumn("__kd2", F.max("d2").over(wq))
-        covered = (min(sides)) ** 2
-        last = level == levels - 1
-        ok = F.lit(True) if last else (F.col("__cnt") >= k) & (F.col("__kd2") <= F.lit(covered))
-        top = top.withColumn("__ok", ok).checkpoint()
+        covered = F.pow(F.lit(2.0), F.col("lvl").cast("double")) * F.lit(min(cell))
+        last = F.col("lvl") >= top_level
+        ok = last | ((F.col("__cnt") >= k) & (F.col("__kd2") <= covered * covered))
+        top = top.withColumn("__ok", ok).transform(materialize)
         res = top.where("__ok").select("q", "n", F.sqrt("d2").alias("dist"), "rk")
         done = res if done is None else done.unionByName(res)
-        unresolved = top.where(~F.col("__ok")).select("q").distinct()
-        # queries with no candidate at all at this level are unresolved too
-        seen = top.select("q").distinct()
-        missing = pending.select("q").join(seen, "q", "left_anti")
-        unresolved = unresolved.unionByName(missing)
-        if last or unresolved.isEmpty():
+        resolved = top.where("__ok").select("q").distinct()
+        pending = pending.join(resolved, "q", "left_anti").withColumn("lvl", F.col("lvl") + 1).transform(materialize)
+        if _DEBUG:
+            print("knn round", levels, pending.count())
+        if pending.isEmpty():
             break
-        pending = pending.join(unresolved, "q", "left_semi")
     return done
 
 
@@ -356,9 +370,9 @@ def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int =
 def fit_lof(train: DataFrame, features: list[str], key: str, n_neighbors: int = 20, contamination: float = 0.1,
             **_) -> LOFModel:
     k = int(n_neighbors)
-    pts = train.select(key, *features).checkpoint()
+    pts = train.select(key, *features).transform(materialize)
     cells = default_cells(pts, features, k)
-    lof = local_outlier_factor(pts, key, features, k, cells).checkpoint()
+    lof = local_outlier_factor(pts, key, features, k, cells).transform(materialize)
     stats = lof.select(F.col(key).alias("id"), "kdist", "lrd")
     thr = quantile(lof, "lof", 1.0 - contamination)
     return LOFModel(features, key, stats, pts, k, cells, thr)
@@ -391,7 +405,10 @@ class OneClassModel:
 def fit_one_class_svm(train: DataFrame, features: list[str], nu: float = 0.1, gamma="auto", n_components: int = 100,
                       steps: int = 60, lr: float = 0.5, seed: int = SEED, **_) -> OneClassModel:
     """min 1/2|w|^2 - rho + mean(max(0, rho - w.z))/nu by full-batch
-    subgradient steps; each step is one aggregate over the cached features."""
+    subgradient steps over the checkpointed random-feature table. A step is
+    one ``mapInPandas`` pass (numpy on Arrow batches) returning per-batch
+    partial sums of the violating rows' features — a few rows per partition
+    reach the driver, the data never does."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
@@ -404,22 +421,28 @@ def fit_one_class_svm(train: DataFrame, features: list[str], nu: float = 0.1, ga
         g = float(gamma)
     stage = rff_stage(d, n_components, g, seed)
     v = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(train.select(*features))
-    z = stage.transform(v).select(vector_to_array("rff").alias("z")).checkpoint()
+    z = stage.transform(v).select(vector_to_array("rff").alias("z")).transform(materialize)
     n = z.count()
     D = n_components
     w = np.zeros(D)
     rho = 0.0
-    zs = [F.col("z")[i] for i in range(D)]
+    schema = "nv long, g array<double>"
     for step in range(steps):
-        dot = F.aggregate(F.zip_with("z", F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b),
-                          F.lit(0.0), lambda acc, x: acc + x)
-        viol = F.col("__m") > 0
-        r = z.withColumn("__m", F.lit(rho) - dot).agg(
-            F.count_if(viol).alias("nv"), *[F.sum(F.when(viol, zs[i]).otherwise(0.0)).alias(f"g{i}") for i in range(D)]
-        ).first()
-        gz = np.array([r[f"g{i}"] or 0.0 for i in range(D)])
+        w_now, rho_now = w.copy(), rho
+
+        def partial(batches, w_now=w_now, rho_now=rho_now):
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                Z = np.stack(pdf["z"].to_numpy())
+                viol = (rho_now - Z @ w_now) > 0
+                yield pd.DataFrame({"nv": [int(viol.sum())], "g": [Z[viol].sum(axis=0).tolist()]})
+
+        parts = z.mapInPandas(partial, schema).collect()  # one row per Arrow batch
+        nv = sum(r["nv"] for r in parts)
+        gz = np.sum([np.asarray(r["g"]) for r in parts], axis=0) if parts else np.zeros(D)
         gw = w - gz / (nu * n)
-        grho = -1.0 + r["nv"] / (nu * n)
+        grho = -1.0 + nv / (nu * n)
         eta = lr / math.sqrt(step + 1)
         w = w - eta * gw
         rho = rho - eta * grho

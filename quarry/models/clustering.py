@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import hash_unit
+from quarry.functions.columns import materialize, hash_unit
 from quarry.functions.stats import sq_dist_literal
 
 SEED = 42
@@ -172,24 +172,28 @@ def _sqdist(a: str, b: str, d: int) -> Column:
     return e
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Min-label propagation with shortcutting on (id) nodes and undirected
-    (src, dst) edges; every round is checkpointed (lineage stays short and a
-    lost executor only recomputes one round). Returns (id, label)."""
-    lab = nodes.select("id", F.col("id").alias("label")).checkpoint()
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100, jumps: int = 1) -> DataFrame:
+    """Min-label propagation with pointer jumping on (id) nodes and
+    undirected (src, dst) edges. A round hooks every node to the smallest
+    label among itself and its neighbours, then follows label -> label of
+    label ``jumps`` times (each jump doubles the plan, so keep it small). Each
+    round is checkpointed (short lineage; a lost executor only replays one
+    round). Returns (id, label) with label = smallest id of the component."""
+    lab = nodes.select("id", F.col("id").alias("label")).transform(materialize)
     e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    e = e.checkpoint()
+    e = e.transform(materialize)
     for _ in range(max_rounds):
         nb = e.join(lab.select(F.col("id").alias("dst"), F.col("label").alias("nl")), "dst").groupBy("src").agg(
             F.min("nl").alias("nl"))
         new = lab.join(nb.withColumnRenamed("src", "id"), "id", "left").select(
             "id", F.least(F.col("label"), F.coalesce(F.col("nl"), F.col("label"))).alias("label"))
-        # shortcut: adopt the label of your label
-        new = new.join(new.select(F.col("id").alias("label"), F.col("label").alias("ll")), "label", "left").select(
-            "id", F.least(F.col("label"), F.coalesce(F.col("ll"), F.col("label"))).alias("label")).checkpoint()
-        changed = new.join(lab.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).limit(1)
-        lab = new
-        if changed.isEmpty():
+        for _ in range(jumps):
+            new = new.join(new.select(F.col("id").alias("label"), F.col("label").alias("ll")), "label", "left").select(
+                "id", F.least(F.col("label"), F.coalesce(F.col("ll"), F.col("label"))).alias("label"))
+        new = new.join(lab.select("id", F.col("label").alias("old")), "id").withColumn(
+            "changed", F.col("label") != F.col("old")).drop("old").transform(materialize)
+        lab = new.drop("changed")
+        if new.where("changed").isEmpty():
             break
     return lab
 
@@ -241,7 +245,7 @@ def dbscan(df: DataFrame, key: str, features: list[str], eps: float = 0.5, min_s
     pts = pts.withColumn("cell", F.array(*[F.col(f"c{i}") for i in range(gd)]))
     cnt = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("cell_n"), F.min("id").alias("cell_min"))
     dense_ok = gd == d
-    pts = pts.join(cnt, "cell").withColumn("dense", F.lit(dense_ok) & (F.col("cell_n") >= min_samples)).checkpoint()
+    pts = pts.join(cnt, "cell").withColumn("dense", F.lit(dense_ok) & (F.col("cell_n") >= min_samples)).transform(materialize)
     qcols = [f"c{i}" for i in range(gd)]
     eps2 = F.lit(eps * eps)
     # neighbour counts (self included) for points of sparse cells
@@ -249,11 +253,11 @@ def dbscan(df: DataFrame, key: str, features: list[str], eps: float = 0.5, min_s
     sparse_q = _explode_ring(sparse_q, qcols, ring)
     cand = pts.select(F.col("id").alias("nid"), *[F.col(f"p{i}").alias(f"n{i}") for i in range(d)],
                       F.col("cell").alias("ncell"), F.col("dense").alias("ndense"))
-    near = sparse_q.join(cand, "ncell").where(_sqdist("q", "n", d) <= eps2).select("qid", "nid", "ndense").checkpoint()
+    near = sparse_q.join(cand, "ncell").where(_sqdist("q", "n", d) <= eps2).select("qid", "nid", "ndense").transform(materialize)
     ncount = near.groupBy("qid").agg(F.count(F.lit(1)).alias("nn"))
     core_flag = pts.select("id", "dense", "cell", "cell_min").join(ncount.withColumnRenamed("qid", "id"), "id", "left") \
         .withColumn("is_core", F.col("dense") | (F.coalesce(F.col("nn"), F.lit(0)) >= min_samples))
-    core_flag = core_flag.checkpoint()
+    core_flag = core_flag.transform(materialize)
     # graph nodes: a dense cell is one node (its min id); a sparse core point is its own node
     node_of = core_flag.where("is_core").select("id", F.when(F.col("dense"), F.col("cell_min")).otherwise(F.col("id")).alias("node"))
     # edges among core points: sparse core queries vs any core neighbour
@@ -287,7 +291,7 @@ def fit_dbscan(train: DataFrame, features: list[str], key: str, eps: float = 0.5
     d = len(features)
     gd = min(3, d)
     side = float(eps) / math.sqrt(d) if gd == d else float(eps)
-    m = DBSCANModel(features, key, core.checkpoint(), float(eps), side, gd)
+    m = DBSCANModel(features, key, core.transform(materialize), float(eps), side, gd)
     m.train_labels = labels
     return m
 
@@ -319,9 +323,9 @@ def fit_meanshift(train: DataFrame, features: list[str], key: str, bandwidth: fl
     d = len(features)
     gd = min(3, d)
     pts = train.select(*[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(features)])
-    pts = pts.withColumn("cell", F.array(*[F.floor(F.col(f"p{i}") / F.lit(bw)).cast("bigint") for i in range(gd)])).checkpoint()
+    pts = pts.withColumn("cell", F.array(*[F.floor(F.col(f"p{i}") / F.lit(bw)).cast("bigint") for i in range(gd)])).transform(materialize)
     seeds = pts.select(*[(F.round(F.col(f"p{i}") / F.lit(bw)) * F.lit(bw)).alias(f"s{i}") for i in range(d)]).distinct()
-    seeds = seeds.withColumn("sid", F.monotonically_increasing_id()).checkpoint()
+    seeds = seeds.withColumn("sid", F.monotonically_increasing_id()).transform(materialize)
     bw2 = F.lit(bw * bw)
     for _ in range(max_iter):
         sc = seeds.withColumn("__c", F.array(*[F.floor(F.col(f"s{i}") / F.lit(bw)).cast("bigint") for i in range(gd)]))
@@ -331,7 +335,7 @@ def fit_meanshift(train: DataFrame, features: list[str], key: str, bandwidth: fl
         new = j.groupBy("sid").agg(*[F.avg(f"p{i}").alias(f"s{i}") for i in range(d)], F.count(F.lit(1)).alias("support"))
         shift = new.join(seeds.select("sid", *[F.col(f"s{i}").alias(f"o{i}") for i in range(d)]), "sid") \
             .agg(F.max(_sqdist("s", "o", d)).alias("m")).first()["m"]
-        seeds = new.checkpoint()
+        seeds = new.transform(materialize)
         if shift is None or math.sqrt(shift) < 1e-3 * bw:
             break
     modes = np.array(seeds.orderBy(F.col("support").desc(), "sid").select(*[f"s{i}" for i in range(d)]).collect(), dtype=float)

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import materialize
 from quarry.operators.sequence import indexed_window
 
 SERIES = "__series"
@@ -86,12 +87,12 @@ def fit_forecast_ar(train: DataFrame, label: str, index_col: str, series_key: st
     x = _series(train.select(*([series_key] if series_key else []), index_col, label), series_key)
     x = indexed_window(x, index_col, SERIES, {"__y1": (label, 1)}).withColumn("dy", F.col(label) - F.col("__y1"))
     specs = {f"dy_l{k}": ("dy", k) for k in range(1, long_order + 1)}
-    x = indexed_window(x, index_col, SERIES, specs).checkpoint()
+    x = indexed_window(x, index_col, SERIES, specs).transform(materialize)
     full = x.where(F.col(f"dy_l{long_order}").isNotNull())
     c1 = solve_grouped(full, [F.col(f"dy_l{k}") for k in range(1, long_order + 1)], F.col("dy"))
     fit1 = sum(F.col("coef")[k - 1] * F.col(f"dy_l{k}") for k in range(1, long_order + 1))
     r = x.join(c1, SERIES, "left").withColumn("e", F.col("dy") - fit1).drop("coef")
-    r = indexed_window(r, index_col, SERIES, {"e_l1": ("e", 1)}).checkpoint()
+    r = indexed_window(r, index_col, SERIES, {"e_l1": ("e", 1)}).transform(materialize)
     stage2 = r.where(F.col("e_l1").isNotNull() & F.col("dy_l1").isNotNull())
     c2 = solve_grouped(stage2, [F.col("dy_l1"), F.col("e_l1")], F.col("dy"))
     last = r.groupBy(SERIES).agg(
@@ -104,7 +105,7 @@ def fit_forecast_ar(train: DataFrame, label: str, index_col: str, series_key: st
         F.coalesce(F.col("coef")[1], F.lit(0.0)).alias("theta"),
         F.col("y_T").cast("double").alias("y_T"), F.coalesce(F.col("dy_T"), F.lit(0.0)).alias("dy_T"),
         F.coalesce(F.col("e_T"), F.lit(0.0)).alias("e_T"),
-    ).checkpoint()
+    ).transform(materialize)
     return ARForecastModel(state, index_col, series_key)
 
 
@@ -167,5 +168,5 @@ def fit_forecast_trend_seasonal(train: DataFrame, label: str, time_col: str, ser
     multiplicative = mode == "multiplicative" and (overall["ymin"] is not None and overall["ymin"] > 0)
     y = F.log(F.col(label)) if multiplicative else F.col(label).cast("double")
     xx = x.join(rng, SERIES)
-    coefs = solve_grouped(xx, [c.cast("double") for c in _design(time_col, n_cp, seasons)], y, ridge=ridge).checkpoint()
-    return TrendSeasonalModel(coefs, rng.checkpoint(), time_col, series_key, n_cp, seasons, multiplicative)
+    coefs = solve_grouped(xx, [c.cast("double") for c in _design(time_col, n_cp, seasons)], y, ridge=ridge).transform(materialize)
+    return TrendSeasonalModel(coefs, rng.transform(materialize), time_col, series_key, n_cp, seasons, multiplicative)

@@ -31,7 +31,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import bounded_broadcast, hash_hex
+from quarry.functions.columns import materialize, bounded_broadcast, hash_hex
 
 TEST_SIZE = 0.2
 VAL_SIZE = 0.1
@@ -103,7 +103,7 @@ def rank_segments(
         decided.append(rows.where(F.col("__kind").isNotNull()).select(*cols, F.col("__kind").alias(out_col)))
         rows = rows.where(F.col("__kind").isNull()).drop("__kind")
         if i == 0 and checkpoint_edges:
-            rows = rows.checkpoint()
+            rows = rows.transform(materialize)
         parts = keyset
     w = Window.partitionBy(*parts).orderBy(*order_cols)
     r = F.row_number().over(w) + F.col("__before")
