@@ -28,6 +28,14 @@ _DEBUG = False
 EULER_GAMMA = 0.5772156649
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Python-heavy stages need every core: a frame with fewer partitions
+    than the default parallelism (small inputs) is spread round-robin; large
+    inputs already have enough partitions and are left as they are."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def c_factor(m):
     """Average path length of an unsuccessful BST search over m points."""
     m = np.asarray(m, dtype=float)
@@ -108,14 +116,16 @@ class IsolationForestModel:
                 for t in range(n_trees):
                     f_t, th_t, l_t, r_t = A["feature"][t], A["threshold"][t], A["left"][t], A["right"][t]
                     node = np.zeros(m, dtype=np.int64)
-                    while True:
-                        f = f_t[node]
+                    active = rows
+                    # descend only the rows that are still at inner nodes
+                    while active.size:
+                        f = f_t[node[active]]
                         inner = f >= 0
-                        if not inner.any():
+                        active, f = active[inner], f[inner]
+                        if not active.size:
                             break
-                        x = X[rows, np.where(inner, f, 0)]
-                        nxt = np.where(x < th_t[node], l_t[node], r_t[node])
-                        node = np.where(inner, nxt, node)
+                        cur = node[active]
+                        node[active] = np.where(X[active, f] < th_t[cur], l_t[cur], r_t[cur])
                     total += A["depth"][t][node] + c_factor(A["size"][t][node])
                 out = pdf.copy()
                 out["score"] = np.power(2.0, -(total / n_trees) / cpsi)
@@ -125,7 +135,7 @@ class IsolationForestModel:
 
     def score(self, df: DataFrame) -> DataFrame:
         schema = T.StructType(df.schema.fields + [T.StructField("score", T.DoubleType())])
-        return df.mapInPandas(self._score_fn(), schema)
+        return spread(df).mapInPandas(self._score_fn(), schema)
 
     def transform(self, df: DataFrame) -> DataFrame:
         s = self.score(df)
@@ -182,7 +192,8 @@ def fit_isolation_forest(train: DataFrame, features: list[str], key: str, n_esti
     # bounded: n_trees * (2 psi - 1) node rows
     nodes = samples.groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
     model = IsolationForestModel(feats, nodes, psi, None, n_estimators)
-    scored = model.score(train.select(*feats))
+    # score the training rows once; the exact quantile reads them a few times
+    scored = model.score(train.select(*feats)).select("score").transform(materialize)
     model.threshold = quantile(scored, "score", 1.0 - contamination)
     return model
 
@@ -421,7 +432,7 @@ def fit_one_class_svm(train: DataFrame, features: list[str], nu: float = 0.1, ga
         g = float(gamma)
     stage = rff_stage(d, n_components, g, seed)
     v = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(train.select(*features))
-    z = stage.transform(v).select(vector_to_array("rff").alias("z")).transform(materialize)
+    z = spread(stage.transform(v).select(vector_to_array("rff").alias("z"))).transform(materialize)
     n = z.count()
     D = n_components
     w = np.zeros(D)

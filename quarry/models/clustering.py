@@ -257,7 +257,6 @@ def dbscan(df: DataFrame, key: str, features: list[str], eps: float = 0.5, min_s
     ncount = near.groupBy("qid").agg(F.count(F.lit(1)).alias("nn"))
     core_flag = pts.select("id", "dense", "cell", "cell_min").join(ncount.withColumnRenamed("qid", "id"), "id", "left") \
         .withColumn("is_core", F.col("dense") | (F.coalesce(F.col("nn"), F.lit(0)) >= min_samples))
-    core_flag = core_flag.transform(materialize)
     # graph nodes: a dense cell is one node (its min id); a sparse core point is its own node
     node_of = core_flag.where("is_core").select("id", F.when(F.col("dense"), F.col("cell_min")).otherwise(F.col("id")).alias("node"))
     # edges among core points: sparse core queries vs any core neighbour
