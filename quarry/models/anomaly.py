@@ -102,12 +102,17 @@ class IsolationForestModel:
             self._arr[k][t, n] = nodes[k].to_numpy()
 
     def _score_fn(self):
-        A = self._arr
+        # trees are bounded (n_trees x (2 psi - 1) nodes); ship them once per
+        # executor as a broadcast variable instead of inside every task
+        if getattr(self, "_bc", None) is None:
+            self._bc = _active().sparkContext.broadcast(self._arr)
+        bc = self._bc
         feats = self.feature_cols
         cpsi = float(c_factor([self.psi])[0]) or 1.0
         n_trees = self.n_trees
 
         def score(batches):
+            A = bc.value
             for pdf in batches:
                 X = pdf[feats].to_numpy(dtype=float)
                 m = len(X)

@@ -17,15 +17,40 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import bounded_broadcast, categorical_columns
 
 
+SINGLE_TASK_VALUES = 1_000_000
+
+
 def build_dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, code) for each listed column; values cast to string."""
+    """(column, value, code) for each listed column; values cast to string.
+
+    Distinct values are counted per column first (a small action). When
+    every column has at most ``SINGLE_TASK_VALUES`` values, codes are a
+    ``dense_rank`` per column. Otherwise the distinct values are range
+    partitioned on (column, value) — balanced, ordered partitions — and a
+    code is the column's count in earlier partitions (a small prefix-sum
+    table) plus the row number inside the partition, so no task ever sorts a
+    whole high-cardinality column."""
+    from quarry.functions.columns import materialize
+
     parts = None
     for c in columns:
         p = df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")).where(F.col("value").isNotNull())
         parts = p if parts is None else parts.unionByName(p)
     d = parts.distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return d.select("column", "value", (F.dense_rank().over(w) - 1).cast("int").alias("code"))
+    sizes = {r["column"]: r["count"] for r in d.groupBy("column").count().collect()}  # one row per column
+    if not sizes or max(sizes.values()) <= SINGLE_TASK_VALUES:
+        w = Window.partitionBy("column").orderBy("value")
+        return d.select("column", "value", (F.dense_rank().over(w) - 1).cast("int").alias("code"))
+    d = d.transform(materialize)
+    n_parts = max(df.sparkSession.sparkContext.defaultParallelism, 2 * sum(sizes.values()) // SINGLE_TASK_VALUES + 1)
+    r = d.repartitionByRange(int(n_parts), "column", "value").withColumn("__p", F.spark_partition_id())
+    r = r.transform(materialize)
+    cnt = r.groupBy("__p", "column").agg(F.count(F.lit(1)).alias("__c"))
+    w_off = Window.partitionBy("column").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.select("__p", "column", F.coalesce(F.sum("__c").over(w_off), F.lit(0)).alias("__before"))
+    rn = F.row_number().over(Window.partitionBy("__p", "column").orderBy("value"))
+    return r.join(bounded_broadcast(off), ["__p", "column"]).select(
+        "column", "value", (F.col("__before") + rn - 1).cast("int").alias("code"))
 
 
 def apply_dictionary(df: DataFrame, dictionary: DataFrame, columns: list[str], suffix: str = "") -> DataFrame:
@@ -67,15 +92,17 @@ def encode_features(df: DataFrame, columns: list[str] | None = None, exclude: li
 
 
 def encoding_info(dictionary: DataFrame, n_first: int = 10) -> DataFrame:
-    """Per encoded column: n_unique, all classes (sorted), first ``n_first``
-    originals and their codes."""
-    pairs = F.array_sort(F.collect_list(F.struct("code", "value")))
-    return dictionary.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"), pairs.alias("_p")).select(
+    """Per encoded column: n_unique and the first ``n_first`` originals with
+    their codes. The full class list is the dictionary table itself (one row
+    per class); it is never gathered into one array."""
+    n = dictionary.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    first = dictionary.where(F.col("code") < n_first).groupBy("column").agg(
+        F.array_sort(F.collect_list(F.struct("code", "value"))).alias("_p"))
+    return n.join(first, "column").select(
         "column",
         "n_unique",
-        F.transform("_p", lambda p: p["value"]).alias("classes"),
-        F.transform(F.slice("_p", 1, n_first), lambda p: p["value"]).alias("original_values"),
-        F.transform(F.slice("_p", 1, n_first), lambda p: p["code"]).alias("encoded_values"),
+        F.transform("_p", lambda p: p["value"]).alias("original_values"),
+        F.transform("_p", lambda p: p["code"]).alias("encoded_values"),
     )
 
 
