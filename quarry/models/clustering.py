@@ -225,6 +225,46 @@ class DBSCANModel:
         return path
 
 
+def _dense_links(dense_pts: DataFrame, d: int, gd: int, side: float, ring: int, eps: float, m: int = 4) -> DataFrame:
+    """Links (src, dst) between adjacent dense cells (all their points are
+    core). Each dense cell is cut into m^g sub-cells with the bounding box of
+    their points; for every pair of sub-boxes across neighbouring cells,
+    max box distance <= eps links the cells without looking at points, min
+    box distance > eps rules the pair out, and only the remaining pairs of
+    cells that are not yet linked compare the points of those sub-boxes.
+    Box pairs per cell are bounded by (m^g)^2 (2 ring + 1)^g, whatever the
+    number of points in the cell."""
+    sub = side / m
+    pcols = [f"p{i}" for i in range(d)]
+    x = dense_pts.select(F.col("cell_min").alias("node"), "cell", *pcols,
+                         F.array(*[F.floor(F.col(f"p{i}") / F.lit(sub)).cast("bigint") for i in range(gd)]).alias("sub"))
+    x = x.transform(materialize)
+    boxes = x.groupBy("node", "cell", "sub").agg(*[F.min(f"p{i}").alias(f"lo{i}") for i in range(d)],
+                                                *[F.max(f"p{i}").alias(f"hi{i}") for i in range(d)])
+    q = boxes.select(F.col("node").alias("qnode"), F.col("sub").alias("qsub"),
+                     *[F.col(f"lo{i}").alias(f"qlo{i}") for i in range(d)], *[F.col(f"hi{i}").alias(f"qhi{i}") for i in range(d)],
+                     *[F.col("cell")[i].alias(f"qc{i}") for i in range(gd)])
+    q = _explode_ring(q, [f"qc{i}" for i in range(gd)], ring)
+    n = boxes.select(F.col("node").alias("nnode"), F.col("sub").alias("nsub"), F.col("cell").alias("ncell"),
+                     *[F.col(f"lo{i}").alias(f"nlo{i}") for i in range(d)], *[F.col(f"hi{i}").alias(f"nhi{i}") for i in range(d)])
+    pairs = q.join(n, "ncell").where(F.col("qnode") < F.col("nnode"))
+    mind = sum(F.pow(F.greatest(F.lit(0.0), F.col(f"qlo{i}") - F.col(f"nhi{i}"), F.col(f"nlo{i}") - F.col(f"qhi{i}")), 2)
+               for i in range(d))
+    maxd = sum(F.pow(F.greatest(F.abs(F.col(f"qhi{i}") - F.col(f"nlo{i}")), F.abs(F.col(f"nhi{i}") - F.col(f"qlo{i}"))), 2)
+               for i in range(d))
+    e2 = F.lit(eps * eps)
+    pairs = pairs.select("qnode", "qsub", "nnode", "nsub", (maxd <= e2).alias("sure"), (mind <= e2).alias("maybe"))
+    pairs = pairs.where("maybe").transform(materialize)
+    sure = pairs.where("sure").select(F.col("qnode").alias("src"), F.col("nnode").alias("dst")).distinct()
+    check = pairs.where(~F.col("sure")).join(sure.select(F.col("src").alias("qnode"), F.col("dst").alias("nnode")),
+                                             ["qnode", "nnode"], "left_anti")
+    xq = x.select(F.col("node").alias("qnode"), F.col("sub").alias("qsub"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(d)])
+    xn = x.select(F.col("node").alias("nnode"), F.col("sub").alias("nsub"), *[F.col(f"p{i}").alias(f"n{i}") for i in range(d)])
+    found = check.select("qnode", "qsub", "nnode", "nsub").join(xq, ["qnode", "qsub"]).join(xn, ["nnode", "nsub"]) \
+        .where(_sqdist("q", "n", d) <= e2).select(F.col("qnode").alias("src"), F.col("nnode").alias("dst")).distinct()
+    return sure.unionByName(found).distinct()
+
+
 def dbscan(df: DataFrame, key: str, features: list[str], eps: float = 0.5, min_samples: int = 5,
            grid_dims: int = 3) -> tuple[DataFrame, DataFrame]:
     """Exact DBSCAN labels for every row; returns (labels(key, cluster,
@@ -263,13 +303,8 @@ def dbscan(df: DataFrame, key: str, features: list[str], eps: float = 0.5, min_s
     core_ids = node_of.select(F.col("id").alias("nid"), F.col("node").alias("nnode"))
     e1 = near.join(core_ids, "nid").join(node_of.select(F.col("id").alias("qid"), F.col("node").alias("qnode")), "qid") \
         .select(F.col("qnode").alias("src"), F.col("nnode").alias("dst")).where(F.col("src") != F.col("dst"))
-    # dense cell to dense cell: pairs of points across adjacent dense cells
-    dense_pts = pts.where("dense")
-    dq = _explode_ring(dense_pts.select(F.col("cell_min").alias("qnode"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(d)], *qcols),
-                       qcols, ring)
-    dn = dense_pts.select(F.col("cell_min").alias("nnode"), *[F.col(f"p{i}").alias(f"n{i}") for i in range(d)], F.col("cell").alias("ncell"))
-    e2 = dq.join(dn, "ncell").where((F.col("qnode") < F.col("nnode")) & (_sqdist("q", "n", d) <= eps2)) \
-        .select(F.col("qnode").alias("src"), F.col("nnode").alias("dst")).distinct()
+    # dense cell to dense cell: decided on sub-cell bounding boxes first
+    e2 = _dense_links(pts.where("dense"), d, gd, side, ring, eps)
     nodes = node_of.select(F.col("node").alias("id")).distinct()
     comp = connected_components(nodes, e1.unionByName(e2))
     # cluster id = smallest core-point id of the component (node ids are min ids)

@@ -1,5 +1,6 @@
 """Model sanity on planted signal, save/load, and the custom algorithms."""
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.models import anomaly as A
@@ -85,3 +86,61 @@ def test_leaderboard_rmse_minimises(spark):
     runs = spark.createDataFrame([("e", "a", 0, 2.0), ("e", "b", 1, 1.0)], "experiment string, model string, model_order int, score double")
     best = leaderboard(runs, "score", M.PRIMARY_METRIC["timeseries"][1]).where("rank = 1").first()
     assert best["model"] == "b"
+
+
+def _dbscan_brute(ids, X, eps, min_samples):
+    D = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1) <= eps * eps
+    core = D.sum(1) >= min_samples
+    label = {}
+    for i in np.argsort(ids):
+        if not core[i] or ids[i] in label:
+            continue
+        comp, stack = [], [i]
+        seen = {i}
+        while stack:
+            j = stack.pop()
+            comp.append(j)
+            for k in np.flatnonzero(D[j] & core):
+                if k not in seen:
+                    seen.add(k)
+                    stack.append(k)
+        lab = min(ids[j] for j in comp)
+        for j in comp:
+            label[ids[j]] = lab
+    out = {}
+    for i in range(len(ids)):
+        if core[i]:
+            out[ids[i]] = label[ids[i]]
+        else:
+            nb = [label[ids[k]] for k in np.flatnonzero(D[i] & core)]
+            out[ids[i]] = min(nb) if nb else -1
+    return out
+
+
+@pytest.mark.parametrize("scale", [0.15, 0.4])
+def test_dbscan_matches_brute_force(spark, scale):
+    rng = np.random.default_rng(5)
+    X = np.vstack([rng.normal(c, scale, size=(120, 2)) for c in ((0, 0), (1.2, 0.3), (4, 4))] + [rng.uniform(-2, 6, size=(40, 2))])
+    ids = np.arange(len(X)) * 3 + 7
+    df = spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(ids, X)], "id long, x double, y double")
+    labels, _ = C.dbscan(df, "id", ["x", "y"], eps=0.3, min_samples=5)
+    got = {r["id"]: r["cluster"] for r in labels.collect()}
+    assert got == _dbscan_brute(ids, X, 0.3, 5)
+
+
+def test_lof_matches_brute_force(spark):
+    rng = np.random.default_rng(9)
+    X = np.vstack([rng.normal(0, 0.05, size=(300, 2)), rng.normal(3, 1.0, size=(100, 2)), rng.uniform(-5, 8, size=(20, 2))])
+    ids = np.arange(len(X))
+    k = 10
+    df = spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(ids, X)], "id long, x double, y double")
+    got = {r["id"]: r["lof"] for r in A.local_outlier_factor(df, "id", ["x", "y"], k).collect()}
+    D2 = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(D2, np.inf)
+    nn = np.array([sorted(range(len(X)), key=lambda j: (D2[i, j], j))[:k] for i in range(len(X))])
+    dist = np.sqrt(np.take_along_axis(D2, nn, 1))
+    kd = dist.max(1)
+    lrd = 1.0 / (np.maximum(kd[nn], dist).mean(1) + 1e-10)
+    lof = lrd[nn].mean(1) / lrd
+    for i in ids:
+        assert got[int(i)] == pytest.approx(lof[i], rel=1e-9)
