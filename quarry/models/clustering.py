@@ -372,7 +372,13 @@ def fit_meanshift(train: DataFrame, features: list[str], key: str, bandwidth: fl
         seeds = new.transform(materialize)
         if shift is None or math.sqrt(shift) < 1e-3 * bw:
             break
-    modes = np.array(seeds.orderBy(F.col("support").desc(), "sid").select(*[f"s{i}" for i in range(d)]).collect(), dtype=float)
+    # converged seeds sit on a few modes: collapse them on a fine grid
+    # (bw / 1000) before anything reaches the driver
+    snap = [F.round(F.col(f"s{i}") / F.lit(bw / 1000.0)) for i in range(d)]
+    modes_df = seeds.groupBy(*[c.alias(f"g{i}") for i, c in enumerate(snap)]).agg(
+        F.max("support").alias("support"), F.min("sid").alias("sid"), *[F.avg(f"s{i}").alias(f"s{i}") for i in range(d)])
+    modes = np.array(modes_df.orderBy(F.col("support").desc(), "sid").select(*[f"s{i}" for i in range(d)]).collect(),
+                     dtype=float)
     kept: list[np.ndarray] = []
     for m in modes:
         if all(np.linalg.norm(m - k) >= bw for k in kept):
