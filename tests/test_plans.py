@@ -12,10 +12,13 @@ def _plan(df):
 
 
 def test_profile_reads_only_selected_columns(spark):
-    from quarry.operators.profile import profile_numeric
+    from quarry.functions.stats import _long
+    from quarry.operators.profile import profile_nulls
 
-    p = _plan(profile_numeric(table(spark, SF, "lineitem"), ["l_quantity", "l_discount"]))
-    assert "ReadSchema: struct<l_quantity:double,l_discount:double>" in p
+    li = table(spark, SF, "lineitem")
+    assert "ReadSchema: struct<l_quantity:double,l_discount:double>" in _plan(profile_nulls(li, ["l_quantity", "l_discount"]))
+    # the exact-quantile passes scan only the profiled columns too
+    assert "ReadSchema: struct<l_quantity:double,l_discount:double>" in _plan(_long(li, ["l_quantity", "l_discount"]))
 
 
 def test_filter_pushed_to_scan(spark):
