@@ -34,28 +34,29 @@ def _series(df: DataFrame, series_key: str | None) -> DataFrame:
 
 def solve_grouped(df: DataFrame, xs: list[Column], y: Column, ridge: float = 0.0, group: str = SERIES) -> DataFrame:
     """Least squares per group from X'X and X'y sums: returns (group, coef
-    array). Each group contributes one fixed-size row of moments, solved with
-    numpy inside ``applyInPandas``."""
+    array). Each row contributes one vector of moment products; MLlib's
+    ``Summarizer`` sums them per group (one JVM aggregate, partial sums on
+    the map side), so a group is one fixed-size row however long it is; the
+    small systems are solved with numpy inside ``applyInPandas``."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     p = len(xs)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i in range(p):
-        for j in range(i, p):
-            aggs.append(F.sum(xs[i] * xs[j]).alias(f"a{i}_{j}"))
-        aggs.append(F.sum(xs[i] * y).alias(f"b{i}"))
-    mom = df.groupBy(group).agg(*aggs)
+    prods = [xs[i] * xs[j] for i in range(p) for j in range(i, p)] + [xi * y for xi in xs]
+    vec = array_to_vector(F.array(*[c.cast("double") for c in prods]))
+    mom = df.select(group, vec.alias("__m")).groupBy(group).agg(Summarizer.sum(F.col("__m")).alias("__m"))
+    mom = mom.select(group, vector_to_array("__m").alias("m"))
+    iu = np.triu_indices(p)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, r in pdf.iterrows():
+        for g, m in zip(pdf[group], pdf["m"]):
+            m = np.asarray(m, dtype=float)
             A = np.zeros((p, p))
-            b = np.zeros(p)
-            for i in range(p):
-                for j in range(i, p):
-                    A[i, j] = A[j, i] = r[f"a{i}_{j}"] or 0.0
-                b[i] = r[f"b{i}"] or 0.0
-            A = A + ridge * np.eye(p)
-            coef = np.linalg.lstsq(A, b, rcond=None)[0]
-            out.append((r[group], [float(c) for c in coef]))
+            A[iu] = m[: len(iu[0])]
+            A = A + np.triu(A, 1).T + ridge * np.eye(p)
+            b = m[len(iu[0]):]
+            out.append((g, [float(c) for c in np.linalg.lstsq(A, b, rcond=None)[0]]))
         return pd.DataFrame(out, columns=[group, "coef"])
 
     return mom.groupBy(group).applyInPandas(solve, f"{group} string, coef array<double>")

@@ -270,7 +270,8 @@ runs AS (SELECT experiment, model, model_order, round(avg(CASE WHEN y = p THEN 1
 
 @query("leaderboard", f"""
 WITH {RUNS_CTE}
-SELECT experiment, model, score, row_number() OVER (PARTITION BY experiment ORDER BY score DESC NULLS LAST, model_order) AS rank
+SELECT experiment, model, score,
+       CAST(row_number() OVER (PARTITION BY experiment ORDER BY score DESC NULLS LAST, model_order) AS INTEGER) AS rank
 FROM runs""")
 def q_leaderboard(spark, d):
     return L.leaderboard(segment_runs(spark, d), "score", "max").select("experiment", "model", "score", "rank")

@@ -113,7 +113,8 @@ def param_column(name: str, spec: dict, seed: int) -> Column:
 
 def sample_trials(experiments: DataFrame, space: dict, n_trials: int, seed: int = 42) -> DataFrame:
     """One row per (experiment, trial_id) with one column per parameter."""
-    t = experiments.select("experiment").withColumn("trial_id", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
+    t = experiments.select("experiment").withColumn(
+        "trial_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_trials - 1).cast("bigint"))))
     return t.select("experiment", "trial_id", *[param_column(k, v, seed).alias(k) for k, v in space.items()])
 
 

@@ -22,6 +22,10 @@ def _norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 def _key(r):
     return tuple((0, "") if x is None else (1, str(x)) for x in r)
 
@@ -34,6 +38,9 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(ORACLE[name])
     ocols = [c[0] for c in res.description]
     assert sorted(cols) == sorted(ocols)
+    otypes = {d[0]: str(d[1]).upper() for d in res.description}
+    for c, t in sdf.dtypes:
+        assert SPARK_TO_DUCK.get(t, t).upper() == otypes[c], (c, t, otypes[c])
     idx = [ocols.index(c) for c in cols]
     want = sorted((tuple(_norm(r[i]) for i in idx) for r in res.fetchall()), key=_key)
     assert got == want

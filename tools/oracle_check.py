@@ -45,6 +45,10 @@ def norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "smallint": "SMALLINT"}
+
+
 def key(row):
     return tuple((0, "") if x is None else (1, str(x)) for x in row)
 
@@ -84,6 +88,11 @@ def main(ids):
             print(f"FAIL  {name}: columns {cols} vs {ocols}")
             bad += 1
             continue
+        otypes = {d[0]: str(d[1]) for d in res.description}
+        stypes = dict(sdf.dtypes)
+        tdiff = [(c, stypes[c], otypes[c]) for c in cols if SPARK_TO_DUCK.get(stypes[c], stypes[c]).upper() != otypes[c].upper()]
+        if tdiff:
+            print(f"TYPE  {name}: {tdiff}")
         idx = [ocols.index(c) for c in cols]
         orows = [tuple(r[i] for i in idx) for r in orows]
         if len(srows) != len(orows):
