@@ -126,6 +126,29 @@ def q_train_many(spark, d):
     return leaderboard_frame(res)
 
 
+@query("train_many_tuned")
+def q_train_many_tuned(spark, d):
+    """train_many with tuning on (10 trials; the forest size stays pinned by
+    an override) and k-fold CV scores; returns the runs with their flags."""
+    cfg = TrainConfig(task="classification", target="quality", key="doc_id", features=DOC_FEATURES,
+                      models=["logistic_regression", "random_forest"], use_cv=True, cv_folds=3,
+                      overrides={"random_forest": {"n_estimators": 20}}, hpo={"enabled": True, "n_trials": 10},
+                      experiment="document_quality_tuned")
+    res = train_many(spark, quality_frame(spark, d), cfg)
+    return res.runs.select("model", "status", "hpo_used", "score", F.col("metrics")["cv_mean"].alias("cv_mean"),
+                           F.col("metrics")["cv_std"].alias("cv_std"))
+
+
+@query("write_manifest")
+def q_write_manifest(spark, d):
+    from quarry.sources.sinks import write_manifest
+
+    res = document_quality(spark, d)
+    path = scratch_path(spark, "manifest")
+    write_manifest(res.runs, path, {"source_type": "parquet", "dataset": "documents+labels"})
+    return spark.read.json(path)
+
+
 @query("tune_holdout")
 def q_tune_holdout(spark, d):
     from quarry.plans.train import prepare

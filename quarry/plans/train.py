@@ -52,6 +52,8 @@ class TrainConfig:
     series_key: str | None = None
     contamination: float = 0.1
     n_clusters: int = 3
+    # tuning: {"enabled": bool, "n_trials": int, "timeout_min": float, "param_space": {model: space}}
+    hpo: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -143,9 +145,18 @@ def train_many(spark: SparkSession, df: DataFrame, cfg: TrainConfig, persist: bo
         n_classes = int(prepared.agg(F.max("label")).first()[0] or 0) + 1
     metric, direction = M.PRIMARY_METRIC[cfg.task]
     rows, models = [], {}
+    trials_tables = []
     for order, (name, params) in enumerate(v["valid"].items()):
         start = time.time()
+        hpo_used = False
         try:
+            tuned = _tune(spark, cfg, name, train, prepared, feats)
+            if tuned is not None:
+                best, table_ = tuned
+                trials_tables.append(table_)
+                # tuned values replace the defaults; user overrides stay pinned (Q8)
+                params = {**params, **best, **(cfg.overrides or {}).get(name, {})}
+                hpo_used = True
             fitted = fit_model(cfg.task, name, train, feats, params, n_classes=n_classes, labelled=labelled,
                                key=cfg.key, series_key=cfg.series_key, time_col=cfg.time_col, horizon=cfg.horizon,
                                contamination=cfg.contamination, n_clusters=cfg.n_clusters)
@@ -153,8 +164,10 @@ def train_many(spark: SparkSession, df: DataFrame, cfg: TrainConfig, persist: bo
             per_split = _metrics(scored, cfg, labelled, fitted)
             score = per_split.get("test", {}).get(metric)
             flat = {f"{s}_{k}": val for s, m in per_split.items() for k, val in m.items() if isinstance(val, (int, float))}
+            if cfg.use_cv and cfg.task in ("classification", "regression"):
+                flat.update(_cross_validate(spark, cfg, name, params, train, feats, n_classes))
             rows.append(run_row(cfg.experiment, name, order, cfg.task, type(fitted).__name__, params, flat, score,
-                                False, start))
+                                hpo_used, start))
             models[name] = fitted
         except Exception as exc:  # a failing model is skipped, as in the reference
             rows.append(run_row(cfg.experiment, name, order, cfg.task, "", params, {}, None, False, start,
@@ -163,4 +176,61 @@ def train_many(spark: SparkSession, df: DataFrame, cfg: TrainConfig, persist: bo
         raise RuntimeError(f"all models failed: {[(r[2], r[12]) for r in rows]}")
     runs = runs_frame(spark, rows)
     board = leaderboard(runs.where(F.col("status") == "FINISHED"), "score", direction)
-    return TrainResult(runs, board, models, d, feats, prepared)
+    res = TrainResult(runs, board, models, d, feats, prepared)
+    res.trials = None
+    for t in trials_tables:
+        res.trials = t if res.trials is None else res.trials.unionByName(t)
+    return res
+
+
+def _tune(spark: SparkSession, cfg: TrainConfig, name: str, train: DataFrame, prepared: DataFrame, feats: list[str]):
+    """Tuning gate: enabled, a search space (the user's, else the default
+    one), and a supervised task. Holdout on the validation split when there
+    is one, else k-fold on train. Returns (best params, trials table)."""
+    from quarry.plans.tune import DEFAULT_SPACES, tune_cv, tune_holdout
+
+    h = cfg.hpo or {}
+    if not h.get("enabled") or cfg.task not in ("classification", "regression"):
+        return None
+    space = (h.get("param_space") or {}).get(name) or DEFAULT_SPACES.get(cfg.task, {}).get(name)
+    if not space:
+        return None
+    n_trials = int(h.get("n_trials", 50))
+    if cfg.val_size > 0:
+        val = prepared.where(F.col("split") == "val")
+        t = tune_holdout(spark, cfg.task, name, train, val, feats, space, n_trials, cfg.seed,
+                         overrides=(cfg.overrides or {}).get(name), timeout_min=h.get("timeout_min"),
+                         experiment=cfg.experiment)
+    else:
+        t = tune_cv(spark, cfg.task, name, train, feats, cfg.cv_folds, space, n_trials, cfg.seed, key=cfg.key,
+                    experiment=cfg.experiment)
+    best = t.where(F.col("status") == "FINISHED").orderBy(F.col("score").desc(), "trial_id").first()
+    if best is None:
+        return None
+    return {k: _typed(v) for k, v in best["params"].items()}, t
+
+
+def _typed(v: str):
+    for conv in (int, float):
+        try:
+            return conv(v)
+        except (TypeError, ValueError):
+            pass
+    return None if v == "None" else v
+
+
+def _cross_validate(spark: SparkSession, cfg: TrainConfig, name: str, params: dict, train: DataFrame,
+                    feats: list[str], n_classes: int) -> dict:
+    """k-fold scores on train (accuracy or r2): mean and population std."""
+    from quarry.operators.split import kfold
+    from quarry.plans.tune import _score
+
+    f = kfold(train, cfg.key, cfg.cv_folds, "label" if cfg.task == "classification" else None).cache()
+    scores = []
+    for k in range(cfg.cv_folds):
+        m = fit_model(cfg.task, name, f.where(F.col("fold") != k), feats, params, n_classes=n_classes)
+        scores.append(_score(cfg.task, m.transform(f.where(F.col("fold") == k))))
+    f.unpersist()
+    mean = sum(scores) / len(scores)
+    std = (sum((x - mean) ** 2 for x in scores) / len(scores)) ** 0.5
+    return {"cv_mean": mean, "cv_std": std}

@@ -34,3 +34,20 @@ def write_encoders(dictionary: DataFrame, path: str) -> str:
 
 def write_predictions(predictions: DataFrame, path: str, mode: str = "overwrite") -> str:
     return write_table(predictions, path, mode=mode)
+
+
+def write_manifest(runs: DataFrame, path: str, extra: dict | None = None) -> str:
+    """One JSON document per run (ids, model, params, metrics, flags,
+    timing) plus any extra literal fields; written as JSON lines."""
+    from pyspark.sql import functions as F
+
+    cols = [F.col(c) for c in runs.columns if c not in ("encoder", "study")]
+    lits = [F.lit(str(v)).alias(k) for k, v in (extra or {}).items() if k not in runs.columns]
+    runs.select(F.to_json(F.struct(*cols, *lits)).alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
+def write_schema(profile: DataFrame, path: str) -> str:
+    """Input/output schema documents (profile rows) as JSON lines."""
+    profile.write.mode("overwrite").json(path)
+    return path
