@@ -208,18 +208,26 @@ def kfold(df: DataFrame, key: str, k: int = 5, label: str | None = None, seed: i
 
 
 def dense_index(df: DataFrame, time_col: str, key: str, series: str | None = None, out_col: str = "__i") -> DataFrame:
-    """0-based position of each row in (time, key) order within its series,
-    by day-bucket offsets + ``row_number`` inside (series, day)."""
+    """0-based position of each row in (time, key) order within its series.
+
+    Two bucket levels keep every sort small: day offsets per series (running
+    sum over a per-day count table), minute offsets inside each day (running
+    sum over a per-minute count table, partitioned by series and day), then
+    ``row_number`` inside (series, minute). A series with most of its rows on
+    one day is still cut into minutes. Adds ``__g`` (series key) and ``__n``
+    (series length)."""
     ts = F.coalesce(F.col(time_col).cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))
     g = F.coalesce(F.col(series).cast("string"), F.lit("\u0000null")) if series else F.lit("")
-    tmp = df.withColumn("__g", g).withColumn("__b", F.date_trunc("day", ts))
-    cnt = tmp.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__cnt"))
-    w_run = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    cnt = cnt.select(
-        "__g", "__b",
-        F.coalesce(F.sum("__cnt").over(w_run), F.lit(0)).alias("__before"),
-        F.sum("__cnt").over(Window.partitionBy("__g")).alias("__n"),
-    )
-    j = tmp.join(bounded_broadcast(cnt), ["__g", "__b"])
-    r = F.row_number().over(Window.partitionBy("__g", "__b").orderBy(F.col(time_col).asc_nulls_first(), F.col(key)))
-    return j.withColumn(out_col, (r - 1 + F.col("__before")).cast("bigint")).drop("__b", "__before")
+    tmp = df.withColumn("__g", g).withColumn("__d", F.date_trunc("day", ts)).withColumn("__m", F.date_trunc("minute", ts))
+    cm = tmp.groupBy("__g", "__d", "__m").agg(F.count(F.lit(1)).alias("__c")).transform(materialize)
+    cd = cm.groupBy("__g", "__d").agg(F.sum("__c").alias("__cd"))
+    w_day = Window.partitionBy("__g").orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+    cd = cd.select("__g", "__d", F.coalesce(F.sum("__cd").over(w_day), F.lit(0)).alias("__dbefore"),
+                   F.sum("__cd").over(Window.partitionBy("__g")).alias("__n"))
+    w_min = Window.partitionBy("__g", "__d").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
+    cm = cm.select("__g", "__d", "__m", F.coalesce(F.sum("__c").over(w_min), F.lit(0)).alias("__mbefore"))
+    offs = cm.join(cd, ["__g", "__d"]).select("__g", "__m", (F.col("__dbefore") + F.col("__mbefore")).alias("__before"),
+                                              "__n")
+    j = tmp.join(bounded_broadcast(offs), ["__g", "__m"])
+    r = F.row_number().over(Window.partitionBy("__g", "__m").orderBy(F.col(time_col).asc_nulls_first(), F.col(key)))
+    return j.withColumn(out_col, (r - 1 + F.col("__before")).cast("bigint")).drop("__d", "__m", "__before")

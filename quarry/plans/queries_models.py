@@ -278,3 +278,15 @@ def q_score_stream(spark, d):
 
 
 _ = (letter_share,)
+
+
+@query("write_schema")
+def q_write_schema(spark, d):
+    """Input schema document of lineitem's numeric columns (the numeric
+    profile) written as JSON and read back."""
+    from quarry.operators.profile import profile_numeric
+    from quarry.sources.sinks import write_schema
+
+    path = scratch_path(spark, "schema")
+    write_schema(profile_numeric(table(spark, d, "lineitem")), path)
+    return spark.read.json(path)
