@@ -81,13 +81,14 @@ def source_info(df: DataFrame, source_type: str, **attrs: str) -> DataFrame:
 def read_records(records: DataFrame, json_col: str, schema: T.StructType) -> DataFrame:
     """JSON records (one object per row of ``json_col``) -> typed table.
 
-    Malformed or non-object input yields a row whose struct is null; those are
-    kept in ``_corrupt`` so callers can dead-letter them instead of failing."""
+    Parsing is PERMISSIVE with Spark's corrupt-record column: a record that
+    is not valid JSON for the schema (syntax or a value of the wrong type)
+    keeps its raw text in ``_corrupt`` so callers can dead-letter it instead
+    of failing; fields that are simply absent stay null."""
+    parse = T.StructType(schema.fields + [T.StructField("_corrupt", T.StringType())])
     parsed = records.select(
-        F.from_json(F.col(json_col), schema, {"mode": "PERMISSIVE"}).alias("_r"),
-        F.col(json_col).alias("_raw"),
-    )
-    return parsed.select("_r.*", F.when(F.col("_r").isNull(), F.col("_raw")).alias("_corrupt"))
+        F.from_json(F.col(json_col), parse, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("_r"))
+    return parsed.select(*[F.col(f"_r.{f.name}") for f in schema.fields], F.col("_r._corrupt").alias("_corrupt"))
 
 
 @dataclass

@@ -44,18 +44,23 @@ def validity(df: DataFrame, feature_names: list[str]) -> DataFrame:
     return df.withColumn("_missing", missing)
 
 
-def dead_letter(df: DataFrame, feature_names: list[str], key: str) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, error rows ``(key, reason)``)."""
-    v = validity(df, feature_names)
+def _bad(df: DataFrame) -> F.Column:
+    """A row fails when a trained feature is missing or the record is malformed."""
     bad = F.size("_missing") > 0
     if "_corrupt" in df.columns:
         bad = bad | F.col("_corrupt").isNotNull()
+    return bad
+
+
+def dead_letter(df: DataFrame, feature_names: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, error rows ``(key, reason)``)."""
+    v = validity(df, feature_names)
+    bad = _bad(df)
     ok = v.where(~bad).drop("_missing")
-    errors = v.where(bad).select(
-        key,
-        F.when(F.size("_missing") > 0, F.concat(F.lit("missing features: "), F.array_join("_missing", ", ")))
-        .otherwise(F.lit("malformed record")).alias("reason"),
-    )
+    reason = F.when(F.size("_missing") > 0, F.concat(F.lit("missing features: "), F.array_join("_missing", ", ")))
+    if "_corrupt" in df.columns:
+        reason = F.when(F.col("_corrupt").isNotNull(), F.lit("malformed record")).otherwise(reason)
+    errors = v.where(bad).select(key, reason.alias("reason"))
     return ok, errors
 
 
@@ -95,7 +100,7 @@ def score_chunks(model, records: DataFrame, key: str, feature_names: list[str],
     pos = pos.withColumn("batch_index", F.floor(F.col("position") / chunk_size).cast("bigint"))
     ok, errors = dead_letter(pos, feature_names, key)
     scored = model.transform(ok)
-    flags = validity(pos, feature_names).select("batch_index", (F.size("_missing") == 0).alias("_ok"))
+    flags = validity(pos, feature_names).select("batch_index", (~_bad(pos)).alias("_ok"))
     chunks = flags.groupBy("batch_index").agg(
         F.count(F.lit(1)).alias("batch_size"), F.count_if("_ok").alias("n_ok"), F.count_if(~F.col("_ok")).alias("n_failed"))
     done = scored.groupBy("batch_index").agg(F.count_if(F.col("prediction").isNotNull()).alias("n_scored"))
@@ -125,7 +130,7 @@ def score_stream(spark: SparkSession, model, source_dir: str, schema, feature_na
         errors.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(err_path)
         prog = validity(batch, feature_names).agg(
-            F.count(F.lit(1)).alias("batch_size"), F.count_if(F.size("_missing") > 0).alias("n_failed"))
+            F.count(F.lit(1)).alias("batch_size"), F.count_if(_bad(batch)).alias("n_failed"))
         prog.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(prog_path)
 
