@@ -64,11 +64,15 @@ def dead_letter(df: DataFrame, feature_names: list[str], key: str) -> tuple[Data
     return ok, errors
 
 
-def key_position(df: DataFrame, key: str, n_buckets: int = 4096) -> DataFrame:
+def key_position(df: DataFrame, key: str, rows_per_bucket: int = 200_000) -> DataFrame:
     """0-based position in ascending numeric key order: key-range bucket
-    offsets (a small count table) + ``row_number`` within the bucket."""
-    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    offsets (a count table with one row per bucket) + ``row_number`` within
+    the bucket. The bucket count follows the row count (about
+    ``rows_per_bucket`` rows per bucket for evenly spread keys, at least
+    4,096, at most 2^24), so a window task stays small at any scale."""
+    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     lo, hi = int(r["lo"] or 0), int(r["hi"] or 0)
+    n_buckets = int(min(1 << 24, max(4096, (r["n"] or 0) // rows_per_bucket)))
     width = max(1, math.ceil((hi - lo + 1) / n_buckets))
     x = df.withColumn("__kb", F.floor((F.col(key) - F.lit(lo)) / F.lit(width)))
     cnt = x.groupBy("__kb").agg(F.count(F.lit(1)).alias("__c"))
