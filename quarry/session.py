@@ -51,14 +51,18 @@ def get_spark(master: str | None = None, app: str = "quarry", partitions: int |
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (tests,
-    local runs) create a private scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``. Only a local session
+    (tests, bench) may go without it and gets a private scratch folder; on a
+    cluster an unset folder is an error, because executors do not share the
+    driver's local disk."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -74,6 +78,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as Parquet into the shared checkpoint folder and read it
+    back: cuts the lineage, computes the plan once, and survives the loss of
+    an executor because the files belong to no executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the fixture tables (one Parquet file each)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
