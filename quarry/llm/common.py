@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 
 from quarry.session import saved, table
 
-__all__ = ["column_lists", "saved", "table", "with_schema"]
+__all__ = ["column_lists", "portions", "saved", "table", "with_schema"]
 
 #: Rows of one Arrow batch handled at a time, so that the Python side holds
 #: few whole texts at once whatever the session's batch size is.
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE = 1024
 
 
 def column_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
@@ -24,6 +24,20 @@ def column_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
             yield [c.to_pylist() for c in batch.slice(at, ROWS_AT_ONCE).columns]
 
 
+def portions(texts: list[str], most: int = 4_000_000):
+    """Runs of texts of together about ``most`` characters: large, so that
+    they share many words, and bounded in memory."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t)
+        if held > most:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def with_schema(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` whose function yields dicts of column lists."""
     from pyspark.sql.types import StructType

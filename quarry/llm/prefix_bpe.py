@@ -10,7 +10,8 @@ the trie depth first, so the walk needs only the states of the current path.
 
 Documents are cut into white-space-delimited pieces first; pieces are cut
 into words by the tokenizer's own pre-tokenizer. A bounded cache per Python
-worker keeps the ids of pieces seen before, so a frequent word is looked up.
+worker keeps the ids of pieces seen before (those of the last used generation go on),
+so a frequent word is looked up.
 The work is one pass over the rows: no shuffle, nothing is collected.
 
 Rows: a null text counts as empty, an empty text has no ids; repeated rows
@@ -24,12 +25,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import column_lists, with_schema
+from quarry.llm.common import column_lists, portions, with_schema
 
 #: Unicode White_Space, which is what the tokenizer's pattern calls \s.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -48,7 +50,7 @@ def byte_alphabet() -> dict[str, int]:
 class PrefixBpe:
     """Vocabulary, merges and the memo of compatible neighbours."""
 
-    CACHE = 400_000  # pieces kept per worker; beyond it the cache starts anew
+    CACHE = 400_000  # pieces in each of two generations that a worker keeps
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -71,14 +73,16 @@ class PrefixBpe:
         self.text_of = {i: s for s, i in self.vocab.items()}
         # a token takes part only if the merges build it from its own bytes
         self.usable = {s: i for s, i in self.vocab.items() if len(s) == 1 or self.merge(s) == [s]}
+        # lengths of the tokens of three bytes or more that end in these three
         lengths: dict[str, set[int]] = {}
         for s in self.usable:
-            if len(s) > 1:
-                lengths.setdefault(s[-2:], set()).add(len(s))
+            if len(s) > 2:
+                lengths.setdefault(s[-3:], set()).add(len(s))
         self.lengths = {tail: sorted(x, reverse=True) for tail, x in lengths.items()}
         self.follows: dict[tuple[int, int], bool] = {}
         self.ids_of_piece: dict[str, bytes] = {}
-        self.ids_of_word: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.printable = {b: c for c, b in alphabet.items()}
 
     def merge(self, s: str) -> list[str]:
         """Plain BPE: apply the earliest merge of the list, leftmost first."""
@@ -111,7 +115,7 @@ class PrefixBpe:
                 shared += 1
             del last[shared + 1:], size[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
-                for n in lengths.get(word[end - 2:end], ()) if end > 1 else ():
+                for n in lengths.get(word[end - 3:end], ()) if end > 2 else ():
                     if n <= end and (t := usable.get(word[end - n:end])) is not None:
                         before = last[end - n]
                         if before < 0:
@@ -120,7 +124,9 @@ class PrefixBpe:
                         if ok if ok is not None else self.may_follow(before, t):
                             break
                 else:
-                    n, t = 1, usable[word[end - 1]]
+                    n, t = 2, usable.get(word[end - 2:end]) if end > 1 else None
+                    if t is None or end > 2 and not (follows.get((last[end - 2], t)) or self.may_follow(last[end - 2], t)):
+                        n, t = 1, usable[word[end - 1]]
                 last.append(t)
                 size.append(n)
             ids, at = [], len(word)
@@ -131,33 +137,37 @@ class PrefixBpe:
             path = word
         return out
 
+    def cut(self, piece: str) -> list[str]:
+        """The words of a piece, in byte-alphabet characters. Letters after at
+        most one blank are one word under the tokenizer's pattern."""
+        if (piece[1:] if piece[0] == " " else piece).isalpha():
+            return [piece.encode().decode("latin-1").translate(self.printable)]
+        return [w for w, _ in self.words(piece)]
+
     def learn(self, pieces: set[str]) -> None:
-        """Put the ids of new pieces into the cache."""
+        """Bring the ids of all pieces into the younger generation."""
         if len(self.ids_of_piece) > self.CACHE:
-            self.ids_of_piece.clear()
-        if len(self.ids_of_word) > self.CACHE:
-            self.ids_of_word.clear()
-        cut = {p: [w for w, _ in self.words(p)] for p in pieces}
-        new = {w for ws in cut.values() for w in ws} - self.ids_of_word.keys()
-        for w, ids in self.encode_words(new).items():
-            self.ids_of_word[w] = np.array(ids, "<u4").tobytes()
+            self.older, self.ids_of_piece = self.ids_of_piece, {}
+        cut = {}
+        for p in pieces.difference(self.ids_of_piece):
+            if (known := self.older.get(p)) is None:
+                cut[p] = self.cut(p)
+            else:
+                self.ids_of_piece[p] = known
+        ids = self.encode_words({w for ws in cut.values() for w in ws})
         for p, ws in cut.items():
-            self.ids_of_piece[p] = b"".join([self.ids_of_word[w] for w in ws])
+            self.ids_of_piece[p] = struct.pack(f"<{sum(len(ids[w]) for w in ws)}I", *[i for w in ws for i in ids[w]])
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [self.split_special.split(t) if self.split_special and any(s in t for s in self.special) else [t] for t in texts]
         pieces = [[[s] if s in self.special else PIECE.findall(s) for s in p] for p in parts]
-        known = self.ids_of_piece
         new: set[str] = set()
         for doc in pieces:
             for p in doc:
                 new.update(p)
-        new -= self.special.keys()
-        if len(known) > self.CACHE:
-            known.clear()
-        new -= known.keys()
-        self.learn(new)
+        self.learn(new.difference(self.special))
+        known = self.ids_of_piece
         get = lambda p: known[p] if p not in self.special else np.uint32(self.special[p]).tobytes()
         return [b"".join(b"".join(map(known.__getitem__, p)) if len(d) == 1 else b"".join(map(get, p)) for p in d) for d in pieces]
 
@@ -198,7 +208,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     """The rows with their ids, a binary of little-endian unsigned 32-bit
     integers. ``vocabulary``: path of the tokenizer's JSON, read once here."""
     spec = open(vocabulary, encoding="utf-8").read()
-    return _append(df, text, lambda xs: [codec(spec).encode_many([x or "" for x in xs])], f"{ids} binary")
+    return _append(df, text, lambda xs: [[i for part in portions([x or "" for x in xs]) for i in codec(spec).encode_many(part)]], f"{ids} binary")
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -216,8 +226,8 @@ def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     def digests(texts):
         c = codec(spec)
         n, a, b = [], [], []
-        for at in range(0, len(texts), 64):
-            for ids in c.encode_many([x or "" for x in texts[at:at + 64]]):
+        for part in portions([x or "" for x in texts]):
+            for ids in c.encode_many(part):
                 n.append(len(ids) // 4)
                 a.append(sha(ids))
                 b.append(sha(c.decode(ids)))
