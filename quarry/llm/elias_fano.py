@@ -24,6 +24,8 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import struct
 import zlib
 
@@ -33,7 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import column_lists, saved, with_schema
+from quarry.llm.common import column_lists, portions, saved, with_schema
+from quarry.llm.prefix_bpe import byte_alphabet
 from quarry.session import scratch_path
 
 BLOCK_IDS = 1 << 20
@@ -126,13 +129,19 @@ def blocks_in(content: bytes):
 
 
 class PieceEncoder:
-    """Ids by the tokenizers library. Pieces between spaces and line ends are
-    encoded once per worker (white space only separates words in this
-    vocabulary: its normalizer and pattern drop it), then looked up."""
+    """Ids by the tokenizers library. White space only separates words in this
+    vocabulary (its normalizer and pattern drop it), so texts are cut at
+    blanks and line ends, and each distinct piece is encoded once. A piece of
+    Latin-1 letters, then ASCII symbols, is two words under the
+    tokenizer's pattern and needs no normalizer but lower case: its words go
+    to the library's BPE model directly, any other piece to the whole
+    tokenizer. Pieces are kept in two generations of about ``CACHE`` each; one
+    that is used again moves to the younger."""
 
     CACHE = 400_000
 
     def __init__(self, spec: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_str(spec)
@@ -140,19 +149,43 @@ class PieceEncoder:
         self.t.no_padding()
         self.width = 2 if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else 4
         self.end = end_id.to_bytes(self.width, "little")
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@[-`{-~]*)").fullmatch
+        self.printable = {b: c for c, b in byte_alphabet().items()}
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def learn(self, pieces: set[str]) -> None:
+        """Bring all pieces into the younger generation."""
+        if len(self.young) > self.CACHE:
+            self.old, self.young = self.young, {}
+        young, old, model, pack = self.young, self.old, self.t.model.tokenize, self.pack
+        rest = []
+        for p in pieces.difference(young):
+            ids = old.get(p)
+            if ids is None:
+                if m := self.plain(p):
+                    w, marks = m.groups()
+                    w = w.lower()
+                    ids = [x.id for x in model(w if w.isascii() else w.encode().decode("latin-1").translate(self.printable))]
+                    if marks:
+                        ids += [x.id for x in model(marks)]
+                    ids = pack(ids)
+                else:
+                    rest.append(p)
+                    continue
+            young[p] = ids
+        for at in range(0, len(rest), 5_000):
+            part = rest[at:at + 5_000]
+            young.update(zip(part, [pack(e.ids) for e in self.t.encode_batch_fast(part, add_special_tokens=False)]))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         pieces = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(self.known) > self.CACHE:
-            self.known.clear()
-        new = set().union(*pieces) - self.known.keys()
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for p, e in zip(part, self.t.encode_batch(part, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, f"<u{self.width}").tobytes()
-        return [b"".join(map(self.known.__getitem__, p)) + self.end for p in pieces]
+        self.learn(set().union(*pieces))
+        get = self.young.__getitem__
+        return [b"".join(map(get, p)) + self.end for p in pieces]
 
 
 _MADE: dict[str, PieceEncoder] = {}
@@ -178,15 +211,14 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, end_id: int = 2
         task, before, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
         enc = encoder(spec, end_id)
         for ks, ts in column_lists(batches):
-            for at in range(0, len(ks), 64):
-                for k, x in zip(ks[at:at + 64], enc.encode_many(ts[at:at + 64])):
-                    n = len(x) // enc.width
-                    if keys and held + n > BLOCK_IDS:
-                        yield {"block": [block_bytes(task, before, keys, ids, enc.width)]}
-                        before, keys, ids, held = before + held, [], [], 0
-                    keys.append(k)
-                    ids.append(x)
-                    held += n
+            for k, x in zip(ks, (ids for part in portions(ts) for ids in enc.encode_many(part))):
+                n = len(x) // enc.width
+                if keys and held + n > BLOCK_IDS:
+                    yield {"block": [block_bytes(task, before, keys, ids, enc.width)]}
+                    before, keys, ids, held = before + held, [], [], 0
+                keys.append(k)
+                ids.append(x)
+                held += n
         if keys:
             yield {"block": [block_bytes(task, before, keys, ids, enc.width)]}
 
