@@ -6,7 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.llm import learned_partitions, license_scan, line_chunks, mixing, prob_minhash, quality, syncmers, toxicity
 from quarry.llm.common import table
+from quarry.llm.elias_fano import token_files
+from quarry.llm.prefix_bpe import round_trip
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -33,7 +36,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from quarry.llm import mixing  # noqa: E402
+@query("op1_learned_partitions")
+def op1(spark, d):
+    """20 nearest of every 20th vector by inner product."""
+    return learned_partitions.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op2_license_scan", license_scan.oracle_sql())
+def op2(spark, d):
+    """Licence phrases and labels of every document."""
+    return license_scan.scan(table(spark, d, "documents"))
 
 
 @query("op3_mix_sources", mixing.ORACLE)
@@ -43,17 +55,43 @@ def op3(spark, d):
     return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+@query("op4_syncmer_fingerprints")
+def op4(spark, d):
+    """Fingerprints of every document and of its edited text."""
+    return syncmers.fingerprints(table(spark, d, "documents"))
+
+
+@query("op5_quality")
+def op5(spark, d):
+    """Quality score of every document."""
+    return quality.score_documents(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op6_toxicity")
+def op6(spark, d):
+    """Toxicity score of every document."""
+    return toxicity.score_documents(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op7_prob_minhash")
+def op7(spark, d):
+    """Near-duplicate class of every document."""
+    return prob_minhash.near_duplicates(table(spark, d, "documents"))
+
+
 @query("op8_prefix_bpe")
 def op8(spark, d):
     """Byte-level BPE ids and decoded text of every document."""
-    from quarry.llm.prefix_bpe import round_trip
-
     return round_trip(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 @query("op9_elias_fano_ids")
 def op9(spark, d):
     """Token-id files with Elias-Fano boundaries, reported from the files."""
-    from quarry.llm.elias_fano import token_files
-
     return token_files(table(spark, d, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
+@query("op10_line_chunks")
+def op10(spark, d):
+    """Repeated line chunks of every document."""
+    return line_chunks.report(table(spark, d, "documents"))
