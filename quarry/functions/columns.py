@@ -57,6 +57,35 @@ def letter_share(text: Column | str) -> Column:
     return safe_div(letters.cast("double"), F.length(t).cast("double"))
 
 
+def missing(df: DataFrame, name: str) -> Column:
+    """Null, or NaN in a floating column."""
+    c = F.col(name)
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return c.isNull() | F.isnan(c)
+    return c.isNull()
+
+
+def known(df: DataFrame, name: str) -> Column:
+    """The column with NaN turned into null."""
+    return F.when(~missing(df, name), F.col(name))
+
+
+def complete(df: DataFrame, names: list[str]) -> Column:
+    """All named columns have a value. Vector columns count by null only."""
+    out = F.lit(True)
+    for n in names:
+        out = out & ~missing(df, n)
+    return out
+
+
+def require_complete(df: DataFrame, names: list[str]) -> None:
+    """Raise with the columns that have nulls or NaNs (one aggregate)."""
+    r = df.agg(*[F.count_if(missing(df, n)).alias(f"m{i}") for i, n in enumerate(names)]).first()
+    bad = {n: r[f"m{i}"] for i, n in enumerate(names) if r[f"m{i}"]}
+    if bad:
+        raise ValueError(f"features with missing values: {bad}; fill or drop them before training")
+
+
 BROADCAST_ROW_LIMIT = 500_000
 
 

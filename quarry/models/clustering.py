@@ -4,7 +4,7 @@
 * gaussian_mixture MLlib GaussianMixture
 * hierarchical     Ward merge of KMeans micro-clusters (bounded table)
 * dbscan           epsilon-grid cells, neighbour-cell equi-joins, connected
-                   components by min-label propagation (checkpointed rounds)
+                   components by star contraction until nothing changes
 * meanshift        bin seeds, flat-kernel mean shift through cell joins
 Every model exposes ``transform`` -> ``prediction`` (cluster id, -1 = noise)
 and ``feature_cols``.
@@ -22,7 +22,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import materialize, hash_unit
+from quarry.functions.columns import complete, hash_unit, materialize
+from quarry.functions.components import connected_components
 from quarry.functions.stats import sq_dist_literal
 
 SEED = 42
@@ -61,11 +62,16 @@ class MLlibClusterModel:
         self.model, self.feature_cols, self.name = model, features, name
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(df)
+        """Every row comes back; a row with a null or NaN feature belongs to
+        no cluster (null prediction)."""
+        whole = complete(df, self.feature_cols)
+        out = self.model.transform(df.where(whole))
         extra = [F.col("prediction").cast("double").alias("prediction")]
+        rest = [F.lit(None).cast("double").alias("prediction")]
         if "probability" in out.columns:
             extra.append(vector_to_array("probability").alias("probability"))
-        return out.select(*df.columns, *extra)
+            rest.append(F.lit(None).cast("array<double>").alias("probability"))
+        return out.select(*df.columns, *extra).unionByName(df.where(~whole).select(*df.columns, *rest))
 
     def save(self, path: str) -> str:
         self.model.write().overwrite().save(f"{path}/model")
@@ -73,7 +79,7 @@ class MLlibClusterModel:
 
 
 def _assembler(features):
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
 
 
 def fit_kmeans(train: DataFrame, features: list[str], n_clusters: int = 3, n_init: int = 10, max_iter: int = 300,
@@ -172,30 +178,12 @@ def _sqdist(a: str, b: str, d: int) -> Column:
     return e
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100, jumps: int = 1) -> DataFrame:
-    """Min-label propagation with pointer jumping on (id) nodes and
-    undirected (src, dst) edges. A round hooks every node to the smallest
-    label among itself and its neighbours, then follows label -> label of
-    label ``jumps`` times (each jump doubles the plan, so keep it small). Each
-    round is checkpointed (short lineage; a lost executor only replays one
-    round). Returns (id, label) with label = smallest id of the component."""
-    lab = nodes.select("id", F.col("id").alias("label")).transform(materialize)
-    e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    e = e.transform(materialize)
-    for _ in range(max_rounds):
-        nb = e.join(lab.select(F.col("id").alias("dst"), F.col("label").alias("nl")), "dst").groupBy("src").agg(
-            F.min("nl").alias("nl"))
-        new = lab.join(nb.withColumnRenamed("src", "id"), "id", "left").select(
-            "id", F.least(F.col("label"), F.coalesce(F.col("nl"), F.col("label"))).alias("label"))
-        for _ in range(jumps):
-            new = new.join(new.select(F.col("id").alias("label"), F.col("label").alias("ll")), "label", "left").select(
-                "id", F.least(F.col("label"), F.coalesce(F.col("ll"), F.col("label"))).alias("label"))
-        new = new.join(lab.select("id", F.col("label").alias("old")), "id").withColumn(
-            "changed", F.col("label") != F.col("old")).drop("old").transform(materialize)
-        lab = new.drop("changed")
-        if new.where("changed").isEmpty():
-            break
-    return lab
+def components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label) for every node: the smallest id of its component (its own
+    id without edges). Contraction runs until nothing changes."""
+    comp = connected_components(edges, "src", "dst")
+    return nodes.join(comp.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", F.coalesce("component", "id").alias("label"))
 
 
 class DBSCANModel:
@@ -306,7 +294,7 @@ def dbscan(df: DataFrame, key: str, features: list[str], eps: float = 0.5, min_s
     # dense cell to dense cell: decided on sub-cell bounding boxes first
     e2 = _dense_links(pts.where("dense"), d, gd, side, ring, eps)
     nodes = node_of.select(F.col("node").alias("id")).distinct()
-    comp = connected_components(nodes, e1.unionByName(e2))
+    comp = components_of(nodes, e1.unionByName(e2))
     # cluster id = smallest core-point id of the component (node ids are min ids)
     core_lab = node_of.join(comp.select(F.col("id").alias("node"), F.col("label")), "node").select("id", "label")
     # border points: smallest label among core neighbours

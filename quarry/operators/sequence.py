@@ -12,8 +12,7 @@ blocks of ``block`` consecutive positions; each row is copied into every
 block that needs it (its own, the next ones for lags, the previous one for
 leads — the "halo"), the window runs per (series, block), and only home rows
 are kept. Positions come from :func:`quarry.operators.split.dense_index`
-(day, then minute bucket offsets), so no step ever sorts a whole series in one
-task.
+(one range partitioning), so no step ever sorts a whole series in one task.
 """
 
 from __future__ import annotations

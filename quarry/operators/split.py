@@ -1,13 +1,13 @@
 """Splits and folds (§2.6) with exact sizes and no global sort.
 
 Membership is defined by a total order per group: ``md5("seed:key"), key``
-for shuffled splits, ``time, key`` for time splits. A row's segment only
+for shuffled splits (time splits: :func:`split_time`). A row's segment only
 depends on its 1-based rank r in that order and the cut points
 (test: r <= k1, val: r <= k2, train: rest — or train/val/test for time).
 
 Computing every rank would need one task per group (or a full shuffle).
 Instead :func:`rank_segments` works in levels of buckets that follow the same
-order (hash prefixes, or day/minute of the timestamp):
+order (hash prefixes):
 
 1. count rows per (group, bucket) — a small aggregate with map-side combine;
 2. a running sum over that small table gives each bucket's rank range;
@@ -31,7 +31,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import materialize, bounded_broadcast, hash_hex
+from quarry.functions.columns import bounded_broadcast, hash_hex, materialize
+from quarry.functions.positions import ordered_positions
 
 TEST_SIZE = 0.2
 VAL_SIZE = 0.1
@@ -179,10 +180,11 @@ def split_time(
         v = F.floor(t * (F.lit(Decimal(1)) - F.lit(ratio))).cast("bigint")
         return [v, t]
 
-    ts = F.coalesce(F.col(time_col).cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))
-    levels = [F.date_trunc("day", ts), F.date_trunc("minute", ts)]
-    group = F.col(series) if series else None
-    return rank_segments(df, group, levels, [F.col(time_col).asc_nulls_first(), F.col(key)], cuts, ["train", "val", "test"], out_col)
+    cols = df.columns
+    group = F.coalesce(F.col(series).cast("string"), F.lit("\u0000null")) if series else F.lit("")
+    x = ordered_positions(df, [F.col(time_col).asc_nulls_first(), F.col(key)], "__r", group, "__n")
+    v, t = cuts(F.col("__n"))
+    return x.select(*cols, _segment(F.col("__r") + 1, [v, t], ["train", "val", "test"]).alias(out_col))
 
 
 def _one_minus(x: float) -> Column:
@@ -209,26 +211,8 @@ def kfold(df: DataFrame, key: str, k: int = 5, label: str | None = None, seed: i
 
 
 def dense_index(df: DataFrame, time_col: str, key: str, series: str | None = None, out_col: str = "__i") -> DataFrame:
-    """0-based position of each row in (time, key) order within its series.
-
-    Two bucket levels keep every sort small: day offsets per series (running
-    sum over a per-day count table), minute offsets inside each day (running
-    sum over a per-minute count table, partitioned by series and day), then
-    ``row_number`` inside (series, minute). A series with most of its rows on
-    one day is still cut into minutes. Adds ``__g`` (series key) and ``__n``
-    (series length)."""
-    ts = F.coalesce(F.col(time_col).cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))
+    """0-based position of each row in (time, key) order within its series,
+    from one range partitioning (:func:`ordered_positions`); null times come
+    first. Adds ``__g`` (series key) and ``__n`` (series length)."""
     g = F.coalesce(F.col(series).cast("string"), F.lit("\u0000null")) if series else F.lit("")
-    tmp = df.withColumn("__g", g).withColumn("__d", F.date_trunc("day", ts)).withColumn("__m", F.date_trunc("minute", ts))
-    cm = tmp.groupBy("__g", "__d", "__m").agg(F.count(F.lit(1)).alias("__c")).transform(materialize)
-    cd = cm.groupBy("__g", "__d").agg(F.sum("__c").alias("__cd"))
-    w_day = Window.partitionBy("__g").orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
-    cd = cd.select("__g", "__d", F.coalesce(F.sum("__cd").over(w_day), F.lit(0)).alias("__dbefore"),
-                   F.sum("__cd").over(Window.partitionBy("__g")).alias("__n"))
-    w_min = Window.partitionBy("__g", "__d").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
-    cm = cm.select("__g", "__d", "__m", F.coalesce(F.sum("__c").over(w_min), F.lit(0)).alias("__mbefore"))
-    offs = cm.join(cd, ["__g", "__d"]).select("__g", "__m", (F.col("__dbefore") + F.col("__mbefore")).alias("__before"),
-                                              "__n")
-    j = tmp.join(bounded_broadcast(offs), ["__g", "__m"])
-    r = F.row_number().over(Window.partitionBy("__g", "__m").orderBy(F.col(time_col).asc_nulls_first(), F.col(key)))
-    return j.withColumn(out_col, (r - 1 + F.col("__before")).cast("bigint")).drop("__d", "__m", "__before")
+    return ordered_positions(df.withColumn("__g", g), [F.col(time_col).asc_nulls_first(), F.col(key)], out_col, F.col("__g"), "__n")

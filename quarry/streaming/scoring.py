@@ -7,23 +7,25 @@
   where the reference failed a whole chunk.
 * ``score_chunks``: chunk = (position in key order) div chunk_size, with a
   per-chunk progress table (batch_size, ok, failed, processed, progress).
-  Positions come from range-bucket offsets and prefix sums are two-level, so
-  no step sorts all rows or all chunks in one task.
+  Positions come from one range partitioning and prefix sums are two-level,
+  so no step sorts all rows or all chunks in one task. A record without a
+  key is a dead letter and counts in its chunk.
 * ``score_stream``: Structured Streaming from a file source; each micro-batch
-  is scored and written by ``foreachBatch`` (predictions partitioned by
-  batch id, overwrite per batch => replays are idempotent) plus one progress
-  row per batch.
+  is written once, scored and stored by ``foreachBatch`` (one folder per batch
+  id, overwritten => replays are idempotent) plus one progress row per batch;
+  ``stream_progress`` sums them up.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import bounded_broadcast
+from quarry.functions.positions import ordered_positions
+from quarry.operators.encode import decode_label
 from quarry.operators.select import align_scoring_schema
+from quarry.session import saved
 
 
 def score(model, df: DataFrame, feature_names: list[str] | None, keep: list[str] | tuple = ()) -> DataFrame:
@@ -32,8 +34,14 @@ def score(model, df: DataFrame, feature_names: list[str] | None, keep: list[str]
     return model.transform(align_scoring_schema(df, feature_names, keep))
 
 
-def score_batch(model, df: DataFrame, feature_names: list[str] | None, keep: list[str] | tuple = ()) -> DataFrame:
-    return model.transform(align_scoring_schema(df, feature_names, keep))
+def score_batch(model, df: DataFrame, feature_names: list[str] | None, keep: list[str] | tuple = (),
+                dictionary: DataFrame | None = None) -> DataFrame:
+    """Score every record; with a label ``dictionary`` the predicted code is
+    kept as ``prediction_code`` and decoded to ``prediction_label``."""
+    out = model.transform(align_scoring_schema(df, feature_names, keep))
+    if dictionary is None:
+        return out
+    return decode_label(out.withColumn("prediction_code", F.col("prediction").cast("int")), dictionary, "prediction_code", "prediction_label")
 
 
 def validity(df: DataFrame, feature_names: list[str]) -> DataFrame:
@@ -44,9 +52,10 @@ def validity(df: DataFrame, feature_names: list[str]) -> DataFrame:
     return df.withColumn("_missing", missing)
 
 
-def _bad(df: DataFrame) -> F.Column:
-    """A row fails when a trained feature is missing or the record is malformed."""
-    bad = F.size("_missing") > 0
+def _bad(df: DataFrame, key: str) -> F.Column:
+    """A row fails when a trained feature or the key is missing or the record
+    is malformed."""
+    bad = (F.size("_missing") > 0) | F.col(key).isNull()
     if "_corrupt" in df.columns:
         bad = bad | F.col("_corrupt").isNotNull()
     return bad
@@ -55,31 +64,22 @@ def _bad(df: DataFrame) -> F.Column:
 def dead_letter(df: DataFrame, feature_names: list[str], key: str) -> tuple[DataFrame, DataFrame]:
     """(valid rows, error rows ``(key, reason)``)."""
     v = validity(df, feature_names)
-    bad = _bad(df)
+    bad = _bad(df, key)
     ok = v.where(~bad).drop("_missing")
     reason = F.when(F.size("_missing") > 0, F.concat(F.lit("missing features: "), F.array_join("_missing", ", ")))
+    reason = F.coalesce(reason, F.lit("missing key"))
     if "_corrupt" in df.columns:
         reason = F.when(F.col("_corrupt").isNotNull(), F.lit("malformed record")).otherwise(reason)
     errors = v.where(bad).select(key, reason.alias("reason"))
     return ok, errors
 
 
-def key_position(df: DataFrame, key: str, rows_per_bucket: int = 200_000) -> DataFrame:
-    """0-based position in ascending numeric key order: key-range bucket
-    offsets (a count table with one row per bucket) + ``row_number`` within
-    the bucket. The bucket count follows the row count (about
-    ``rows_per_bucket`` rows per bucket for evenly spread keys, at least
-    4,096, at most 2^24), so a window task stays small at any scale."""
-    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi = int(r["lo"] or 0), int(r["hi"] or 0)
-    n_buckets = int(min(1 << 24, max(4096, (r["n"] or 0) // rows_per_bucket)))
-    width = max(1, math.ceil((hi - lo + 1) / n_buckets))
-    x = df.withColumn("__kb", F.floor((F.col(key) - F.lit(lo)) / F.lit(width)))
-    cnt = x.groupBy("__kb").agg(F.count(F.lit(1)).alias("__c"))
-    cnt = prefix_sum(cnt, "__kb", "__c", "__before", inclusive=False)
-    j = x.join(bounded_broadcast(cnt.select("__kb", "__before")), "__kb")
-    rn = F.row_number().over(Window.partitionBy("__kb").orderBy(key))
-    return j.withColumn("position", (rn - 1 + F.col("__before")).cast("bigint")).drop("__kb", "__before")
+def key_position(df: DataFrame, key: str) -> DataFrame:
+    """0-based position in ascending key order. Records without a key come
+    first, ordered by a hash of the whole record, so every record has a
+    position."""
+    content = F.xxhash64(*[F.to_json(F.struct(*[F.col(c) for c in df.columns]))])
+    return ordered_positions(df, [F.col(key).asc_nulls_first(), content], "position")
 
 
 def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str, inclusive: bool = True,
@@ -100,45 +100,63 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str, inclusiv
 
 def score_chunks(model, records: DataFrame, key: str, feature_names: list[str], chunk_size: int = 1000):
     """Returns (scored rows with ``batch_index``, per-chunk progress table)."""
-    pos = key_position(records, key)
+    pos = key_position(records, key)  # written once, so the passes below read it and not their source
     pos = pos.withColumn("batch_index", F.floor(F.col("position") / chunk_size).cast("bigint"))
     ok, errors = dead_letter(pos, feature_names, key)
     scored = model.transform(ok)
-    flags = validity(pos, feature_names).select("batch_index", (~_bad(pos)).alias("_ok"))
+    flags = validity(pos, feature_names).select("batch_index", (~_bad(pos, key)).alias("_ok"))
     chunks = flags.groupBy("batch_index").agg(
         F.count(F.lit(1)).alias("batch_size"), F.count_if("_ok").alias("n_ok"), F.count_if(~F.col("_ok")).alias("n_failed"))
     done = scored.groupBy("batch_index").agg(F.count_if(F.col("prediction").isNotNull()).alias("n_scored"))
     chunks = chunks.join(done, "batch_index", "left").withColumn("n_scored", F.coalesce("n_scored", F.lit(0)).cast("bigint"))
     chunks = prefix_sum(chunks, "batch_index", "n_ok", "processed")
     chunks = prefix_sum(chunks, "batch_index", "batch_size", "__handled")
-    total = int(records.agg(F.count(F.lit(1))).first()[0])
+    total = int(pos.agg(F.count(F.lit(1))).first()[0])
     chunks = chunks.withColumn("total", F.lit(total).cast("bigint")).withColumn(
         "progress", F.least(F.lit(100.0), F.col("__handled") * 100.0 / F.lit(float(max(total, 1))))).drop("__handled")
     return scored, chunks, errors
 
 
 def score_stream(spark: SparkSession, model, source_dir: str, schema, feature_names: list[str], key: str,
-                 sink_dir: str, checkpoint_dir: str, max_files_per_trigger: int = 1) -> dict:
+                 sink_dir: str, checkpoint_dir: str, max_files_per_trigger: int = 1, dictionary: DataFrame | None = None) -> dict:
     """Score files as they arrive; run with ``availableNow`` (processes what
-    is there, then stops). Returns the sink paths."""
+    is there, then stops). With a label ``dictionary`` the predicted codes
+    are decoded too. Returns the sink paths."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
     pred_path, prog_path, err_path = f"{sink_dir}/predictions", f"{sink_dir}/progress", f"{sink_dir}/errors"
 
+    def write(df: DataFrame, path: str, batch_id: int) -> None:
+        """Replace this batch's folder, also by nothing, so a replay leaves
+        exactly its own rows."""
+        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        ok, errors = dead_letter(batch, feature_names, key)
-        scored = model.transform(ok).withColumn("batch_id", F.lit(batch_id))
-        # overwrite this batch's partition only: a replayed batch replaces itself
-        (scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(pred_path))
-        errors.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(err_path)
-        prog = validity(batch, feature_names).agg(
-            F.count(F.lit(1)).alias("batch_size"), F.count_if(_bad(batch)).alias("n_failed"))
-        prog.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(prog_path)
+        # written once: the source of a batch is read by one job only
+        records = saved(batch, "microbatch")
+        ok, errors = dead_letter(records, feature_names, key)
+        scored = model.transform(align_scoring_schema(ok, feature_names, keep=[key]))
+        if dictionary is not None:
+            scored = decode_label(scored.withColumn("prediction_code", F.col("prediction").cast("int")), dictionary,
+                                  "prediction_code", "prediction_label")
+        write(scored, pred_path, batch_id)
+        write(errors, err_path, batch_id)
+        n = validity(records, feature_names).agg(
+            F.count(F.lit(1)).alias("batch_size"), F.coalesce(F.sum(_bad(records, key).cast("long")), F.lit(0)).alias("n_failed"))
+        write(n, prog_path, batch_id)
 
     q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return {"predictions": pred_path, "progress": prog_path, "errors": err_path}
+
+
+def stream_progress(spark: SparkSession, progress_path: str, total: int | None = None) -> DataFrame:
+    """Running progress, one row per micro-batch: ``batch_size, n_failed,
+    processed`` (records so far), ``total`` and ``progress`` in percent;
+    ``total`` defaults to the records seen."""
+    p = spark.read.parquet(progress_path)
+    run = F.sum("batch_size").over(Window.orderBy("batch_id"))  # one row per micro-batch
+    t = F.lit(total).cast("bigint") if total is not None else F.sum("batch_size").over(Window.partitionBy())
+    p = p.select("batch_id", "batch_size", "n_failed", run.alias("processed"), t.alias("total"))
+    return p.withColumn("progress", F.when(F.col("total") > 0, F.least(F.lit(100.0), F.col("processed") * 100.0 / F.col("total"))).otherwise(100.0))
