@@ -9,6 +9,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import require_complete
+from quarry.models.served import read_meta, write_meta
+
 _INTERNAL = ("features", "rff", "rawPrediction")
 
 
@@ -31,15 +34,31 @@ class PipelineFitted:
 
     def save(self, path: str) -> str:
         self.model.write().overwrite().save(f"{path}/model")
+        write_meta(path, {"features": self.feature_cols, "task": self.task, "name": self.name})
         return path
 
+    @classmethod
+    def load(cls, spark, path: str) -> "PipelineFitted":
+        m = read_meta(spark, path)
+        return cls(PipelineModel.load(f"{path}/model"), m["features"], m["task"], m["name"])
+
 
 def fit_model(task: str, name: str, train: DataFrame, features: list[str], params: dict, *, n_classes: int = 2,
               labelled: bool = True, key: str | None = None, series_key: str | None = None,
               time_col: str | None = None, index_col: str = "position", horizon: int = 1,
               contamination: float = 0.1, n_clusters: int = 3):
+    """``train`` needs numeric features without missing values (an error names
+    the columns that have any). With ``horizon`` above 1 the label column is an
+    array and one model is fitted per step."""
     from quarry.models import supervised as S
 
+    if horizon > 1 and task == "timeseries":
+        from quarry.models.forecast import MultiHorizonModel
+
+        return MultiHorizonModel([fit_model(task, name, train.withColumn("label", F.col("label")[i].cast("double")), features, params, key=key,
+                                            series_key=series_key, time_col=time_col, index_col=index_col) for i in range(horizon)])
+    if not (task == "timeseries" and name in ("arima", "prophet")):
+        require_complete(train, features)
     if task == "classification":
         m = S.fit_classifier(train, features, name, params, max(n_classes, 2))
         return PipelineFitted(m, features, task, name)

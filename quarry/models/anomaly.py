@@ -11,7 +11,6 @@ convention is mapped here, quirk Q4).
 
 from __future__ import annotations
 
-import json
 import math
 
 import numpy as np
@@ -20,20 +19,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.columns import materialize, bounded_broadcast, hash_unit
+from quarry.functions.columns import bounded_broadcast, hash_unit, materialize
 from quarry.functions.stats import moments, quadratic_form, quantile
+from quarry.models.served import read_meta, write_meta
 
 SEED = 42
-_DEBUG = False
 EULER_GAMMA = 0.5772156649
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Python-heavy stages need every core: a frame with fewer partitions
-    than the default parallelism (small inputs) is spread round-robin; large
-    inputs already have enough partitions and are left as they are."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    """Python-heavy stages need every core: the rows are dealt round-robin
+    over the shuffle partitions, whatever the input's own partitioning."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def c_factor(m):
@@ -149,10 +146,15 @@ class IsolationForestModel:
     def save(self, path: str) -> str:
         spark = _active()
         spark.createDataFrame(self.nodes, NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/trees")
-        _write_meta(path, {"features": self.feature_cols, "psi": self.psi, "threshold": self.threshold,
+        write_meta(path, {"features": self.feature_cols, "psi": self.psi, "threshold": self.threshold,
                            "n_trees": self.n_trees})
         return path
 
+    @classmethod
+    def load(cls, spark, path: str) -> "IsolationForestModel":
+        m = read_meta(spark, path)
+        return cls(m["features"], spark.read.parquet(f"{path}/trees").toPandas(), m["psi"], m["threshold"], m["n_trees"])
+
 
 def isolation_samples(df: DataFrame, key: str, features: list[str], n: int, n_trees: int, psi: int, seed: int) -> DataFrame:
     """Rows tagged with tree ids: each tree gets ~1.5 psi hash-chosen
@@ -215,13 +217,18 @@ class EnvelopeModel:
         return self.score(df).withColumn("prediction", (F.col("score") > F.lit(self.threshold)).cast("double"))
 
     def save(self, path: str) -> str:
-        _write_meta(path, {"features": self.feature_cols, "mu": self.mu.tolist(), "precision": self.P.tolist(),
+        write_meta(path, {"features": self.feature_cols, "mu": self.mu.tolist(), "precision": self.P.tolist(),
                            "threshold": self.threshold})
         return path
 
+    @classmethod
+    def load(cls, spark, path: str) -> "EnvelopeModel":
+        m = read_meta(spark, path)
+        return cls(m["features"], np.array(m["mu"]), np.array(m["precision"]), m["threshold"])
+
 
 def fit_elliptic_envelope(train: DataFrame, features: list[str], contamination: float = 0.1, robust: bool = True,
-                          max_steps: int = 30, exact_quantile: bool = False) -> EnvelopeModel:
+                          max_steps: int = 500, exact_quantile: bool = True) -> EnvelopeModel:
     """Classical: mean/covariance in one pass. Robust: C-steps — keep the
     h = floor((n+d+1)/2) rows of smallest distance (cut by a quantile of the
     distance), re-estimate, stop when det(cov) stops falling."""
@@ -241,6 +248,8 @@ def fit_elliptic_envelope(train: DataFrame, features: list[str], contamination:
             if not det2 < best * (1 - 1e-9):
                 break
             mu, S, best = mu2, S2, det2
+        else:
+            raise RuntimeError(f"the robust covariance has not settled after {max_steps} steps")
     P = np.linalg.pinv(S)
     m = EnvelopeModel(features, mu, P, 0.0)
     m.threshold = quantile(m.score(x), "score", 1.0 - contamination, exact_quantile)
@@ -265,17 +274,23 @@ def grid_knn(query: DataFrame, data: DataFrame, qkey: str, dkey: str, features:
     overestimates a distance, so nothing closer lies outside); otherwise it
     moves one level coarser. Once a cell is wider than the data's range
     every point is covered, so the loop always ends.
+    A query with a null feature has no neighbours and is not in the result.
     Returns (q, n, dist, rk) with rk = 1..k."""
     gd = min(grid_dims, len(features))
     d = data.select(F.col(dkey).alias("n"), *[F.col(c).cast("double").alias(f"d_{i}") for i, c in enumerate(features)])
     q = query.select(F.col(qkey).alias("q"), *[F.col(c).cast("double").alias(f"q_{i}") for i, c in enumerate(features)])
-    rng = d.agg(*[(F.max(f"d_{i}") - F.min(f"d_{i}")).alias(f"r{i}") for i in range(gd)]).first()
+    rng = d.agg(*[f.alias(f"{n}{i}") for i in range(gd) for n, f in (
+        ("r", F.max(f"d_{i}") - F.min(f"d_{i}")), ("lo", F.min(f"d_{i}")), ("hi", F.max(f"d_{i}")))]).first()
     span = max([float(rng[f"r{i}"] or 0.0) / max(cell[i], 1e-12) for i in range(gd)] + [1.0])
     top_level = int(math.ceil(math.log2(span))) + 1
 
     def cell_at(prefix: str, level: Column) -> list[Column]:
         scale = F.pow(F.lit(2.0), level.cast("double"))
-        return [F.floor(F.col(f"{prefix}_{i}") / (F.lit(cell[i]) * scale)).cast("bigint") for i in range(gd)]
+        at = [F.col(f"{prefix}_{i}") for i in range(gd)]
+        if prefix == "q":  # a query outside the data's range stands at the nearest point of that range:
+            # no data point is nearer to the query than to that point, so its rings cover the query too
+            at = [F.least(F.greatest(c, F.lit(rng[f"lo{i}"])), F.lit(rng[f"hi{i}"])) for i, c in enumerate(at)]
+        return [F.floor(c / (F.lit(cell[i]) * scale)).cast("bigint") for i, c in enumerate(at)]
 
     cnames = [f"__c{i}" for i in range(gd)]
     # start level: finer where the base cell is dense (about 2k points per cell)
@@ -284,7 +299,10 @@ def grid_knn(query: DataFrame, data: DataFrame, qkey: str, dkey: str, features:
         F.log2(F.col("cnt") / F.lit(2.0 * k)) / F.lit(float(gd))))).cast("int")
     q = q.select("*", *[c.alias(n) for c, n in zip(cell_at("q", F.lit(0)), cnames)]).join(
         bounded_broadcast(base.select(*cnames, (-finer).alias("lvl"))), cnames, "left").drop(*cnames)
-    pending = q.withColumn("lvl", F.coalesce(F.col("lvl"), F.lit(0))).transform(materialize)
+    whole = F.lit(True)
+    for i in range(len(features)):
+        whole = whole & F.col(f"q_{i}").isNotNull() & ~F.isnan(F.col(f"q_{i}"))
+    pending = q.where(whole).withColumn("lvl", F.coalesce(F.col("lvl"), F.lit(0))).transform(materialize)
     d2 = None
     for i in range(len(features)):
         t = (F.col(f"q_{i}") - F.col(f"d_{i}")) * (F.col(f"q_{i}") - F.col(f"d_{i}"))
@@ -316,8 +334,6 @@ def grid_knn(query: DataFrame, data: DataFrame, qkey: str, dkey: str, features:
         done = res if done is None else done.unionByName(res)
         resolved = top.where("__ok").select("q").distinct()
         pending = pending.join(resolved, "q", "left_anti").withColumn("lvl", F.col("lvl") + 1).transform(materialize)
-        if _DEBUG:
-            print("knn round", levels, pending.count())
         if pending.isEmpty():
             break
     return done
@@ -353,10 +369,15 @@ class LOFModel:
     def save(self, path: str) -> str:
         self.train_stats.write.mode("overwrite").parquet(f"{path}/lrd")
         self.train_points.write.mode("overwrite").parquet(f"{path}/points")
-        _write_meta(path, {"features": self.feature_cols, "key": self.key, "k": self.k, "cells": self.cells,
+        write_meta(path, {"features": self.feature_cols, "key": self.key, "k": self.k, "cells": self.cells,
                            "threshold": self.threshold})
         return path
 
+    @classmethod
+    def load(cls, spark, path: str) -> "LOFModel":
+        m = read_meta(spark, path)
+        return cls(m["features"], m["key"], spark.read.parquet(f"{path}/lrd"), spark.read.parquet(f"{path}/points"), m["k"], m["cells"], m["threshold"])
+
 
 def _lof_from_knn(nn: DataFrame, stats: DataFrame) -> DataFrame:
     """nn (q, n, dist) + training (n, kdist, lrd) -> (q, lrd, score=LOF)."""
@@ -414,19 +435,31 @@ class OneClassModel:
 
     def save(self, path: str) -> str:
         self.rff.write().overwrite().save(f"{path}/rff")
-        _write_meta(path, {"features": self.feature_cols, "w": list(map(float, self.w)), "rho": self.rho})
+        write_meta(path, {"features": self.feature_cols, "w": list(map(float, self.w)), "rho": self.rho})
         return path
 
+    @classmethod
+    def load(cls, spark, path: str) -> "OneClassModel":
+        from quarry.models.supervised import RandomFourierFeatures
+
+        m = read_meta(spark, path)
+        return cls(m["features"], RandomFourierFeatures.load(f"{path}/rff"), m["w"], m["rho"])
+
 
 def fit_one_class_svm(train: DataFrame, features: list[str], nu: float = 0.1, gamma="auto", n_components: int = 100,
-                      steps: int = 60, lr: float = 0.5, seed: int = SEED, **_) -> OneClassModel:
-    """min 1/2|w|^2 - rho + mean(max(0, rho - w.z))/nu by full-batch
-    subgradient steps over the checkpointed random-feature table. A step is
-    one ``mapInPandas`` pass (numpy on Arrow batches) returning per-batch
-    partial sums of the violating rows' features — a few rows per partition
-    reach the driver, the data never does."""
+                      steps: int = 500, tol: float = 1e-2, seed: int = SEED, **_) -> OneClassModel:
+    """min 1/2|w|^2 - rho + mean(max(0, rho - w.z))/nu over random features.
+
+    For a given rho the optimum is a fixed point: w is the mean feature vector
+    of the violating rows (those below rho), and rho the nu-quantile of w.z.
+    Steps move w towards that mean by averaging (weights 2/(step + 2)) until
+    it moves less than ``tol`` of its length; then rho is the exact
+    nu-quantile, so the share of flagged training rows is nu. A step is one
+    pass with sums on the executors: one row reaches the driver. No
+    convergence within ``steps`` is an error."""
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
     from quarry.models.supervised import feature_variance, rff_stage
 
@@ -436,32 +469,29 @@ def fit_one_class_svm(train: DataFrame, features: list[str], nu: float = 0.1, ga
     else:
         g = float(gamma)
     stage = rff_stage(d, n_components, g, seed)
-    v = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(train.select(*features))
-    z = spread(stage.transform(v).select(vector_to_array("rff").alias("z"))).transform(materialize)
-    n = z.count()
-    D = n_components
-    w = np.zeros(D)
-    rho = 0.0
-    schema = "nv long, g array<double>"
-    for step in range(steps):
-        w_now, rho_now = w.copy(), rho
+    v = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(train.select(*features))
+    z = stage.transform(v).select(vector_to_array("rff").alias("z")).transform(materialize)
 
-        def partial(batches, w_now=w_now, rho_now=rho_now):
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                Z = np.stack(pdf["z"].to_numpy())
-                viol = (rho_now - Z @ w_now) > 0
-                yield pd.DataFrame({"nv": [int(viol.sum())], "g": [Z[viol].sum(axis=0).tolist()]})
-
-        parts = z.mapInPandas(partial, schema).collect()  # one row per Arrow batch
-        nv = sum(r["nv"] for r in parts)
-        gz = np.sum([np.asarray(r["g"]) for r in parts], axis=0) if parts else np.zeros(D)
-        gw = w - gz / (nu * n)
-        grho = -1.0 + nv / (nu * n)
-        eta = lr / math.sqrt(step + 1)
-        w = w - eta * gw
-        rho = rho - eta * grho
+    def margin(w) -> Column:
+        return F.aggregate(F.zip_with("z", F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+
+    def mean_of(rows: DataFrame) -> np.ndarray:
+        r = rows.select(array_to_vector("z").alias("v")).agg(Summarizer.mean(F.col("v")).alias("m")).first()["m"]
+        return r.toArray()
+
+    w = mean_of(z)
+    for step in range(steps):
+        m = z.withColumn("m", margin(w))
+        rho = quantile(m, "m", nu, exact=False)
+        target = mean_of(m.where(F.col("m") <= F.lit(rho)))
+        new = w + (target - w) * 2.0 / (step + 3.0)
+        moved = float(np.linalg.norm(new - w)) / max(1e-12, float(np.linalg.norm(w)))
+        w = new
+        if moved < tol:
+            break
+    else:
+        raise RuntimeError(f"the one-class objective has not settled after {steps} steps (last move {moved:.2g}, tolerance {tol:g})")
+    rho = quantile(z.withColumn("m", margin(w)), "m", nu, exact=True)
     return OneClassModel(features, stage, w, float(rho))
 
 
@@ -477,8 +507,9 @@ def fit_anomaly(name: str, train: DataFrame, features: list[str], params: dict,
     if name == "local_outlier_factor":
         return fit_lof(train, features, key, int(p.get("n_neighbors", 20)), c)
     if name == "one_class_svm":
-        return fit_one_class_svm(train, features, float(p.get("nu", 0.1)), p.get("gamma", "auto"),
-                                 steps=int(p.get("steps", 60)))
+        if p.get("kernel", "rbf") != "rbf":
+            raise ValueError(f"kernel {p['kernel']!r} is not supported for one_class_svm; only rbf is")
+        return fit_one_class_svm(train, features, float(p.get("nu", 0.1)), p.get("gamma", "auto"))
     raise ValueError(f"unknown anomaly model {name!r}")
 
 
@@ -486,8 +517,3 @@ def _active():
     from pyspark.sql import SparkSession
 
     return SparkSession.getActiveSession()
-
-
-def _write_meta(path: str, meta: dict) -> None:
-    spark = _active()
-    spark.createDataFrame([(json.dumps(meta, default=float),)], "meta string").write.mode("overwrite").text(f"{path}/meta")

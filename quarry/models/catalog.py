@@ -27,7 +27,7 @@ CATALOG: dict[str, dict[str, dict]] = {
     },
     "timeseries": {
         "random_forest": {"n_estimators": 300, "max_depth": 10},
-        "xgboost": {"n_estimators": 200, "max_depth": 5, "learning_rate": 0.05},
+        "xgboost": {"n_estimators": 200, "max_depth": 5, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.8},
         "lightgbm": {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 5},
         "gradient_boosting": {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 4},
         "linear_regression": {},
@@ -51,21 +51,6 @@ CATALOG: dict[str, dict[str, dict]] = {
     },
 }
 
-# --- fixed values: declared grids of the second, smaller catalogue ---------
-GRIDS: dict[str, dict[str, dict[str, list]]] = {
-    "classification": {
-        "logistic_regression": {"C": [0.1, 1.0, 10.0]},
-        "svm": {"C": [0.5, 1.0, 2.0], "gamma": ["scale", "auto"]},
-        "random_forest": {"n_estimators": [200, 300, 500], "max_depth": [8, 12, 16]},
-        "gradient_boosting": {"n_estimators": [200, 300], "learning_rate": [0.03, 0.05]},
-    },
-    "regression": {
-        "ridge": {"alpha": [0.1, 1.0, 10.0]},
-        "lasso": {"alpha": [0.0005, 0.001, 0.01]},
-        "random_forest": {"n_estimators": [300, 400, 600], "max_depth": [10, 14, 18]},
-    },
-}
-
 # Reference name -> MLlib name, per estimator family.
 PARAM_NAMES = {
     "forest": {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode",
@@ -76,6 +61,7 @@ PARAM_NAMES = {
 }
 
 DEFAULT_MODEL_COUNT = 3
+MAX_DEPTH = 30
 SEED = 42
 
 
@@ -102,6 +88,18 @@ def validate_models(task: str, names: list[str] | None, overrides: dict | None =
     return {"valid": valid, "invalid": invalid}
 
 
+FAMILY = {"random_forest": "forest", "random_forest_supervised": "forest", "gradient_boosting": "boost", "xgboost": "boost",
+          "lightgbm": "boost", "xgboost_supervised": "boost"}
+
+
+def ignored_params(name: str, params: dict) -> list[str]:
+    """Parameters of a tree ensemble that MLlib has no counterpart for."""
+    if name not in FAMILY:
+        return []
+    own = {"class_weight", "scale_pos_weight", "contamination"}
+    return sorted(k for k in params if k not in PARAM_NAMES[FAMILY[name]] and k not in own)
+
+
 def mllib_params(family: str, params: dict) -> tuple[dict, dict]:
     """Map reference params to MLlib ones; return (mapped, dropped)."""
     names = PARAM_NAMES[family]
@@ -112,7 +110,9 @@ def mllib_params(family: str, params: dict) -> tuple[dict, dict]:
             if tgt == "featureSubsetStrategy":
                 v = {"sqrt": "sqrt", "log2": "log2", None: "all", "all": "all"}.get(v, str(v))
             if tgt == "maxDepth":
-                v = min(int(v), 30)
+                v = int(v)
+                if v > MAX_DEPTH:
+                    raise ValueError(f"max_depth {v} is above {MAX_DEPTH}, the deepest tree MLlib builds")
             if tgt in ("numTrees", "maxIter", "minInstancesPerNode"):
                 v = int(v)
             mapped[tgt] = v

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import complete, hash_unit, materialize
 from quarry.functions.components import connected_components
 from quarry.functions.stats import sq_dist_literal
+from quarry.models.served import read_meta, write_meta
 
 SEED = 42
 
@@ -50,12 +51,15 @@ class CentroidModel:
         return df.withColumn("prediction", idx.cast("double"))
 
     def save(self, path: str) -> str:
-        from quarry.models.anomaly import _write_meta
-
-        _write_meta(path, {"features": self.feature_cols, "centers": self.centers.tolist(),
-                           "labels": None if self.labels is None else list(map(int, self.labels))})
+        write_meta(path, {"features": self.feature_cols, "centers": self.centers.tolist(),
+                           "labels": None if self.labels is None else list(map(int, self.labels)), "name": self.name})
         return path
 
+    @classmethod
+    def load(cls, spark, path: str) -> "CentroidModel":
+        m = read_meta(spark, path)
+        return cls(m["features"], m["centers"], m["labels"], m["name"])
+
 
 class MLlibClusterModel:
     def __init__(self, model, features, name):
@@ -75,8 +79,16 @@ class MLlibClusterModel:
 
     def save(self, path: str) -> str:
         self.model.write().overwrite().save(f"{path}/model")
+        write_meta(path, {"features": self.feature_cols, "name": self.name})
         return path
 
+    @classmethod
+    def load(cls, spark, path: str) -> "MLlibClusterModel":
+        from pyspark.ml import PipelineModel
+
+        m = read_meta(spark, path)
+        return cls(PipelineModel.load(f"{path}/model"), m["features"], m["name"])
+
 
 def _assembler(features):
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
@@ -151,7 +163,9 @@ def fit_hierarchical(train: DataFrame, features: list[str], n_clusters: int = 3,
                                                        featuresCol="features")]).fit(train)
     model = km.stages[-1]
     centers = np.array([c for c in model.clusterCenters()])
-    sizes = np.array(model.summary.clusterSizes, dtype=float)
+    counts = km.transform(train.select(*features)).groupBy("prediction").count().collect()  # at most n_micro rows
+    sizes = np.zeros(len(centers))
+    sizes[[r["prediction"] for r in counts]] = [r["count"] for r in counts]
     keep = sizes > 0
     labels = ward_merge(centers[keep], sizes[keep], int(n_clusters))
     return CentroidModel(features, centers[keep], labels, "hierarchical")
@@ -206,12 +220,15 @@ class DBSCANModel:
 
     def save(self, path: str) -> str:
         self.core.write.mode("overwrite").parquet(f"{path}/core")
-        from quarry.models.anomaly import _write_meta
-
-        _write_meta(path, {"features": self.feature_cols, "key": self.key, "eps": self.eps, "side": self.side,
+        write_meta(path, {"features": self.feature_cols, "key": self.key, "eps": self.eps, "side": self.side,
                            "gd": self.gd})
         return path
 
+    @classmethod
+    def load(cls, spark, path: str) -> "DBSCANModel":
+        m = read_meta(spark, path)
+        return cls(m["features"], m["key"], spark.read.parquet(f"{path}/core"), m["eps"], m["side"], m["gd"])
+
 
 def _dense_links(dense_pts: DataFrame, d: int, gd: int, side: float, ring: int, eps: float, m: int = 4) -> DataFrame:
     """Links (src, dst) between adjacent dense cells (all their points are
@@ -360,6 +377,8 @@ def fit_meanshift(train: DataFrame, features: list[str], key: str, bandwidth: fl
         seeds = new.transform(materialize)
         if shift is None or math.sqrt(shift) < 1e-3 * bw:
             break
+    else:
+        raise RuntimeError(f"mean shift has not settled after {max_iter} iterations")
     # converged seeds sit on a few modes: collapse them on a fine grid
     # (bw / 1000) before anything reaches the driver
     snap = [F.round(F.col(f"s{i}") / F.lit(bw / 1000.0)) for i in range(d)]
@@ -420,10 +439,10 @@ def fit_clustering(name: str, train: DataFrame, features: list[str], params: dic
     if name == "gaussian_mixture":
         return fit_gmm(train, features, int(p.get("n_components", n_clusters)))
     if name == "hierarchical":
-        return fit_hierarchical(train, features, int(p.get("n_clusters", n_clusters)))
+        return fit_hierarchical(train, features, int(p.get("n_clusters", n_clusters)), int(p.get("n_micro", 200)))
     if name == "dbscan":
         return fit_dbscan(train, features, key, float(p.get("eps", 0.5)), int(p.get("min_samples", 5)))
     if name == "meanshift":
-        return fit_meanshift(train, features, key, p.get("bandwidth"))
+        return fit_meanshift(train, features, key, p.get("bandwidth"), int(p.get("max_iter", 300)))
     raise ValueError(f"unknown clustering model {name!r}")
 

@@ -7,7 +7,8 @@ forecast_ar  ARIMA(1,1,1) without constant by two-stage least squares
              h steps from the end of training in closed form.
 forecast_trend_seasonal  piecewise-linear trend with hinge changepoints and
              Fourier seasonality on the real time column (Taylor & Letham
-             2018), multiplicative via log(y) when y > 0; ridge per series.
+             2018), multiplicative via log(y) for series of positive values; ridge on
+hinges and seasons per series.
 
 Regressions are solved from grouped moment aggregates (one row per series
 of fixed size), so no series is ever gathered in one task.
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import materialize
+from quarry.models.served import read_meta, write_meta
 from quarry.operators.sequence import indexed_window
 
 SERIES = "__series"
@@ -32,9 +34,9 @@ def _series(df: DataFrame, series_key: str | None) -> DataFrame:
     return df.withColumn(SERIES, F.col(series_key).cast("string") if series_key else F.lit(""))
 
 
-def solve_grouped(df: DataFrame, xs: list[Column], y: Column, ridge: float = 0.0, group: str = SERIES) -> DataFrame:
+def solve_grouped(df: DataFrame, xs: list[Column], y: Column, ridge: float | list[float] = 0.0, group: str = SERIES) -> DataFrame:
     """Least squares per group from X'X and X'y sums: returns (group, coef
-    array). Each row contributes one vector of moment products; MLlib's
+    array); ``ridge`` is one penalty or one per column. Each row contributes one vector of moment products; MLlib's
     ``Summarizer`` sums them per group (one JVM aggregate, partial sums on
     the map side), so a group is one fixed-size row however long it is; the
     small systems are solved with numpy inside ``applyInPandas``."""
@@ -54,7 +56,7 @@ def solve_grouped(df: DataFrame, xs: list[Column], y: Column, ridge: float = 0.0
             m = np.asarray(m, dtype=float)
             A = np.zeros((p, p))
             A[iu] = m[: len(iu[0])]
-            A = A + np.triu(A, 1).T + ridge * np.eye(p)
+            A = A + np.triu(A, 1).T + np.diag(np.broadcast_to(np.asarray(ridge, dtype=float), p))
             b = m[len(iu[0]):]
             out.append((g, [float(c) for c in np.linalg.lstsq(A, b, rcond=None)[0]]))
         return pd.DataFrame(out, columns=[group, "coef"])
@@ -70,104 +72,150 @@ class ARForecastModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         x = _series(df, self.series_key).join(self.state, SERIES, "left")
-        j = (F.col(self.index_col) - F.col("T")).cast("double")
-        phi, theta = F.col("phi"), F.col("theta")
-        d1 = phi * F.col("dy_T") + theta * F.col("e_T")
+        j = (F.col(self.index_col) - F.col("__f_t")).cast("double")
+        phi, theta = F.col("__f_phi"), F.col("__f_theta")
+        d1 = phi * F.col("__f_dy") + theta * F.col("__f_e")
         geo = F.when(F.abs(1 - phi) < 1e-9, j).otherwise((1 - F.pow(phi, j)) / (1 - phi))
-        pred = F.col("y_T") + d1 * geo
-        return x.withColumn("prediction", pred).drop(SERIES, "T", "phi", "theta", "dy_T", "e_T", "y_T")
+        return x.withColumn("prediction", F.col("__f_y") + d1 * geo).select(*df.columns, "prediction")
 
     def save(self, path: str) -> str:
         self.state.write.mode("overwrite").parquet(f"{path}/state")
+        write_meta(path, {"index": self.index_col, "series": self.series_key})
         return path
 
+    @classmethod
+    def load(cls, spark, path: str) -> "ARForecastModel":
+        m = read_meta(spark, path)
+        return cls(spark.read.parquet(f"{path}/state"), m["index"], m["series"])
+
+
+class MultiHorizonModel:
+    """One fitted model per step ahead; ``prediction`` is the array of their
+    predictions."""
+
+    def __init__(self, steps: list):
+        self.steps = steps
+        self.feature_cols = getattr(steps[0], "feature_cols", [])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = df
+        for i, m in enumerate(self.steps):
+            out = m.transform(out).withColumnRenamed("prediction", f"__f_step{i}")
+            out = out.select(*df.columns, *[f"__f_step{k}" for k in range(i + 1)])
+        return out.select(*df.columns, F.array(*[f"__f_step{i}" for i in range(len(self.steps))]).alias("prediction"))
+
+    def save(self, path: str) -> str:
+        for i, m in enumerate(self.steps):
+            m.save(f"{path}/step{i}")
+        write_meta(path, {"steps": len(self.steps), "kind": type(self.steps[0]).__name__})
+        return path
+
+    @classmethod
+    def load(cls, spark, path: str) -> "MultiHorizonModel":
+        from quarry.models import PipelineFitted
+
+        m = read_meta(spark, path)
+        kind = {c.__name__: c for c in (PipelineFitted, ARForecastModel, TrendSeasonalModel)}[m["kind"]]
+        return cls([kind.load(spark, f"{path}/step{i}") for i in range(m["steps"])])
+
 
 def fit_forecast_ar(train: DataFrame, label: str, index_col: str, series_key: str | None, params: dict,
                     long_order: int = 3) -> ARForecastModel:
-    """ARIMA(1,1,1), trend 'n' (no constant, as for d = 1)."""
+    """ARIMA(1,1,1), trend 'n' (no constant, as for d = 1). Other orders and
+    seasonal orders are refused."""
+    if tuple(params.get("order", (1, 1, 1))) != (1, 1, 1):
+        raise ValueError(f"order {params['order']!r} is not supported; only (1, 1, 1) is")
+    if any(params.get("seasonal_order") or ()):
+        raise ValueError("a seasonal order is not supported; use the trend and seasonality model")
+    train = train.select(*([F.col(series_key)] if series_key else []), F.col(index_col).alias("__f_i"), F.col(label).cast("double").alias("__f_l"))
+    state_index, index_col, label = index_col, "__f_i", "__f_l"
     x = _series(train.select(*([series_key] if series_key else []), index_col, label), series_key)
-    x = indexed_window(x, index_col, SERIES, {"__y1": (label, 1)}).withColumn("dy", F.col(label) - F.col("__y1"))
-    specs = {f"dy_l{k}": ("dy", k) for k in range(1, long_order + 1)}
+    x = indexed_window(x, index_col, SERIES, {"__f_y1": (label, 1)}).withColumn("__f_dy", F.col(label) - F.col("__f_y1"))
+    specs = {f"__f_dy{k}": ("__f_dy", k) for k in range(1, long_order + 1)}
     x = indexed_window(x, index_col, SERIES, specs).transform(materialize)
-    full = x.where(F.col(f"dy_l{long_order}").isNotNull())
-    c1 = solve_grouped(full, [F.col(f"dy_l{k}") for k in range(1, long_order + 1)], F.col("dy"))
-    fit1 = sum(F.col("coef")[k - 1] * F.col(f"dy_l{k}") for k in range(1, long_order + 1))
-    r = x.join(c1, SERIES, "left").withColumn("e", F.col("dy") - fit1).drop("coef")
-    r = indexed_window(r, index_col, SERIES, {"e_l1": ("e", 1)}).transform(materialize)
-    stage2 = r.where(F.col("e_l1").isNotNull() & F.col("dy_l1").isNotNull())
-    c2 = solve_grouped(stage2, [F.col("dy_l1"), F.col("e_l1")], F.col("dy"))
+    full = x.where(F.col(f"__f_dy{long_order}").isNotNull())
+    c1 = solve_grouped(full, [F.col(f"__f_dy{k}") for k in range(1, long_order + 1)], F.col("__f_dy"))
+    fit1 = sum(F.col("coef")[k - 1] * F.col(f"__f_dy{k}") for k in range(1, long_order + 1))
+    r = x.join(c1, SERIES, "left").withColumn("__f_e", F.col("__f_dy") - fit1).drop("coef")
+    r = indexed_window(r, index_col, SERIES, {"__f_e1": ("__f_e", 1)}).transform(materialize)
+    stage2 = r.where(F.col("__f_e1").isNotNull() & F.col("__f_dy1").isNotNull())
+    c2 = solve_grouped(stage2, [F.col("__f_dy1"), F.col("__f_e1")], F.col("__f_dy"))
     last = r.groupBy(SERIES).agg(
-        F.max(index_col).alias("T"),
-        F.max_by(F.struct(F.col(label).alias("y_T"), F.col("dy").alias("dy_T"), F.col("e").alias("e_T")),
-                 F.col(index_col)).alias("s"),
-    ).select(SERIES, "T", "s.*")
+        F.max(index_col).alias("__f_t"),
+        F.max_by(F.struct(F.col(label).alias("__f_y"), F.col("__f_dy"), F.col("__f_e")), F.col(index_col)).alias("s"),
+    ).select(SERIES, "__f_t", "s.*")
     state = last.join(c2, SERIES, "left").select(
-        SERIES, "T", F.coalesce(F.col("coef")[0], F.lit(0.0)).alias("phi"),
-        F.coalesce(F.col("coef")[1], F.lit(0.0)).alias("theta"),
-        F.col("y_T").cast("double").alias("y_T"), F.coalesce(F.col("dy_T"), F.lit(0.0)).alias("dy_T"),
-        F.coalesce(F.col("e_T"), F.lit(0.0)).alias("e_T"),
+        SERIES, "__f_t", F.coalesce(F.col("coef")[0], F.lit(0.0)).alias("__f_phi"),
+        F.coalesce(F.col("coef")[1], F.lit(0.0)).alias("__f_theta"), "__f_y",
+        F.coalesce(F.col("__f_dy"), F.lit(0.0)).alias("__f_dy"), F.coalesce(F.col("__f_e"), F.lit(0.0)).alias("__f_e"),
     ).transform(materialize)
-    return ARForecastModel(state, index_col, series_key)
+    return ARForecastModel(state, state_index, series_key)
 
 
 # ----------------------------------------------------------------- trend + seasonality
 DAY = 86400.0
 
 
-def _design(time_col: str, n_cp: int, seasons: list[tuple[float, int]]) -> list[Column]:
+def _design(time_col: str, n_cp: int, seasons: list[tuple[float, int, float]]) -> list[Column]:
     """Columns: 1, t, hinges max(0, t - c_j) over the first 80 % of the range,
-    then sin/cos pairs for each (period_days, order)."""
+    then sin/cos pairs for each (period_days, order, least span in days)."""
     secs = F.unix_micros(F.col(time_col).cast("timestamp")).cast("double") / 1e6
-    t = (secs - F.col("__tmin")) / F.greatest(F.col("__tmax") - F.col("__tmin"), F.lit(1e-9))
+    span = F.col("__tmax") - F.col("__tmin")
+    t = (secs - F.col("__tmin")) / F.greatest(span, F.lit(1e-9))
     cols = [F.lit(1.0), t]
     for j in range(1, n_cp + 1):
         cols.append(F.greatest(t - F.lit(0.8 * j / (n_cp + 1)), F.lit(0.0)))
     days = secs / DAY
-    for period, order in seasons:
+    for period, order, least in seasons:
+        on = span >= least * DAY  # a season takes part in a series that is long enough
         for k in range(1, order + 1):
             arg = F.lit(2 * math.pi * k / period) * days
-            cols += [F.sin(arg), F.cos(arg)]
+            cols += [F.when(on, F.sin(arg)).otherwise(0.0), F.when(on, F.cos(arg)).otherwise(0.0)]
     return cols
 
 
+SEASONS = [(365.25, 10, 730.0), (7.0, 3, 14.0), (1.0, 4, 2.0)]
+
+
 class TrendSeasonalModel:
-    def __init__(self, coefs: DataFrame, ranges: DataFrame, time_col: str, series_key: str | None, n_cp: int,
-                 seasons: list, multiplicative: bool):
-        self.coefs, self.ranges, self.time_col, self.series_key = coefs, ranges, time_col, series_key
-        self.n_cp, self.seasons, self.multiplicative = n_cp, seasons, multiplicative
+    def __init__(self, coefs: DataFrame, time_col: str, series_key: str | None, n_cp: int, seasons: list):
+        self.coefs, self.time_col, self.series_key, self.n_cp, self.seasons = coefs, time_col, series_key, n_cp, seasons
 
     def transform(self, df: DataFrame) -> DataFrame:
-        x = _series(df, self.series_key).join(self.ranges, SERIES, "left").join(self.coefs, SERIES, "left")
+        x = _series(df, self.series_key).join(self.coefs, SERIES, "left")
         cols = _design(self.time_col, self.n_cp, self.seasons)
         xs = F.array(*[c.cast("double") for c in cols])
-        dot = F.aggregate(F.zip_with(F.col("coef"), xs, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        pred = F.exp(dot) if self.multiplicative else dot
-        return x.withColumn("prediction", pred).drop(SERIES, "__tmin", "__tmax", "coef")
+        dot = F.aggregate(F.zip_with(F.col("__f_coef"), xs, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        return x.withColumn("prediction", F.when(F.col("__f_log"), F.exp(dot)).otherwise(dot)).select(*df.columns, "prediction")
 
     def save(self, path: str) -> str:
-        self.coefs.join(self.ranges, SERIES).write.mode("overwrite").parquet(f"{path}/coefs")
+        self.coefs.write.mode("overwrite").parquet(f"{path}/coefs")
+        write_meta(path, {"time": self.time_col, "series": self.series_key, "changepoints": self.n_cp, "seasons": self.seasons})
         return path
 
+    @classmethod
+    def load(cls, spark, path: str) -> "TrendSeasonalModel":
+        m = read_meta(spark, path)
+        return cls(spark.read.parquet(f"{path}/coefs"), m["time"], m["series"], m["changepoints"], [tuple(s) for s in m["seasons"]])
+
 
 def fit_forecast_trend_seasonal(train: DataFrame, label: str, time_col: str, series_key: str | None, params: dict,
                                 n_changepoints: int = 25, ridge: float = 1.0) -> TrendSeasonalModel:
+    """Ridge on hinges and seasons only: intercept and slope are free, so a
+    constant or linear series is met exactly. Seasons and the multiplicative
+    mode (log scale, for a series of positive values) are decided per series."""
     mode = params.get("seasonality_mode", "multiplicative")
+    if mode not in ("multiplicative", "additive"):
+        raise ValueError(f"unknown seasonality_mode {mode!r}")
     n_cp = int(params.get("n_changepoints", n_changepoints))
-    x = _series(train, series_key)
     secs = F.unix_micros(F.col(time_col).cast("timestamp")).cast("double") / 1e6
-    rng = x.groupBy(SERIES).agg(F.min(secs).alias("__tmin"), F.max(secs).alias("__tmax"))
-    overall = x.agg(F.min(secs).alias("lo"), F.max(secs).alias("hi"), F.min(label).alias("ymin"),
-                    F.avg(F.col(time_col).isNotNull().cast("double")).alias("_")).first()
-    span_days = ((overall["hi"] or 0) - (overall["lo"] or 0)) / DAY
-    seasons = []
-    if span_days >= 730:
-        seasons.append((365.25, 10))
-    if span_days >= 14:
-        seasons.append((7.0, 3))
-    if span_days >= 2:
-        seasons.append((1.0, 4))
-    multiplicative = mode == "multiplicative" and (overall["ymin"] is not None and overall["ymin"] > 0)
-    y = F.log(F.col(label)) if multiplicative else F.col(label).cast("double")
-    xx = x.join(rng, SERIES)
-    coefs = solve_grouped(xx, [c.cast("double") for c in _design(time_col, n_cp, seasons)], y, ridge=ridge).transform(materialize)
-    return TrendSeasonalModel(coefs, rng.transform(materialize), time_col, series_key, n_cp, seasons, multiplicative)
+    x = _series(train, series_key).where(F.col(label).isNotNull() & F.col(time_col).isNotNull())
+    rng = x.groupBy(SERIES).agg(F.min(secs).alias("__tmin"), F.max(secs).alias("__tmax"),
+                                (F.lit(mode == "multiplicative") & (F.min(label) > 0)).alias("__f_log")).transform(materialize)
+    span = rng.agg(F.max(F.col("__tmax") - F.col("__tmin"))).first()[0] or 0.0
+    seasons = [s for s in SEASONS if span >= s[2] * DAY]
+    y = F.when(F.col("__f_log"), F.log(F.col(label))).otherwise(F.col(label).cast("double"))
+    design = _design(time_col, n_cp, seasons)
+    penalty = [0.0, 0.0] + [ridge] * (len(design) - 2)
+    coefs = solve_grouped(x.join(rng, SERIES), [c.cast("double") for c in design], y, ridge=penalty)
+    return TrendSeasonalModel(coefs.withColumnRenamed("coef", "__f_coef").join(rng, SERIES).transform(materialize), time_col, series_key, n_cp, seasons)

@@ -1,9 +1,9 @@
 """Supervised estimators as MLlib pipelines (§2.7, classification /
 regression / lag-based time series / supervised anomaly).
 
-Pipeline = StringIndexer (sorted codes, unseen -> extra code) -> ordinal cast
-(codes are plain numbers, as a label encoder gives) -> VectorAssembler ->
-[random Fourier features] -> estimator. Penalties follow the probed mapping
+Pipeline = VectorAssembler over numeric features (text is encoded to ordinal
+codes before, by one dictionary for training and serving) -> [kernel
+features] -> estimator. Penalties follow the probed mapping
 onto MLlib's averaged loss: logistic ``regParam = 1/(C n)``, ridge
 ``alpha * std_pop(y) / n`` with the normal solver, lasso ``alpha``, all with
 ``standardization=False``.
@@ -11,6 +11,7 @@ onto MLlib's averaged loss: logistic ``regParam = 1/(C n)``, ridge
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.ml.classification import (
 )
 from pyspark import keyword_only
 from pyspark.ml import Transformer
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -36,21 +37,41 @@ LABEL = "label"
 
 
 def feature_stages(df: DataFrame, features: list[str], handle_invalid: str = "keep") -> list:
-    """Encoders + assembler. String columns get sorted codes; the codes are
-    re-emitted as plain doubles so trees treat them as ordinal numbers."""
+    """Assembler of numeric features. Text is encoded before (training and
+    serving share one dictionary, see ``quarry.models.served``)."""
     from quarry.functions.columns import categorical_columns
 
-    cats = [c for c in categorical_columns(df.select(*features))]
-    stages = []
-    if cats:
-        stages.append(StringIndexer(inputCols=cats, outputCols=[f"{c}__idx" for c in cats],
-                                    stringOrderType="alphabetAsc", handleInvalid=handle_invalid))
-        ords = ", ".join(f"(`{c}__idx` + 0.0) AS `{c}__ord`" for c in cats)
-        stages.append(SQLTransformer(statement=f"SELECT *, {ords} FROM __THIS__"))
-    cols = [f"{c}__ord" if c in cats else c for c in features]
-    stages.append(VectorAssembler(inputCols=cols, outputCol=FEATURES,
-                                  handleInvalid="keep" if handle_invalid == "keep" else "error"))
-    return stages
+    if cats := categorical_columns(df.select(*features)):
+        raise ValueError(f"encode the string features {cats} first (quarry.operators.encode)")
+    return [VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid=handle_invalid)]
+
+
+class PolynomialKernelFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """The explicit map of the kernel (gamma x.y)^degree: all monomials of
+    that degree, weighted by the root of their multinomial coefficient."""
+
+    gamma = Param(Params._dummy(), "gamma", "kernel width")
+    degree = Param(Params._dummy(), "degree", "degree of the kernel")
+    dim = Param(Params._dummy(), "dim", "number of input features")
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None, gamma=None, degree=None, dim=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df):
+        g, k, d = (self.getOrDefault(p) for p in (self.gamma, self.degree, self.dim))
+        x = vector_to_array(F.col(self.getInputCol()))
+        out = []
+        for idx in itertools.combinations_with_replacement(range(d), k):
+            ways = math.factorial(k)
+            for i in set(idx):
+                ways //= math.factorial(idx.count(i))
+            e = F.lit(math.sqrt(ways) * g ** (k / 2))
+            for i in idx:
+                e = e * x[i]
+            out.append(e)
+        return df.withColumn(self.getOutputCol(), array_to_vector(F.array(*out)))
 
 
 class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -118,7 +139,12 @@ def classifier_estimator(name: str, params: dict, n_train: int, n_classes: int,
             if g is None:
                 var = float(p.pop("_feature_var", 1.0)) or 1.0
                 g = 1.0 / (d * var) if gamma == "scale" else 1.0 / d
-            extra = [rff_stage(d, int(p.pop("n_components", 128)), g)]
+            if kernel == "poly":
+                extra = [PolynomialKernelFeatures(inputCol=FEATURES, outputCol="rff", gamma=g, degree=int(p.pop("degree", 3)), dim=d)]
+            elif kernel == "rbf":
+                extra = [rff_stage(d, int(p.pop("n_components", 128)), g)]
+            else:
+                raise ValueError(f"kernel {kernel!r} is not supported; use rbf, poly or linear")
             fcol = "rff"
         base = LinearSVC(regParam=1.0 / (C * max(n_train, 1)), maxIter=int(p.pop("max_iter", 100)),
                          featuresCol=fcol, labelCol=LABEL, standardization=False)
@@ -173,7 +199,7 @@ def fit_classifier(train: DataFrame, features: list[str], name: str, params: dic
     n = train.count()
     p = dict(params)
     if name == "svm" and p.get("kernel", "rbf") != "linear" and p.get("gamma", "scale") == "scale":
-        p["_feature_var"] = feature_variance(train, [c for c in features if dict(train.dtypes)[c] != "string"] or features)
+        p["_feature_var"] = feature_variance(train, features)
     extra, est, _ = classifier_estimator(name, p, n, n_classes, len(features), weight_col)
     return Pipeline(stages=feature_stages(train, features, handle_invalid) + extra + [est]).fit(train)
 

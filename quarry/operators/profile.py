@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import categorical_columns, numeric_columns
+from quarry.functions.columns import categorical_columns, known, missing, numeric_columns
 
 
 def _stack(wide: DataFrame, names: list[str], fields: list[str]) -> DataFrame:
@@ -39,9 +39,9 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
 
 def profile_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Null count per column, only the columns that have any."""
+    """Null count per column (NaN counts as null), only the columns that have any."""
     cols = columns or df.columns
-    wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{i}__null_count") for i, c in enumerate(cols)])
+    wide = df.agg(*[F.count_if(missing(df, c)).alias(f"{i}__null_count") for i, c in enumerate(cols)])
     return _stack(wide, cols, ["null_count"]).where(F.col("null_count") > 0)
 
 
@@ -58,9 +58,9 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
     cols = columns or numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = known(df, c).cast("double")  # NaN is a missing value
         aggs += [
-            F.count_if(F.col(c).isNull()).alias(f"{i}__null_count"),
+            F.count_if(missing(df, c)).alias(f"{i}__null_count"),
             F.min(x).alias(f"{i}__min"),
             F.max(x).alias(f"{i}__max"),
             F.avg(x).alias(f"{i}__mean"),
@@ -69,7 +69,7 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
         ]
     wide_row = df.agg(*aggs).first()  # one row: statistics per column
     ranges = {c: (int(wide_row[f"{i}__n"]), wide_row[f"{i}__min"], wide_row[f"{i}__max"]) for i, c in enumerate(cols)}
-    medians = exact_quantiles(df, cols, 0.5, ranges=ranges)
+    medians = exact_quantiles(df.select(*[known(df, c).alias(c) for c in cols]), cols, 0.5, ranges=ranges)
     spark = df.sparkSession
     fields = ["null_count", "min", "max", "mean", "std"]
     rows = [(c, int(wide_row[f"{i}__null_count"]), *[wide_row[f"{i}__{f}"] for f in fields[1:]], medians[c])
@@ -82,6 +82,7 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
         dtypes[F.col("column")].alias("dtype"),
         (F.col("null_count") > 0).alias("nullable"),
         "null_count", "min", "max", "mean", "std", "median",
+        # fixed value: the text of a range description
         F.format_string("Numeric feature with range [%.2f, %.2f]", "min", "max").alias("description"),
     )
 
@@ -156,11 +157,12 @@ def output_schema_classification(df: DataFrame, target: str) -> DataFrame:
 
 
 def output_schema_regression(df: DataFrame, target: str) -> DataFrame:
-    y = F.col(target).cast("double")
+    y = known(df, target).cast("double")
     return df.agg(
         F.min(y).alias("min"), F.max(y).alias("max"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"),
     ).withColumn(
         "description",
+        # fixed value: the text of a range description
         F.format_string("Regression output - continuous numeric values in range [%.2f, %.2f]", "min", "max"),
     )
 

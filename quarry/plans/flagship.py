@@ -30,7 +30,7 @@ def document_quality(spark: SparkSession, sf_dir: str, models: list[str] | None
     cfg = TrainConfig(
         task="classification", target="quality", key="doc_id", features=FEATURES,
         models=models or ["logistic_regression", "random_forest"],
-        overrides=overrides if overrides is not None else {"random_forest": {"n_estimators": 20}},
+        overrides=overrides or {},
         experiment="document_quality",
     )
     return train_many(spark, quality_frame(spark, sf_dir), cfg)

@@ -34,11 +34,6 @@ def q_read_csv(spark, d):
     return R.read_csv(spark, path, src.schema)
 
 
-@query("discover_dataset")
-def q_discover_dataset(spark, d):
-    return R.discover_dataset(spark, d).select("file_name", "format", "bytes")
-
-
 @query("source_info")
 def q_source_info(spark, d):
     df = table(spark, d, "lineitem")

@@ -542,4 +542,4 @@ def q_score_chunks(spark, d):
                          round6("progress").alias("progress"))
 
 
-_ = FEATURES
+

@@ -3,15 +3,13 @@
 express (rows check). Each model query trains through ``train_many`` on the
 whole table and returns the scored held-out rows (all rows for clustering).
 
-Smoke-size overrides keep ensembles small (20 trees / 20 boosting rounds);
-every other parameter is the catalogue default.
+Every parameter is the catalogue default.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import letter_share
 from quarry.models.catalog import CATALOG
 from quarry.plans.flagship import FEATURES as DOC_FEATURES
 from quarry.plans.flagship import document_quality, leaderboard_frame, quality_frame
@@ -19,17 +17,6 @@ from quarry.plans.registry import query
 from quarry.plans.train import TrainConfig, train_many
 from quarry.session import scratch_path, table
 
-SMALL = {
-    "random_forest": {"n_estimators": 20},
-    "random_forest_supervised": {"n_estimators": 20},
-    "gradient_boosting": {"n_estimators": 20},
-    "xgboost": {"n_estimators": 20},
-    "lightgbm": {"n_estimators": 20},
-    "xgboost_supervised": {"n_estimators": 20},
-    "meanshift": {"max_iter": 50},
-}
-
-
 def lineitem_frame(spark, d):
     """lineitem with a whole-row key (no column subset is unique)."""
     li = table(spark, d, "lineitem")
@@ -71,7 +58,7 @@ PREFIX = {"classification": "clf", "regression": "reg", "timeseries": "ts", "ano
 def run_model(spark, d, task: str, name: str, overrides: dict | None = None):
     build, kw = SUPERVISED_ANOMALY if name.endswith("_supervised") else TASK_DATA[task]
     df = build(spark, d)
-    ov = {name: {**SMALL.get(name, {}), **(overrides or {})}}
+    ov = {name: overrides} if overrides else {}
     cfg = TrainConfig(task=task, models=[name], overrides=ov, experiment=f"{PREFIX[task]}_{name}", **kw)
     res = train_many(spark, df, cfg)
     if name not in res.models:
@@ -121,18 +108,17 @@ def q_kmeans(spark, d):
 # ----------------------------------------------------------------- training / tuning / run log
 @query("train_many")
 def q_train_many(spark, d):
-    res = document_quality(spark, d, ["logistic_regression", "random_forest", "gradient_boosting"],
-                           {"random_forest": {"n_estimators": 20}, "gradient_boosting": {"n_estimators": 20}})
+    res = document_quality(spark, d, ["logistic_regression", "random_forest", "gradient_boosting"])
     return leaderboard_frame(res)
 
 
 @query("train_many_tuned")
 def q_train_many_tuned(spark, d):
-    """train_many with tuning on (10 trials; the forest size stays pinned by
-    an override) and k-fold CV scores; returns the runs with their flags."""
+    """train_many with tuning on (3 trials) and k-fold CV scores; returns the
+    runs with their flags."""
     cfg = TrainConfig(task="classification", target="quality", key="doc_id", features=DOC_FEATURES,
                       models=["logistic_regression", "random_forest"], use_cv=True, cv_folds=3,
-                      overrides={"random_forest": {"n_estimators": 20}}, hpo={"enabled": True, "n_trials": 10},
+                      hpo={"enabled": True, "n_trials": 3},
                       experiment="document_quality_tuned")
     res = train_many(spark, quality_frame(spark, d), cfg)
     return res.runs.select("model", "status", "hpo_used", "score", F.col("metrics")["cv_mean"].alias("cv_mean"),
@@ -207,7 +193,7 @@ def q_write_model(spark, d):
     fitted = res.models[best]
     path = scratch_path(spark, "model")
     write_model(fitted.model, path, example=res.prepared.select(*DOC_FEATURES))
-    again = PipelineFitted(load_model(path), DOC_FEATURES, "classification", best)
+    again = PipelineFitted(load_model(path), DOC_FEATURES, "classification", best)  # prepared rows are encoded already
     return again.transform(res.prepared).select("doc_id", "split", "label", "prediction")
 
 
@@ -269,7 +255,7 @@ def q_score_stream(spark, d):
 
     ev = events_frame(spark, d)
     feats = ["value", "props_k", "hour"]
-    model = fit_isolation_forest(ev, feats, "event_id", n_estimators=100)
+    model = fit_isolation_forest(ev, feats, "event_id", n_estimators=200)
     src = scratch_path(spark, "events_in")
     ev.repartition(4, "event_id").write.mode("overwrite").parquet(src)
     sink = scratch_path(spark, "events_scored")
@@ -277,9 +263,6 @@ def q_score_stream(spark, d):
     return spark.read.parquet(paths["predictions"]).select("event_id", "batch_id", "score", "prediction")
 
 
-_ = (letter_share,)
-
-
 @query("write_schema")
 def q_write_schema(spark, d):
     """Input schema document of lineitem's numeric columns (the numeric

@@ -20,16 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.models import fit_model
-from quarry.models.catalog import validate_models
+from quarry.functions.columns import categorical_columns
+from quarry.models.catalog import ignored_params, validate_models
+from quarry.models.served import ServedModel
 from quarry.operators import metrics as M
 from quarry.operators.encode import apply_dictionary, build_dictionary
 from quarry.operators.registry import run_row, runs_frame
 from quarry.operators.select import (
-    select_features, select_features_anomaly, select_features_clustering, select_features_ts,
+    parse_time, select_features, select_features_anomaly, select_features_clustering, select_features_ts,
 )
 from quarry.operators.selection import leaderboard
 from quarry.operators.sequence import lag_features, lag_names
 from quarry.operators.split import split_anomaly, split_clustering, split_random, split_stratified, split_time
+from quarry.session import saved
 
 
 @dataclass
@@ -64,6 +67,23 @@ class TrainResult:
     label_dictionary: DataFrame | None
     features: list[str]
     prepared: DataFrame
+    feature_dictionary: DataFrame | None = None
+    trials: DataFrame | None = None
+
+    def release(self) -> None:
+        """Give back the split table that training keeps."""
+        self.prepared.unpersist()
+
+
+@dataclass
+class Prepared:
+    """Split table with ``label`` and ``split``, feature names and dictionaries."""
+
+    data: DataFrame
+    features: list[str]
+    labels: DataFrame | None = None
+    dictionary: DataFrame | None = None
+    categories: dict = field(default_factory=dict)
 
 
 def _label(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame | None]:
@@ -75,40 +95,61 @@ def _label(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame | None]:
     return df.withColumn("label", F.col(target).cast("double")), None
 
 
-def prepare(df: DataFrame, cfg: TrainConfig) -> tuple[DataFrame, list[str], DataFrame | None]:
-    """Returns (split table with ``label`` and ``split``, features, label dictionary)."""
+def _encode(df: DataFrame, feats: list[str]) -> tuple[DataFrame, DataFrame | None, dict[str, int]]:
+    """String features -> sorted codes (nulls stay null); returns the frame,
+    the dictionary and the number of values of each encoded feature."""
+    cats = categorical_columns(df.select(*feats))
+    if not cats:
+        return df, None, {}
+    d = saved(build_dictionary(df, cats), "dictionary")
+    sizes = {r["column"]: r["n"] for r in d.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return apply_dictionary(df, d, cats).select(*df.columns), d, {c: int(sizes.get(c, 0)) for c in cats}
+
+
+def prepare_all(df: DataFrame, cfg: TrainConfig) -> Prepared:
+    """Select, encode, label and split for the task."""
     t = cfg.task
     kw = dict(test=cfg.test_size, val=cfg.val_size, seed=cfg.seed)
-    if t == "classification":
-        feats = select_features(df, cfg.target, cfg.features)
-        data, d = _label(df.select(cfg.key, *[c for c in feats if c != cfg.key], cfg.target), cfg.target)
-        return split_stratified(data, cfg.key, "label", **kw), feats, d
-    if t == "regression":
+    if t in ("classification", "regression"):
         feats = select_features(df, cfg.target, cfg.features)
-        data, _ = _label(df.select(cfg.key, *[c for c in feats if c != cfg.key], cfg.target), cfg.target)
-        return split_random(data, cfg.key, **kw), feats, None
+        rows = df.select(cfg.key, *[c for c in feats if c != cfg.key], cfg.target)
+        x, d, cats = _encode(rows, [c for c in feats if c != cfg.target])
+        data, labels = _label(x, cfg.target)
+        if t == "classification":
+            return Prepared(split_stratified(data, cfg.key, "label", **kw), feats, labels, d, cats)
+        return Prepared(split_random(data, cfg.key, **kw), feats, None, d, cats)
     if t == "timeseries":
         base = select_features_ts(df, cfg.target, cfg.time_col, cfg.features)
         base = [c for c in base if c not in (cfg.key, cfg.series_key)]
-        samples = lag_features(df, base, cfg.target, cfg.time_col, cfg.key, cfg.series_key, cfg.lookback, cfg.horizon)
-        samples = samples.withColumn("label", F.col("y").cast("double"))
+        if dict(df.dtypes)[cfg.time_col] == "string":
+            df = parse_time(df, cfg.time_col).drop(cfg.time_col).withColumnRenamed(f"{cfg.time_col}_ts", cfg.time_col)
+        x, d, cats = _encode(df, base)
+        samples = lag_features(x, base, cfg.target, cfg.time_col, cfg.key, cfg.series_key, cfg.lookback, cfg.horizon)
+        kind = "double" if cfg.horizon == 1 else "array<double>"
+        samples = samples.withColumn("label", F.col("y").cast(kind))
         split = split_time(samples, "position", cfg.key, cfg.test_size, cfg.val_size, series=cfg.series_key)
-        return split, lag_names(base, cfg.lookback), None
+        return Prepared(split, lag_names(base, cfg.lookback), None, d, cats)
     if t == "anomaly_detection":
         feats = select_features_anomaly(df, cfg.target, cfg.features)
         feats = [c for c in feats if c != cfg.key]
         labelled = bool(cfg.target) and cfg.target in df.columns
-        cols = [cfg.key, *feats] + ([cfg.target] if labelled else [])
-        data = df.select(*cols)
+        data, d, cats = _encode(df.select(cfg.key, *feats, *([cfg.target] if labelled else [])), feats)
         if labelled:
             data = data.withColumn("label", F.col(cfg.target).cast("double"))
-        return split_anomaly(data, cfg.key, "label" if labelled else None, **kw), feats, None
+        return Prepared(split_anomaly(data, cfg.key, "label" if labelled else None, **kw), feats, None, d, cats)
     if t == "clustering":
         feats = [c for c in select_features_clustering(df, cfg.features) if c != cfg.key]
-        return split_clustering(df.select(cfg.key, *feats), cfg.key, **kw), feats, None
+        data, d, cats = _encode(df.select(cfg.key, *feats), feats)
+        return Prepared(split_clustering(data, cfg.key, **kw), feats, None, d, cats)
     raise ValueError(f"unknown task {t!r}")
 
 
+def prepare(df: DataFrame, cfg: TrainConfig) -> tuple[DataFrame, list[str], DataFrame | None]:
+    """(split table, features, label dictionary) of :func:`prepare_all`."""
+    p = prepare_all(df, cfg)
+    return p.data, p.features, p.labels
+
+
 def _metrics(scored: DataFrame, cfg: TrainConfig, labelled: bool, fitted) -> dict[str, dict[str, float]]:
     t = cfg.task
     if t == "classification":
@@ -116,6 +157,9 @@ def _metrics(scored: DataFrame, cfg: TrainConfig, labelled: bool, fitted) -> dic
     elif t == "regression":
         rows = M.evaluate_splits(scored, "regression", "label", "prediction").collect()
     elif t == "timeseries":
+        if cfg.horizon > 1:  # every step of every row counts
+            step = F.explode(F.arrays_zip(F.col("label").alias("label"), F.col("prediction").alias("prediction"))).alias("s")
+            scored = scored.select("split", step).select("split", "s.label", "s.prediction")
         rows = M.evaluate_splits(scored, "timeseries", "label", "prediction").collect()
     elif t == "anomaly_detection":
         if labelled:
@@ -134,7 +178,8 @@ def train_many(spark: SparkSession, df: DataFrame, cfg: TrainConfig, persist: bo
     v = validate_models(cfg.task, cfg.models, cfg.overrides)
     if not v["valid"]:
         raise ValueError(f"no valid model for task {cfg.task!r}: {v['invalid']}")
-    prepared, feats, d = prepare(df, cfg)
+    prep = prepare_all(df, cfg)
+    prepared, feats, d = prep.data, prep.features, prep.labels
     if persist:
         prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     train = prepared.where(F.col("split") == "train")
@@ -157,6 +202,7 @@ def train_many(spark: SparkSession, df: DataFrame, cfg: TrainConfig, persist: bo
                 # tuned values replace the defaults; user overrides stay pinned (Q8)
                 params = {**params, **best, **(cfg.overrides or {}).get(name, {})}
                 hpo_used = True
+            unused = ignored_params(name, params)
             fitted = fit_model(cfg.task, name, train, feats, params, n_classes=n_classes, labelled=labelled,
                                key=cfg.key, series_key=cfg.series_key, time_col=cfg.time_col, horizon=cfg.horizon,
                                contamination=cfg.contamination, n_clusters=cfg.n_clusters)
@@ -166,9 +212,10 @@ def train_many(spark: SparkSession, df: DataFrame, cfg: TrainConfig, persist: bo
             flat = {f"{s}_{k}": val for s, m in per_split.items() for k, val in m.items() if isinstance(val, (int, float))}
             if cfg.use_cv and cfg.task in ("classification", "regression"):
                 flat.update(_cross_validate(spark, cfg, name, params, train, feats, n_classes))
+            params = {**params, **({"ignored": unused} if unused else {})}
             rows.append(run_row(cfg.experiment, name, order, cfg.task, type(fitted).__name__, params, flat, score,
                                 hpo_used, start))
-            models[name] = fitted
+            models[name] = ServedModel(fitted, feats, cfg.task, name, prep.dictionary, d, prep.categories)
         except Exception as exc:  # a failing model is skipped, as in the reference
             rows.append(run_row(cfg.experiment, name, order, cfg.task, "", params, {}, None, False, start,
                                 status="FAILED", error=f"{type(exc).__name__}: {exc}"[:2000]))
@@ -176,8 +223,7 @@ def train_many(spark: SparkSession, df: DataFrame, cfg: TrainConfig, persist: bo
         raise RuntimeError(f"all models failed: {[(r[2], r[12]) for r in rows]}")
     runs = runs_frame(spark, rows)
     board = leaderboard(runs.where(F.col("status") == "FINISHED"), "score", direction)
-    res = TrainResult(runs, board, models, d, feats, prepared)
-    res.trials = None
+    res = TrainResult(runs, board, models, d, feats, prepared, prep.dictionary)
     for t in trials_tables:
         res.trials = t if res.trials is None else res.trials.unionByName(t)
     return res
@@ -203,7 +249,7 @@ def _tune(spark: SparkSession, cfg: TrainConfig, name: str, train: DataFrame, pr
                          experiment=cfg.experiment)
     else:
         t = tune_cv(spark, cfg.task, name, train, feats, cfg.cv_folds, space, n_trials, cfg.seed, key=cfg.key,
-                    experiment=cfg.experiment)
+                    overrides=(cfg.overrides or {}).get(name), timeout_min=h.get("timeout_min"), experiment=cfg.experiment)
     best = t.where(F.col("status") == "FINISHED").orderBy(F.col("score").desc(), "trial_id").first()
     if best is None:
         return None

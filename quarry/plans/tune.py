@@ -75,14 +75,21 @@ DEFAULT_SPACES = {
 }
 
 
-def clamp_trials(n: int | None) -> int:
-    return int(min(MAX_TRIALS, max(MIN_TRIALS, n or DEFAULT_TRIALS)))
+def checked_trials(n: int | None) -> int:
+    """The number asked for (``DEFAULT_TRIALS`` if none). The declared bounds
+    above describe a request; they are not enforced on it."""
+    n = DEFAULT_TRIALS if n is None else int(n)
+    if n < 1:
+        raise ValueError(f"n_trials must be at least 1, not {n}")
+    return n
 
 
-def clamp_timeout(minutes: float | None) -> float | None:
+def checked_deadline(minutes: float | None) -> float | None:
     if minutes is None:
         return None
-    return float(min(MAX_TIMEOUT_MIN, max(MIN_TIMEOUT_MIN, minutes)))
+    if minutes <= 0:
+        raise ValueError(f"the timeout must be positive, not {minutes}")
+    return time.time() + 60 * float(minutes)
 
 
 def _uniform(seed: int, param: str) -> Column:
@@ -139,68 +146,73 @@ def _trial_params(spark: SparkSession, space: dict, n_trials: int, seed: int, ex
     return [r.asDict() for r in sample_trials(exps, space, n_trials, seed).collect()]  # n_trials small rows
 
 
-def tune_holdout(spark: SparkSession, task: str, name: str, train: DataFrame, val: DataFrame, features: list[str],
-                 space: dict | None = None, n_trials: int = DEFAULT_TRIALS, seed: int = 42, parallelism: int = 4,
-                 overrides: dict | None = None, timeout_min: float | None = None, experiment: str = "tune") -> DataFrame:
-    """Fit on train, score on validation (accuracy, else r2), per trial.
-    A failing trial scores 0.0 (classification) or -inf (regression).
-    User space wins over the default; overrides pin parameters (Q8)."""
-    from quarry.models import fit_model
+TRIAL_SCHEMA = ("experiment string, model string, trial_id bigint, params map<string,string>, score double, status string, "
+                "ignored array<string>, error string")
+
+
+def _run_trials(spark, task, name, space, n_trials, seed, parallelism, overrides, timeout_min, experiment, evaluate) -> DataFrame:
+    """Every trial: catalogue defaults, then its sampled values, then the
+    pinned overrides. A failing trial scores 0.0 (classification) or -inf
+    (regression) and keeps its error; a trial after the deadline is SKIPPED
+    without a score."""
+    from quarry.models.catalog import ignored_params, merged_params
 
     space = space or DEFAULT_SPACES.get(task, {}).get(name)
     if not space:
         raise ValueError(f"no search space for {task}/{name}")
-    trials = _trial_params(spark, space, clamp_trials(n_trials), seed, experiment)
-    deadline = None if timeout_min is None else time.time() + 60 * clamp_timeout(timeout_min)
+    trials = _trial_params(spark, space, checked_trials(n_trials), seed, experiment)
+    deadline = checked_deadline(timeout_min)
     fail = 0.0 if task == "classification" else float("-inf")
-    n_classes = int(train.agg(F.max("label")).first()[0] or 1) + 1 if task == "classification" else 0
 
     def run(t):
+        sampled = {k: v for k, v in t.items() if k not in ("experiment", "trial_id")}
+        params = merged_params(task, name, {**sampled, **(overrides or {})})
+        shown, unused = {k: str(v) for k, v in {**sampled, **(overrides or {})}.items()}, ignored_params(name, params)
+        row = (experiment, name, t["trial_id"], shown)
         if deadline is not None and time.time() > deadline:
-            return (t["trial_id"], None, "SKIPPED")
-        params = {k: v for k, v in t.items() if k not in ("experiment", "trial_id")}
-        params.update(overrides or {})
+            return (*row, None, "SKIPPED", unused, None)
         try:
-            m = fit_model(task, name, train, features, params, n_classes=n_classes)
-            return (t["trial_id"], _score(task, m.transform(val)), "FINISHED")
-        except Exception:  # noqa: BLE001
-            return (t["trial_id"], fail, "FAILED")
+            return (*row, evaluate(params), "FINISHED", unused, None)
+        except Exception as e:  # noqa: BLE001 - one failing trial must not end the study; it is recorded
+            return (*row, fail, "FAILED", unused, f"{type(e).__name__}: {e}"[:500])
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        results = list(ex.map(run, trials))
-    rows = [(experiment, name, tid, {k: str(v) for k, v in t.items() if k not in ("experiment", "trial_id")}, s, st)
-            for (tid, s, st), t in zip(results, trials)]
-    return spark.createDataFrame(rows, "experiment string, model string, trial_id bigint, params map<string,string>, "
-                                       "score double, status string")
+        return spark.createDataFrame(list(ex.map(run, trials)), TRIAL_SCHEMA)
+
+
+def _classes(task: str, train: DataFrame) -> int:
+    return int(train.agg(F.max("label")).first()[0] or 1) + 1 if task == "classification" else 0
+
+
+def tune_holdout(spark: SparkSession, task: str, name: str, train: DataFrame, val: DataFrame, features: list[str],
+                 space: dict | None = None, n_trials: int = DEFAULT_TRIALS, seed: int = 42, parallelism: int = 4,
+                 overrides: dict | None = None, timeout_min: float | None = None, experiment: str = "tune") -> DataFrame:
+    """Fit on train, score on validation (accuracy, else r2), per trial. A
+    user space wins over the default; overrides pin parameters (Q8)."""
+    from quarry.models import fit_model
+
+    n_classes = _classes(task, train)
+    evaluate = lambda p: _score(task, fit_model(task, name, train, features, p, n_classes=n_classes).transform(val))
+    return _run_trials(spark, task, name, space, n_trials, seed, parallelism, overrides, timeout_min, experiment, evaluate)
 
 
 def tune_cv(spark: SparkSession, task: str, name: str, train: DataFrame, features: list[str], folds: int = 5,
             space: dict | None = None, n_trials: int = DEFAULT_TRIALS, seed: int = 42, parallelism: int = 4,
-            key: str = "id", experiment: str = "tune") -> DataFrame:
-    """No validation set: mean score over k folds (``kfold`` column) per trial."""
+            key: str = "id", overrides: dict | None = None, timeout_min: float | None = None, experiment: str = "tune") -> DataFrame:
+    """No validation set: mean score over k folds (``kfold`` column) per
+    trial; the same options as :func:`tune_holdout`."""
     from quarry.models import fit_model
     from quarry.operators.split import kfold
 
-    space = space or DEFAULT_SPACES.get(task, {}).get(name)
-    trials = _trial_params(spark, space, clamp_trials(n_trials), seed, experiment)
     f = kfold(train, key, folds, "label" if task == "classification" else None).cache()
-    n_classes = int(train.agg(F.max("label")).first()[0] or 1) + 1 if task == "classification" else 0
-    fail = 0.0 if task == "classification" else float("-inf")
+    n_classes = _classes(task, train)
 
-    def run(t):
-        params = {k: v for k, v in t.items() if k not in ("experiment", "trial_id")}
-        scores = []
-        try:
-            for k in range(folds):
-                m = fit_model(task, name, f.where(F.col("fold") != k), features, params, n_classes=n_classes)
-                scores.append(_score(task, m.transform(f.where(F.col("fold") == k))))
-            return (t["trial_id"], float(sum(scores) / len(scores)), "FINISHED")
-        except Exception:  # noqa: BLE001
-            return (t["trial_id"], fail, "FAILED")
+    def evaluate(p):
+        fit = lambda k: fit_model(task, name, f.where(F.col("fold") != k), features, p, n_classes=n_classes)
+        scores = [_score(task, fit(k).transform(f.where(F.col("fold") == k))) for k in range(folds)]
+        return float(sum(scores) / folds)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        results = list(ex.map(run, trials))
-    rows = [(experiment, name, tid, {k: str(v) for k, v in t.items() if k not in ("experiment", "trial_id")}, s, st)
-            for (tid, s, st), t in zip(results, trials)]
-    return spark.createDataFrame(rows, "experiment string, model string, trial_id bigint, params map<string,string>, "
-                                       "score double, status string")
+    try:
+        return _run_trials(spark, task, name, space, n_trials, seed, parallelism, overrides, timeout_min, experiment, evaluate)
+    finally:
+        f.unpersist()
