@@ -11,9 +11,9 @@
    path, itself, and needs no search.
 3. The restored words (and their four and five letter beginnings) of a bounded
    sample of labelled documents, ``FIT_ROWS``, get log odds; a feature counts
-   with the lower confidence bound of its log odds, the best ``MODEL_FEATURES``
-   make the model. A document's evidence is the sum of its three strongest
-   words, mapped to a probability by a logistic curve fitted on the evidence of
+   if its G statistic is beyond chance, with its log odds less a standard error; the best ``MODEL_FEATURES``
+   make the model. A document's evidence is its strongest word and the sum of
+   the next two, mapped to a probability by a logistic curve fitted on the evidence of
    labelled rows under the log odds of the folds that they are not in.
 
 Every whole text is scored; each pass is a scan without shuffle of texts.
@@ -45,7 +45,7 @@ MODEL_FEATURES = 20_000
 THRESHOLD = 0.3
 STRONGEST = 3
 FOLDS = 3
-Z = 2.5  # standard errors below the log odds
+SURPRISE = 18.0  # least G statistic of a feature, against chance finds among very many features
 CODES = 28  # 0: boundary, 1-26: letters, 27: other letter
 CACHE = 400_000
 
@@ -250,29 +250,26 @@ def restore(df: DataFrame, counts: np.ndarray, key: str = "doc_id", text: str =
 
 
 class Model:
-    """Feature weights and the logistic curve over a document's evidence."""
+    """Feature weights and the logistic curve (slopes of the strongest and of
+    the further words, offset) over a document's evidence."""
 
-    def __init__(self, weights: dict[str, float], curve: tuple[float, float]):
+    def __init__(self, weights: dict[str, float], curve: tuple[float, float, float] = (1.0, 0.0, 0.0)):
         self.weights, self.curve = weights, curve
 
     def weight(self, words) -> float:
         get = self.weights.get
         return max((get(f, 0.0) for w in words for f in features(w)), default=0.0)
 
-    def probability(self, evidence: float) -> float:
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a * evidence + b, -30, 30))))
-
 
 def evidence_of(df: DataFrame, counts: np.ndarray, weights: dict[str, float]) -> DataFrame:
-    """``doc_id, evidence`` of every row."""
-    model = Model(weights, (1.0, 0.0))
+    """``doc_id, strongest, further`` of every row."""
+    model = Model(weights)
 
     def run(batches):
         r = reader(counts)
         memo: dict[str, float] = {}
         for ks, ts in column_lists(batches):
-            out = []
+            strongest, further = [], []
             for t in ts:
                 t = t or ""
                 found = []
@@ -286,10 +283,12 @@ def evidence_of(df: DataFrame, counts: np.ndarray, weights: dict[str, float]) ->
                         found.append(x)
                 for m in SPACED.finditer(t):
                     found.append(model.weight(r.words_of(m[0], True)))
-                out.append(float(sum(nlargest(STRONGEST, found))))
-            yield {"doc_id": ks, "evidence": out}
+                best = nlargest(STRONGEST, found)
+                strongest.append(float(best[0]) if best else 0.0)
+                further.append(float(sum(best[1:])))
+            yield {"doc_id": ks, "strongest": strongest, "further": further}
 
-    return with_schema(df, run, "doc_id long, evidence double")
+    return with_schema(df, run, "doc_id long, strongest double, further double")
 
 
 def fit(df: DataFrame, counts: np.ndarray, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -323,34 +322,36 @@ def fit(df: DataFrame, counts: np.ndarray, labels: DataFrame, fit_rows: int = FI
         neg, pos = (sum((F.col(each[2 * f + v]) for f in use), F.lit(0)) for v in (0, 1))
         odds = F.log((pos + 0.5) / (n[1] + 1.0)) - F.log((neg + 0.5) / (n[0] + 1.0))
         se = F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-        best = counted.filter(pos >= 2).select("f", (odds - Z * se).alias("w")).filter("w > 0")
+        part = lambda k, v: F.when(k > 0, k * F.log(k * (n[0] + n[1]) / ((pos + neg) * max(n[v], 1)))).otherwise(0.0)
+        w = F.when(2 * (part(pos, 1) + part(neg, 0)) >= SURPRISE, odds - se).otherwise(0.0)
+        best = counted.filter(pos >= 2).select("f", w.alias("w")).filter("w > 0")
         return {r["f"]: float(r["w"]) for r in best.orderBy(F.desc("w"), "f").limit(MODEL_FEATURES).collect()}
 
     bins: Counter = Counter()
-    for fold in range(FOLDS):  # two numbers for each of at most fit_rows rows reach the driver
+    for fold in range(FOLDS):  # three numbers for each of at most fit_rows rows reach the driver
         held = evidence_of(rows.filter(F.col("fold") == fold).select("doc_id", "text"), counts, weights(fold))
-        bins.update((round(r["evidence"], 2), known[r["doc_id"]][0]) for r in held.collect())
+        bins.update((round(r["strongest"], 2), round(r["further"], 2), known[r["doc_id"]][0]) for r in held.collect())
     return Model(weights(None), logistic(bins))
 
 
-def logistic(bins: dict[tuple[float, int], int], steps: int = 200) -> tuple[float, float]:
-    """Slope and offset of P(1 | evidence), Newton steps with a weak prior on
-    the slope, from counts of (evidence, label)."""
+def logistic(bins: dict[tuple[float, float, int], int], steps: int = 200) -> tuple[float, float, float]:
+    """Slopes and offset of P(1 | strongest, further), Newton steps with a
+    weak prior on the slopes, from counts of (strongest, further, label)."""
     if not bins:
-        return 1.0, -4.0
-    x = np.array([k[0] for k in bins])
-    y = np.array([k[1] for k in bins], float)
+        return 1.0, 0.0, -4.0
+    z = np.array([(a, b, 1.0) for a, b, _ in bins])
+    y = np.array([k[2] for k in bins], float)
     n = np.array(list(bins.values()), float)
-    z = np.stack([x, np.ones_like(x)], 1)
-    beta, prior = np.array([0.5, -2.0]), np.diag([0.05, 1e-3])
+    beta, prior = np.array([0.5, 0.0, -2.0]), np.diag([0.02, 0.02, 1e-3])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve((z * (n * p * (1 - p))[:, None]).T @ z + prior + 1e-9 * np.eye(2), z.T @ (n * (y - p)) - prior @ beta)
+        step = np.linalg.solve((z * (n * p * (1 - p))[:, None]).T @ z + prior + 1e-9 * np.eye(3), z.T @ (n * (y - p)) - prior @ beta)
         step *= min(1.0, 2.0 / max(1e-12, float(np.abs(step).max())))
         beta = beta + step
         if np.abs(step).max() < 1e-9:
             break
-    return max(float(beta[0]), 1e-3), float(beta[1])
+    # evidence never speaks against toxicity
+    return max(float(beta[0]), 1e-3), max(float(beta[1]), 0.0), float(beta[2])
 
 
 def score_documents(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -360,7 +361,7 @@ def score_documents(df: DataFrame, labels: DataFrame) -> DataFrame:
     r = remainder(F.col("doc_id"), 4)
     model = fit(df, counts, labels.filter(r != 2).select("doc_id", F.col("toxic").alias("y")))
     found = evidence_of(df.select(F.col("doc_id").cast("long"), "text"), counts, model.weights)
-    a, b = model.curve
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("evidence") * a + b)))
-    return found.select("doc_id", F.coalesce(r == 2, F.lit(False)).alias("held_out"), score.alias("score"), "evidence",
+    a, b, c = model.curve
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("strongest") * a + F.col("further") * b + c)))
+    return found.select("doc_id", F.coalesce(r == 2, F.lit(False)).alias("held_out"), score.alias("score"), "strongest", "further",
                         (score >= THRESHOLD).cast("int").alias("predicted"))
