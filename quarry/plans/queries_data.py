@@ -34,7 +34,7 @@ def q_read_csv(spark, d):
     return R.read_csv(spark, path, src.schema)
 
 
-@query("source_info")
+@query("source_info", "SELECT 'parquet' AS source_type, count(*) AS n_rows, 'lineitem.parquet' AS filename FROM lineitem")
 def q_source_info(spark, d):
     df = table(spark, d, "lineitem")
     return R.source_info(df, "parquet", filename="lineitem.parquet").drop("file_path")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quarry.models.catalog import CATALOG
 from quarry.plans.flagship import FEATURES as DOC_FEATURES
 from quarry.plans.flagship import document_quality, leaderboard_frame, quality_frame
-from quarry.plans.registry import query
+from quarry.plans.queries_data import LINEITEM_NUMERIC  # noqa: F401 - the oracle below is registered there
+from quarry.plans.registry import ORACLE, query
 from quarry.plans.train import TrainConfig, train_many
 from quarry.session import scratch_path, table
 
@@ -263,13 +264,14 @@ def q_score_stream(spark, d):
     return spark.read.parquet(paths["predictions"]).select("event_id", "batch_id", "score", "prediction")
 
 
-@query("write_schema")
+@query("write_schema", ORACLE["profile_numeric"])
 def q_write_schema(spark, d):
     """Input schema document of lineitem's numeric columns (the numeric
     profile) written as JSON and read back."""
-    from quarry.operators.profile import profile_numeric
+    from quarry.plans.queries_data import q_profile_numeric
     from quarry.sources.sinks import write_schema
 
+    profile = q_profile_numeric(spark, d)
     path = scratch_path(spark, "schema")
-    write_schema(profile_numeric(table(spark, d, "lineitem")), path)
-    return spark.read.json(path)
+    write_schema(profile, path)
+    return spark.read.schema(profile.schema).json(path)
