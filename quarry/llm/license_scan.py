@@ -52,24 +52,27 @@ FURTHER = {
 }
 TEMPLATES: dict[str, tuple[str, ...]] = {k: (v,) for k, v in BASE.items()} | FURTHER
 ANCHORS = 2
-WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"  # capitals count as letters here
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _one_of(ws) -> str:
-    return f"(?<!{WORD})(?i:{'|'.join(sorted(ws))})(?!{WORD})"
-
-
 def phrases_of(templates: dict[str, tuple[str, ...]]) -> list[str]:
     return sorted({p for ps in templates.values() for p in ps})
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text. The two letters beyond ASCII whose lower case is
+    an ASCII letter (Kelvin sign, dotted capital I) are set aside, so that
+    lower-casing changes no word into one of the phrases'."""
+    plain = F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u03ba")), F.lit("\u0130"), F.lit("\u0131"))
+    return F.array_remove(F.split(F.lower(plain), GAP), "")
+
+
 def frequencies(df: DataFrame, vocabulary: set[str], text: str = "text") -> dict[str, int]:
     """Number of documents that hold each word; at most one row per word of
     the phrases reaches the driver."""
-    found = F.regexp_extract_all(F.col(text), F.lit(_one_of(vocabulary)), F.lit(0))
-    seen = df.select(F.explode(F.array_distinct(F.transform(found, F.lower))).alias("w"))
+    known = F.array(*[F.lit(w) for w in sorted(vocabulary)])
+    seen = df.select(F.explode(F.array_intersect(words_of(F.col(text)), known)).alias("w"))
     return {r["w"]: r["count"] for r in seen.groupBy("w").count().collect()}
 
 
@@ -80,10 +83,6 @@ def anchors_of(phrase: str, df_of: dict[str, int], n: int = ANCHORS) -> list[tup
     return sorted({w: ws.index(w) for w in ws}.items(), key=lambda x: (df_of.get(x[0], 0), -len(x[0]), x))[:n]
 
 
-def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, CAPITALS, CAPITALS.lower()), GAP), "")
-
-
 def starts_of(words: Column, hits: Column, phrase: str, anchors: list[tuple[str, int]]) -> Column:
     """Starts of the phrase: starts that its anchors agree on, verified."""
     ws = phrase.split()
@@ -107,11 +106,13 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict
     rarest = {a[0][0] for a in anchors.values()}
     every = sorted({w for a in anchors.values() for w, _ in a})
     rows = df.select(F.col(key).cast("long").alias("doc_id"), t.alias("t"))
-    rows = rows.withColumn("n_words", F.size(F.regexp_extract_all("t", F.lit(f"{WORD}+"), F.lit(0))).cast("long"))
+    rows = rows.select("doc_id", words_of(F.col("t")).alias("w"))
     # only documents that hold a rarest word are looked up
-    rows = rows.withColumn("w", F.when(F.col("t").rlike(_one_of(rarest)), words_of(F.col("t"))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<struct<w:string,i:int>>")
     numbered = F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    rows = rows.withColumn("hits", F.filter(numbered, lambda h: h["w"].isin(every)))
+    hits = F.filter(numbered, lambda h: h["w"].isin(every))
+    rows = rows.select("doc_id", "w", F.size("w").cast("long").alias("n_words"),
+                       F.when(F.arrays_overlap("w", F.array(*[F.lit(w) for w in sorted(rarest)])), hits).otherwise(none).alias("hits"))
     rows = rows.select("doc_id", "n_words", *[starts_of(F.col("w"), F.col("hits"), p, anchors[p]).alias(f"p{i}") for i, p in enumerate(phrases)])
     at = {p: F.col(f"p{i}") for i, p in enumerate(phrases)}
     of_base = F.concat(*[at[p] for p in base.values()])
