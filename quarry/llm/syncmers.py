@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-K = 6
+K = 4
 S = 2
 SKETCH = 64
 
@@ -62,7 +62,7 @@ def _chosen(text: Column, make) -> Column:
 
     def edge(gs, i):
         inner = [F.get(gs, i + j) for j in range(1, last)]
-        return F.least(F.get(gs, i), F.get(gs, i + last)) <= F.least(*inner)
+        return F.least(F.get(gs, i), F.get(gs, i + last)) <= (F.least(*inner) if len(inner) > 1 else inner[0])
 
     return let(words(text), of_words)
 

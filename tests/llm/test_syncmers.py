@@ -27,7 +27,7 @@ def plain(text):
     for i in range(len(w)):
         inner = g[i:i + last + 1]
         if min(inner) in (inner[0], inner[-1]):
-            out.append((i, (h64(g[i], g[i + 2], g[i + 4]) & (1 << 64) - 1) >> 32))
+            out.append((i, (h64(*[g[i + j] for j in range(0, sy.K - sy.S + 1, sy.S)]) & (1 << 64) - 1) >> 32))
     return out
 
 
