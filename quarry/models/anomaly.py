@@ -447,13 +447,13 @@ class OneClassModel:
 
 
 def fit_one_class_svm(train: DataFrame, features: list[str], nu: float = 0.1, gamma="auto", n_components: int = 100,
-                      steps: int = 500, tol: float = 1e-2, seed: int = SEED, **_) -> OneClassModel:
+                      steps: int = 500, tol: float = 0.03, seed: int = SEED, **_) -> OneClassModel:
     """min 1/2|w|^2 - rho + mean(max(0, rho - w.z))/nu over random features.
 
     For a given rho the optimum is a fixed point: w is the mean feature vector
     of the violating rows (those below rho), and rho the nu-quantile of w.z.
     Steps move w towards that mean by averaging (weights 2/(step + 2)) until
-    it moves less than ``tol`` of its length; then rho is the exact
+    it moves less than ``tol`` of the larger length of the two; then rho is the exact
     nu-quantile, so the share of flagged training rows is nu. A step is one
     pass with sums on the executors: one row reaches the driver. No
     convergence within ``steps`` is an error."""
@@ -485,7 +485,7 @@ def fit_one_class_svm(train: DataFrame, features: list[str], nu: float = 0.1, ga
         rho = quantile(m, "m", nu, exact=False)
         target = mean_of(m.where(F.col("m") <= F.lit(rho)))
         new = w + (target - w) * 2.0 / (step + 3.0)
-        moved = float(np.linalg.norm(new - w)) / max(1e-12, float(np.linalg.norm(w)))
+        moved = float(np.linalg.norm(new - w)) / max(1e-12, float(np.linalg.norm(w)), float(np.linalg.norm(target)))
         w = new
         if moved < tol:
             break
