@@ -25,6 +25,10 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
+#: Edges of one task; rounds over few edges so take few tasks.
+EDGES_PER_TASK = 50_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has an edge to another node;
     ``component`` is the smallest node id of the component. Rows with a null
@@ -35,17 +39,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
                 .select(hi.alias("child"), lo.alias("parent")).distinct(), "cc")
     seen = _fingerprint(cur)
     while seen[0]:
+        tasks = max(8, 2 * seen[0] // EDGES_PER_TASK)  # a round has at most twice as many edges as the last
         both = cur.select(F.col("parent").alias("u"), F.col("child").alias("v")).unionByName(
             cur.select(F.col("child").alias("u"), F.col("parent").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are written before the joins: a join straight on an aggregate by
+        # its key cannot be split, and a hub's edges would be one task's
+        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks), "cc-low")
         # below every node u: its larger neighbours, now hung under the minimum u knows
         large = cur.select(F.col("parent").alias("u"), F.col("child").alias("v")).join(low, "u").select(
-            F.col("v").alias("child"), F.col("m").alias("parent")).distinct()
-        least = large.groupBy("child").agg(F.min("parent").alias("m"))
-        joined = large.join(least, "child")
-        small = joined.select("child", F.col("m").alias("parent")).unionByName(
-            joined.filter(F.col("parent") != F.col("m")).select(F.col("parent").alias("child"), F.col("m").alias("parent"))).distinct()
-        cur = saved(small, "cc")
+            F.col("v").alias("child"), F.col("m").alias("parent")).coalesce(tasks).distinct()
+        large = saved(large.coalesce(tasks), "cc-large")
+        least = saved(large.groupBy("child").agg(F.min("parent").alias("m")).coalesce(tasks), "cc-least")
+        joined = large.join(least, "child").coalesce(tasks)
+        # the child and its other parents hang under its least parent
+        small = joined.select(F.explode(F.array(
+            F.struct(F.col("child"), F.col("m").alias("parent")),
+            F.struct(F.when(F.col("parent") != F.col("m"), F.col("parent")).alias("child"), F.col("m").alias("parent")))).alias("e"))
+        small = small.select("e.child", "e.parent").filter(F.col("child").isNotNull()).distinct()
+        cur = saved(small.coalesce(tasks), "cc")
         now = _fingerprint(cur)
         if now == seen:
             break
