@@ -98,6 +98,9 @@ def _marked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.struct(F.col("k").isNull().alias("no"), F.col("k"), F.col("th"), F.col("at"))
     found = saved(chunk_hashes(df), "chunks")
     repeated = found.groupBy("h").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "kept")
+    # written before the join: a join straight on an aggregate by its key
+    # cannot be split, and a passage of very many documents would be one task's
+    repeated = saved(repeated, "repeated")
     mine = found.join(repeated, "h").select("k", "th", F.struct("at", "h", (place == F.col("kept")).alias("kept")).alias("c"))
     lists = mine.groupBy("k", "th").agg(F.collect_set("c").alias("repeated")).withColumnRenamed("k", "lk").withColumnRenamed("th", "lth")
     docs = df.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -117,7 +120,7 @@ def _marked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     with_list = marked.filter("__repeated is not null").select(F.col("doc_id").cast("long").alias("k"), "__th", "text", "__repeated")
     data = saved(with_schema(with_list, bodies, "k long, th long, at int, h binary, kept boolean, body binary"), "bodies")
-    first = data.filter("kept").dropDuplicates(["h"]).select("h", F.col("body").alias("first"))
+    first = saved(data.filter("kept").dropDuplicates(["h"]).select("h", F.col("body").alias("first")), "first")
     refused = data.filter("not kept").join(first, "h").filter(F.col("body") != F.col("first")).select("k", "th", "at")
     return marked, saved(refused, "refused")
 
