@@ -18,8 +18,9 @@ nor expanded. A band bucket with several texts links each of its texts to one
 leader of the bucket; linked pairs are verified by the exact measure (0.8 or
 more) on the whole texts, and classes are the connected components of verified
 pairs. Buckets whose texts are still in different classes elect other leaders
-(by a hash of the round), and the rounds end when ``QUIET`` rounds in a row
-have joined no class. A bucket of g texts so costs g pairs a round, never g^2.
+(by a hash of round and bucket; by turns for the texts outside the smallest
+class and for those of the classes between), and the rounds end when ``QUIET``
+rounds in a row have joined no class. A bucket of g texts so costs g pairs a round, never g^2.
 
 Skew: buckets are aggregates with map-side combine; joins are by bucket or
 text id, which adaptive execution can split; no group is gathered in a task.
@@ -39,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -46,12 +48,15 @@ from pyspark.sql import functions as F
 
 from quarry.functions.components import connected_components
 from quarry.llm.common import column_lists, saved, with_schema
+from quarry.session import scratch_path
 
 WORDS = 5
 SLOTS, BANDS = 160, 32
 ROWS = SLOTS // BANDS
 LEAST = 0.8
 QUIET = 2
+LEADERS = 2
+PLACES_PER_TASK, PAIRS_PER_TASK = 200_000, 500  # so that late rounds take few tasks
 CACHE = 500_000
 TOKEN = re.compile(r"\w+")
 M64 = (1 << 64) - 1
@@ -82,7 +87,7 @@ class Shingler:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        for w in set(ws) - known.keys():
+        for w in set(ws).difference(known):
             known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
         h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
         n = max(1, len(ws) - k + 1)
@@ -97,21 +102,25 @@ def signature(x: np.ndarray, weight: np.ndarray, slots: int = SLOTS) -> np.ndarr
     """For each slot the shingle with the earliest arrival."""
     first = np.full(slots, np.inf)
     owner = np.zeros(slots, np.uint64)
-    time, state, alive = np.zeros(len(x)), x.copy(), np.arange(len(x))
+    time, seed, alive, done = np.zeros(len(x)), mix64(x), np.arange(len(x)), 0
     while len(alive):
-        # next arrival of each live shingle: an exponential gap and a slot,
-        # both functions of the shingle and the number of the arrival only
-        state = mix64(state + GOLD)
-        gap = -np.log(((state >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53)
-        time = time + gap / weight[alive]
-        slot = (mix64(state ^ GOLD) % np.uint64(slots)).astype(np.int64)
+        # the next arrivals of each live shingle, several at once when few are
+        # live: exponential gaps and slots are functions of the shingle and
+        # the number of the arrival only
+        n = max(1, 512 // len(alive))
+        bits = mix64(seed[:, None] + GOLD * np.arange(done + 1, done + n + 1, dtype=np.uint64))
+        gap = -np.log(((bits >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / weight[alive][:, None]
+        gap[:, 0] += time
+        times = np.cumsum(gap, axis=1)
+        slot = (mix64(bits ^ GOLD) % np.uint64(slots)).astype(np.int64).ravel()
+        flat, which = times.ravel(), np.repeat(alive, n)
+        near = np.flatnonzero(flat < first[slot])
         # latest first, so that the earliest arrival is the last to take a slot
-        order = np.argsort(time)[::-1]
-        order = order[time[order] < first[slot[order]]]
-        first[slot[order]] = time[order]
-        owner[slot[order]] = x[alive[order]]
-        keep = time < first.max()
-        alive, time, state = alive[keep], time[keep], state[keep]
+        near = near[np.argsort(flat[near])[::-1]]
+        first[slot[near]] = flat[near]
+        owner[slot[near]] = x[which[near]]
+        keep = times[:, -1] < first.max()
+        alive, time, seed, done = alive[keep], times[keep, -1], seed[keep], done + n
     return owner
 
 
@@ -155,11 +164,32 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return with_schema(df.select(F.col(key).cast("long"), text), run, "doc_id long, words long, h binary, bands array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (a, b) whose texts have the measure; whole texts meet by two
-    joins on the text id."""
-    left = pairs.join(texts.select(F.col("text_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("text_id").alias("b"), F.col("text").alias("tb")), "b")
+class Bodies:
+    """Texts stored in buckets of their id, in the shared folder: every round
+    joins a few ids to them without moving the texts."""
+
+    def __init__(self, texts: DataFrame):
+        self.spark = texts.sparkSession
+        self.name = f"bodies_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = texts.select("text_id", "text").repartition(n, "text_id").write.format("parquet")
+        writer.bucketBy(n, "text_id").option("path", scratch_path(self.spark, "bodies")).saveAsTable(self.name)
+
+    def of(self, ids: DataFrame, key: str, text: str) -> DataFrame:
+        """``ids`` with the text of ``key``."""
+        return ids.join(self.spark.table(self.name).select(F.col("text_id").alias(key), F.col("text").alias(text)), key)
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def verify(pairs: DataFrame, bodies: Bodies, least: float = LEAST, tasks: int | None = None) -> DataFrame:
+    """The pairs (a, b) whose texts have the measure. The many a texts come by
+    a bucketed join, the leaders' texts are looked up once and joined by a
+    shuffle that can be split when many pairs share a leader. ``tasks`` bounds
+    the number of tasks of a small round."""
+    leaders = bodies.of(pairs.select("b").distinct(), "b", "tb")
+    both = bodies.of(pairs, "a", "ta").join(leaders, "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         shingles = Shingler()
@@ -167,14 +197,19 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFram
         for a, b, ta, tb in column_lists(batches):
             sim = []
             for i, j, x, y in zip(a, b, ta, tb):
-                if j not in held:
+                if (j, y) not in held:
                     if len(held) > 64:
                         held.clear()
-                    held[j] = shingles(words(y))
-                sim.append(probability_jaccard(shingles(words(x)), held[j]))
+                    held[j, y] = shingles(words(y))
+                sim.append(probability_jaccard(shingles(words(x)), held[j, y]))
             yield {"a": a, "b": b, "similarity": sim}
 
-    return with_schema(both.select("a", "b", "ta", "tb"), run, "a long, b long, similarity double").filter(F.col("similarity") >= least)
+    found = with_schema(both.coalesce(tasks) if tasks else both, run, "a long, b long, similarity double")
+    return found.filter(F.col("similarity") >= least)
+
+
+def _classes(links: DataFrame) -> DataFrame:
+    return saved(connected_components(links).withColumnRenamed("node", "text_id"), "classes")
 
 
 def near_duplicates(df: DataFrame, least: float = LEAST) -> DataFrame:
@@ -183,45 +218,71 @@ def near_duplicates(df: DataFrame, least: float = LEAST) -> DataFrame:
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = saved(signatures(docs), "signatures")
     named = sigs.filter("doc_id is not null")
-    low = named.groupBy("h").agg(F.min("doc_id").alias("text_id"))
+    # aggregates are written before they are joined: a join straight on an
+    # aggregate by its key cannot be split, and a hot key would be one task's
+    low = saved(named.groupBy("h").agg(F.min("doc_id").alias("text_id")), "texts")
     member = saved(named.select("doc_id", "h").join(low, "h").select("doc_id", "text_id"), "member")
     # of equal texts one row goes on, of repeated rows too
     heads = saved(named.join(low.withColumnRenamed("text_id", "doc_id"), ["h", "doc_id"]).dropDuplicates(["h", "doc_id"]).select(
         F.col("doc_id").alias("text_id"), F.explode("bands").alias("bucket")), "heads")
     shared = heads.groupBy("bucket").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).filter("lo < hi")
-    places = saved(heads.join(shared.select("bucket"), "bucket").select("bucket", "text_id"), "places")
-    bodies = saved(docs.select(F.col("doc_id").alias("text_id"), "text").join(
-        places.select("text_id").distinct(), "text_id", "left_semi"), "bodies")
+    shared = saved(shared.select("bucket"), "shared")
+    places = saved(heads.join(shared, "bucket").select("bucket", "text_id"), "places")
+    bodies = Bodies(docs.select(F.col("doc_id").alias("text_id"), "text").join(
+        places.select("text_id").distinct(), "text_id", "left_semi"))
     # a doc_id with several texts is one document: its texts are linked
     several = member.groupBy("doc_id").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).filter("lo < hi").select("doc_id")
     same_id = saved(member.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("text_id").alias("b")), "same-id")
     start = None if same_id.isEmpty() else same_id
-    links, tried, quiet, turn = start, None, 0, 0
-    classes = saved(connected_components(links).withColumnRenamed("node", "text_id"), "classes") if links is not None else None
+    tried, quiet, turn = None, 0, 0
+    classes = None if start is None else _classes(start)
+    few = max(8, places.count() // PLACES_PER_TASK)
     while quiet < QUIET:
         now = places.withColumn("c", F.col("text_id")) if classes is None else places.join(
-            classes, "text_id", "left").withColumn("c", F.coalesce("component", "text_id")).select("bucket", "text_id", "c")
-        order = F.struct(F.xxhash64(F.lit(turn), "text_id").alias("o"), F.col("text_id").alias("id"), F.col("c").alias("c"))
-        leaders = now.groupBy("bucket").agg(F.min(order).alias("l"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-        pairs = now.join(leaders, "bucket").filter(F.col("c") != F.col("l.c")).select(F.col("text_id").alias("a"), F.col("l.id").alias("b")).distinct()
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if turn else pairs
+            classes, "text_id", "left").withColumn("c", F.coalesce("component", "text_id")).select("bucket", "text_id", "c").coalesce(few)
+        # turn 0: one leader by an order that all buckets share, for few different pairs. Odd turns: leaders of
+        # the smallest class, mostly the largest one, by orders of the bucket's own, for all other texts.
+        # Even turns: a leader of the highest class for the texts of the classes between.
+        named = [F.col("text_id").alias("id"), F.col("c").alias("c")]
+        if not turn:
+            heads_of = [F.min(F.struct(F.xxhash64("text_id").alias("o"), *named))]
+        elif turn % 2:
+            heads_of = [F.min(F.struct(F.col("c").alias("f"), F.xxhash64(F.lit(turn), F.lit(i), "bucket", "text_id").alias("o"), *named))
+                        for i in range(LEADERS)]
+        else:
+            heads_of = [F.max(F.struct(F.col("c").alias("f"), F.xxhash64(F.lit(turn), "bucket", "text_id").alias("o"), *named))]
+        leaders = now.groupBy("bucket").agg(F.array(*[h["id"] for h in heads_of]).alias("l"), heads_of[0]["c"].alias("lc"),
+                                            F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+        leaders = saved(leaders.coalesce(few), "leaders")
+        # only buckets with texts of several classes go on
+        now = saved(now.join(leaders, "bucket").coalesce(few), "places")
+        places = now.select("bucket", "text_id")
+        led = now.filter(F.col("c") != F.col("lc"))
+        if turn and turn % 2 == 0:
+            led = led.filter(F.col("c") != F.col("lo"))
+        pair = led.select(F.col("text_id").alias("a"), F.explode("l").alias("b"))
+        # in the first round leaders are the b side; later ones are pairs in id order, tried once
+        pairs = pair if not turn else pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs.coalesce(few).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        if pairs.isEmpty():
+        pairs = saved(pairs.coalesce(few), "pairs")
+        n = pairs.count()
+        turn += 1
+        if not n:
             quiet += 1
-            turn += 1
             continue
-        found = saved(verify(pairs, bodies, least).select("a", "b"), "links")
+        found = saved(verify(pairs, bodies, least, max(24, n // PAIRS_PER_TASK)).select("a", "b"), "links")
         both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tried = both if tried is None else tried.unionByName(both)
-        turn += 1
         if found.isEmpty():
             quiet += 1
             continue
         quiet = 0
-        links = found if links is None else links.unionByName(found)
-        classes = saved(connected_components(links).withColumnRenamed("node", "text_id"), "classes")
+        # the classes so far are stars: one edge a text
+        links = found if classes is None else found.unionByName(classes.select(F.col("text_id").alias("a"), F.col("component").alias("b")))
+        classes = _classes(links)
+    bodies.close()
     if classes is None:
         result = member.select("doc_id", "text_id", F.col("text_id").alias("class_id"))
     else:
