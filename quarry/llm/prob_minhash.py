@@ -14,16 +14,26 @@ shingles of a long text stop after one or two arrivals.
 
 Search: 32 bands of 5 slots. Documents with the same normalised words are one text
 first (a hash of the words, compared in full), so that copies are neither compared
-nor expanded. A band bucket with several texts links each of its texts to one
-leader of the bucket; linked pairs are verified by the exact measure (0.8 or
-more) on the whole texts, and classes are the connected components of verified
-pairs. Buckets whose texts are still in different classes elect other leaders
-(by a hash of round and bucket; by turns for the texts outside the smallest
-class and for those of the classes between), and the rounds end when ``QUIET``
-rounds in a row have joined no class. A bucket of g texts so costs g pairs a round, never g^2.
-
-Skew: buckets are aggregates with map-side combine; joins are by bucket or
-text id, which adaptive execution can split; no group is gathered in a task.
+nor expanded. A band bucket with several texts links each of its texts to
+leaders of the bucket, elected by a hash of round, bucket and text; linked pairs are
+verified by the exact measure (0.8 or more) on the whole texts, and classes are
+the connected components of verified pairs. Rounds go on in buckets whose
+texts are in different classes while they join much (``YIELD``); they only make the
+rest small.
+
+Rest: of the texts in buckets that are still open, every pair of different classes is
+tested or proven to be below the threshold. With a and b the shares of two
+documents' weight on shingles that the other lacks, the measure is at most
+(1 - a)(1 - b) / (1 - ab). Shingles are taken in one order for all texts: those
+of one class only, then from rare to frequent. At the first shingle that two texts
+share, all weight before it is unshared, so a pair that can reach the threshold
+meets at a shingle where the bound of the two weights before it does; all pairs that
+meet so are verified. Texts with much of their own meet nobody there, however
+large the bucket.
+
+Skew: buckets are aggregates with map-side combine; joins are by bucket, shingle or
+text id, which adaptive execution can split; no group is gathered in a task. At a
+shingle, texts outside its largest class meet the others, never that class itself.
 
 Texts are read once for signatures; texts that share a bucket are moved once
 more for the exact measure.
@@ -44,6 +54,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.components import connected_components
@@ -54,10 +65,11 @@ WORDS = 5
 SLOTS, BANDS = 160, 32
 ROWS = SLOTS // BANDS
 LEAST = 0.8
-QUIET = 2
 LEADERS = 2
+YIELD = 0.2  # share of its pairs that a round must link for another one
 PLACES_PER_TASK, PAIRS_PER_TASK = 200_000, 500  # so that late rounds take few tasks
 CACHE = 500_000
+SHINGLES_AT_ONCE = 200_000
 TOKEN = re.compile(r"\w+")
 M64 = (1 << 64) - 1
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -212,6 +224,51 @@ def _classes(links: DataFrame) -> DataFrame:
     return saved(connected_components(links).withColumnRenamed("node", "text_id"), "classes")
 
 
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """(text_id, c, total, s, w): every shingle of every text with its weight."""
+
+    def run(batches):
+        shingles = Shingler()
+
+        def rows(part):
+            xs, ws = [x for _, _, x, _ in part], [w for _, _, _, w in part]
+            n = [len(x) for x in xs]
+            return {"text_id": np.repeat([k for k, _, _, _ in part], n), "c": np.repeat([c for _, c, _, _ in part], n),
+                    "total": np.repeat([int(w.sum()) for w in ws], n), "s": np.concatenate(xs).view(np.int64), "w": np.concatenate(ws).astype(np.int64)}
+
+        for ks, cs, ts in column_lists(batches):
+            part, held = [], 0
+            for k, c, t in zip(ks, cs, ts):
+                part.append((k, c, *shingles(words(t))))
+                held += len(part[-1][2])
+                if held > SHINGLES_AT_ONCE:
+                    yield rows(part)
+                    part, held = [], 0
+            if part:
+                yield rows(part)
+
+    return with_schema(texts.select("text_id", "c", "t"), run, "text_id long, c long, total long, s long, w long")
+
+
+def _rest(texts: DataFrame, bodies: Bodies, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes of ``texts`` (text_id, c): all that can have the measure."""
+    rows = saved(_shingle_rows(bodies.of(texts, "text_id", "t")), "shingles")
+    both = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    mine = saved(rows.join(saved(both.select("s", "n"), "common"), "s"), "common-rows")
+    own = F.col("total") - F.sum("w").over(W.partitionBy("text_id"))
+    rarer = F.coalesce(F.sum("w").over(W.partitionBy("text_id").orderBy("n", "s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    met = mine.select("text_id", "c", "s", ((own + rarer) / F.col("total")).alias("u")).filter(F.col("u") <= 1 - least + 1e-9)
+    met = saved(met, "met")
+    top = met.groupBy("s", "c").count().groupBy("s").agg(F.max(F.struct("count", "c"))["c"].alias("top"), F.count(F.lit(1)).alias("n"))
+    met = saved(met.join(saved(top.filter("n > 1").select("s", "top"), "top"), "s"), "met")
+    few = met.filter("c != top").select("s", F.col("text_id").alias("x"), F.col("c").alias("cx"), F.col("u").alias("ux"))
+    can = (1 - F.col("u")) * (1 - F.col("ux")) >= (least - 1e-9) * (1 - F.col("u") * F.col("ux"))
+    # of two texts outside the largest class one order is enough
+    once = (F.col("c") == F.col("top")) | (F.col("text_id") > F.col("x"))
+    pairs = met.join(few, "s").filter((F.col("c") != F.col("cx")) & once & can)
+    return pairs.select(F.least("text_id", "x").alias("a"), F.greatest("text_id", "x").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, least: float = LEAST) -> DataFrame:
     """``doc_id, text_id, class_id`` for every row: the smallest doc_id of the
     same words, and of the near-duplicate class."""
@@ -234,54 +291,48 @@ def near_duplicates(df: DataFrame, least: float = LEAST) -> DataFrame:
     several = member.groupBy("doc_id").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).filter("lo < hi").select("doc_id")
     same_id = saved(member.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("text_id").alias("b")), "same-id")
     start = None if same_id.isEmpty() else same_id
-    tried, quiet, turn = None, 0, 0
+    tried, turn, going = None, 0, True
     classes = None if start is None else _classes(start)
     few = max(8, places.count() // PLACES_PER_TASK)
-    while quiet < QUIET:
+    while True:
         now = places.withColumn("c", F.col("text_id")) if classes is None else places.join(
             classes, "text_id", "left").withColumn("c", F.coalesce("component", "text_id")).select("bucket", "text_id", "c").coalesce(few)
-        # turn 0: one leader by an order that all buckets share, for few different pairs. Odd turns: leaders of
-        # the smallest class, mostly the largest one, by orders of the bucket's own, for all other texts.
-        # Even turns: a leader of the highest class for the texts of the classes between.
+        # turn 0: one leader by an order that all buckets share, for few different pairs; later leaders by
+        # orders of the bucket's own
         named = [F.col("text_id").alias("id"), F.col("c").alias("c")]
-        if not turn:
-            heads_of = [F.min(F.struct(F.xxhash64("text_id").alias("o"), *named))]
-        elif turn % 2:
-            heads_of = [F.min(F.struct(F.col("c").alias("f"), F.xxhash64(F.lit(turn), F.lit(i), "bucket", "text_id").alias("o"), *named))
-                        for i in range(LEADERS)]
-        else:
-            heads_of = [F.max(F.struct(F.col("c").alias("f"), F.xxhash64(F.lit(turn), "bucket", "text_id").alias("o"), *named))]
-        leaders = now.groupBy("bucket").agg(F.array(*[h["id"] for h in heads_of]).alias("l"), heads_of[0]["c"].alias("lc"),
+        orders = [F.xxhash64(F.lit(turn), F.lit(i), "bucket", "text_id") for i in range(LEADERS)] if turn else [F.xxhash64("text_id")]
+        heads_of = [F.min(F.struct(o.alias("o"), *named)) for o in orders]
+        leaders = now.groupBy("bucket").agg(F.array(*[F.struct(h["id"].alias("id"), h["c"].alias("c")) for h in heads_of]).alias("l"),
                                             F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
         leaders = saved(leaders.coalesce(few), "leaders")
         # only buckets with texts of several classes go on
         now = saved(now.join(leaders, "bucket").coalesce(few), "places")
         places = now.select("bucket", "text_id")
-        led = now.filter(F.col("c") != F.col("lc"))
-        if turn and turn % 2 == 0:
-            led = led.filter(F.col("c") != F.col("lo"))
-        pair = led.select(F.col("text_id").alias("a"), F.explode("l").alias("b"))
-        # in the first round leaders are the b side; later ones are pairs in id order, tried once
-        pairs = pair if not turn else pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.coalesce(few).distinct()
+        if going:
+            led = now.select("text_id", "c", F.explode("l").alias("l")).filter("c != l.c")
+            pair = led.select(F.col("text_id").alias("a"), F.col("l.id").alias("b"))
+            # in the first round leaders are the b side; later ones are pairs in id order, tried once
+            pairs = pair if not turn else pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        else:
+            pairs = _rest(now.select("text_id", "c").distinct(), bodies, least)
+        pairs = pairs.coalesce(few).distinct() if going else pairs
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs.coalesce(few), "pairs")
         n = pairs.count()
-        turn += 1
-        if not n:
-            quiet += 1
-            continue
-        found = saved(verify(pairs, bodies, least, max(24, n // PAIRS_PER_TASK)).select("a", "b"), "links")
-        both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tried = both if tried is None else tried.unionByName(both)
-        if found.isEmpty():
-            quiet += 1
-            continue
-        quiet = 0
-        # the classes so far are stars: one edge a text
-        links = found if classes is None else found.unionByName(classes.select(F.col("text_id").alias("a"), F.col("component").alias("b")))
-        classes = _classes(links)
+        found, linked = None, 0
+        if n:
+            found = saved(verify(pairs, bodies, least, max(24, n // PAIRS_PER_TASK)).select("a", "b"), "links")
+            linked = found.count()
+            both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            tried = both if tried is None else tried.unionByName(both)
+        if linked:
+            # the classes so far are stars: one edge a text
+            links = found if classes is None else found.unionByName(classes.select(F.col("text_id").alias("a"), F.col("component").alias("b")))
+            classes = _classes(links)
+        if not going:
+            break
+        turn, going = turn + 1, linked > YIELD * n
     bodies.close()
     if classes is None:
         result = member.select("doc_id", "text_id", F.col("text_id").alias("class_id"))

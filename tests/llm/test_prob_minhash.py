@@ -89,3 +89,24 @@ def test_rows(spark):
     kept = pm.distinct_documents(df)
     assert kept.columns == df.columns and sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 4, 6, 8, 9]
     assert pm.near_duplicates(df.limit(0)).count() == 0 and pm.distinct_documents(df.limit(0)).count() == 0
+
+
+def test_pairs_among_many_alike_texts(spark, monkeypatch):
+    """One bucket of texts 0.7 alike, pairs of 0.85 among them, and smallest and largest ids like nobody."""
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(400)]
+
+    def text(own):
+        return " ".join(base[:330] + [f"o{own}_{i}" for i in range(70)])
+
+    rows = [(k, text(k)) for k in range(150)]
+    for i in range(20):
+        w = rows[30 + 2 * i][1].split()
+        rows.append((100_000 - i if i % 2 else 500 + i, " ".join(w[:-30] + [f"p{i}_{j}" for j in range(30)])))
+    rows += [(200_000 + k, text(200_000 + k)) for k in range(5)]
+    rnd.shuffle(rows)
+    monkeypatch.setattr(pm, "band_hashes", lambda sig: [7])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    got = {r["doc_id"]: r["class_id"] for r in pm.near_duplicates(df).collect()}
+    assert got == want and len(set(want.values())) == len(rows) - 20
