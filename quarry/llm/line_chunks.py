@@ -1,11 +1,12 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup over overlapping chunks of lines.
 
-A rolling hash over the hashes of the last ``WINDOW`` lines decides after
-which lines a chunk ends, so an inserted or lost line moves the boundaries
-near it only, and a passage that two documents share is cut alike in both. A
-line of ``LONG`` words or more is a chunk of its own (a passage written as one
-line). A chunk takes part if it has at least two lines that are not blank, or
-is such a long line; single short lines are never removed.
+A chunk begins at every line that is not blank and ends with the next such line,
+so chunks depend on their own lines only, and a passage that two documents share is
+cut alike in both from its first line to its last. A run of repeated chunks is
+the whole shared run of lines, and all its lines go. A line of ``LONG`` words or
+more is a chunk of its own as well (a passage written as one line). Single
+short lines are never removed. A line goes only if the same line stands in an
+earlier place, so the first place of every line stays.
 
 1. One pass over the texts gives chunk hashes; their aggregate gives the
    repeated hashes and the place that is kept (smallest doc_id, then text
@@ -30,44 +31,41 @@ from __future__ import annotations
 
 import hashlib
 
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import column_lists, saved, with_schema
 
-WINDOW = 2
-DIVISOR = 3
 LONG = 50
-M64 = (1 << 64) - 1
-BASE = 0x9E3779B97F4A7C15
 
 
 def is_long(line: str) -> bool:
     return len(line) >= 2 * LONG - 1 and len(line.split()) >= LONG
 
 
-def chunks(lines: list[str]) -> list[tuple[int, int, bool]]:
-    """(first line, end, takes part) of each chunk."""
-    long = [is_long(x) for x in lines]
-    hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
-    lead = pow(BASE, WINDOW, 1 << 64)
-    out, start, rolling = [], 0, 0
-    for i, h in enumerate(hashes):
-        rolling = (rolling * BASE + h) & M64
-        if i >= WINDOW:
-            rolling = (rolling - hashes[i - WINDOW] * lead) & M64
-        last = i + 1 == len(lines)
-        mixed = rolling * 0xD6E8FEB86659FD93 & M64
-        if last or long[i] or long[i + 1] or (mixed >> 32) % DIVISOR == 0:
-            alone = i == start and long[i]
-            out.append((start, i + 1, alone or sum(1 for x in lines[start:i + 1] if x.strip()) >= 2))
-            start = i + 1
+def chunks(lines: list[str]) -> list[tuple[int, int, int]]:
+    """(first line, next line that is not blank, lines that take part: 2, 1
+    for a long line alone, 0 for none) of each chunk."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    if not full:
+        return [(0, len(lines), 0)]
+    out = [(0, full[0], 0)] if full[0] else []
+    for i, end in zip(full, [*full[1:], len(lines)]):
+        out.append((i, end, 2 if end < len(lines) else 0))
+        if is_long(lines[i]):
+            out.append((i, end, 1))
     return out
 
 
+def lines_of(span: tuple) -> tuple[int, int]:
+    """(first line, end) of what a chunk that takes part compares and removes."""
+    start, end, n = span
+    return (start, end + 1) if n == 2 else (start, start + 1)
+
+
 def body(lines: list[str], span: tuple) -> bytes:
-    return "\n".join(lines[span[0]:span[1]]).encode()
+    a, b = lines_of(span)
+    return "\n".join(lines[a:b]).encode()
 
 
 def chunk_hash(data: bytes) -> bytes:
@@ -140,13 +138,16 @@ def removals(df: DataFrame) -> DataFrame:
 
 def _without(text: str, gone) -> tuple[list[str], list[tuple[int, int]]]:
     lines = text.split("\n")
-    drop, kept, spans = set(gone), [], []
-    for at, (a, b, _) in enumerate(chunks(lines)):
-        if at in drop:
-            spans.append((a, b))
+    cut, spans, kept, at = chunks(lines), [], [], 0
+    for a, b in sorted(lines_of(cut[i]) for i in gone):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
         else:
-            kept += lines[a:b]
-    return kept, spans
+            spans.append((a, b))
+    for a, b in spans:
+        kept += lines[at:a]
+        at = b
+    return kept + lines[at:], spans
 
 
 def report(df: DataFrame) -> DataFrame:

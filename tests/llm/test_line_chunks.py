@@ -82,3 +82,21 @@ def test_real_documents_and_rows(spark):
     texts = [(r["doc_id"], r["text"]) for r in out.collect()]
     assert texts.count((3, two)) == 2 and (5, "\n\n\n") in texts and (6, "\n\n\n") in texts and (2, None) in texts
     assert lc.report(df.limit(0)).count() == 0 and lc.dedup(df.limit(0)).count() == 0
+
+
+def test_short_passages_go_whole(spark):
+    rnd = random.Random(8)
+    rows, passages = [], []
+    for n in range(3, 9):  # passages of 3 to 8 lines and over 50 words between lines of the document's own
+        for _ in range(5):
+            p = [line(rnd, 18) for _ in range(n)]
+            if n % 2:
+                p.insert(2, "")
+            passages.append(p)
+            for _ in range(2):
+                rows.append((len(rows), "\n".join([line(rnd), line(rnd), *p, line(rnd), line(rnd)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in lc.dedup(df).collect()}
+    for i, p in enumerate(passages):
+        first, second = rows[2 * i][1].split("\n"), rows[2 * i + 1][1].split("\n")
+        assert got[2 * i] == first and got[2 * i + 1] == second[:2] + second[-2:]
