@@ -115,11 +115,11 @@ def q_train_many(spark, d):
 
 @query("train_many_tuned")
 def q_train_many_tuned(spark, d):
-    """train_many with tuning on (3 trials) and k-fold CV scores; returns the
+    """train_many with tuning on (10 trials) and k-fold CV scores; returns the
     runs with their flags."""
     cfg = TrainConfig(task="classification", target="quality", key="doc_id", features=DOC_FEATURES,
                       models=["logistic_regression", "random_forest"], use_cv=True, cv_folds=3,
-                      hpo={"enabled": True, "n_trials": 3},
+                      hpo={"enabled": True, "n_trials": 10},
                       experiment="document_quality_tuned")
     res = train_many(spark, quality_frame(spark, d), cfg)
     return res.runs.select("model", "status", "hpo_used", "score", F.col("metrics")["cv_mean"].alias("cv_mean"),

@@ -172,3 +172,19 @@ def test_nan_is_missing(spark):
     r = profile_numeric(df).first()
     assert (r["null_count"], r["min"], r["max"], r["mean"], r["median"]) == (2, 1.0, 3.0, 2.0, 2.0)
     assert profile_nulls(df).first()["null_count"] == 2
+
+
+def test_registered_tuning_asks_for_its_whole_search(spark, monkeypatch):
+    from quarry.plans import queries_models as qm
+
+    class Asked(Exception):
+        pass
+
+    def asked(_, __, cfg):
+        raise Asked(cfg.hpo["n_trials"])
+
+    monkeypatch.setattr(qm, "quality_frame", lambda *_: None)
+    monkeypatch.setattr(qm, "train_many", asked)
+    with pytest.raises(Asked) as e:
+        qm.q_train_many_tuned(spark, "")
+    assert e.value.args[0] >= 10
