@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import learned_partitions, license_scan, line_chunks, mixing, prob_minhash, quality, syncmers, toxicity
+from quarry.llm import learned_partitions, license_scan, line_chunks, mixing, prob_minhash, quality, stream_dedup, syncmers, toxicity
 from quarry.llm.common import table
 from quarry.llm.elias_fano import token_files
 from quarry.llm.prefix_bpe import round_trip
@@ -95,3 +95,9 @@ def op9(spark, d):
 def op10(spark, d):
     """Repeated line chunks of every document."""
     return line_chunks.report(table(spark, d, "documents"))
+
+
+@query("op13_stream_dedup", stream_dedup.ORACLE)
+def op13(spark, d):
+    """Exact copies of every document."""
+    return stream_dedup.report(spark, f"{d.rstrip('/')}/documents.parquet")
