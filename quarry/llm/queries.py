@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import learned_partitions, license_scan, line_chunks, mixing, prob_minhash, quality, stream_dedup, syncmers, toxicity
+from quarry.llm import fill_in_middle, learned_partitions, license_scan, line_chunks, mixing, prefix_trie, prob_minhash, quality, stream_dedup, syncmers, toxicity
 from quarry.llm.common import table
 from quarry.llm.elias_fano import token_files
 from quarry.llm.prefix_bpe import round_trip
@@ -97,6 +97,18 @@ def op10(spark, d):
     return line_chunks.report(table(spark, d, "documents"))
 
 
+@query("op11_prefix_trie", prefix_trie.ORACLE)
+def op11(spark, d):
+    """Prefix trie of the rebuilt conversations with subtree rollups."""
+    return prefix_trie.rebuilt_trie(table(spark, d, "conversations"))
+
+
+@query("op12_fill_in_middle", fill_in_middle.ORACLE)
+def op12(spark, d):
+    """Fill-in-middle form of every document."""
+    return fill_in_middle.report(table(spark, d, "documents"))
+
+
 @query("op13_stream_dedup", stream_dedup.ORACLE)
 def op13(spark, d):
     """Exact copies of every document."""
