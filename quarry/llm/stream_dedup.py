@@ -42,6 +42,8 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # one bound for all state partitions of an executor
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # files as large as what they hold, however many state partitions there are
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 Digest = Callable[[Column], Column]
 
@@ -103,7 +105,8 @@ def _same_bytes(docs: DataFrame, hits: DataFrame, total: int) -> DataFrame:
     """``digest, text, kept, n`` of the texts whose digest is a hit."""
     least = int(total * HOT_SHARE)
     hot = docs.join(F.broadcast(hits.filter(F.col("n") > least).select("digest")), "digest", "left_semi")
-    rest = docs.join(hits.filter(F.col("n") <= least).select("digest"), "digest", "left_semi")
+    # always a shuffle: the hits grow with the data
+    rest = docs.join(hits.filter(F.col("n") <= least).select("digest").hint("merge"), "digest", "left_semi")
     return hot.groupBy("digest", "text").agg(*_kept()).unionByName(rest.groupBy("digest", "text").agg(*_kept()))
 
 
