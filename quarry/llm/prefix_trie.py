@@ -213,8 +213,8 @@ def rebuilt_trie(df: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
 
 
 #: the reflected polynomial of CRC-32
-CRC = ("xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), x -> ascii(x)::UBIGINT), "
-       "(s, b) -> list_reduce([xor(s, b)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0], (u, v) -> xor(u >> 1, 3988292384::UBIGINT * (u & 1)))), 4294967295::UBIGINT)")
+CRC = ("xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT), "
+       "lambda s, b: list_reduce([xor(s, b)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384::UBIGINT * (u & 1)))), 4294967295::UBIGINT)")
 ORACLE = rf"""
 WITH t AS (SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
                   len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS words FROM conversations WHERE conv_id IS NOT NULL),
