@@ -51,6 +51,7 @@ def fit_model(task: str, name: str, train: DataFrame, features: list[str], param
     the columns that have any). With ``horizon`` above 1 the label column is an
     array and one model is fitted per step."""
     from quarry.models import supervised as S
+    from quarry.models import tree_models as T
 
     if horizon > 1 and task == "timeseries":
         from quarry.models.forecast import MultiHorizonModel
@@ -59,6 +60,9 @@ def fit_model(task: str, name: str, train: DataFrame, features: list[str], param
                                             series_key=series_key, time_col=time_col, index_col=index_col) for i in range(horizon)])
     if not (task == "timeseries" and name in ("arima", "prophet")):
         require_complete(train, features)
+    if task in ("classification", "regression", "timeseries") and name in T.PARAMETERS:
+        fit = T.fit_forest if name == "random_forest" else T.fit_boosting
+        return fit(train, features, name, params, task, max(n_classes, 2) if task == "classification" else 0)
     if task == "classification":
         m = S.fit_classifier(train, features, name, params, max(n_classes, 2))
         return PipelineFitted(m, features, task, name)
@@ -81,12 +85,10 @@ def fit_model(task: str, name: str, train: DataFrame, features: list[str], param
         params.setdefault("contamination", contamination)
         if name == "random_forest_supervised":
             w = S.balanced_weights(train)
-            return PipelineFitted(S.fit_classifier(w, features, "random_forest", _no(params, "contamination"), 2, "weight"),
-                                  features, task, name)
+            return T.fit_forest(w, features, name, params, task, 2, "weight")
         if name == "xgboost_supervised":
             w = S.positive_weights(train, float(params.get("scale_pos_weight", 10)))
-            p = _no(params, "contamination", "scale_pos_weight")
-            return PipelineFitted(S.fit_classifier(w, features, "xgboost_supervised", p, 2, "weight"), features, task, name)
+            return T.fit_boosting(w, features, name, params, task, 2, "weight")
         return A.fit_anomaly(name, train, features, params, key=key)
     if task == "clustering":
         from quarry.models import clustering as C
@@ -95,6 +97,3 @@ def fit_model(task: str, name: str, train: DataFrame, features: list[str], param
         return C.fit_clustering(name, train, features, params, key=key, n_clusters=n_clusters)
     raise ValueError(f"unknown task {task!r}")
 
-
-def _no(params: dict, *names: str) -> dict:
-    return {k: v for k, v in params.items() if k not in names}

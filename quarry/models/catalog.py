@@ -1,8 +1,8 @@
 """Model catalogue (§2.7): 30 entries across five tasks.
 
 Fixed values: the catalogue defaults below are the reference's defaults,
-stated as given (reference parameter names). ``PARAM_NAMES`` maps them to
-MLlib names. Every estimator is seeded (seed 42, quirk Q12).
+stated as given (reference parameter names). Every estimator is seeded (seed
+42, quirk Q12).
 """
 
 from __future__ import annotations
@@ -51,17 +51,7 @@ CATALOG: dict[str, dict[str, dict]] = {
     },
 }
 
-# Reference name -> MLlib name, per estimator family.
-PARAM_NAMES = {
-    "forest": {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode",
-               "max_features": "featureSubsetStrategy", "colsample_bytree": "featureSubsetStrategy"},
-    "boost": {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize",
-              "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
-              "min_samples_leaf": "minInstancesPerNode"},
-}
-
 DEFAULT_MODEL_COUNT = 3
-MAX_DEPTH = 30
 SEED = 42
 
 
@@ -88,34 +78,9 @@ def validate_models(task: str, names: list[str] | None, overrides: dict | None =
     return {"valid": valid, "invalid": invalid}
 
 
-FAMILY = {"random_forest": "forest", "random_forest_supervised": "forest", "gradient_boosting": "boost", "xgboost": "boost",
-          "lightgbm": "boost", "xgboost_supervised": "boost"}
-
-
 def ignored_params(name: str, params: dict) -> list[str]:
-    """Parameters of a tree ensemble that MLlib has no counterpart for."""
-    if name not in FAMILY:
-        return []
-    own = {"class_weight", "scale_pos_weight", "contamination"}
-    return sorted(k for k in params if k not in PARAM_NAMES[FAMILY[name]] and k not in own)
-
+    """Parameters of a tree ensemble that no option stands for."""
+    from quarry.models.tree_models import PARAMETERS
 
-def mllib_params(family: str, params: dict) -> tuple[dict, dict]:
-    """Map reference params to MLlib ones; return (mapped, dropped)."""
-    names = PARAM_NAMES[family]
-    mapped, dropped = {}, {}
-    for k, v in params.items():
-        if k in names:
-            tgt = names[k]
-            if tgt == "featureSubsetStrategy":
-                v = {"sqrt": "sqrt", "log2": "log2", None: "all", "all": "all"}.get(v, str(v))
-            if tgt == "maxDepth":
-                v = int(v)
-                if v > MAX_DEPTH:
-                    raise ValueError(f"max_depth {v} is above {MAX_DEPTH}, the deepest tree MLlib builds")
-            if tgt in ("numTrees", "maxIter", "minInstancesPerNode"):
-                v = int(v)
-            mapped[tgt] = v
-        else:
-            dropped[k] = v
-    return mapped, dropped
+    own = {"class_weight", "scale_pos_weight", "contamination"}
+    return sorted(k for k in params if k not in PARAMETERS[name] and k not in own) if name in PARAMETERS else []

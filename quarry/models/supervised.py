@@ -1,5 +1,5 @@
-"""Supervised estimators as MLlib pipelines (§2.7, classification /
-regression / lag-based time series / supervised anomaly).
+"""Linear and kernel estimators as MLlib pipelines (§2.7, classification /
+regression / lag-based time series); tree ensembles are in ``tree_models``.
 
 Pipeline = VectorAssembler over numeric features (text is encoded to ordinal
 codes before, by one dictionary for training and serving) -> [kernel
@@ -16,9 +16,7 @@ import math
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.feature import VectorAssembler
@@ -26,11 +24,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.models.catalog import SEED, mllib_params
+from quarry.models.catalog import SEED
 
 FEATURES = "features"
 LABEL = "label"
@@ -117,7 +115,7 @@ def feature_variance(df: DataFrame, features: list[str]) -> float:
     return float(row["v"] or 0.0)
 
 
-def classifier_estimator(name: str, params: dict, n_train: int, n_classes: int, d: int, weight_col: str | None = None):
+def classifier_estimator(name: str, params: dict, n_train: int, n_classes: int, d: int):
     """The MLlib estimator(s) for a catalogue classifier; returns
     (extra_stages, estimator, record of dropped params)."""
     p = dict(params)
@@ -150,21 +148,6 @@ def classifier_estimator(name: str, params: dict, n_train: int, n_classes: int,
                          featuresCol=fcol, labelCol=LABEL, standardization=False)
         est = base if n_classes <= 2 else OneVsRest(classifier=base, featuresCol=fcol, labelCol=LABEL)
         dropped = p
-    elif name in ("random_forest", "random_forest_supervised"):
-        p.pop("class_weight", None)
-        m, dropped = mllib_params("forest", p)
-        est = RandomForestClassifier(seed=SEED, featuresCol=FEATURES, labelCol=LABEL, **m)
-        if weight_col:
-            est.setWeightCol(weight_col)
-        extra = []
-    elif name in ("gradient_boosting", "xgboost", "lightgbm", "xgboost_supervised"):
-        p.pop("scale_pos_weight", None)
-        m, dropped = mllib_params("boost", p)
-        base = GBTClassifier(seed=SEED, featuresCol=FEATURES, labelCol=LABEL, **m)
-        if weight_col:
-            base.setWeightCol(weight_col)
-        est = base if n_classes <= 2 else OneVsRest(classifier=base, featuresCol=FEATURES, labelCol=LABEL)
-        extra = []
     else:
         raise ValueError(f"unknown classifier {name!r}")
     return extra, est, dropped
@@ -184,23 +167,16 @@ def regressor_estimator(name: str, params: dict, n_train: int, y_std_pop: float)
         return LinearRegression(regParam=alpha, elasticNetParam=1.0, standardization=False,
                                 maxIter=int(p.pop("max_iter", 5000)), tol=1e-8,
                                 featuresCol=FEATURES, labelCol=LABEL), p
-    if name == "random_forest":
-        m, dropped = mllib_params("forest", p)
-        return RandomForestRegressor(seed=SEED, featuresCol=FEATURES, labelCol=LABEL, **m), dropped
-    if name in ("xgboost", "lightgbm", "gradient_boosting"):
-        m, dropped = mllib_params("boost", p)
-        return GBTRegressor(seed=SEED, featuresCol=FEATURES, labelCol=LABEL, **m), dropped
     raise ValueError(f"unknown regressor {name!r}")
 
 
-def fit_classifier(train: DataFrame, features: list[str], name: str, params: dict, n_classes: int,
-                   weight_col: str | None = None, handle_invalid: str = "keep") -> PipelineModel:
+def fit_classifier(train: DataFrame, features: list[str], name: str, params: dict, n_classes: int, handle_invalid: str = "keep") -> PipelineModel:
     """Fit a catalogue classifier on ``train`` (needs a double ``label``)."""
     n = train.count()
     p = dict(params)
     if name == "svm" and p.get("kernel", "rbf") != "linear" and p.get("gamma", "scale") == "scale":
         p["_feature_var"] = feature_variance(train, features)
-    extra, est, _ = classifier_estimator(name, p, n, n_classes, len(features), weight_col)
+    extra, est, _ = classifier_estimator(name, p, n, n_classes, len(features))
     return Pipeline(stages=feature_stages(train, features, handle_invalid) + extra + [est]).fit(train)
 
 

@@ -184,17 +184,16 @@ def q_log_tuning(spark, d):
 
 @query("write_model")
 def q_write_model(spark, d):
-    """Save the flagship's best pipeline with a 5-row input example, load it
+    """Save the flagship's best model (of any class) with a 5-row input example, load it
     back and score every labelled document with the reloaded model."""
-    from quarry.models import PipelineFitted
-    from quarry.sources.sinks import load_model, write_model
+    from quarry.models.served import load_model
+    from quarry.sources.sinks import write_model
 
     res = document_quality(spark, d)
     best = res.leaderboard.where("rank = 1").select("model").first()[0]
-    fitted = res.models[best]
     path = scratch_path(spark, "model")
-    write_model(fitted.model, path, example=res.prepared.select(*DOC_FEATURES))
-    again = PipelineFitted(load_model(path), DOC_FEATURES, "classification", best)  # prepared rows are encoded already
+    write_model(res.models[best], path, example=res.prepared.select(*DOC_FEATURES))
+    again = load_model(spark, f"{path}/served_model").fitted  # prepared rows are encoded already
     return again.transform(res.prepared).select("doc_id", "split", "label", "prediction")
 
 

@@ -7,9 +7,14 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 
-def write_model(model: PipelineModel, path: str, example: DataFrame | None = None, n_example: int = 5) -> str:
-    """Persist a fitted pipeline, plus a small input example next to it."""
-    model.write().overwrite().save(f"{path}/model")
+def write_model(model, path: str, example: DataFrame | None = None, n_example: int = 5) -> str:
+    """Persist a model, plus a small input example next to it: an MLlib
+    pipeline, or a ``ServedModel`` of any class (read back by ``load_model`` and
+    ``quarry.models.served.load_model``)."""
+    if isinstance(model, PipelineModel):
+        model.write().overwrite().save(f"{path}/model")
+    else:
+        model.save(f"{path}/served_model")
     if example is not None:
         example.limit(n_example).write.mode("overwrite").parquet(f"{path}/input_example")
     return path

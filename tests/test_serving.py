@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarry.models import anomaly as A
 from quarry.models import clustering as C
 from quarry.models import fit_model
-from quarry.models.catalog import CATALOG, mllib_params
+from quarry.models.catalog import CATALOG, ignored_params
 from quarry.models.served import load_model
 from quarry.operators.profile import profile_nulls, profile_numeric
 from quarry.plans.train import TrainConfig, train_many
@@ -156,15 +156,15 @@ def test_tuning_runs_what_was_asked(spark, monkeypatch):
     monkeypatch.setattr(models, "fit_model", lambda t, n, tr, f, p, **kw: (seen.append(p), real(t, n, tr, f, {**p, **SMALL}, **kw))[1])
     space = {"min_samples_split": {"type": "int", "low": 2, "high": 9}, "max_depth": {"type": "int", "low": 2, "high": 4}}
     t = tune_holdout(spark, "classification", "random_forest", df, df, ["x", "z"], space, n_trials=3).collect()
-    assert len(t) == 3 and all(p["n_estimators"] == 300 for p in seen) and all(r["ignored"] == ["min_samples_split"] for r in t)
+    assert len(t) == 3 and all(p["n_estimators"] == 300 for p in seen) and all(r["ignored"] == [] for r in t)
     t = tune_cv(spark, "classification", "random_forest", df, ["x", "z"], 2, space, n_trials=1, overrides={"max_depth": 2}, timeout_min=5).collect()
     assert t[0]["params"]["max_depth"] == "2" and t[0]["status"] == "FINISHED"
     t = tune_cv(spark, "classification", "svm", df, ["x", "z"], 2, {"kernel": {"type": "categorical", "choices": ["sigmoid"]}}, n_trials=1).collect()
     assert t[0]["status"] == "FAILED" and "sigmoid" in t[0]["error"]
     with pytest.raises(ValueError):
         checked_trials(0)
-    with pytest.raises(ValueError):
-        mllib_params("forest", {"max_depth": 31})
+    # trees honour min_samples_split and any depth (tests/test_trees.py); what they have no option for is named
+    assert ignored_params("random_forest", {"max_depth": 31, "warm_start": True}) == ["warm_start"]
 
 
 def test_nan_is_missing(spark):
