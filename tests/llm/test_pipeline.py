@@ -82,7 +82,7 @@ def test_bpe(steps):
 
 def test_run_and_registration(spark, steps):
     q = __spark_entry__.queries()
-    assert {int(k[2:].split("_")[0]) for k in q if k.startswith("op")} == set(range(1, 11)) and "pipeline" in q
+    assert {int(k[2:].split("_")[0]) for k in q if k.startswith("op")} == set(range(1, 14)) and "pipeline" in q
     got = sorted(tuple(r) for r in q["pipeline"](spark, SF).collect())
     assert got == sorted(tuple(r) for r in steps[5].collect())
 
