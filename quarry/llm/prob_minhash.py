@@ -21,19 +21,16 @@ the connected components of verified pairs. Rounds go on in buckets whose
 texts are in different classes while they join much (``YIELD``); they only make the
 rest small.
 
-Rest: of the texts in buckets that are still open, every pair of different classes is
-tested or proven to be below the threshold. With a and b the shares of two
+Rest: in the buckets that are still open, every pair of texts of different classes is
+tested or proven to be below the threshold. A bucket's texts are dealt to tasks in blocks, two
+blocks meet in one task, and only links leave it. With a and b the shares of two
 documents' weight on shingles that the other lacks, the measure is at most
-(1 - a)(1 - b) / (1 - ab). Shingles are taken in one order for all texts: those
-of one class only, then from rare to frequent. At the first shingle that two texts
-share, all weight before it is unshared, so a pair that can reach the threshold
-meets at a shingle where the bound of the two weights before it does; all pairs that
-meet so are verified. Texts with much of their own meet nobody there, however
-large the bucket.
+(1 - a)(1 - b) / (1 - ab), with equality where no shingle repeats; the shares of all pairs of two
+blocks are two matrix products, and pairs at or above the threshold by this bound are measured.
 
-Skew: buckets are aggregates with map-side combine; joins are by bucket, shingle or
-text id, which adaptive execution can split; no group is gathered in a task. At a
-shingle, texts outside its largest class meet the others, never that class itself.
+Skew: buckets are aggregates with map-side combine; joins are by bucket or
+text id, which adaptive execution can split; no group is gathered in a task. In an open
+bucket, texts outside its largest class meet the others, never that class itself.
 
 Texts are read once for signatures; texts that share a bucket are moved once
 more for the exact measure.
@@ -54,7 +51,6 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.components import connected_components
@@ -69,7 +65,8 @@ LEADERS = 2
 YIELD = 0.2  # share of its pairs that a round must link for another one
 PLACES_PER_TASK, PAIRS_PER_TASK = 200_000, 500  # so that late rounds take few tasks
 CACHE = 500_000
-SHINGLES_AT_ONCE = 200_000
+BLOCK = 512  # texts of one side that meet in a task
+SLAB = 4096  # shingles of one product
 TOKEN = re.compile(r"\w+")
 M64 = (1 << 64) - 1
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -224,49 +221,128 @@ def _classes(links: DataFrame) -> DataFrame:
     return saved(connected_components(links).withColumnRenamed("node", "text_id"), "classes")
 
 
-def _shingle_rows(texts: DataFrame) -> DataFrame:
-    """(text_id, c, total, s, w): every shingle of every text with its weight."""
+def _payload(texts: DataFrame) -> DataFrame:
+    """(text_id, x, w): the shingles of every text and their weights (null: all 1)."""
 
     def run(batches):
         shingles = Shingler()
+        for ks, ts in column_lists(batches):
+            found = [shingles(words(t)) for t in ts]
+            yield {"text_id": ks, "x": [x.tobytes() for x, _ in found], "w": [None if (w == 1).all() else w.astype(np.float32).tobytes() for _, w in found]}
+
+    return with_schema(texts.select("text_id", "t"), run, "text_id long, x binary, w binary")
+
+
+def shared_weights(left: list[tuple], right: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """left x right: the share of each text's weight on shingles that the other has.
+    Only shingles of both sides count; the products are taken by slabs of them."""
+    both = np.intersect1d(np.unique(np.concatenate([x for x, _ in left])), np.unique(np.concatenate([x for x, _ in right])), assume_unique=True)
+    out = [np.zeros((len(left), len(right)), np.float32) for _ in range(2)]
+
+    def cells(side):
+        row = np.repeat(np.arange(len(side)), [len(x) for x, _ in side])
+        x, w = np.concatenate([x for x, _ in side]), np.concatenate([w / w.sum() for _, w in side])
+        at = np.searchsorted(both, x)
+        held = at < len(both)
+        held[held] = both[at[held]] == x[held]
+        order = np.argsort(at[held], kind="stable")
+        return row[held][order], at[held][order], w[held][order]
+
+    sides = [cells(side) for side in (left, right)]
+    for first in range(0, len(both), SLAB):
+        weights, there = [], []
+        for side, (row, at, w) in zip((left, right), sides):
+            i, j = np.searchsorted(at, [first, first + SLAB])
+            m = np.zeros((len(side), min(SLAB, len(both) - first)), np.float32)
+            m[row[i:j], at[i:j] - first] = w[i:j]
+            weights.append(m)
+            there.append((m > 0).astype(np.float32))
+        out[0] += weights[0] @ there[1].T
+        out[1] += there[0] @ weights[1].T
+    return out[0], out[1]
+
+
+def linked_pairs(left: list[tuple], right: list[tuple] | None, least: float) -> list[tuple[int, int]]:
+    """Links between texts (id, class, shingles, weights) of ``left`` and ``right`` (None: inside
+    ``left``) of different classes: enough of them to connect what is linked. With a and b
+    the unshared shares of two texts, the measure is at most (1 - a)(1 - b) / (1 - ab),
+    and equal to it where no shingle repeats; others at or above it are measured."""
+    other = left if right is None else right
+    s, t = shared_weights([r[2:] for r in left], [r[2:] for r in other])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bound = s * t / (s + t - s * t)
+    parent: dict = {}
+
+    def root(c):
+        while parent.get(c, c) != c:
+            parent[c] = parent.get(parent[c], parent[c])
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(bound >= least - 1e-4)):
+        a, b = left[i], other[j]
+        if a[0] == b[0] or (right is None and j < i):
+            continue
+        ra, rb = root(a[1]), root(b[1])
+        if ra != rb and probability_jaccard(a[2:], b[2:]) >= least:
+            parent[max(ra, rb)] = min(ra, rb)
+            out.append((a[0], b[0]))
+    return out
+
+
+def _rest(places: DataFrame, bodies: Bodies, least: float) -> DataFrame:
+    """Links (a, b) between different classes of the texts that share a bucket of ``places``
+    (bucket, text_id, c). A bucket is its largest class and the others; the others
+    meet each other and that class, block by block, in one task for two blocks, and
+    only links leave the task."""
+    payload = saved(_payload(bodies.of(places.select("text_id").distinct(), "text_id", "t")), "shingles")
+    per_class = places.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
+    sizes = per_class.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"))
+
+    def blocks(n):
+        return F.ceil(n / BLOCK).cast("int")
+
+    sizes = saved(sizes.select("bucket", F.col("top.c").alias("top"), blocks(F.col("n") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("tops")), "sizes")
+    rows = places.join(sizes, "bucket").withColumn("is_top", F.col("c") == F.col("top"))
+    block = F.pmod(F.xxhash64("text_id"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others"))).cast("int")
+    rows = rows.withColumn("block", block)
+
+    def pairs(kind, n, i, j, side):
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.lit(kind).alias("kind"), i(x).alias("i"), j(x).alias("j"), side(x).alias("side")))
+
+    mine = F.col("block")
+    with_others = pairs(0, F.col("others"), lambda x: F.least(mine, x), lambda x: F.greatest(mine, x), lambda x: (mine > x).cast("int"))
+    with_top = pairs(1, F.col("tops"), lambda x: mine, lambda x: x, lambda x: F.lit(0))
+    of_top = pairs(1, F.col("others"), lambda x: x, lambda x: mine, lambda x: F.lit(1))
+    dealt = rows.select("bucket", "text_id", "c", F.explode(F.when(F.col("is_top"), of_top).otherwise(F.concat(with_others, with_top))).alias("g"))
+    group = ["bucket", "kind", "i", "j"]
+    dealt = dealt.select("bucket", "text_id", "c", "g.kind", "g.i", "g.j", "g.side").join(payload, "text_id")
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group)
 
-        def rows(part):
-            xs, ws = [x for _, _, x, _ in part], [w for _, _, _, w in part]
-            n = [len(x) for x in xs]
-            return {"text_id": np.repeat([k for k, _, _, _ in part], n), "c": np.repeat([c for _, c, _, _ in part], n),
-                    "total": np.repeat([int(w.sum()) for w in ws], n), "s": np.concatenate(xs).view(np.int64), "w": np.concatenate(ws).astype(np.int64)}
-
-        for ks, cs, ts in column_lists(batches):
-            part, held = [], 0
-            for k, c, t in zip(ks, cs, ts):
-                part.append((k, c, *shingles(words(t))))
-                held += len(part[-1][2])
-                if held > SHINGLES_AT_ONCE:
-                    yield rows(part)
-                    part, held = [], 0
-            if part:
-                yield rows(part)
-
-    return with_schema(texts.select("text_id", "c", "t"), run, "text_id long, c long, total long, s long, w long")
-
-
-def _rest(texts: DataFrame, bodies: Bodies, least: float) -> DataFrame:
-    """Pairs (a, b) of different classes of ``texts`` (text_id, c): all that can have the measure."""
-    rows = saved(_shingle_rows(bodies.of(texts, "text_id", "t")), "shingles")
-    both = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-    mine = saved(rows.join(saved(both.select("s", "n"), "common"), "s"), "common-rows")
-    own = F.col("total") - F.sum("w").over(W.partitionBy("text_id"))
-    rarer = F.coalesce(F.sum("w").over(W.partitionBy("text_id").orderBy("n", "s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    met = mine.select("text_id", "c", "s", ((own + rarer) / F.col("total")).alias("u")).filter(F.col("u") <= 1 - least + 1e-9)
-    met = saved(met, "met")
-    top = met.groupBy("s", "c").count().groupBy("s").agg(F.max(F.struct("count", "c"))["c"].alias("top"), F.count(F.lit(1)).alias("n"))
-    met = saved(met.join(saved(top.filter("n > 1").select("s", "top"), "top"), "s"), "met")
-    few = met.filter("c != top").select("s", F.col("text_id").alias("x"), F.col("c").alias("cx"), F.col("u").alias("ux"))
-    can = (1 - F.col("u")) * (1 - F.col("ux")) >= (least - 1e-9) * (1 - F.col("u") * F.col("ux"))
-    # of two texts outside the largest class one order is enough
-    once = (F.col("c") == F.col("top")) | (F.col("text_id") > F.col("x"))
-    pairs = met.join(few, "s").filter((F.col("c") != F.col("cx")) & once & can)
-    return pairs.select(F.least("text_id", "x").alias("a"), F.greatest("text_id", "x").alias("b")).distinct()
+    def run(batches):
+        def links(key, held):
+            sides = [[r[1:] for r in held if r[0] == x] for x in (0, 1)]
+            inside = key[1] == 0 and key[2] == key[3]
+            if inside and len(held) > 1:
+                return linked_pairs([r[1:] for r in held], None, least)
+            return linked_pairs(sides[0], sides[1], least) if not inside and sides[0] and sides[1] else []
+
+        now, held = None, []
+        for *keys, side, ids, cs, xs, ws in column_lists(batches):
+            out = []
+            for *key, p, k, c, x, w in zip(*keys, side, ids, cs, xs, ws):
+                if key != now:
+                    out += links(now, held) if held else []
+                    now, held = key, []
+                x = np.frombuffer(x, np.uint64)
+                held.append((p, k, c, x, np.ones(len(x)) if w is None else np.frombuffer(w, np.float32).astype(float)))
+            yield {"a": [a for a, _ in out], "b": [b for _, b in out]}
+        if held:
+            out = links(now, held)
+            yield {"a": [a for a, _ in out], "b": [b for _, b in out]}
+
+    return with_schema(dealt.select(*group, "side", "text_id", "c", "x", "w"), run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, least: float = LEAST) -> DataFrame:
@@ -313,15 +389,16 @@ def near_duplicates(df: DataFrame, least: float = LEAST) -> DataFrame:
             pair = led.select(F.col("text_id").alias("a"), F.col("l.id").alias("b"))
             # in the first round leaders are the b side; later ones are pairs in id order, tried once
             pairs = pair if not turn else pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            pairs = _rest(now.select("text_id", "c").distinct(), bodies, least)
-        pairs = pairs.coalesce(few).distinct() if going else pairs
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs.coalesce(few), "pairs")
-        n = pairs.count()
+            pairs = pairs.coalesce(few).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = saved(pairs.coalesce(few), "pairs")
+            n = pairs.count()
         found, linked = None, 0
-        if n:
+        if not going:
+            found = saved(_rest(now.select("bucket", "text_id", "c"), bodies, least).distinct(), "links")
+            linked = found.count()
+        elif n:
             found = saved(verify(pairs, bodies, least, max(24, n // PAIRS_PER_TASK)).select("a", "b"), "links")
             linked = found.count()
             both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
