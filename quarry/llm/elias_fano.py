@@ -40,6 +40,7 @@ from quarry.llm.prefix_bpe import byte_alphabet
 from quarry.session import scratch_path
 
 BLOCK_IDS = 1 << 20
+FILE_BLOCKS = 32
 SAMPLE = 64  # every 64th one of the upper bits has its position stored
 MAGIC = b"QEF1"
 #: magic, task, ids before the block in its file, documents, of these with null doc_id, smallest doc_id, bytes per id, bytes of each of the three sections
@@ -51,8 +52,6 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
-        self._high = np.frombuffer(high, np.uint8)
-        self._ones = np.cumsum(np.bitwise_count(self._high), dtype=np.int64) if n else np.zeros(0, np.int64)
 
     @staticmethod
     def encode(values) -> "EliasFano":
@@ -74,16 +73,17 @@ class EliasFano:
         """Value ``i``."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        byte = int(self.samples[i // SAMPLE]) >> 3
-        byte += int(np.searchsorted(self._ones[byte:], i, side="right"))
-        need = i - (int(self._ones[byte - 1]) if byte else 0)
-        bits, pos = int(self._high[byte]), 0
-        while True:
-            if bits >> pos & 1:
-                if not need:
-                    break
-                need -= 1
-            pos += 1
+        # from the stored place of the last sampled one, byte by byte
+        pos, need = int(self.samples[i // SAMPLE]), i % SAMPLE
+        byte = pos >> 3
+        bits = self.high[byte] >> (pos & 7) << (pos & 7)
+        while (ones := bits.bit_count()) <= need:
+            need -= ones
+            byte += 1
+            bits = self.high[byte]
+        for _ in range(need):
+            bits &= bits - 1
+        pos = (bits & -bits).bit_length() - 1
         low = 0
         if self.low_bits:
             at = i * self.low_bits
@@ -223,7 +223,8 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, end_id: int = 2
             yield {"block": [block_bytes(task, before, keys, ids, enc.width)]}
 
     blocks = with_schema(rows, run, "block binary")
-    blocks.select(F.col("block").cast("string").alias("value")).write.text(path)
+    # a task's blocks go to several files, so that none is too large to be read as one value
+    blocks.select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
