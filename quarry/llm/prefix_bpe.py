@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import column_lists, portions, with_schema
 
 #: Unicode White_Space, which is what the tokenizer's pattern calls \s.
+PAIRS = 1_000_000  # remembered token pairs of one generation
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
@@ -80,6 +81,7 @@ class PrefixBpe:
                 lengths.setdefault(s[-3:], set()).add(len(s))
         self.lengths = {tail: sorted(x, reverse=True) for tail, x in lengths.items()}
         self.follows: dict[tuple[int, int], bool] = {}
+        self.older_follows: dict[tuple[int, int], bool] = {}
         self.ids_of_piece: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.printable = {b: c for c, b in alphabet.items()}
@@ -97,14 +99,19 @@ class PrefixBpe:
     def may_follow(self, a: int, b: int) -> bool:
         ok = self.follows.get((a, b))
         if ok is None:
-            x, y = self.text_of[a], self.text_of[b]
-            ok = self.follows[(a, b)] = self.merge(x + y) == [x, y]
+            ok = self.older_follows.get((a, b))
+            if ok is None:
+                x, y = self.text_of[a], self.text_of[b]
+                ok = self.merge(x + y) == [x, y]
+            self.follows[(a, b)] = ok
         return ok
 
     def encode_words(self, words) -> dict[str, list[int]]:
         """Ids of every word. Sorted words are a depth-first walk over their
         trie; ``last`` holds the last-token state of each prefix on the path."""
         out: dict[str, list[int]] = {}
+        if len(self.follows) > PAIRS:
+            self.older_follows, self.follows = self.follows, {}
         usable, lengths, follows = self.usable, self.lengths, self.follows
         path, last, size = "", [-1], [0]
         for word in sorted(words):
