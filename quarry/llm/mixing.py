@@ -10,8 +10,8 @@ over the table of sources; each round either caps a further source or is the
 last.
 
 Repetition rate = target / tokens of the source. A document is emitted
-floor(rate) times, plus one copy when a hash of (seed, doc_id, text) as a
-uniform number is below the fraction of the rate (a Bernoulli draw that any
+floor(rate) times, plus one copy when a hash of (seed, doc_id; the text where
+doc_id is null) as a uniform number is below the fraction of the rate (a Bernoulli draw that any
 rerun and any partitioning repeats).
 
 Rows: a null or empty text has size 0; a null source is a source; rows that
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import saved
+from quarry.llm.common import fresh, saved
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 MAX_RATE = 3
@@ -95,10 +95,11 @@ def mix(df: DataFrame, weights: dict | None = None, max_rate: int = MAX_RATE, se
     sizes = df.select("source", size_of(F.col("text")).alias("size"))
     t = source_targets(sizes, weights, max_rate)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    t = t.select(F.col("source").alias("__of"), rate.alias("__rate"))
-    copies = F.floor("__rate") + (draw(F.col("doc_id"), F.col("text"), seed) < F.col("__rate") - F.floor("__rate")).cast("long")
-    both = df.join(t, F.col("source").eqNullSafe(F.col("__of"))).withColumn("__n", copies.cast("int")).filter("__n > 0")
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    of, share, n, copy = fresh(df, "of", "rate", "copies", "copy")
+    t = t.select(F.col("source").alias(of), rate.alias(share))
+    copies = F.floor(share) + (draw(F.col("doc_id"), F.col("text"), seed) < F.col(share) - F.floor(share)).cast("long")
+    both = df.join(t, F.col("source").eqNullSafe(F.col(of))).withColumn(n, copies.cast("int")).filter(F.col(n) > 0)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 #: The same mix in DuckDB. Water filling in closed form: sources by rising cap

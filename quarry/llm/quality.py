@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import column_lists, saved, with_schema
+from quarry.llm.common import column_lists, fresh, saved, with_schema
 
 FIT_ROWS = 200_000
 N_FOURIER = 256
@@ -164,7 +164,8 @@ def fit(vectors: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, n_fouri
     n = y.count()
     if n > fit_rows:
         y = y.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
-    rows = saved(vectors.join(y, "doc_id"), "labelled")
+    # at most about fit_rows rows, so the vectors need not move to meet them
+    rows = saved(vectors.join(F.broadcast(saved(y, "labels")), "doc_id"), "labelled")
     train = rows.filter(~F.col("calibrate"))
     d = len(NAMES)
     m = train.agg(F.count(F.lit(1)), *[f(F.col("x")[i]) for i in range(d) for f in (F.avg, F.stddev_pop)]).first()
@@ -217,7 +218,8 @@ def keep(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Data
     Texts are read twice (fit, filter) and never shuffled."""
     model = fit(saved(statistics_of(df), "statistics"), labelled(labels, "quality", 5, 0, 4))
     names = df.columns
-    schema = df.withColumn("__t", F.col("text")).schema
+    text, = fresh(df, "text_read")
+    schema = df.withColumn(text, F.col("text")).schema
 
     def filtered(batches):
         for batch in batches:
@@ -226,4 +228,4 @@ def keep(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Data
                 xs = [statistics(t or "") for t in part.column(len(names)).to_pylist()]
                 yield part.filter(pa.array((model.score(xs) >= threshold).tolist(), pa.bool_()))
 
-    return df.withColumn("__t", F.col("text")).mapInArrow(filtered, schema).drop("__t")
+    return df.withColumn(text, F.col("text")).mapInArrow(filtered, schema).drop(text)
