@@ -145,8 +145,23 @@ def q_tune_holdout(spark, d):
     cfg = TrainConfig(task="regression", **kw)
     prepared, feats, _ = prepare(build(spark, d), cfg)
     prepared = prepared.cache()
-    return tune_holdout(spark, "regression", "ridge", prepared.where("split = 'train'"), prepared.where("split = 'val'"),
-                        feats, n_trials=10, experiment="lineitem_ridge")
+    try:
+        return tune_holdout(spark, "regression", "ridge", prepared.where("split = 'train'"), prepared.where("split = 'val'"),
+                            feats, n_trials=20, experiment="lineitem_ridge")
+    finally:
+        prepared.unpersist()
+
+
+@query("tune_rules")
+def q_tune_rules(spark, d):
+    """For every document source, 40 trials of a rule for quality (least letters, least length), in rounds that
+    learn from the earlier ones."""
+    from quarry.plans.tune import tune_rules
+
+    rows = quality_frame(spark, d).select(F.col("source").alias("experiment"), "n_chars", "letter_share", "quality").filter("experiment is not null")
+    space = {"least_letters": {"type": "float", "low": 0.3, "high": 1.0}, "least_chars": {"type": "int", "low": 1, "high": 4000}}
+    right = ((F.col("letter_share") >= F.col("least_letters")) & (F.col("n_chars") >= F.col("least_chars"))).cast("int") == F.col("quality")
+    return tune_rules(rows.select("experiment").distinct(), rows, ["experiment"], right.cast("double"), space, 40)
 
 
 @query("tune_cv")

@@ -86,12 +86,30 @@ class Prepared:
     categories: dict = field(default_factory=dict)
 
 
-def _label(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame | None]:
-    """String targets -> sorted codes (single dictionary, quirk Q5)."""
+#: of a numeric class label
+MOST_CLASSES = 1000
+
+
+def _label(df: DataFrame, target: str, classes: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """String targets, and numeric ones of a classifier that are not 0, 1, ... -> sorted
+    codes (single dictionary, quirk Q5)."""
     if dict(df.dtypes)[target] == "string":
         d = build_dictionary(df, [target])
         out = apply_dictionary(df, d, [target], suffix="__code")
         return out.withColumn("label", F.col(f"{target}__code").cast("double")).drop(f"{target}__code"), d
+    if classes:  # any numbers: codes in the order of the values; as many rows as classes
+        values = df.filter(F.col(target).isNotNull()).select(F.col(target).cast("double").alias("v")).distinct()
+        seen = sorted(r["v"] for r in values.limit(MOST_CLASSES + 1).collect())
+        if len(seen) > MOST_CLASSES:
+            raise ValueError(f"{target!r} has more than {MOST_CLASSES} values; it is no class label")
+        if seen != [float(i) for i in range(len(seen))]:
+            whole = dict(df.dtypes)[target] not in ("double", "float")
+            shown = [str(int(v)) if whole and v.is_integer() else str(v) for v in seen]
+            spark = df.sparkSession
+            d = spark.createDataFrame([(target, s, i) for i, s in enumerate(shown)], "column string, value string, code int")
+            code = F.array_position(F.array(*[F.lit(v) for v in seen]), F.col(target).cast("double")) - 1
+            code = F.when(code >= 0, code).cast("double")
+            return df.withColumn("label", code), d
     return df.withColumn("label", F.col(target).cast("double")), None
 
 
@@ -114,7 +132,7 @@ def prepare_all(df: DataFrame, cfg: TrainConfig) -> Prepared:
         feats = select_features(df, cfg.target, cfg.features)
         rows = df.select(cfg.key, *[c for c in feats if c != cfg.key], cfg.target)
         x, d, cats = _encode(rows, [c for c in feats if c != cfg.target])
-        data, labels = _label(x, cfg.target)
+        data, labels = _label(x, cfg.target, t == "classification")
         if t == "classification":
             return Prepared(split_stratified(data, cfg.key, "label", **kw), feats, labels, d, cats)
         return Prepared(split_random(data, cfg.key, **kw), feats, None, d, cats)
@@ -250,7 +268,8 @@ def _tune(spark: SparkSession, cfg: TrainConfig, name: str, train: DataFrame, pr
     else:
         t = tune_cv(spark, cfg.task, name, train, feats, cfg.cv_folds, space, n_trials, cfg.seed, key=cfg.key,
                     overrides=(cfg.overrides or {}).get(name), timeout_min=h.get("timeout_min"), experiment=cfg.experiment)
-    best = t.where(F.col("status") == "FINISHED").orderBy(F.col("score").desc(), "trial_id").first()
+    # NaN would sort first
+    best = t.where((F.col("status") == "FINISHED") & ~F.isnan("score")).orderBy(F.col("score").desc(), "trial_id").first()
     if best is None:
         return None
     return {k: _typed(v) for k, v in best["params"].items()}, t
@@ -273,10 +292,12 @@ def _cross_validate(spark: SparkSession, cfg: TrainConfig, name: str, params: di
 
     f = kfold(train, cfg.key, cfg.cv_folds, "label" if cfg.task == "classification" else None).cache()
     scores = []
-    for k in range(cfg.cv_folds):
-        m = fit_model(cfg.task, name, f.where(F.col("fold") != k), feats, params, n_classes=n_classes)
-        scores.append(_score(cfg.task, m.transform(f.where(F.col("fold") == k))))
-    f.unpersist()
+    try:
+        for k in range(cfg.cv_folds):
+            m = fit_model(cfg.task, name, f.where(F.col("fold") != k), feats, params, n_classes=n_classes)
+            scores.append(_score(cfg.task, m.transform(f.where(F.col("fold") == k))))
+    finally:
+        f.unpersist()
     mean = sum(scores) / len(scores)
     std = (sum((x - mean) ** 2 for x in scores) / len(scores)) ** 0.5
     return {"cv_mean": mean, "cv_std": std}

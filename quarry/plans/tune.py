@@ -4,9 +4,11 @@
 (experiment, trial) with parameters from hash-derived uniforms (int with
 step, uniform, log-uniform, categorical), so a round is reproducible and
 order-free. ``evaluate_trials`` scores rule-like trials with one join and one
-aggregate; ``tune_holdout`` / ``tune_cv`` fit a catalogue model per trial
-(and per fold) — independent Spark jobs, submitted from a small driver
-thread pool like ``CrossValidator(parallelism=...)``.
+aggregate; ``tune_rules`` adds rounds of trials that learn from the earlier ones
+(``tpe``), for many experiments at once. ``tune_holdout`` / ``tune_cv`` fit a
+catalogue model per trial (and per fold) — independent Spark jobs, submitted from
+a small driver thread pool like ``CrossValidator(parallelism=...)``; after the
+first ten trials they, too, go on in rounds of ``parallelism`` trials.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans import tpe
+from quarry.session import saved
+
 # fixed values: declared bounds of a tuning request
 MIN_TRIALS, MAX_TRIALS = 10, 500
 MIN_TIMEOUT_MIN, MAX_TIMEOUT_MIN = 1, 120
@@ -133,6 +138,22 @@ def evaluate_trials(trials: DataFrame, data: DataFrame, on: list[str], score: Co
     return trials.join(data, on).groupBy(*keys).agg(F.avg(score).alias("score"))
 
 
+def tune_rules(experiments: DataFrame, data: DataFrame, on: list[str], score: Column, space: dict, n_trials: int, seed: int = 42,
+               per_round: int = 5, sampler: str = "tpe") -> DataFrame:
+    """Trials of every experiment with their scores: drawn ones first, then rounds
+    of ``per_round`` that learn from all earlier trials of the experiment."""
+    n_trials = checked_trials(n_trials)
+    first = n_trials if sampler == "random" else min(n_trials, tpe.STARTUP)
+    done = saved(evaluate_trials(sample_trials(experiments, space, first, seed), data, on, score), "trials")
+    at = first
+    while at < n_trials:
+        count = min(per_round, n_trials - at)
+        more = saved(tpe.next_trials(done, space, count, seed), "next-trials")
+        done = saved(done.unionByName(evaluate_trials(more, data, on, score)), "trials")
+        at += count
+    return done
+
+
 def _score(task: str, scored: DataFrame) -> float:
     from quarry.operators import metrics as M
 
@@ -150,8 +171,10 @@ TRIAL_SCHEMA = ("experiment string, model string, trial_id bigint, params map<st
                 "ignored array<string>, error string")
 
 
-def _run_trials(spark, task, name, space, n_trials, seed, parallelism, overrides, timeout_min, experiment, evaluate) -> DataFrame:
-    """Every trial: catalogue defaults, then its sampled values, then the
+def _run_trials(spark, task, name, space, n_trials, seed, parallelism, overrides, timeout_min, experiment, evaluate, sampler) -> DataFrame:
+    """The first trials are drawn independently, later rounds of ``parallelism``
+    trials from the results so far (``sampler`` random: all independently).
+    Every trial: catalogue defaults, then its sampled values, then the
     pinned overrides. A failing trial scores 0.0 (classification) or -inf
     (regression) and keeps its error; a trial after the deadline is SKIPPED
     without a score."""
@@ -160,7 +183,10 @@ def _run_trials(spark, task, name, space, n_trials, seed, parallelism, overrides
     space = space or DEFAULT_SPACES.get(task, {}).get(name)
     if not space:
         raise ValueError(f"no search space for {task}/{name}")
-    trials = _trial_params(spark, space, checked_trials(n_trials), seed, experiment)
+    if sampler not in ("tpe", "random"):
+        raise ValueError(f"unknown sampler {sampler!r}; use tpe or random")
+    n_trials = checked_trials(n_trials)
+    trials = _trial_params(spark, space, n_trials if sampler == "random" else min(n_trials, tpe.STARTUP), seed, experiment)
     deadline = checked_deadline(timeout_min)
     fail = 0.0 if task == "classification" else float("-inf")
 
@@ -177,7 +203,14 @@ def _run_trials(spark, task, name, space, n_trials, seed, parallelism, overrides
             return (*row, fail, "FAILED", unused, f"{type(e).__name__}: {e}"[:500])
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        return spark.createDataFrame(list(ex.map(run, trials)), TRIAL_SCHEMA)
+        rows = list(ex.map(run, trials))
+        while len(rows) < n_trials:
+            history = [({k: t[k] for k in space}, row[4]) for t, row in zip(trials, rows)]
+            more = [{"trial_id": i, **tpe.propose(space, history, i, seed, experiment)}
+                    for i in range(len(rows), min(n_trials, len(rows) + max(1, parallelism)))]
+            trials += more
+            rows += ex.map(run, more)
+    return spark.createDataFrame(rows, TRIAL_SCHEMA)
 
 
 def _classes(task: str, train: DataFrame) -> int:
@@ -186,19 +219,20 @@ def _classes(task: str, train: DataFrame) -> int:
 
 def tune_holdout(spark: SparkSession, task: str, name: str, train: DataFrame, val: DataFrame, features: list[str],
                  space: dict | None = None, n_trials: int = DEFAULT_TRIALS, seed: int = 42, parallelism: int = 4,
-                 overrides: dict | None = None, timeout_min: float | None = None, experiment: str = "tune") -> DataFrame:
+                 overrides: dict | None = None, timeout_min: float | None = None, experiment: str = "tune", sampler: str = "tpe") -> DataFrame:
     """Fit on train, score on validation (accuracy, else r2), per trial. A
     user space wins over the default; overrides pin parameters (Q8)."""
     from quarry.models import fit_model
 
     n_classes = _classes(task, train)
     evaluate = lambda p: _score(task, fit_model(task, name, train, features, p, n_classes=n_classes).transform(val))
-    return _run_trials(spark, task, name, space, n_trials, seed, parallelism, overrides, timeout_min, experiment, evaluate)
+    return _run_trials(spark, task, name, space, n_trials, seed, parallelism, overrides, timeout_min, experiment, evaluate, sampler)
 
 
 def tune_cv(spark: SparkSession, task: str, name: str, train: DataFrame, features: list[str], folds: int = 5,
             space: dict | None = None, n_trials: int = DEFAULT_TRIALS, seed: int = 42, parallelism: int = 4,
-            key: str = "id", overrides: dict | None = None, timeout_min: float | None = None, experiment: str = "tune") -> DataFrame:
+            key: str = "id", overrides: dict | None = None, timeout_min: float | None = None, experiment: str = "tune",
+            sampler: str = "tpe") -> DataFrame:
     """No validation set: mean score over k folds (``kfold`` column) per
     trial; the same options as :func:`tune_holdout`."""
     from quarry.models import fit_model
@@ -213,6 +247,6 @@ def tune_cv(spark: SparkSession, task: str, name: str, train: DataFrame, feature
         return float(sum(scores) / folds)
 
     try:
-        return _run_trials(spark, task, name, space, n_trials, seed, parallelism, overrides, timeout_min, experiment, evaluate)
+        return _run_trials(spark, task, name, space, n_trials, seed, parallelism, overrides, timeout_min, experiment, evaluate, sampler)
     finally:
         f.unpersist()
