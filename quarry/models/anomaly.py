@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from quarry.functions.columns import bounded_broadcast, hash_unit, materialize
 from quarry.functions.stats import moments, quadratic_form, quantile
 from quarry.models.served import read_meta, write_meta
+from quarry.operators import neighbours as N
+from quarry.session import saved
 
 SEED = 42
 EULER_GAMMA = 0.5772156649
@@ -391,7 +393,10 @@ def _lof_from_knn(nn: DataFrame, stats: DataFrame) -> DataFrame:
 
 def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int = 20,
                          cells: list[float] | None = None) -> DataFrame:
-    """Training-set LOF: (key, kdist, lrd, lof) for every row."""
+    """Training-set LOF: (key, kdist, lrd, lof) for every row. Beyond three features
+    the neighbours come from a pivot partitioned join instead of a grid."""
+    if len(features) > 3:
+        return _pivot_lof(df, key, features, k)
     cells = cells or default_cells(df, features, k)
     nn = grid_knn(df, df, key, key, features, k, True, cells)
     kd = nn.groupBy("q").agg(F.max("dist").alias("kdist"))
@@ -404,6 +409,32 @@ def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int =
     return out.select(F.col("q").alias(key), "kdist", "lrd", (F.col("__nb") / F.col("lrd")).alias("lof"))
 
 
+def _pivot_lof(df: DataFrame, key: str, features: list[str], k: int) -> DataFrame:
+    """LOF in any number of dimensions. Rows at one place are one point of w rows: w - 1
+    neighbours at distance 0, and of a neighbour place as many rows as the k still lack."""
+    rows = saved(N.packed(df, key, features), "points")
+    places = saved(N.distinct_points(rows), "places")
+    nn = saved(N.nearest(places, len(features), k).join(places.select("id", "w"), "id"), "neighbours")
+    before = F.sum("nw").over(Window.partitionBy("id").orderBy("cost", "nid").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.least(F.col("w") - 1, F.lit(float(k)))
+    taken = F.least(F.col("nw"), F.greatest(F.lit(float(k)) - own - F.coalesce(before, F.lit(0.0)), F.lit(0.0)))
+    nn = saved(nn.select("id", "nid", "cost", taken.alias("t")).filter("t > 0"), "taken")
+    kd = nn.groupBy("id").agg(F.max("cost").alias("kdist"), F.sum("t").alias("n"))
+    kd = places.join(kd, "id", "left").select("id", "x", own.alias("own"), F.coalesce("kdist", F.lit(0.0)).alias("kdist"), F.coalesce("n", F.lit(0.0)).alias("n"))
+    kd = saved(kd, "kdist")
+
+    def mean_of(value: Column, own_value: Column, table: DataFrame) -> DataFrame:
+        sums = nn.join(table.withColumnRenamed("id", "nid"), "nid").groupBy("id").agg(F.sum(F.col("t") * value).alias("s"))
+        return kd.join(sums, "id", "left").withColumn("mean", F.try_divide(F.coalesce("s", F.lit(0.0)) + F.col("own") * own_value, F.col("own") + F.col("n")))
+
+    reach = mean_of(F.greatest("far", "cost"), F.col("kdist"), kd.select("id", F.col("kdist").alias("far")))
+    lrd = saved(reach.select("id", (F.lit(1.0) / (F.col("mean") + F.lit(1e-10))).alias("lrd")), "lrd")
+    around = mean_of(F.col("lrd"), F.lit(0.0), lrd).join(lrd, "id")
+    around = around.withColumn("mean", F.col("mean") + F.try_divide(F.col("own") * F.col("lrd"), F.col("own") + F.col("n")))
+    out = saved(around.select("x", "kdist", "lrd", (F.col("mean") / F.col("lrd")).alias("lof")), "lof")
+    return rows.join(out, "x").select(F.col("id").alias(key), "kdist", "lrd", "lof")
+
+
 def fit_lof(train: DataFrame, features: list[str], key: str, n_neighbors: int = 20, contamination: float = 0.1,
             **_) -> LOFModel:
     k = int(n_neighbors)

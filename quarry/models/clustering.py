@@ -2,7 +2,7 @@
 
 * kmeans           MLlib KMeans, best of ``n_init`` seeds by training cost
 * gaussian_mixture MLlib GaussianMixture
-* hierarchical     Ward merge of KMeans micro-clusters (bounded table)
+* hierarchical     Ward, exact, in rounds (``models.hierarchical``)
 * dbscan           epsilon-grid cells, neighbour-cell equi-joins, connected
                    components by star contraction until nothing changes
 * meanshift        bin seeds, flat-kernel mean shift through cell joins
@@ -19,13 +19,16 @@ from pyspark.ml import Pipeline
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import complete, hash_unit, materialize
 from quarry.functions.components import connected_components
 from quarry.functions.stats import sq_dist_literal
+from quarry.models.hierarchical import fit_hierarchical
 from quarry.models.served import read_meta, write_meta
+from quarry.operators import neighbours as N
+from quarry.session import saved
 
 SEED = 42
 
@@ -127,50 +130,6 @@ def kmeans_steps(df: DataFrame, features: list[str], init_centers: np.ndarray, s
     return centers, df.withColumn("cluster", nearest_center(features, centers))
 
 
-# ----------------------------------------------------------------- hierarchical (Ward)
-def ward_merge(centers: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Agglomerate weighted centroids with the Ward cost
-    n_a n_b / (n_a + n_b) |c_a - c_b|^2 down to k groups; returns the final
-    label of each input centroid (labels ordered by first member)."""
-    m = len(centers)
-    C = centers.astype(float).copy()
-    W = weights.astype(float).copy()
-    active = np.ones(m, dtype=bool)
-    member = np.arange(m)
-    while active.sum() > k:
-        idx = np.flatnonzero(active)
-        Ci, Wi = C[idx], W[idx]
-        d2 = ((Ci[:, None, :] - Ci[None, :, :]) ** 2).sum(-1)
-        cost = (Wi[:, None] * Wi[None, :]) / (Wi[:, None] + Wi[None, :]) * d2
-        np.fill_diagonal(cost, np.inf)
-        a, b = np.unravel_index(np.argmin(cost), cost.shape)
-        ia, ib = idx[a], idx[b]
-        tot = W[ia] + W[ib]
-        C[ia] = (C[ia] * W[ia] + C[ib] * W[ib]) / tot
-        W[ia] = tot
-        active[ib] = False
-        member[member == ib] = ia
-    roots = {r: i for i, r in enumerate(sorted(set(member.tolist())))}
-    return np.array([roots[r] for r in member])
-
-
-def fit_hierarchical(train: DataFrame, features: list[str], n_clusters: int = 3, n_micro: int = 200,
-                     seed: int = SEED, **_) -> CentroidModel:
-    """KMeans micro-clusters on Spark (<= n_micro weighted centroids), Ward
-    merge of that bounded table on the driver, nearest-micro assignment."""
-    n = train.count()
-    km = Pipeline(stages=[_assembler(features), KMeans(k=int(min(n_micro, max(n, 1))), maxIter=50, seed=seed,
-                                                       featuresCol="features")]).fit(train)
-    model = km.stages[-1]
-    centers = np.array([c for c in model.clusterCenters()])
-    counts = km.transform(train.select(*features)).groupBy("prediction").count().collect()  # at most n_micro rows
-    sizes = np.zeros(len(centers))
-    sizes[[r["prediction"] for r in counts]] = [r["count"] for r in counts]
-    keep = sizes > 0
-    labels = ward_merge(centers[keep], sizes[keep], int(n_clusters))
-    return CentroidModel(features, centers[keep], labels, "hierarchical")
-
-
 # ----------------------------------------------------------------- DBSCAN
 def _cells(features: list[str], side: float, gd: int) -> list[Column]:
     return [F.floor(F.col(c).cast("double") / F.lit(side)).cast("bigint") for c in features[:gd]]
@@ -280,8 +239,11 @@ def dbscan(df: DataFrame, key: str, features: list[str], eps: float = 0.5, min_s
     and internally connected: its points are never paired with each other.
     Only points of sparse cells are paired with the points of the cells
     around them (ring ceil(eps/side)); links between two dense cells are
-    found by one pass over their pairs."""
+    found by one pass over their pairs. Beyond ``grid_dims`` features the
+    neighbours come from a pivot partitioned join."""
     d = len(features)
+    if d > grid_dims:
+        return _pivot_dbscan(df, key, features, eps, min_samples, grid_dims)
     gd = min(grid_dims, d)
     side = eps / math.sqrt(d) if gd == d else eps
     ring = int(math.ceil(eps / side))
@@ -325,6 +287,62 @@ def dbscan(df: DataFrame, key: str, features: list[str], eps: float = 0.5, min_s
     return labels, core_tbl
 
 
+def _pivot_dbscan(df: DataFrame, key: str, features: list[str], eps: float, min_samples: int, gd: int) -> tuple[DataFrame, DataFrame]:
+    """DBSCAN in any number of dimensions. Blocks of points that can be
+    neighbours meet in a task; counts, links that connect what is linked there, and the smallest label
+    a border point sees leave it, never pairs. Rows at one place are one point with a size."""
+    d = len(features)
+    rows = saved(N.packed(df, key, features), "points")
+    index = N.Index.build(saved(N.distinct_points(rows), "places"), d)
+    kind = index.id_type
+    places = index.rows.select("id", "x", "w", "cell")
+
+    def counts(members, queries, near):
+        yield {"id": queries[0].tolist(), "n": (near * members[2]).sum(axis=1).tolist()}
+
+    n = N.within(index, places, places, eps, counts, f"id {kind}, n double").groupBy("id").agg(F.sum("n").alias("n"))
+    flagged = saved(places.join(n, "id").withColumn("is_core", F.col("n") >= min_samples), "flagged")
+    core, other = (flagged.filter(c).select("id", "x", "w", "cell") for c in ("is_core", "not is_core"))
+
+    def links(members, queries, near):
+        first: dict = {}
+
+        def root(i):
+            while first.setdefault(i, i) != i:
+                first[i] = first[first[i]]
+                i = first[i]
+            return i
+
+        out = []
+        for q, row in zip(queries[0], near):
+            for m in members[0][row]:
+                a, b = root(q), root(m)
+                if a != b:
+                    first[max(a, b)] = min(a, b)
+                    out.append((q, m))
+        yield {"src": [a for a, _ in out], "dst": [b for _, b in out]}
+
+    edges = saved(N.within(index, core, core, eps, links, f"src {kind}, dst {kind}"), "links")
+    labels = saved(components_of(core.select("id"), edges), "labels")
+
+    def seen(members, queries, near):
+        hit = near.any(axis=1)
+        yield {"id": queries[0][hit].tolist(), "label": [min(v for v, ok in zip(members[3], row) if ok) for row in near[hit]]}
+
+    # labels travel as the position of their id, a double would not hold every key
+    order = saved(labels.select("label").distinct().withColumn("v", F.row_number().over(Window.orderBy("label")).cast("double")), "label-order")
+    marked = core.join(labels.join(order, "label").select("id", "v"), "id")
+    border = N.within(index, marked, other.withColumn("v", F.lit(0.0)), eps, seen, f"id {kind}, label double").groupBy("id").agg(F.min("label").alias("v"))
+    border = border.join(order, "v").select("id", "label")
+    found = saved(flagged.select("id", "x", "is_core").join(labels.unionByName(border), "id", "left").select("x", "is_core", "label"), "places")
+    out = saved(rows.join(found, "x").select(F.col("id").alias(key), F.coalesce("label", F.lit(-1)).alias("cluster"), "is_core"), "dbscan")
+    side = eps
+    cells = F.array(*[c for c in _cells(features, side, gd)])
+    pts = df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(features)], cells.alias("cell"))
+    core_rows = out.filter("is_core").select(F.col(key).alias("id"), F.col("cluster").alias("label"))
+    return out, pts.join(core_rows, "id").select(*[f"p{i}" for i in range(d)], "cell", "label")
+
+
 def fit_dbscan(train: DataFrame, features: list[str], key: str, eps: float = 0.5, min_samples: int = 5, **_):
     labels, core = dbscan(train, key, features, float(eps), int(min_samples))
     d = len(features)
@@ -437,9 +455,11 @@ def fit_clustering(name: str, train: DataFrame, features: list[str], params: dic
         return fit_kmeans(train, features, int(p.get("n_clusters", n_clusters)), int(p.get("n_init", 10)),
                           int(p.get("max_iter", 300)))
     if name == "gaussian_mixture":
+        if (kind := p.get("covariance_type", "full")) != "full":
+            raise ValueError(f"covariance_type {kind!r} is not supported; mixtures have full covariances")
         return fit_gmm(train, features, int(p.get("n_components", n_clusters)))
     if name == "hierarchical":
-        return fit_hierarchical(train, features, int(p.get("n_clusters", n_clusters)), int(p.get("n_micro", 200)))
+        return fit_hierarchical(train, features, int(p.get("n_clusters", n_clusters)), p.get("linkage", "ward"))
     if name == "dbscan":
         return fit_dbscan(train, features, key, float(p.get("eps", 0.5)), int(p.get("min_samples", 5)))
     if name == "meanshift":
