@@ -18,7 +18,8 @@ _INTERNAL = ("features", "rff", "rawPrediction")
 class PipelineFitted:
     """A fitted MLlib pipeline with the engine's output contract."""
 
-    def __init__(self, model: PipelineModel, features: list[str], task: str, name: str):
+    def __init__(self, model: PipelineModel, features: list[str], task: str, name: str, curves: list | None = None):
+        self.curves = curves  # of a classifier without probabilities
         self.model = model
         self.feature_cols = features
         self.task = task
@@ -30,17 +31,21 @@ class PipelineFitted:
         extra = [F.col("prediction").cast("double").alias("prediction")]
         if "probability" in out.columns:
             extra.append(vector_to_array("probability").alias("probability"))
+        elif self.curves:
+            from quarry.models.calibration import margins, probability
+
+            extra.append(probability(margins(out, max(2, len(self.curves))), self.curves).alias("probability"))
         return out.select(*keep, *extra)
 
     def save(self, path: str) -> str:
         self.model.write().overwrite().save(f"{path}/model")
-        write_meta(path, {"features": self.feature_cols, "task": self.task, "name": self.name})
+        write_meta(path, {"features": self.feature_cols, "task": self.task, "name": self.name, "curves": self.curves})
         return path
 
     @classmethod
     def load(cls, spark, path: str) -> "PipelineFitted":
         m = read_meta(spark, path)
-        return cls(PipelineModel.load(f"{path}/model"), m["features"], m["task"], m["name"])
+        return cls(PipelineModel.load(f"{path}/model"), m["features"], m["task"], m["name"], m.get("curves"))
 
 
 def fit_model(task: str, name: str, train: DataFrame, features: list[str], params: dict, *, n_classes: int = 2,
@@ -64,8 +69,15 @@ def fit_model(task: str, name: str, train: DataFrame, features: list[str], param
         fit = T.fit_forest if name == "random_forest" else T.fit_boosting
         return fit(train, features, name, params, task, max(n_classes, 2) if task == "classification" else 0)
     if task == "classification":
-        m = S.fit_classifier(train, features, name, params, max(n_classes, 2))
-        return PipelineFitted(m, features, task, name)
+        from quarry.models.calibration import calibrated
+
+        k = max(n_classes, 2)
+        fit = lambda rows: S.fit_classifier(rows, features, name, params, k)
+        m = fit(train)
+        curves = None
+        if name == "svm":
+            curves = calibrated(train.select(*dict.fromkeys([*features, "label", *([key] if key else [])])), fit, k)
+        return PipelineFitted(m, features, task, name, curves)
     if task == "regression":
         return PipelineFitted(S.fit_regressor(train, features, name, params), features, task, name)
     if task == "timeseries":
