@@ -82,6 +82,11 @@ def fit_model(task: str, name: str, train: DataFrame, features: list[str], param
         return PipelineFitted(S.fit_regressor(train, features, name, params), features, task, name)
     if task == "timeseries":
         if name == "arima":
+            order, seasonal = params.get("order", (1, 1, 1)), params.get("seasonal_order")
+            if tuple(order) != (1, 1, 1) or any(seasonal or ()):
+                from quarry.models.arima import fit_arima
+
+                return fit_arima(train, "label", index_col, series_key, order, seasonal)
             from quarry.models.forecast import fit_forecast_ar
 
             return fit_forecast_ar(train, "label", index_col, series_key, params)

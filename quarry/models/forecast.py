@@ -112,21 +112,17 @@ class MultiHorizonModel:
 
     @classmethod
     def load(cls, spark, path: str) -> "MultiHorizonModel":
-        from quarry.models import PipelineFitted
+        from quarry.models import PipelineFitted, arima, tree_models
 
         m = read_meta(spark, path)
-        kind = {c.__name__: c for c in (PipelineFitted, ARForecastModel, TrendSeasonalModel)}[m["kind"]]
+        kind = {c.__name__: c for c in (PipelineFitted, ARForecastModel, TrendSeasonalModel, arima.ARIMAModel, tree_models.TreeEnsembleModel)}[m["kind"]]
         return cls([kind.load(spark, f"{path}/step{i}") for i in range(m["steps"])])
 
 
 def fit_forecast_ar(train: DataFrame, label: str, index_col: str, series_key: str | None, params: dict,
                     long_order: int = 3) -> ARForecastModel:
-    """ARIMA(1,1,1), trend 'n' (no constant, as for d = 1). Other orders and
-    seasonal orders are refused."""
-    if tuple(params.get("order", (1, 1, 1))) != (1, 1, 1):
-        raise ValueError(f"order {params['order']!r} is not supported; only (1, 1, 1) is")
-    if any(params.get("seasonal_order") or ()):
-        raise ValueError("a seasonal order is not supported; use the trend and seasonality model")
+    """ARIMA(1,1,1), trend 'n' (no constant, as for d = 1), with forecasts in
+    closed form; other orders are in ``models.arima``."""
     train = train.select(*([F.col(series_key)] if series_key else []), F.col(index_col).alias("__f_i"), F.col(label).cast("double").alias("__f_l"))
     state_index, index_col, label = index_col, "__f_i", "__f_l"
     x = _series(train.select(*([series_key] if series_key else []), index_col, label), series_key)

@@ -72,10 +72,10 @@ def read_meta(spark: SparkSession, path: str) -> dict:
 
 def load_model(spark: SparkSession, path: str) -> ServedModel:
     """What ``ServedModel.save`` wrote."""
-    from quarry.models import PipelineFitted, anomaly, clustering, forecast, hierarchical, tree_models
+    from quarry.models import PipelineFitted, anomaly, arima, clustering, forecast, hierarchical, tree_models
 
     meta = read_meta(spark, f"{path}/served")
-    kinds = {c.__name__: c for c in (PipelineFitted, tree_models.TreeEnsembleModel, hierarchical.HierarchicalModel, forecast.MultiHorizonModel, forecast.ARForecastModel, forecast.TrendSeasonalModel,
+    kinds = {c.__name__: c for c in (PipelineFitted, tree_models.TreeEnsembleModel, hierarchical.HierarchicalModel, arima.ARIMAModel, forecast.MultiHorizonModel, forecast.ARForecastModel, forecast.TrendSeasonalModel,
                                      anomaly.IsolationForestModel, anomaly.EnvelopeModel, anomaly.LOFModel, anomaly.OneClassModel,
                                      clustering.CentroidModel, clustering.MLlibClusterModel, clustering.DBSCANModel)}
     fitted = kinds[meta["kind"]].load(spark, f"{path}/fitted")

@@ -48,8 +48,10 @@ def test_series_decide_alone_and_names_do_not_clash(spark):
     ar = fit_model("timeseries", "arima", df, [], {"order": (1, 1, 1)}, series_key="key")
     out = ar.transform(df)
     assert out.columns == df.columns + ["prediction"] and out.count() == 120
+    # other orders are fitted, too (tests/test_arima.py); what is no order is refused
+    assert fit_model("timeseries", "arima", df, [], {"order": (3, 0, 0)}, series_key="key").transform(df).count() == 120
     with pytest.raises(ValueError):
-        fit_model("timeseries", "arima", df, [], {"order": (3, 0, 0)}, series_key="key")
+        fit_model("timeseries", "arima", df, [], {"order": (3, -1, 0)}, series_key="key")
 
 
 def ts_config(**kw):
