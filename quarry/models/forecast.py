@@ -7,8 +7,8 @@ forecast_ar  ARIMA(1,1,1) without constant by two-stage least squares
              h steps from the end of training in closed form.
 forecast_trend_seasonal  piecewise-linear trend with hinge changepoints and
              Fourier seasonality on the real time column (Taylor & Letham
-             2018), multiplicative via log(y) for series of positive values; ridge on
-hinges and seasons per series.
+             2018), multiplicative via log(y) for series of positive values; per series a Laplace
+prior on the hinges, by coordinate descent on its moment matrix, and ridge on the seasons.
 
 Regressions are solved from grouped moment aggregates (one row per series
 of fixed size), so no series is ever gathered in one task.
@@ -34,6 +34,31 @@ def _series(df: DataFrame, series_key: str | None) -> DataFrame:
     return df.withColumn(SERIES, F.col(series_key).cast("string") if series_key else F.lit(""))
 
 
+def sparse_solution(A: np.ndarray, b: np.ndarray, penalised: np.ndarray, weight: float, sweeps: int = 5000) -> np.ndarray:
+    """The minimum of c'Ac/2 - b'c + weight * sum |c_j| over the penalised j, by coordinate descent.
+    The other coefficients are eliminated first: they are the best ones for any choice of the penalised."""
+    free = ~penalised
+    out = np.zeros(len(b))
+    U = np.linalg.pinv(A[np.ix_(free, free)], hermitian=True)
+    cross = A[np.ix_(penalised, free)] @ U
+    S = A[np.ix_(penalised, penalised)] - cross @ A[np.ix_(free, penalised)]
+    r = b[penalised] - cross @ b[free]
+    c, scale = np.zeros(len(r)), np.diag(S).copy()
+    usable = np.flatnonzero(scale > 1e-10 * max(np.diag(A)[penalised].max(initial=0.0), 1e-300))
+    for _ in range(sweeps):
+        change = 0.0
+        for j in usable:
+            z = r[j] - S[j] @ c + scale[j] * c[j]
+            new = math.copysign(max(abs(z) - weight, 0.0), z) / scale[j]
+            change = max(change, abs(new - c[j]) * scale[j])
+            c[j] = new
+        if change <= 1e-7 * weight:
+            break
+    out[penalised] = c
+    out[free] = U @ (b[free] - A[np.ix_(free, penalised)] @ c)
+    return out
+
+
 def solve_grouped(df: DataFrame, xs: list[Column], y: Column, ridge: float | list[float] = 0.0, group: str = SERIES) -> DataFrame:
     """Least squares per group from X'X and X'y sums: returns (group, coef
     array); ``ridge`` is one penalty or one per column. Each row contributes one vector of moment products; MLlib's
@@ -173,10 +198,77 @@ def _design(time_col: str, n_cp: int, seasons: list[tuple[float, int, float]]) -
 SEASONS = [(365.25, 10, 730.0), (7.0, 3, 14.0), (1.0, 4, 2.0)]
 
 
+#: of the Laplace prior on changes of the slope, in units of the series' size over its whole range
+CHANGE_SCALE = 0.05
+#: noise is taken to be at least this share of the series' size
+LEAST_NOISE = 0.005
+#: rounds of fit and noise estimate
+NOISE_ROUNDS = 5
+
+
+def solve_trend(df: DataFrame, xs: list[Column], y: Column, ridge: list[float], n_cp: int) -> DataFrame:
+    """(series, coef, sigma, change) per series from moment sums: a Laplace prior on the
+    slope changes (most are exactly 0), normal ones by ``ridge``. ``sigma`` is the noise, ``change`` the mean
+    absolute slope change."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    p = len(xs)
+    prods = [xs[i] * xs[j] for i in range(p) for j in range(i, p)] + [xi * y for xi in xs] + [y * y, F.lit(1.0)]
+    vec = array_to_vector(F.array(*[c.cast("double") for c in prods]))
+    sums = df.select(SERIES, vec.alias("__m"), F.abs(y).alias("__a")).groupBy(SERIES).agg(Summarizer.sum(F.col("__m")).alias("__m"), F.max("__a").alias("__a"))
+    sums = sums.select(SERIES, vector_to_array("__m").alias("m"), F.col("__a").alias("size"))
+    iu = np.triu_indices(p)
+    changes = np.zeros(p, bool)
+    changes[2:2 + n_cp] = True
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for g, m, size in zip(pdf[SERIES], pdf["m"], pdf["size"]):
+            m = np.asarray(m, dtype=float)
+            A = np.zeros((p, p))
+            A[iu] = m[:len(iu[0])]
+            A = A + np.triu(A, 1).T
+            b, yy, n = m[len(iu[0]):-2], m[-2], m[-1]
+            size = size or 1.0
+            P = A + np.diag(np.where(changes, 0.0, ridge))
+            sigma = LEAST_NOISE * size
+            for _ in range(NOISE_ROUNDS):
+                c = sparse_solution(P, b, changes, sigma**2 / (CHANGE_SCALE * size))
+                rest = max(yy - 2 * c @ b + c @ A @ c, 0.0)
+                new = max(math.sqrt(rest / max(n, 1.0)), LEAST_NOISE * size)
+                if abs(new - sigma) < 1e-3 * sigma:
+                    break
+                sigma = new
+            out.append((g, c.tolist(), sigma, float(np.abs(c[changes]).mean()) if n_cp else 0.0))
+        return pd.DataFrame(out, columns=[SERIES, "coef", "sigma", "change"])
+
+    return sums.groupBy(SERIES).applyInPandas(solve, f"{SERIES} string, coef array<double>, sigma double, change double")
+
+
 class TrendSeasonalModel:
     def __init__(self, coefs: DataFrame, time_col: str, series_key: str | None, n_cp: int, seasons: list):
         self.coefs, self.time_col, self.series_key, self.n_cp, self.seasons = coefs, time_col, series_key, n_cp, seasons
 
+    def intervals(self, df: DataFrame, share: float = 0.8) -> DataFrame:
+        """The rows with ``prediction, prediction_lower, prediction_upper``: noise, and
+        beyond the training range the slope changes that may come (as often and as large as those
+        found), as a normal interval."""
+        from statistics import NormalDist
+
+        z = NormalDist().inv_cdf(0.5 + share / 2)
+        x = self.transform(df)
+        x = _series(x, self.series_key).join(self.coefs.drop("__f_coef"), SERIES, "left")
+        secs = F.unix_micros(F.col(self.time_col).cast("timestamp")).cast("double") / 1e6
+        ahead = F.greatest((secs - F.col("__tmax")) / F.greatest(F.col("__tmax") - F.col("__tmin"), F.lit(1e-9)), F.lit(0.0))
+        wide = F.lit(z) * F.sqrt(F.pow("__f_sigma", 2) + F.lit(2.0 * self.n_cp / 3) * F.pow("__f_change", 2) * F.pow(ahead, 3))
+        centre = F.when(F.col("__f_log"), F.log("prediction")).otherwise(F.col("prediction"))
+
+        def back(c):
+            return F.when(F.col("__f_log"), F.exp(c)).otherwise(c)
+
+        return x.select(*df.columns, "prediction", back(centre - wide).alias("prediction_lower"), back(centre + wide).alias("prediction_upper"))
+
     def transform(self, df: DataFrame) -> DataFrame:
         x = _series(df, self.series_key).join(self.coefs, SERIES, "left")
         cols = _design(self.time_col, self.n_cp, self.seasons)
@@ -197,8 +289,8 @@ class TrendSeasonalModel:
 
 def fit_forecast_trend_seasonal(train: DataFrame, label: str, time_col: str, series_key: str | None, params: dict,
                                 n_changepoints: int = 25, ridge: float = 1.0) -> TrendSeasonalModel:
-    """Ridge on hinges and seasons only: intercept and slope are free, so a
-    constant or linear series is met exactly. Seasons and the multiplicative
+    """A Laplace prior on the slope changes and ridge on seasons: intercept and slope are free, so a
+    constant or linear series is met exactly, and a series without breaks has none. Seasons and the multiplicative
     mode (log scale, for a series of positive values) are decided per series."""
     mode = params.get("seasonality_mode", "multiplicative")
     if mode not in ("multiplicative", "additive"):
@@ -213,5 +305,7 @@ def fit_forecast_trend_seasonal(train: DataFrame, label: str, time_col: str, ser
     y = F.when(F.col("__f_log"), F.log(F.col(label))).otherwise(F.col(label).cast("double"))
     design = _design(time_col, n_cp, seasons)
     penalty = [0.0, 0.0] + [ridge] * (len(design) - 2)
-    coefs = solve_grouped(x.join(rng, SERIES), [c.cast("double") for c in design], y, ridge=penalty)
-    return TrendSeasonalModel(coefs.withColumnRenamed("coef", "__f_coef").join(rng, SERIES).transform(materialize), time_col, series_key, n_cp, seasons)
+    coefs = solve_trend(x.join(rng, SERIES), [c.cast("double") for c in design], y, penalty, n_cp)
+    for name in ("coef", "sigma", "change"):
+        coefs = coefs.withColumnRenamed(name, f"__f_{name}")
+    return TrendSeasonalModel(coefs.join(rng, SERIES).transform(materialize), time_col, series_key, n_cp, seasons)
