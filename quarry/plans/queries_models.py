@@ -289,6 +289,22 @@ def q_score_stream(spark, d):
     return spark.read.parquet(paths["predictions"]).select("event_id", "batch_id", "score", "prediction")
 
 
+@query("score_stream_once")
+def q_score_stream_once(spark, d):
+    """The events arrive as files, and every third one a second time in a later file; each is scored once."""
+    from quarry.models.anomaly import fit_isolation_forest
+    from quarry.streaming.scoring import score_stream
+
+    ev = events_frame(spark, d)
+    feats = ["value", "props_k", "hour"]
+    model = fit_isolation_forest(ev, feats, "event_id", n_estimators=50)
+    src = scratch_path(spark, "events_in")
+    ev.repartition(2, "event_id").write.mode("overwrite").parquet(src)
+    ev.filter("event_id % 3 = 0").coalesce(1).write.mode("append").parquet(src)
+    paths = score_stream(spark, model, src, ev.schema, feats, "event_id", scratch_path(spark, "events_scored"), scratch_path(spark, "stream_ckpt"), once=True)
+    return spark.read.parquet(paths["predictions"]).select("event_id", "score", "prediction")
+
+
 @query("write_schema", ORACLE["profile_numeric"])
 def q_write_schema(spark, d):
     """Input schema document of lineitem's numeric columns (the numeric

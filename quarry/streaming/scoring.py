@@ -11,13 +11,20 @@
   so no step sorts all rows or all chunks in one task. A record without a
   key is a dead letter and counts in its chunk.
 * ``score_stream``: Structured Streaming from a file source; each micro-batch
-  is written once, scored and stored by ``foreachBatch`` (one folder per batch
+  is read once, scored and stored by ``foreachBatch`` (one folder per batch
   id, overwritten => replays are idempotent) plus one progress row per batch;
-  ``stream_progress`` sums them up.
+  ``stream_progress`` sums them up, also while the stream runs. With ``once``, a
+  record whose key an earlier batch had is dropped: the keys are streaming state on
+  disk (RocksDB, kept in the checkpoint folder), for ever or as long as a
+  watermark says.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +32,38 @@ from quarry.functions.columns import bounded_broadcast
 from quarry.functions.positions import ordered_positions
 from quarry.operators.encode import decode_label
 from quarry.operators.select import align_scoring_schema
-from quarry.session import saved
+
+DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+@contextmanager
+def disk_state(spark: SparkSession) -> Iterator[None]:
+    """Streaming state that starts inside is kept on disk."""
+    before = {k: spark.conf.get(k, None) for k in DISK_STATE}
+    for k, v in DISK_STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def first_of_each_key(stream: DataFrame, key: str, watermark: tuple[str, str] | None = None) -> DataFrame:
+    """The first record of every key, over all batches; every record without a
+    key. ``watermark`` (time column, delay): a key is forgotten after that time."""
+    at = stream.metadataColumn("_metadata")
+    # records without a key differ by their place in the source
+    place = F.when(F.col(key).isNull(), F.concat(at["file_path"], F.lit(":"), at["row_index"].cast("string")))
+    marked = stream.select("*", place.alias("__place"))
+    if watermark is None:
+        return marked.dropDuplicates([key, "__place"]).drop("__place")
+    return marked.withWatermark(*watermark).dropDuplicatesWithinWatermark([key, "__place"]).drop("__place")
 
 
 def score(model, df: DataFrame, feature_names: list[str] | None, keep: list[str] | tuple = ()) -> DataFrame:
@@ -118,10 +156,12 @@ def score_chunks(model, records: DataFrame, key: str, feature_names: list[str],
 
 
 def score_stream(spark: SparkSession, model, source_dir: str, schema, feature_names: list[str], key: str,
-                 sink_dir: str, checkpoint_dir: str, max_files_per_trigger: int = 1, dictionary: DataFrame | None = None) -> dict:
+                 sink_dir: str, checkpoint_dir: str, max_files_per_trigger: int = 1, dictionary: DataFrame | None = None,
+                 once: bool = False, watermark: tuple[str, str] | None = None) -> dict:
     """Score files as they arrive; run with ``availableNow`` (processes what
     is there, then stops). With a label ``dictionary`` the predicted codes
-    are decoded too. Returns the sink paths."""
+    are decoded too. With ``once`` a record that repeats a key counts nowhere
+    (``first_of_each_key``). Returns the sink paths."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
     pred_path, prog_path, err_path = f"{sink_dir}/predictions", f"{sink_dir}/progress", f"{sink_dir}/errors"
@@ -132,8 +172,14 @@ def score_stream(spark: SparkSession, model, source_dir: str, schema, feature_na
         df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # written once: the source of a batch is read by one job only
-        records = saved(batch, "microbatch")
+        # kept while the batch lasts: its source is read by one job only
+        records = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            stored(records, batch_id)
+        finally:
+            records.unpersist()
+
+    def stored(records: DataFrame, batch_id: int) -> None:
         ok, errors = dead_letter(records, feature_names, key)
         scored = model.transform(align_scoring_schema(ok, feature_names, keep=[key]))
         if dictionary is not None:
@@ -145,9 +191,12 @@ def score_stream(spark: SparkSession, model, source_dir: str, schema, feature_na
             F.count(F.lit(1)).alias("batch_size"), F.coalesce(F.sum(_bad(records, key).cast("long")), F.lit(0)).alias("n_failed"))
         write(n, prog_path, batch_id)
 
-    q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_dir)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    if once:
+        stream = first_of_each_key(stream, key, watermark)
+    with disk_state(spark):
+        q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_dir)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return {"predictions": pred_path, "progress": prog_path, "errors": err_path}
 
 
