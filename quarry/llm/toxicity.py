@@ -8,7 +8,10 @@
    lattice: each character is itself, or a letter that it imitates; a run is
    one or two of its letter; a separator joins or parts. Viterbi finds the path
    of least cost under channel and character model. Any other word has one
-   path, itself, and needs no search.
+   path, itself, and needs no search. Scoring also looks at second readings, beside
+   the plain one: a token with separators inside, a word with a doubled letter (one of
+   it may be noise), and two neighbouring tokens that together are a word of the model. Each
+   counts only if its path costs less than leaving the text as it is.
 3. The restored words (and their four and five letter beginnings) of a bounded
    sample of labelled documents, ``FIT_ROWS``, get log odds; a feature counts
    if its G statistic is beyond chance, with its log odds less a standard error; the best ``MODEL_FEATURES``
@@ -54,9 +57,12 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
         "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 COST = {"leet": 1.0, "run": 0.5, "pair": 1.0, "join": 0.2, "part": 1.5, "break": 6.0}
 EDGES = ".,;:?\"'()[]{}<>*|-_~`&#%=/\\^!$+"
-SEPARATORS = " .-_*"
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][^\W_@$!]|[ .\-_*][@$!](?=[ .\-_*])){3,}(?![^\W_])")
+SEPARATORS = " .-_*/\t\r\n"
+_GAP = r"(?:[ \t]{1,3}|\r?\n|[.\-_*/])"
+SPACED = re.compile(rf"(?<![^\W_])[^\W_](?:{_GAP}[^\W_@$!]|{_GAP}[@$!](?={_GAP})){{2,}}(?![^\W_])")
 RUN = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"([^\W\d_])\1")
+INNER = re.compile(r"[^\W_][.\-_*/][^\W_]")
 
 
 @lru_cache(1)
@@ -112,8 +118,9 @@ class Channel:
     def code(self, c: str) -> int:
         return int(code_table()[ord(c)])
 
-    def lattice(self, s: str, spaced: bool):
-        """Steps of (emitted text, cost); a space is a word boundary."""
+    def lattice(self, s: str, spaced: bool, doubled: bool = False):
+        """Steps of (emitted text, cost); a space is a word boundary. ``doubled``: two
+        equal letters may be one."""
         steps, i = [], 0
         while i < len(s):
             c, j = s[i], i + 1
@@ -124,6 +131,8 @@ class Channel:
             elif self.code(c):
                 if j - i >= 3:
                     steps.append([(c, COST["run"]), (c + c, COST["pair"])])
+                elif doubled and j - i == 2:
+                    steps.append([(c + c, 0.0), (c, COST["pair"])])
                 else:
                     steps += [[(c, 0.0)]] * (j - i)
             elif c in LEET:
@@ -134,12 +143,12 @@ class Channel:
             i = j
         return steps
 
-    def decode(self, s: str, spaced: bool = False) -> str:
+    def decode(self, s: str, spaced: bool = False, doubled: bool = False) -> str:
         """The most probable reading of a disguised word or sequence."""
         # state: the last two codes; value: cost and the path as a linked list
         best = {(0, 0): (0.0, None)}
         cost, code = self.cost, self.code
-        for options in [*self.lattice(s, spaced), [(" ", 0.0)]]:
+        for options in [*self.lattice(s, spaced, doubled), [(" ", 0.0)]]:
             new: dict = {}
             for (a, b), (total, path) in best.items():
                 for emitted, price in options:
@@ -199,6 +208,21 @@ class Reader:
             return tuple(self.channel.decode(s).split())
         return (s,)
 
+    def second(self, token: str) -> tuple[str, ...]:
+        """Words of a token's second reading, where there is one."""
+        s = core(token)
+        out = ()
+        if INNER.search(s):
+            out = tuple(self.channel.decode(s, True).split())
+        if DOUBLED.search(s) and not RUN.search(s) and s.isalpha():
+            out += tuple(self.channel.decode(s, False, True).split())
+        return tuple(w for w in out if w != s)
+
+    def joined(self, a: str, b: str) -> str | None:
+        """Two tokens as one word, if that is their cheapest reading."""
+        read = self.channel.decode(f"{a} {b}", True)
+        return read if " " not in read else None
+
     def words(self, token: str) -> tuple[str, ...]:
         w = self.cache.get(token)
         if w is None:
@@ -216,10 +240,21 @@ class Reader:
             out.update(self.words_of(m[0], True))
         return out
 
-    def restore(self, text: str) -> str:
-        """The text in restored words."""
+    def restore(self, text: str, known: frozenset[str] = frozenset()) -> str:
+        """The text in restored words; second readings and joined tokens where they give a
+        word of ``known``."""
         text = SPACED.sub(lambda m: " ".join(self.words_of(m[0], True)), text)
-        return " ".join(w for t in text.split() for w in self.words(t))
+        tokens, out, i = text.split(), [], 0
+        while i < len(tokens):
+            a, b = tokens[i].lower(), tokens[i + 1].lower() if i + 1 < len(tokens) else ""
+            if b and core(a + b) in known and (word := self.joined(a, core(b))):
+                out.append(word)
+                i += 2
+                continue
+            second = self.second(tokens[i])
+            out += second if known.intersection(second) else self.words(tokens[i])
+            i += 1
+        return " ".join(out)
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -264,10 +299,13 @@ class Model:
 def evidence_of(df: DataFrame, counts: np.ndarray, weights: dict[str, float]) -> DataFrame:
     """``doc_id, strongest, further`` of every row."""
     model = Model(weights)
+    # whole words of the model; of a joined pair both parts are shorter
+    whole = {w: x for w, x in weights.items() if not w.endswith("-") and len(w) > 3}
 
     def run(batches):
         r = reader(counts)
         memo: dict[str, float] = {}
+        pairs: dict[tuple[str, str], float] = {}
         for ks, ts in column_lists(batches):
             strongest, further = [], []
             for t in ts:
@@ -278,7 +316,18 @@ def evidence_of(df: DataFrame, counts: np.ndarray, weights: dict[str, float]) ->
                     if x is None:
                         if len(memo) > CACHE:
                             memo.clear()
-                        x = memo[tok] = model.weight(r.words_of(tok))
+                        x = model.weight(r.words_of(tok))
+                        # a second reading has to be a whole word of the model
+                        x = memo[tok] = max([x, *[whole.get(w, 0.0) for w in r.second(tok)]])
+                    if x:
+                        found.append(x)
+                low = t.lower().split() if whole else ()
+                for a, b in {(a, b) for a, b in zip(low, low[1:]) if a + b in whole}:
+                    x = pairs.get((a, b))
+                    if x is None:
+                        if len(pairs) > CACHE:
+                            pairs.clear()
+                        x = pairs[a, b] = whole[a + b] if r.joined(a, b) == a + b else 0.0
                     if x:
                         found.append(x)
                 for m in SPACED.finditer(t):
