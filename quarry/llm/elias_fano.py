@@ -128,6 +128,18 @@ def blocks_in(content: bytes):
         at += ne + nn + nb + 1
 
 
+class Generation(dict):
+    """Pieces and their ids; a missing piece is found and kept."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, p: str) -> bytes:
+        ids = self[p] = self.find(p)
+        return ids
+
+
 class PieceEncoder:
     """Ids by the tokenizers library. White space only separates words in this
     vocabulary (its normalizer and pattern drop it), so texts are cut at
@@ -149,43 +161,31 @@ class PieceEncoder:
         self.t.no_padding()
         self.width = 2 if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else 4
         self.end = end_id.to_bytes(self.width, "little")
-        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.young = Generation(self.piece)
         self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@[-`{-~]*)").fullmatch
         self.printable = {b: c for c, b in byte_alphabet().items()}
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
-    def learn(self, pieces: set[str]) -> None:
-        """Bring all pieces into the younger generation."""
-        if len(self.young) > self.CACHE:
-            self.old, self.young = self.young, {}
-        young, old, model, pack = self.young, self.old, self.t.model.tokenize, self.pack
-        rest = []
-        for p in pieces.difference(young):
-            ids = old.get(p)
-            if ids is None:
-                if m := self.plain(p):
-                    w, marks = m.groups()
-                    w = w.lower()
-                    ids = [x.id for x in model(w if w.isascii() else w.encode().decode("latin-1").translate(self.printable))]
-                    if marks:
-                        ids += [x.id for x in model(marks)]
-                    ids = pack(ids)
-                else:
-                    rest.append(p)
-                    continue
-            young[p] = ids
-        for at in range(0, len(rest), 5_000):
-            part = rest[at:at + 5_000]
-            young.update(zip(part, [pack(e.ids) for e in self.t.encode_batch_fast(part, add_special_tokens=False)]))
+    def piece(self, p: str) -> bytes:
+        """Ids of a piece that the younger generation doesn't have."""
+        ids = self.old.get(p)
+        if ids is not None:
+            return ids
+        if m := self.plain(p):
+            w, marks = m.groups()
+            w, model = w.lower(), self.t.model.tokenize
+            found = [x.id for x in model(w if w.isascii() else w.encode().decode("latin-1").translate(self.printable))]
+            return self.pack(found + [x.id for x in model(marks)] if marks else found)
+        return self.pack(self.t.encode(p, add_special_tokens=False).ids)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        pieces = [x.replace("\n", " ").split(" ") for x in texts]
-        self.learn(set().union(*pieces))
+        if len(self.young) > self.CACHE:
+            self.old, self.young = self.young, Generation(self.piece)
         get = self.young.__getitem__
-        return [b"".join(map(get, p)) + self.end for p in pieces]
+        return [b"".join(map(get, x.replace("\n", " ").split(" "))) + self.end for x in texts]
 
 
 _MADE: dict[str, PieceEncoder] = {}

@@ -1,9 +1,11 @@
 """Elias-Fano select, file round trip against the tokenizers library."""
+import os
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from quarry.llm import elias_fano as ef
@@ -33,13 +35,32 @@ def want(rows):
     return out
 
 
-def test_documents_and_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("small", [False, True])
+def test_documents_and_small_blocks(spark, monkeypatch, tmp_path, small):
+    if small:  # several blocks a file and several files a task
+        monkeypatch.setattr(ef, "BLOCK_IDS", 2000)
+        monkeypatch.setattr(ef, "FILE_BLOCKS", 2)
+        docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+        ef.write_token_files(docs.coalesce(1), str(tmp_path / "ids"), PATH)
+        files = [f for f in os.listdir(tmp_path / "ids") if f.startswith("part-")]
+        assert len(files) > 8  # more than tasks
+        assert max(sum(1 for _ in ef.blocks_in((tmp_path / "ids" / f).read_bytes())) for f in files) == 2
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     got = sorted(tuple(r) for r in ef.token_files(docs, PATH).collect())
     assert got == want(rows)
 
 
+def test_select_keeps_nothing_but_its_sections():
+    rng = np.random.default_rng(1)
+    for steps in (rng.integers(0, 5000, 10_000), np.r_[np.zeros(3000, int), [10**9], np.ones(3000, int)], [7], []):
+        v = np.cumsum(np.concatenate([[0], steps])).astype(np.uint64)
+        x = ef.EliasFano.from_bytes(ef.EliasFano.encode(v).to_bytes())
+        assert [x.select(i) for i in range(len(v))] == v.tolist()
+        held = sum(len(bytes(a)) if isinstance(a, bytes) else a.nbytes for a in vars(x).values() if isinstance(a, (bytes, np.ndarray)))
+        assert held <= len(x.to_bytes())
+
+
 def test_odd_rows(spark):
     texts = ["", None, "a\nb\tc  d", "<|endoftext|> x<|startoftext|>y", "É é ŉ ÀÉ İ K ſ", " ̃a", "日本 語🙂", "don't WE'VE 12 3.5", "w " * 50_000, "x\x1cy\x85z\xa0q"]
     rows = [(i * 10**12 - 5, x, i) for i, x in enumerate(texts)]
