@@ -62,6 +62,7 @@ _GAP = r"(?:[ \t]{1,3}|\r?\n|[.\-_*/])"
 SPACED = re.compile(rf"(?<![^\W_])[^\W_](?:{_GAP}[^\W_@$!]|{_GAP}[@$!](?={_GAP})){{2,}}(?![^\W_])")
 RUN = re.compile(r"(.)\1\1")
 DOUBLED = re.compile(r"([^\W\d_])\1")
+GAPS = re.compile(r"[.\-_*/]+")
 INNER = re.compile(r"[^\W_][.\-_*/][^\W_]")
 
 
@@ -191,6 +192,16 @@ def disguised(s: str) -> bool:
     return any(c.isalpha() for c in s) and (any(c in LEET for c in s) or RUN.search(s) is not None)
 
 
+def single_letters(s: str) -> set[str]:
+    """``s`` with any of its doubled letters (of the first eight) written once."""
+    parts = DOUBLED.split(s)  # text, letter, text, letter, ..., text
+    out = {parts[0]}
+    for i in range(1, len(parts), 2):
+        once = (parts[i], parts[i] * 2) if i < 16 else (parts[i] * 2,)
+        out = {x + c + parts[i + 1] for x in out for c in once}
+    return out
+
+
 class Reader:
     """Texts to restored words, with a bounded cache per worker."""
 
@@ -208,15 +219,15 @@ class Reader:
             return tuple(self.channel.decode(s).split())
         return (s,)
 
-    def second(self, token: str) -> tuple[str, ...]:
-        """Words of a token's second reading, where there is one."""
-        s = core(token)
-        out = ()
-        if INNER.search(s):
+    def second(self, token: str, known) -> tuple[str, ...]:
+        """Words of a token's second reading that are in ``known``. Only a token that could hold
+        such a word - without its separators, or with one letter for two - is searched."""
+        s, out = core(token), ()
+        if INNER.search(s) and known.keys() & {GAPS.sub("", s), *GAPS.split(s)}:
             out = tuple(self.channel.decode(s, True).split())
-        if DOUBLED.search(s) and not RUN.search(s) and s.isalpha():
+        if DOUBLED.search(s) and s.isalpha() and known.keys() & single_letters(s):
             out += tuple(self.channel.decode(s, False, True).split())
-        return tuple(w for w in out if w != s)
+        return tuple(w for w in out if w != s and w in known)
 
     def joined(self, a: str, b: str) -> str | None:
         """Two tokens as one word, if that is their cheapest reading."""
@@ -240,9 +251,10 @@ class Reader:
             out.update(self.words_of(m[0], True))
         return out
 
-    def restore(self, text: str, known: frozenset[str] = frozenset()) -> str:
+    def restore(self, text: str, known: dict | None = None) -> str:
         """The text in restored words; second readings and joined tokens where they give a
         word of ``known``."""
+        known = known or {}
         text = SPACED.sub(lambda m: " ".join(self.words_of(m[0], True)), text)
         tokens, out, i = text.split(), [], 0
         while i < len(tokens):
@@ -251,8 +263,7 @@ class Reader:
                 out.append(word)
                 i += 2
                 continue
-            second = self.second(tokens[i])
-            out += second if known.intersection(second) else self.words(tokens[i])
+            out += self.second(tokens[i], known) or self.words(tokens[i])
             i += 1
         return " ".join(out)
 
@@ -318,7 +329,7 @@ def evidence_of(df: DataFrame, counts: np.ndarray, weights: dict[str, float]) ->
                             memo.clear()
                         x = model.weight(r.words_of(tok))
                         # a second reading has to be a whole word of the model
-                        x = memo[tok] = max([x, *[whole.get(w, 0.0) for w in r.second(tok)]])
+                        x = memo[tok] = max([x, *[whole[w] for w in r.second(tok, whole)]])
                     if x:
                         found.append(x)
                 low = t.lower().split() if whole else ()

@@ -36,13 +36,13 @@ HIDDEN = ["id.iot", "id-iot", "st upid", "idiiot", "a s s", "i  d  i  o  t", "i/
 
 @pytest.mark.parametrize("hidden", HIDDEN)
 def test_second_readings(spark, counts, hidden):
-    known = frozenset({"idiot", "stupid", "ass"})
+    known = {"idiot": 3.0, "stupid": 3.0, "ass": 3.0}
     r = t.Reader(counts)
-    assert known & set(r.restore(f"you {hidden} there", known).split()), r.restore(f"you {hidden} there", known)
+    assert known.keys() & set(r.restore(f"you {hidden} there", known).split()), r.restore(f"you {hidden} there", known)
     clean = "well-known good books, and/or e.g. the pass of an assembly; a big cat sat st. john"
-    assert not known & set(r.restore(clean, known).split())
+    assert not known.keys() & set(r.restore(clean, known).split())
     df = spark.createDataFrame([(1, f"you {hidden} there"), (2, clean)], "doc_id long, text string")
-    got = {x["doc_id"]: x["strongest"] for x in t.evidence_of(df, counts, {w: 3.0 for w in known}).collect()}
+    got = {x["doc_id"]: x["strongest"] for x in t.evidence_of(df, counts, known).collect()}
     # three letters are too short for a second reading, but not for letters spaced out
     assert got[1] == 3.0 and got[2] == 0.0
 
