@@ -15,6 +15,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark import keyword_only
@@ -72,6 +73,56 @@ class PolynomialKernelFeatures(Transformer, HasInputCol, HasOutputCol, DefaultPa
         return df.withColumn(self.getOutputCol(), array_to_vector(F.array(*out)))
 
 
+#: more monomials than this are sketched
+MOST_MONOMIALS = 512
+#: standard error of a sketched kernel value, as a share of (gamma |x| |y|)^degree
+KERNEL_ERROR = 0.15
+
+
+def sketch_size(degree: int, error: float = KERNEL_ERROR) -> int:
+    """Columns for the error: the variance of a tensor sketch is at most (2 + 3^degree) / size (Avron et al. 2014)."""
+    return 1 << math.ceil(math.log2((2 + 3**degree) / error**2))
+
+
+def tensor_sketch(x: np.ndarray, gamma: float, degree: int, size: int, seed: int) -> np.ndarray:
+    """Rows whose inner products estimate (gamma x.y)^degree: the circular convolution of
+    ``degree`` count sketches, by FFT (Pham & Pagh 2013)."""
+    rng = np.random.default_rng(seed)
+    out = np.ones((len(x), size // 2 + 1), complex)
+    for _ in range(degree):
+        cell, sign = rng.integers(0, size, x.shape[1]), rng.choice([-1.0, 1.0], x.shape[1])
+        sketch = np.zeros((len(x), size))
+        for j in range(x.shape[1]):
+            sketch[:, cell[j]] += sign[j] * x[:, j]
+        out *= np.fft.rfft(sketch * math.sqrt(gamma), axis=1)
+    return np.fft.irfft(out, size, axis=1)
+
+
+class TensorSketchFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """An approximate map of the kernel (gamma x.y)^degree whose size depends on the
+    error asked for and not on the number of monomials."""
+
+    gamma = Param(Params._dummy(), "gamma", "kernel width")
+    degree = Param(Params._dummy(), "degree", "degree of the kernel")
+    size = Param(Params._dummy(), "size", "number of columns")
+    seed = Param(Params._dummy(), "seed", "of hashes and signs")
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None, gamma=None, degree=None, size=None, seed=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df):
+        g, k, n, seed = (self.getOrDefault(p) for p in (self.gamma, self.degree, self.size, self.seed))
+
+        @F.pandas_udf("array<double>")
+        def sketched(x: pd.Series) -> pd.Series:
+            parts = [tensor_sketch(np.stack(x.iloc[i:i + 1024].to_list()), g, k, n, seed) for i in range(0, len(x), 1024)]
+            return pd.Series([r for p in parts for r in p], dtype=object)
+
+        return df.withColumn(self.getOutputCol(), array_to_vector(sketched(vector_to_array(F.col(self.getInputCol())))))
+
+
 class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2 gamma) (Rahimi & Recht 2007).
 
@@ -138,14 +189,20 @@ def classifier_estimator(name: str, params: dict, n_train: int, n_classes: int,
                 var = float(p.pop("_feature_var", 1.0)) or 1.0
                 g = 1.0 / (d * var) if gamma == "scale" else 1.0 / d
             if kernel == "poly":
-                extra = [PolynomialKernelFeatures(inputCol=FEATURES, outputCol="rff", gamma=g, degree=int(p.pop("degree", 3)), dim=d)]
+                k, error = int(p.pop("degree", 3)), float(p.pop("kernel_error", KERNEL_ERROR))
+                if math.comb(d + k - 1, k) <= MOST_MONOMIALS:
+                    extra = [PolynomialKernelFeatures(inputCol=FEATURES, outputCol="rff", gamma=g, degree=k, dim=d)]
+                else:
+                    extra = [TensorSketchFeatures(inputCol=FEATURES, outputCol="rff", gamma=g, degree=k, size=sketch_size(k, error), seed=SEED)]
             elif kernel == "rbf":
                 extra = [rff_stage(d, int(p.pop("n_components", 128)), g)]
             else:
                 raise ValueError(f"kernel {kernel!r} is not supported; use rbf, poly or linear")
             fcol = "rff"
+        # the columns of a sketch are alike; their penalty is per standard deviation
+        sketched = bool(extra) and isinstance(extra[0], TensorSketchFeatures)
         base = LinearSVC(regParam=1.0 / (C * max(n_train, 1)), maxIter=int(p.pop("max_iter", 100)),
-                         featuresCol=fcol, labelCol=LABEL, standardization=False)
+                         featuresCol=fcol, labelCol=LABEL, standardization=sketched)
         est = base if n_classes <= 2 else OneVsRest(classifier=base, featuresCol=fcol, labelCol=LABEL)
         dropped = p
     else:
