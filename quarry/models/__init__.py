@@ -75,7 +75,7 @@ def fit_model(task: str, name: str, train: DataFrame, features: list[str], param
         fit = lambda rows: S.fit_classifier(rows, features, name, params, k)
         m = fit(train)
         curves = None
-        if name == "svm":
+        if name == "svm" and params.get("probability"):  # three more fits, so only if asked for
             curves = calibrated(train.select(*dict.fromkeys([*features, "label", *([key] if key else [])])), fit, k)
         return PipelineFitted(m, features, task, name, curves)
     if task == "regression":

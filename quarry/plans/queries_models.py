@@ -261,7 +261,7 @@ def q_score_proba_calibrated(spark, d):
     """Class probabilities of a one-vs-rest margin classifier on every order."""
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.month("o_orderdate").cast("double").alias("month"), "o_orderstatus")
     cfg = TrainConfig(task="classification", target="o_orderstatus", key="o_orderkey", features=["o_totalprice", "month"], models=["svm"],
-                      overrides={"svm": {"kernel": "linear"}}, experiment="orders_status_svm")
+                      overrides={"svm": {"kernel": "linear", "probability": True}}, experiment="orders_status_svm")
     res = train_many(spark, o, cfg)
     s = res.models["svm"].transform(o)
     return s.select("o_orderkey", "prediction", *[F.round(F.col("probability")[i], 6).alias(f"p_{i}") for i in range(3)])

@@ -28,7 +28,7 @@ def test_every_classifier_has_probabilities(spark, tmp_path, classes):
     p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
     y = np.array([rng.choice(classes, p=r) for r in p])
     df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, label double")
-    m = fit_model("classification", "svm", df, ["a", "b"], {"kernel": "linear"}, n_classes=classes, key="id")
+    m = fit_model("classification", "svm", df, ["a", "b"], {"kernel": "linear", "probability": True}, n_classes=classes, key="id")
     got = {r["id"]: r["probability"] for r in m.transform(df).collect()}
     q = np.array([got[i] for i in range(1500)])
     assert np.allclose(q.sum(1), 1) and q.min() >= 0
