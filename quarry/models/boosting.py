@@ -17,22 +17,27 @@ on these; the tree is the one that splitting one by one gives.
 Rows are sampled by a hash of row and round; one-side sampling (goss) keeps the rows of the largest
 gradients and a hash sample of the rest with more weight. Margins are written
 every ``ROUNDS_PER_WRITE`` rounds; in between a pass adds the latest trees itself. Where all rows are one task's
-(``rows_per_task``), that task grows all rounds by the same code, without a job per pass.
+(``rows_per_task``), that task grows all rounds by the same code, without a job per pass. So it is for the squared loss
+where the features have few bins together (``histograms.cells_of``): rows of a cell have one margin, so the sums
+of the rows that each round draws are made for all rounds in one pass, and the trees are grown over the cells.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.models.histograms import CHUNK, MAX_BINS, TREE, Data, LocalData, Packed, Tree, pack, prepare, tree_columns, uniforms, unpack
+from quarry.models.histograms import CHUNK, MAX_BINS, TREE, Cells, Data, LocalData, Packed, Tree, cells_of, drawn_sums, pack, prepare, tree_columns, uniforms, unpack
+from quarry.session import saved
 
 ROUNDS_PER_WRITE = 16
 LEAST_GAIN = 1e-9
+TREE_ARROW = pa.schema([("tree", pa.int32()), ("node", pa.int32()), *[(c, pa.binary()) for c in ("feature", "bin", "left", "missing_left", "value")]])
 GRADIENT_CELLS = 2048  # cells of the histogram of gradient sizes for one-side sampling
 
 
@@ -211,7 +216,7 @@ class _Round:
 
         def run(chunks):
             sums = [np.zeros((len(features[k]), len(nodes) * 256, 3)) for k, nodes in enumerate(asked)]
-            for uid, bins, y, w, margin in chunks:
+            for uid, bins, y, w, margin, *each in chunks:  # each: how many rows an entry stands for
                 g, h = gradients(opt.objective, with_trees(margin, recent, bins), y)
                 g, h = g * w[:, None], h * w[:, None]
                 times = sampled(opt, uid, np.abs(g).sum(axis=1), turn, threshold)
@@ -223,11 +228,12 @@ class _Round:
                     at = slot[trees[k].nodes(bins)] if len(trees[k].feature) > 1 else np.zeros(len(y), int)
                     rows = np.flatnonzero(at >= 0 if times is None else (at >= 0) & (times > 0))
                     gk, hk, base = g[rows, k], h[rows, k], at[rows] * 256
+                    nk = each[0][rows] if each else None
                     if times is not None:
                         gk, hk = gk * times[rows], hk * times[rows]
                     for i, f in enumerate(features[k]):
                         cell = base + bins[f, rows]
-                        for j, x in enumerate((gk, hk, None)):
+                        for j, x in enumerate((gk, hk, nk)):
                             sums[k][i, :, j] += np.bincount(cell, x, len(nodes) * 256)
             keys = [(k, i) for k, nodes in enumerate(asked) if nodes for i in range(len(features[k]))]
             yield {"tree": [k for k, _ in keys], "feature": [i for _, i in keys], "sums": [sums[k][i].tobytes() for k, i in keys]}
@@ -330,7 +336,10 @@ def fit(df: DataFrame, features: list[str], label: str, opt: BoostOptions, weigh
     more = {} if rows_per_task is None else {"rows_per_task": rows_per_task}
     data = prepare(df, features, label, weight, start, opt.bins, **more)
     try:
-        return start, data.edges, _in_one_task(data, opt) if data.tasks == 1 else _by_passes(data, opt)
+        if data.tasks == 1:
+            return start, data.edges, _in_one_task(data, opt)
+        cells = cells_of(data) if opt.objective == "squared" and not opt.one_side else None
+        return start, data.edges, _by_cells(data, cells, opt, start) if cells else _by_passes(data, opt)
     finally:
         data.release()
 
@@ -369,3 +378,28 @@ def _in_one_task(data: Data, opt: BoostOptions) -> list[list[Packed]]:
 
     found = [unpack(r) for r in sorted(data.whole().map(run, TREE).collect(), key=lambda r: r["tree"])]  # the model
     return [found[i:i + opt.outputs] for i in range(0, len(found), opt.outputs)]
+
+
+def _by_cells(data: Data, cells: Cells, opt: BoostOptions, start: list[float]) -> list[list[Packed]]:
+    edges, n, drawn, seed, share = data.edges, data.rows, opt.subsample < 1, opt.seed, opt.subsample
+    times = (lambda uid, turn: uniforms(uid, seed, turn) < share) if drawn else None
+    sums = saved(drawn_sums(data, cells, opt.rounds if drawn else 1, times), "cell-sums")
+
+    def run(batches):
+        bins = cells.bins()
+        margin, whole = np.tile(np.array(start), (bins.shape[1], 1)), replace(opt, subsample=1.0)
+        turn = 0
+        for batch in batches:
+            for r in batch.column("sums"):
+                w, wy, each = np.frombuffer(r.as_buffer()).reshape(3, -1)
+                y = np.divide(wy, w, out=np.zeros_like(wy), where=w != 0)
+                for _ in range(1 if drawn else opt.rounds):
+                    trees = _Round(LocalData([(None, bins, y, w, margin, each)], edges, n), whole, turn, []).grown()
+                    margin = with_trees(margin, [trees], bins)
+                    columns = [{"tree": turn, "node": 0, **tree_columns(t)} for t in trees]
+                    yield pa.RecordBatch.from_pylist(columns, TREE_ARROW)
+                    turn += 1
+
+    # as large as rounds x cells, in the order of the rounds
+    found = sums.repartition(1).sortWithinPartitions("tree").mapInArrow(run, TREE).collect()
+    return [[unpack(r)] for r in sorted(found, key=lambda r: r["tree"])]

@@ -5,7 +5,9 @@ hash-drawn subset of the features at every node (among all where the subset allo
 split). Nodes of more than ``local_rows`` rows are split by passes over the binned
 chunks, all trees of a portion at once; the rows of smaller nodes are dealt to tasks, one
 group per (tree, node), and the subtree is grown there to the end. A group so has
-at most ``local_rows`` rows whatever the data, and trees grow independently of each other.
+at most ``local_rows`` rows whatever the data, and trees grow independently of each other. For regression over
+features of few bins together (``histograms.cells_of``), one pass adds the rows that every tree draws per cell, and
+a task grows a whole tree over the cells.
 
 Splits maximise the gain of the squared means (variance for regression, Gini for
 classification); a leaf holds the mean, or the shares of the classes.
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.models.histograms import MAX_BINS, TREE, Data, Packed, Tree, prepare, tree_columns, uniforms, unpack
+from quarry.models.histograms import MAX_BINS, TREE, Cells, Data, Packed, Tree, cells_of, drawn_sums, prepare, tree_columns, uniforms, unpack
 
 LOCAL_ROWS = 100_000
 #: bytes of rows dealt out at once; more trees take several portions
@@ -101,10 +103,11 @@ class _Best:
         self.left[i] = left[np.flatnonzero(better), cut[better]]
 
 
-def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, path: int, depth: int, widths: list[int], opt: ForestOptions) -> Packed:
-    """A subtree in memory, level by level, from the rows of its top node."""
+def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, path: int, depth: int, widths: list[int], opt: ForestOptions,
+         each: np.ndarray | None = None) -> Packed:
+    """A subtree in memory, level by level, from the rows of its top node. ``each``: how many rows an entry stands for."""
     d, n = bins.shape
-    stats = np.column_stack([channels(y, w, opt.classes), w, np.ones(n)])
+    stats = np.column_stack([channels(y, w, opt.classes), w, np.ones(n) if each is None else each])
     k = stats.shape[1]
     feature, cut, left = [np.full(1, -1)], [np.zeros(1, int)], [np.zeros(1, int)]
     heavy, sums = [np.ones(1, bool)], [stats.sum(axis=0)[None]]
@@ -288,9 +291,30 @@ def fit(df: DataFrame, features: list[str], label: str, opt: ForestOptions, weig
     data = prepare(df, features, label, weight, None, opt.bins, **more)
     at_once = int(min(opt.trees, max(1, DEALT_BYTES // max(1, data.rows * (len(features) + 24)))))
     try:
+        cells = cells_of(data) if not opt.classes and data.tasks > 1 else None
+        if cells:
+            return data.edges, _by_cells(data, cells, opt)
         out: list[Packed] = []
         for first in range(0, opt.trees, at_once):
             out += _portion(data, first, min(at_once, opt.trees - first), opt)
         return data.edges, out
     finally:
         data.release()
+
+
+def _by_cells(data: Data, cells: Cells, opt: ForestOptions) -> list[Packed]:
+    widths, seed = [len(e) for e in data.edges], opt.seed
+
+    def run(batches):
+        bins = cells.bins()
+        for batch in batches:
+            for tree, sums in zip(batch.column("tree").to_pylist(), batch.column("sums")):
+                w, wy, each = np.frombuffer(sums.as_buffer()).reshape(3, -1)
+                seen = np.flatnonzero(each)
+                y = np.divide(wy, w, out=np.zeros_like(wy), where=w != 0)
+                p = grow(bins[:, seen], y[seen], w[seen], tree, 1, 0, widths, opt, each[seen])
+                yield pa.RecordBatch.from_pydict({"tree": pa.array([tree], pa.int32()), "node": pa.array([0], pa.int32()),
+                                                  **{c: pa.array([x], pa.binary()) for c, x in tree_columns(p).items()}})
+
+    sums = drawn_sums(data, cells, opt.trees, lambda uid, tree: copies(uid, seed, tree))
+    return [unpack(r) for r in sorted(sums.mapInArrow(run, TREE).collect(), key=lambda r: r["tree"])]  # the model

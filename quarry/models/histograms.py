@@ -7,11 +7,16 @@ the data reads a few large values per task. A pass sums statistics per (node,
 feature, bin) inside every task with numpy; with several tasks one shuffle by
 (tree, feature) adds the tasks' sums. What reaches the driver is
 nodes x features x 256 sums, whatever the number of rows.
+
+Where the features have few bins together, rows with the same bins are alike to every tree: ``cells_of``
+finds the distinct bin vectors, and ``drawn_sums`` adds weights, labels and rows per cell for all draws of rows
+(rounds, trees) in one pass. Trees are then grown over the cells instead of by a pass per level.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -27,6 +32,11 @@ MAX_BINS = 255  # bin 255 is a missing value
 MISSING = 255
 CHUNK_ROWS = 65_536
 ROWS_PER_TASK = 250_000
+#: more distinct bin vectors than this, or more possible ones, are not grown over cells
+MOST_CELLS = 65_536
+CELL_SPACE = 1 << 22
+#: rows whose sums per cell are added inside a task before they are handed on
+ROWS_PER_SUM = 4_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -254,3 +264,80 @@ def summed(partials: DataFrame, tasks: int, schema: str) -> DataFrame:
                                               "sums": pa.array([a.tobytes() for a in held.values()], pa.binary())})
 
     return partials.repartition(min(tasks, 64), "tree", "feature").mapInArrow(run, schema)
+
+
+@dataclass
+class Cells:
+    """The distinct bin vectors: ``codes`` are their numbers in a mixed radix system, increasing."""
+
+    codes: np.ndarray
+    sizes: list[int]
+
+    def bins(self) -> np.ndarray:
+        """features x cells."""
+        at = np.array(np.unravel_index(self.codes, self.sizes))
+        last = np.array(self.sizes)[:, None] - 1
+        return np.where(at == last, MISSING, at).astype(np.uint8)
+
+    def places(self) -> np.ndarray:
+        """code -> cell."""
+        out = np.zeros(math.prod(self.sizes), np.int64)
+        out[self.codes] = np.arange(len(self.codes))
+        return out
+
+
+def codes_of(bins: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """The bin vectors as numbers; a missing value is the last of ``sizes`` bins."""
+    return np.ravel_multi_index([np.minimum(b, k - 1) for b, k in zip(bins, sizes)], sizes)
+
+
+def cells_of(data: Data) -> Cells | None:
+    """One pass; None where there are too many."""
+    sizes = [len(e) + 2 for e in data.edges]
+    space = math.prod(sizes)
+    if not sizes or space > CELL_SPACE or MOST_CELLS < 1:
+        return None
+
+    def run(chunks):
+        seen = np.zeros(space, bool)
+        for _, bins, *_ in chunks:
+            seen[codes_of(bins, sizes)] = True
+        yield {"code": np.flatnonzero(seen)}
+
+    found = data.map(run, "code long").distinct().limit(MOST_CELLS + 1).collect()
+    return Cells(np.sort(np.array([r["code"] for r in found], np.int64)), sizes) if len(found) <= MOST_CELLS else None
+
+
+def drawn_sums(data: Data, cells: Cells, draws: int, times: Callable | None) -> DataFrame:
+    """(tree, feature, sums): for every draw, the weights, weighted labels and rows of all cells. ``times(uid, draw)``
+    says how often a draw takes each row; None takes every row once."""
+    schema, many = "tree int, feature int, sums binary", len(cells.codes)
+
+    def run(chunks):
+        place = cells.places()
+
+        def added(held):
+            for t in range(draws):
+                out = np.zeros((3, many))
+                for uid, at, w, wy in held:
+                    if times is not None:
+                        k = times(uid, t)
+                        take = np.flatnonzero(k)
+                        at, w, wy = at[take], w[take] * k[take], wy[take] * k[take]
+                    out += [np.bincount(at, x, many) for x in (w, wy, None)]
+                yield {"tree": [t], "feature": [0], "sums": [out.tobytes()]}
+
+        held, rows = [], 0
+        for uid, bins, y, w, _ in chunks:
+            held.append((uid, place[codes_of(bins, cells.sizes)], w, w * y))
+            rows += len(y)
+            if rows >= ROWS_PER_SUM:
+                yield from added(held)
+                held, rows = [], 0
+        if held:
+            yield from added(held)
+
+    # a task adds up what it can: the sums of all draws are as long whatever the rows they stand for
+    parts = max(data.chunks.sparkSession.sparkContext.defaultParallelism, -(-data.rows // ROWS_PER_SUM))
+    spread = Data(data.chunks.coalesce(parts), data.edges, data.rows, data.tasks)
+    return summed(spread.map(run, schema), max(2, data.tasks), schema)

@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.models import boosting, fit_model, forest
+from quarry.models import boosting, fit_model, forest, histograms
 from quarry.models.catalog import ignored_params
 from quarry.models.histograms import uniforms
 from quarry.models.served import ServedModel, load_model
@@ -184,3 +184,47 @@ def test_deep_and_odd_requests(spark, tmp_path):
     constant = df.withColumn("a", F.lit(1.0)).withColumn("b", F.lit(2.0)).withColumn("c", F.lit(3.0))
     m = fit_model("regression", "xgboost", constant, FEATURES, {"n_estimators": 2})
     assert abs(m.transform(constant).first()["prediction"] - y.mean()) < 1e-6
+
+
+def few_valued(spark, n=3000, seed=4):
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.integers(0, 9, n), rng.integers(0, 5, n), rng.integers(0, 3, n)]).astype(float)
+    y = np.sin(x[:, 0]) + x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=n)
+    rows = [(i, *map(float, r), float(t), 1.0 + i % 3) for i, (r, t) in enumerate(zip(x, y))]
+    rows[5] = (5, None, *rows[5][2:])
+    return spark.createDataFrame(rows, "id long, a double, b double, c double, label double, w double"), x
+
+
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("more", [dict(growth="leafwise", num_leaves=8, max_depth=0, least_rows=20), dict(criterion="friedman"),
+                                  dict(subsample=0.7, columns=0.67)], ids=str)
+def test_rounds_over_cells_equal_rounds_by_passes(spark, monkeypatch, more):
+    df, x = few_valued(spark)
+    opt = boosting.BoostOptions(rounds=25, **{"max_depth": 3, **more})
+    a, jobs = jobs_of(spark, f"cells {more}", lambda: boosting.fit(df, FEATURES, "label", opt, "w", rows_per_task=1000))
+    monkeypatch.setattr(histograms, "MOST_CELLS", 0)
+    b = boosting.fit(df, FEATURES, "label", opt, "w", rows_per_task=1000)
+    raw = [TreeEnsembleModel(FEATURES, e, [t for r in rounds for t in r], "regression", s, "", "").raw(x.T) for s, e, rounds in (a, b)]
+    assert np.allclose(raw[0], raw[1], atol=1e-9)
+    assert jobs < opt.rounds  # not a job per level and round
+
+
+def test_forest_over_cells_equals_forest_by_passes(spark, monkeypatch):
+    df, x = few_valued(spark)
+    opt = forest.ForestOptions(trees=6, max_depth=4, columns=2, least_rows=5, local_rows=200)
+    got = []
+    for most in (histograms.MOST_CELLS, 0):
+        monkeypatch.setattr(histograms, "MOST_CELLS", most)
+        dealt = []
+        monkeypatch.setattr(forest, "_portion", lambda *a, run=forest._portion: dealt.append(1) or run(*a))
+        edges, trees = forest.fit(df, FEATURES, "label", opt, "w", rows_per_task=1000)
+        assert bool(dealt) == (most == 0)  # rows are dealt out only where there are many cells
+        got.append(TreeEnsembleModel(FEATURES, edges, trees, "regression", [], "", "").raw(x.T))
+    assert np.allclose(got[0], got[1], atol=1e-9)
