@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.models import boosting, forest
 from quarry.models.catalog import SEED
-from quarry.models.histograms import MAX_BINS, TREE, Packed, binned, tree_columns, unpack
+from quarry.models.histograms import CELL_SPACE, MAX_BINS, TREE, Packed, binned, codes_of, tree_columns, unpack
 from quarry.models.served import read_meta, write_meta
 
 ROWS_AT_ONCE = 16_384
@@ -22,10 +24,26 @@ class TreeEnsembleModel:
         self.feature_cols, self.edges, self.trees, self.kind, self.start = list(features), edges, trees, kind, list(start)
         self.task, self.name = task, name
         self._sent = None
+        self._known = None  # places and outputs of the bin vectors met so far, where few are possible
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        """rows x outputs from features x rows."""
+        """rows x outputs from features x rows. Rows with the same bins are alike, so where the features
+        have few bins together a worker walks the trees once for each bin vector."""
         bins = np.stack([binned(c, e) for c, e in zip(x, self.edges)])
+        sizes = [len(e) + 2 for e in self.edges]
+        if math.prod(sizes) > CELL_SPACE:
+            return self._walked(bins)
+        codes = codes_of(bins, sizes)
+        place, outputs = self._known or (np.full(math.prod(sizes), -1, np.int32), None)
+        new, first = np.unique(codes[place[codes] < 0], return_index=True)
+        if len(new) or outputs is None:
+            found = self._walked(bins[:, np.flatnonzero(place[codes] < 0)[first]])
+            place[new] = np.arange(len(new)) + (0 if outputs is None else len(outputs))
+            outputs = found if outputs is None else np.concatenate([outputs, found])
+            self._known = place, outputs
+        return outputs[place[codes]]
+
+    def _walked(self, bins: np.ndarray) -> np.ndarray:
         if not self.start:
             return sum(t.values(bins) for t in self.trees) / len(self.trees)
         out = np.tile(np.array(self.start), (bins.shape[1], 1))
@@ -45,7 +63,7 @@ class TreeEnsembleModel:
         return z
 
     def __getstate__(self):
-        return {**self.__dict__, "_sent": None}
+        return {**self.__dict__, "_sent": None, "_known": None}
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self._sent is None:  # as large as the model, whatever the data

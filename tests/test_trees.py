@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.models import boosting, fit_model, forest, histograms
+from quarry.models import boosting, fit_model, forest, histograms, tree_models
 from quarry.models.catalog import ignored_params
 from quarry.models.histograms import uniforms
 from quarry.models.served import ServedModel, load_model
@@ -228,3 +228,16 @@ def test_forest_over_cells_equals_forest_by_passes(spark, monkeypatch):
         assert bool(dealt) == (most == 0)  # rows are dealt out only where there are many cells
         got.append(TreeEnsembleModel(FEATURES, edges, trees, "regression", [], "", "").raw(x.T))
     assert np.allclose(got[0], got[1], atol=1e-9)
+
+
+def test_scoring_walks_the_trees_once_for_each_bin_vector(spark, monkeypatch):
+    df, x = few_valued(spark, 500)
+    edges, trees = forest.fit(df, FEATURES, "label", forest.ForestOptions(trees=3, max_depth=4))
+    m = TreeEnsembleModel(FEATURES, edges, trees, "regression", [], "", "")
+    walked = []
+    monkeypatch.setattr(TreeEnsembleModel, "_walked", lambda self, bins, run=TreeEnsembleModel._walked: walked.append(bins.shape[1]) or run(self, bins))
+    first, again = m.raw(x[:200].T), m.raw(x.T)
+    assert sum(walked) == len(np.unique(x, axis=0))
+    monkeypatch.setattr(tree_models, "CELL_SPACE", 0)
+    plain = m.raw(x.T)
+    assert walked[-1] == len(x) and (first == plain[:200]).all() and (again == plain).all()
