@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,9 +27,11 @@ from pyspark.ml.param import Param, Params
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import complete
+from quarry.functions.stats import moments
 from quarry.models.catalog import SEED
 
 FEATURES = "features"
@@ -243,6 +246,50 @@ def fit_regressor(train: DataFrame, features: list[str], name: str, params: dict
     return Pipeline(stages=feature_stages(train, features, handle_invalid) + [est]).fit(train)
 
 
+@dataclass
+class Moments:
+    """Count, means and covariances (divided by the count) of features and label."""
+
+    n: int
+    mean: np.ndarray
+    cov: np.ndarray
+
+    @staticmethod
+    def of(df: DataFrame, features: list[str]) -> Moments | None:
+        """One pass for the moments; None for no rows or missing values."""
+        cols = [*features, LABEL]
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(~complete(df, cols)).alias("bad")).first()
+        return Moments(*moments(df, cols)) if r["n"] and not r["bad"] else None
+
+    @staticmethod
+    def together(parts: list[Moments]) -> Moments:
+        n = sum(p.n for p in parts)
+        mean = sum(p.n * p.mean for p in parts) / n
+        return Moments(n, mean, sum(p.n * (p.cov + np.outer(p.mean - mean, p.mean - mean)) for p in parts) / n)
+
+    def rows(self) -> list[list[float]]:
+        """A few rows with the same means and covariances: the means, plus and minus the principal axes."""
+        varies = np.flatnonzero(np.diag(self.cov) > 0)
+        size, axes = np.linalg.eigh(self.cov[np.ix_(varies, varies)])
+        out = np.tile(self.mean, (max(1, 2 * len(varies)), 1))
+        if len(varies):
+            step = (axes * np.sqrt(np.maximum(size, 0.0) * len(varies))).T
+            out[:, varies] += np.concatenate([step, -step])
+        return out.tolist()
+
+
+#: whose fit knows a table by its moments only
+BY_MOMENTS = ("ridge", "lasso")
+
+
+def fit_regressor_from(spark: SparkSession, m: Moments, features: list[str], name: str, params: dict, handle_invalid: str = "keep") -> PipelineModel:
+    """What :func:`fit_regressor` finds on a table of these moments. Its solver reduces the table to
+    them in a pass for every fit; many fits on one table share a pass so."""
+    est, _ = regressor_estimator(name, params, m.n, float(np.sqrt(m.cov[-1, -1])))
+    train = spark.createDataFrame(m.rows(), ", ".join(f"`{c}` double" for c in [*features, LABEL])).coalesce(1)
+    return Pipeline(stages=feature_stages(train, features, handle_invalid) + [est]).fit(train)
+
+
 def balanced_weights(df: DataFrame, label: str = LABEL, out: str = "weight") -> DataFrame:
     """class_weight='balanced': w = n / (k * n_c), from a small per-class
     count table joined back (AQE broadcasts it)."""

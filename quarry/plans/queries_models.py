@@ -165,7 +165,7 @@ def q_tune_holdout(spark, d):
     build, kw = TASK_DATA["regression"]
     cfg = TrainConfig(task="regression", **kw)
     prepared, feats, _ = prepare(build(spark, d), cfg)
-    prepared = prepared.cache()
+    prepared = prepared.select(*feats, "label", "split").cache()
     try:
         return tune_holdout(spark, "regression", "ridge", prepared.where("split = 'train'"), prepared.where("split = 'val'"),
                             feats, n_trials=20, experiment="lineitem_ridge")

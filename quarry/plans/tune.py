@@ -217,15 +217,39 @@ def _classes(task: str, train: DataFrame) -> int:
     return int(train.agg(F.max("label")).first()[0] or 1) + 1 if task == "classification" else 0
 
 
+def _moments(task: str, name: str, parts: list[DataFrame], features: list[str]) -> list | None:
+    """Moments of every part, where the model's fit needs no more; None elsewhere, or where a part has no rows or missing values
+    (each trial then says so)."""
+    from quarry.models import supervised as S
+
+    if task != "regression" or name not in S.BY_MOMENTS:
+        return None
+    found = [S.Moments.of(p, features) for p in parts]
+    return found if all(found) else None
+
+
+def _fit_from(spark: SparkSession, name: str, parts: list, features: list[str], params: dict):
+    from quarry.models import PipelineFitted
+    from quarry.models import supervised as S
+
+    return PipelineFitted(S.fit_regressor_from(spark, S.Moments.together(parts), features, name, params), features, "regression", name)
+
+
 def tune_holdout(spark: SparkSession, task: str, name: str, train: DataFrame, val: DataFrame, features: list[str],
                  space: dict | None = None, n_trials: int = DEFAULT_TRIALS, seed: int = 42, parallelism: int = 4,
                  overrides: dict | None = None, timeout_min: float | None = None, experiment: str = "tune", sampler: str = "tpe") -> DataFrame:
     """Fit on train, score on validation (accuracy, else r2), per trial. A
-    user space wins over the default; overrides pin parameters (Q8)."""
+    user space wins over the default; overrides pin parameters (Q8). All trials of a
+    regression that needs only moments share one pass over ``train``."""
     from quarry.models import fit_model
 
     n_classes = _classes(task, train)
-    evaluate = lambda p: _score(task, fit_model(task, name, train, features, p, n_classes=n_classes).transform(val))
+    m = _moments(task, name, [train], features)
+
+    def fit(p):
+        return _fit_from(spark, name, m, features, p) if m else fit_model(task, name, train, features, p, n_classes=n_classes)
+
+    evaluate = lambda p: _score(task, fit(p).transform(val))
     return _run_trials(spark, task, name, space, n_trials, seed, parallelism, overrides, timeout_min, experiment, evaluate, sampler)
 
 
@@ -234,15 +258,21 @@ def tune_cv(spark: SparkSession, task: str, name: str, train: DataFrame, feature
             key: str = "id", overrides: dict | None = None, timeout_min: float | None = None, experiment: str = "tune",
             sampler: str = "tpe") -> DataFrame:
     """No validation set: mean score over k folds (``kfold`` column) per
-    trial; the same options as :func:`tune_holdout`."""
+    trial; the same options as :func:`tune_holdout`. Moments are per fold, the rest of a fold has those of the
+    other folds together."""
     from quarry.models import fit_model
     from quarry.operators.split import kfold
 
-    f = kfold(train, key, folds, "label" if task == "classification" else None).cache()
+    f = kfold(train, key, folds, "label" if task == "classification" else None).select(*dict.fromkeys([*features, "label"]), "fold").cache()
     n_classes = _classes(task, train)
+    held = _moments(task, name, [f.where(F.col("fold") == k) for k in range(folds)], features) if folds > 1 else None
 
     def evaluate(p):
-        fit = lambda k: fit_model(task, name, f.where(F.col("fold") != k), features, p, n_classes=n_classes)
+        def fit(k):
+            if held:
+                return _fit_from(spark, name, [m for i, m in enumerate(held) if i != k], features, p)
+            return fit_model(task, name, f.where(F.col("fold") != k), features, p, n_classes=n_classes)
+
         scores = [_score(task, fit(k).transform(f.where(F.col("fold") == k))) for k in range(folds)]
         return float(sum(scores) / folds)
 
