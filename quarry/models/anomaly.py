@@ -12,14 +12,17 @@ convention is mapped here, quirk Q4).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.columns import bounded_broadcast, hash_unit, materialize
+from quarry.functions.columns import bounded_broadcast, hash_unit, materialize, require_complete
 from quarry.functions.stats import moments, quadratic_form, quantile
 from quarry.models.served import read_meta, write_meta
 from quarry.operators import neighbours as N
@@ -447,19 +450,38 @@ def fit_lof(train: DataFrame, features: list[str], key: str, n_neighbors: int =
 
 
 # ----------------------------------------------------------------- one-class SVM
+#: rows whose random features a task holds at once
+ROWS_AT_ONCE = 4096
+#: rows of a task that keeps random features
+ROWS_PER_TASK = 500_000
+#: cells of the histogram of margins
+MARGIN_CELLS = 16_384
+#: the quantile of the margins within a step may be this share of the rows off
+RANK_ERROR = 1e-4
+
+
+def fourier(x: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The random features of ``RandomFourierFeatures``, rows x components."""
+    return math.sqrt(2.0 / len(offsets)) * np.cos(x @ weights.T + offsets)
+
+
 class OneClassModel:
     def __init__(self, features, rff_stage, w, rho):
         self.feature_cols, self.rff, self.w, self.rho = features, rff_stage, w, rho
 
     def score(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.functions import vector_to_array
+        """A row with a missing feature has the score NaN."""
+        W, b = (np.array(self.rff.getOrDefault(p)) for p in (self.rff.weights, self.rff.offsets))
+        w, rho = np.array(self.w, float), float(self.rho)
+
+        @F.pandas_udf("double")
+        def margin(*cols: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(float, na_value=np.nan) for c in cols])
+            parts = [fourier(x[i:i + ROWS_AT_ONCE], W, b) @ w for i in range(0, len(x), ROWS_AT_ONCE)]
+            return pd.Series(rho - np.concatenate(parts) if parts else [], dtype=float)
 
-        v = VectorAssembler(inputCols=self.feature_cols, outputCol="features", handleInvalid="keep").transform(df)
-        z = self.rff.transform(v)
-        dot = F.aggregate(F.zip_with(vector_to_array("rff"), F.array(*[F.lit(float(x)) for x in self.w]),
-                                     lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-        return z.withColumn("score", F.lit(self.rho) - dot).drop("features", "rff")
+        nan = F.lit(float("nan"))
+        return df.withColumn("score", F.coalesce(margin(*[F.coalesce(F.col(c).cast("double"), nan) for c in self.feature_cols]), nan))
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.score(df).withColumn("prediction", (F.col("score") > 0).cast("double"))
@@ -477,6 +499,86 @@ class OneClassModel:
         return cls(m["features"], RandomFourierFeatures.load(f"{path}/rff"), m["w"], m["rho"])
 
 
+@dataclass
+class FourierRows:
+    """The random features of the training rows, packed and kept: to make them takes much longer than to read them."""
+
+    rows: DataFrame
+    components: int
+
+    @staticmethod
+    def build(x: DataFrame, weights: np.ndarray, offsets: np.ndarray) -> FourierRows:
+        """``x``: the features as doubles."""
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    z = fourier(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.slice(i, ROWS_AT_ONCE).columns]), weights, offsets)
+                    yield pa.RecordBatch.from_pydict({"z": pa.array([r.tobytes() for r in z], pa.binary())})
+
+        return FourierRows(x.mapInArrow(run, "z binary").persist(StorageLevel.MEMORY_AND_DISK), len(offsets))
+
+    def map(self, run: Callable, schema: str) -> DataFrame:
+        """``run`` gets the random features of a task, some rows at a time, and yields dicts of lists."""
+        width = self.components
+
+        def task(batches):
+            import pyarrow as pa
+
+            def parts():
+                for batch in batches:
+                    yield np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(-1, width)
+
+            for cols in run(parts()):
+                yield pa.RecordBatch.from_pydict(cols)
+
+        return self.rows.mapInArrow(task, schema)
+
+    def sums(self, of: Callable, size: int) -> np.ndarray:
+        """``of(features)``, ``size`` numbers, added up: one row per task reaches the driver."""
+        def run(parts):
+            out = np.zeros(size)
+            for z in parts:
+                out += of(z)
+            yield {"s": [out.tobytes()]}
+
+        return np.sum([np.frombuffer(r["s"]) for r in self.map(run, "s binary").collect()], axis=0)
+
+    def mean(self, w: np.ndarray | None = None, cut: float = 0.0) -> np.ndarray:
+        """The mean of all feature vectors, or of those with a margin of at most ``cut``."""
+        def of(z):
+            if w is not None:
+                z = z[z @ w <= cut]
+            return np.append(z.sum(axis=0), len(z))
+
+        s = self.sums(of, self.components + 1)
+        return s[:-1] / s[-1]
+
+    def cut(self, w: np.ndarray, rank: int, allowed: int) -> float:
+        """A number with ``rank`` margins or at most ``allowed`` - 1 more at or below it (equal ones besides): histograms, each
+        over the cell of the one before that holds the rank."""
+        lo = -math.sqrt(2.0) * float(np.linalg.norm(w)) * (1 + 1e-9)  # no feature vector is longer than sqrt(2)
+        hi, below = -lo, 0
+        least = 1e-12 * (hi - lo)  # well above the rounding of a margin, so equal rows stay together
+        while True:
+            def of(z, lo=lo, hi=hi):
+                m = z @ w
+                m = m[(m > lo) & (m <= hi)]
+                at = np.clip(np.ceil((m - lo) * (MARGIN_CELLS / (hi - lo))) - 1, 0, MARGIN_CELLS - 1).astype(int)
+                return np.bincount(at, minlength=MARGIN_CELLS)
+
+            counts = self.sums(of, MARGIN_CELLS)
+            at = int(np.searchsorted(below + counts.cumsum(), rank))
+            if at == MARGIN_CELLS:  # the last margins are rounded across the upper end
+                return hi
+            step = (hi - lo) / MARGIN_CELLS
+            below += int(counts[:at].sum())
+            lo, hi = lo + at * step, lo + (at + 1) * step
+            if counts[at] <= allowed or hi - lo <= least:
+                return hi
+
+
 def fit_one_class_svm(train: DataFrame, features: list[str], nu: float = 0.1, gamma="auto", n_components: int = 100,
                       steps: int = 500, tol: float = 0.03, seed: int = SEED, **_) -> OneClassModel:
     """min 1/2|w|^2 - rho + mean(max(0, rho - w.z))/nu over random features.
@@ -485,13 +587,9 @@ def fit_one_class_svm(train: DataFrame, features: list[str], nu: float = 0.1, ga
     of the violating rows (those below rho), and rho the nu-quantile of w.z.
     Steps move w towards that mean by averaging (weights 2/(step + 2)) until
     it moves less than ``tol`` of the larger length of the two; then rho is the exact
-    nu-quantile, so the share of flagged training rows is nu. A step is one
-    pass with sums on the executors: one row reaches the driver. No
+    nu-quantile, so the share of flagged training rows is nu. A step is a
+    histogram of the margins and a pass with sums, both inside the tasks: one row per task reaches the driver. No
     convergence within ``steps`` is an error."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
     from quarry.models.supervised import feature_variance, rff_stage
 
     d = len(features)
@@ -499,30 +597,32 @@ def fit_one_class_svm(train: DataFrame, features: list[str], nu: float = 0.1, ga
         g = 1.0 / d if gamma == "auto" else 1.0 / (d * (feature_variance(train, features) or 1.0))
     else:
         g = float(gamma)
+    require_complete(train, features)
     stage = rff_stage(d, n_components, g, seed)
-    v = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(train.select(*features))
-    z = stage.transform(v).select(vector_to_array("rff").alias("z")).transform(materialize)
-
-    def margin(w) -> Column:
-        return F.aggregate(F.zip_with("z", F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-
-    def mean_of(rows: DataFrame) -> np.ndarray:
-        r = rows.select(array_to_vector("z").alias("v")).agg(Summarizer.mean(F.col("v")).alias("m")).first()["m"]
-        return r.toArray()
-
-    w = mean_of(z)
-    for step in range(steps):
-        m = z.withColumn("m", margin(w))
-        rho = quantile(m, "m", nu, exact=False)
-        target = mean_of(m.where(F.col("m") <= F.lit(rho)))
-        new = w + (target - w) * 2.0 / (step + 3.0)
-        moved = float(np.linalg.norm(new - w)) / max(1e-12, float(np.linalg.norm(w)), float(np.linalg.norm(target)))
-        w = new
-        if moved < tol:
-            break
-    else:
-        raise RuntimeError(f"the one-class objective has not settled after {steps} steps (last move {moved:.2g}, tolerance {tol:g})")
-    rho = quantile(z.withColumn("m", margin(w)), "m", nu, exact=True)
+    x = train.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+    n = x.count()
+    parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK))  # a pass is short, so tasks are few
+    z = FourierRows.build(x.repartition(parts), *(np.array(stage.getOrDefault(p)) for p in (stage.weights, stage.offsets)))
+
+    def margins(parts):
+        for each in parts:
+            yield {"m": each @ w}
+
+    try:
+        rank, allowed = max(1, math.ceil(nu * n)), max(1, int(RANK_ERROR * n))
+        w = z.mean()
+        for step in range(steps):
+            target = z.mean(w, z.cut(w, rank, allowed))
+            new = w + (target - w) * 2.0 / (step + 3.0)
+            moved = float(np.linalg.norm(new - w)) / max(1e-12, float(np.linalg.norm(w)), float(np.linalg.norm(target)))
+            w = new
+            if moved < tol:
+                break
+        else:
+            raise RuntimeError(f"the one-class objective has not settled after {steps} steps (last move {moved:.2g}, tolerance {tol:g})")
+        rho = quantile(saved(z.map(margins, "m double"), "margins"), "m", nu, exact=True)
+    finally:
+        z.rows.unpersist()
     return OneClassModel(features, stage, w, float(rho))
 
 
