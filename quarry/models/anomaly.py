@@ -5,7 +5,7 @@ convention is mapped here, quirk Q4).
 * isolation_forest  (Liu, Ting & Zhou 2008)
 * elliptic_envelope (classical or C-step robust Mahalanobis; Rousseeuw &
   Van Driessen 1999)
-* local_outlier_factor (Breunig et al. 2000) on an exact grid kNN
+* local_outlier_factor (Breunig et al. 2000) on exact nearest rows by boxes
 * one_class_svm     (random Fourier features + linear one-class objective)
 """
 
@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.columns import bounded_broadcast, hash_unit, materialize, require_complete
+from quarry.functions.columns import hash_unit, materialize, require_complete
 from quarry.functions.stats import moments, quadratic_form, quantile
 from quarry.models.served import read_meta, write_meta
+from quarry.operators import boxes as B
 from quarry.operators import neighbours as N
 from quarry.session import saved
 
@@ -261,110 +262,16 @@ def fit_elliptic_envelope(train: DataFrame, features: list[str], contamination:
     return m
 
 
-# ----------------------------------------------------------------- kNN on a grid + LOF
-def grid_knn(query: DataFrame, data: DataFrame, qkey: str, dkey: str, features: list[str], k: int,
-             exclude_self: bool, cell: list[float], grid_dims: int = 3, max_finer: int = 12) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean; ties broken by neighbour key).
-
-    Cells at level l have sides ``cell_i * 2^l`` on the first ``grid_dims``
-    features. Each query starts at the level where its neighbourhood is
-    expected to hold about 2k points: points of dense base cells start at
-    finer levels (l < 0), so a cell holding a large share of the rows is cut
-    into many small cells and never joined with itself as a whole. In every
-    round an unresolved query is exploded to the 3^g cells around its own
-    cell at its level and equi-joined with the data points of those cells
-    (data rows are keyed once per level in use; no cross join). A query is
-    resolved once it has k candidates whose k-th distance is within the
-    covered radius ``2^l * min(cell)`` (a coordinate subset never
-    overestimates a distance, so nothing closer lies outside); otherwise it
-    moves one level coarser. Once a cell is wider than the data's range
-    every point is covered, so the loop always ends.
-    A query with a null feature has no neighbours and is not in the result.
-    Returns (q, n, dist, rk) with rk = 1..k."""
-    gd = min(grid_dims, len(features))
-    d = data.select(F.col(dkey).alias("n"), *[F.col(c).cast("double").alias(f"d_{i}") for i, c in enumerate(features)])
-    q = query.select(F.col(qkey).alias("q"), *[F.col(c).cast("double").alias(f"q_{i}") for i, c in enumerate(features)])
-    rng = d.agg(*[f.alias(f"{n}{i}") for i in range(gd) for n, f in (
-        ("r", F.max(f"d_{i}") - F.min(f"d_{i}")), ("lo", F.min(f"d_{i}")), ("hi", F.max(f"d_{i}")))]).first()
-    span = max([float(rng[f"r{i}"] or 0.0) / max(cell[i], 1e-12) for i in range(gd)] + [1.0])
-    top_level = int(math.ceil(math.log2(span))) + 1
-
-    def cell_at(prefix: str, level: Column) -> list[Column]:
-        scale = F.pow(F.lit(2.0), level.cast("double"))
-        at = [F.col(f"{prefix}_{i}") for i in range(gd)]
-        if prefix == "q":  # a query outside the data's range stands at the nearest point of that range:
-            # no data point is nearer to the query than to that point, so its rings cover the query too
-            at = [F.least(F.greatest(c, F.lit(rng[f"lo{i}"])), F.lit(rng[f"hi{i}"])) for i, c in enumerate(at)]
-        return [F.floor(c / (F.lit(cell[i]) * scale)).cast("bigint") for i, c in enumerate(at)]
-
-    cnames = [f"__c{i}" for i in range(gd)]
-    # start level: finer where the base cell is dense (about 2k points per cell)
-    base = d.groupBy(*[c.alias(n) for c, n in zip(cell_at("d", F.lit(0)), cnames)]).agg(F.count(F.lit(1)).alias("cnt"))
-    finer = F.least(F.lit(max_finer), F.greatest(F.lit(0), F.ceil(
-        F.log2(F.col("cnt") / F.lit(2.0 * k)) / F.lit(float(gd))))).cast("int")
-    q = q.select("*", *[c.alias(n) for c, n in zip(cell_at("q", F.lit(0)), cnames)]).join(
-        bounded_broadcast(base.select(*cnames, (-finer).alias("lvl"))), cnames, "left").drop(*cnames)
-    whole = F.lit(True)
-    for i in range(len(features)):
-        whole = whole & F.col(f"q_{i}").isNotNull() & ~F.isnan(F.col(f"q_{i}"))
-    pending = q.where(whole).withColumn("lvl", F.coalesce(F.col("lvl"), F.lit(0))).transform(materialize)
-    d2 = None
-    for i in range(len(features)):
-        t = (F.col(f"q_{i}") - F.col(f"d_{i}")) * (F.col(f"q_{i}") - F.col(f"d_{i}"))
-        d2 = t if d2 is None else d2 + t
-    done = None
-    for _ in range(top_level + max_finer + 2):
-        levels = [r["lvl"] for r in pending.select("lvl").distinct().collect()]  # a handful of small ints
-        dl = None
-        for lv in levels:
-            part = d.select("*", F.lit(lv).alias("lvl"), *[c.alias(n) for c, n in zip(cell_at("d", F.lit(lv)), cnames)])
-            dl = part if dl is None else dl.unionByName(part)
-        ex = pending
-        for i, c in enumerate(cell_at("q", F.col("lvl"))):
-            ex = ex.withColumn("__o", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(
-                cnames[i], c + F.col("__o")).drop("__o")
-        pairs = ex.join(dl, ["lvl", *cnames])
-        if exclude_self:
-            pairs = pairs.where(F.col("q") != F.col("n"))
-        pairs = pairs.select("q", "lvl", "n", d2.alias("d2"))
-        w = Window.partitionBy("q").orderBy("d2", "n")
-        top = pairs.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-        wq = Window.partitionBy("q")
-        top = top.withColumn("__cnt", F.count(F.lit(1)).over(wq)).withColumn("__kd2", F.max("d2").over(wq))
-        covered = F.pow(F.lit(2.0), F.col("lvl").cast("double")) * F.lit(min(cell))
-        last = F.col("lvl") >= top_level
-        ok = last | ((F.col("__cnt") >= k) & (F.col("__kd2") <= covered * covered))
-        top = top.withColumn("__ok", ok).transform(materialize)
-        res = top.where("__ok").select("q", "n", F.sqrt("d2").alias("dist"), "rk")
-        done = res if done is None else done.unionByName(res)
-        resolved = top.where("__ok").select("q").distinct()
-        pending = pending.join(resolved, "q", "left_anti").withColumn("lvl", F.col("lvl") + 1).transform(materialize)
-        if pending.isEmpty():
-            break
-    return done
-
-
-def default_cells(df: DataFrame, features: list[str], k: int, grid_dims: int = 3) -> list[float]:
-    """Cell sides so that a cell holds about 2k points on average over the
-    occupied range of the grid features (per-dimension spread)."""
-    gd = min(grid_dims, len(features))
-    g = features[:gd]
-    r = df.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(g)]).first()
-    n = max(int(r["n"]), 1)
-    spreads = [max(float(r[f"s{i}"] or 0.0), 1e-9) * 4 for i in range(gd)]
-    vol = float(np.prod(spreads))
-    side = (vol * 2 * k / n) ** (1.0 / gd)
-    return [max(side, 1e-9)] * gd
-
-
+# ----------------------------------------------------------------- LOF
 class LOFModel:
-    def __init__(self, features, key, train_stats: DataFrame, train_points: DataFrame, k, cells, threshold):
+    def __init__(self, features, key, train_stats: DataFrame, train_points: DataFrame, k, threshold):
         self.feature_cols, self.key, self.train_stats, self.train_points = features, key, train_stats, train_points
-        self.k, self.cells, self.threshold = k, cells, threshold
+        self.k, self.threshold = k, threshold
 
     def score(self, df: DataFrame) -> DataFrame:
         """Novelty scoring: LOF of new rows against the training points."""
-        nn = grid_knn(df, self.train_points, self.key, self.key, self.feature_cols, self.k, False, self.cells)
+        asked = B.entries(df.where(F.col(self.key).isNotNull()), self.key, self.feature_cols)
+        nn = B.nearest_rows(asked, B.entries(self.train_points, self.key, self.feature_cols), len(self.feature_cols), self.k, False)
         lof = _lof_from_knn(nn, self.train_stats)
         return df.join(lof.withColumnRenamed("q", self.key), self.key, "left")
 
@@ -374,40 +281,41 @@ class LOFModel:
     def save(self, path: str) -> str:
         self.train_stats.write.mode("overwrite").parquet(f"{path}/lrd")
         self.train_points.write.mode("overwrite").parquet(f"{path}/points")
-        write_meta(path, {"features": self.feature_cols, "key": self.key, "k": self.k, "cells": self.cells,
-                           "threshold": self.threshold})
+        write_meta(path, {"features": self.feature_cols, "key": self.key, "k": self.k, "threshold": self.threshold})
         return path
 
     @classmethod
     def load(cls, spark, path: str) -> "LOFModel":
         m = read_meta(spark, path)
-        return cls(m["features"], m["key"], spark.read.parquet(f"{path}/lrd"), spark.read.parquet(f"{path}/points"), m["k"], m["cells"], m["threshold"])
+        return cls(m["features"], m["key"], spark.read.parquet(f"{path}/lrd"), spark.read.parquet(f"{path}/points"), m["k"], m["threshold"])
+
+
+def _mean(value: Column) -> Column:
+    """Over the neighbours, each as often as it counts."""
+    return F.sum(F.col("t") * value) / F.sum("t")
 
 
 def _lof_from_knn(nn: DataFrame, stats: DataFrame) -> DataFrame:
-    """nn (q, n, dist) + training (n, kdist, lrd) -> (q, lrd, score=LOF)."""
+    """nn (q, n, dist, t) + training (n, kdist, lrd) -> (q, lrd, score=LOF)."""
     j = nn.join(stats.select(F.col("id").alias("n"), "kdist", F.col("lrd").alias("lrd_n")), "n")
-    agg = j.groupBy("q").agg(
-        F.avg(F.greatest(F.col("kdist"), F.col("dist"))).alias("__reach"), F.avg("lrd_n").alias("__lrd_nb")
-    )
+    agg = j.groupBy("q").agg(_mean(F.greatest(F.col("kdist"), F.col("dist"))).alias("__reach"), _mean(F.col("lrd_n")).alias("__lrd_nb"))
     lrd = F.lit(1.0) / (F.col("__reach") + F.lit(1e-10))
     return agg.select("q", lrd.alias("lrd"), (F.col("__lrd_nb") / lrd).alias("score"))
 
 
-def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int = 20,
-                         cells: list[float] | None = None) -> DataFrame:
-    """Training-set LOF: (key, kdist, lrd, lof) for every row. Beyond three features
-    the neighbours come from a pivot partitioned join instead of a grid."""
+def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int = 20) -> DataFrame:
+    """Training-set LOF: (key, kdist, lrd, lof) for every row. Up to three features the neighbours come from
+    boxes of near rows, beyond from a pivot partitioned join."""
     if len(features) > 3:
         return _pivot_lof(df, key, features, k)
-    cells = cells or default_cells(df, features, k)
-    nn = grid_knn(df, df, key, key, features, k, True, cells)
-    kd = nn.groupBy("q").agg(F.max("dist").alias("kdist"))
+    rows = saved(B.entries(df.where(F.col(key).isNotNull()), key, features), "entries")
+    nn = saved(B.nearest_rows(rows, rows, len(features), k, True), "neighbours")
+    kd = saved(nn.groupBy("q").agg(F.max("dist").alias("kdist")), "kdist")
     j = nn.join(kd.select(F.col("q").alias("n"), F.col("kdist").alias("kdist_n")), "n")
-    reach = j.groupBy("q").agg(F.avg(F.greatest("kdist_n", "dist")).alias("__reach"))
-    lrd = reach.select("q", (F.lit(1.0) / (F.col("__reach") + F.lit(1e-10))).alias("lrd"))
+    reach = j.groupBy("q").agg(_mean(F.greatest("kdist_n", "dist")).alias("__reach"))
+    lrd = saved(reach.select("q", (F.lit(1.0) / (F.col("__reach") + F.lit(1e-10))).alias("lrd")), "lrd")
     lrd_nb = nn.join(lrd.select(F.col("q").alias("n"), F.col("lrd").alias("lrd_n")), "n").groupBy("q").agg(
-        F.avg("lrd_n").alias("__nb"))
+        _mean(F.col("lrd_n")).alias("__nb"))
     out = kd.join(lrd, "q").join(lrd_nb, "q")
     return out.select(F.col("q").alias(key), "kdist", "lrd", (F.col("__nb") / F.col("lrd")).alias("lof"))
 
@@ -442,11 +350,10 @@ def fit_lof(train: DataFrame, features: list[str], key: str, n_neighbors: int =
             **_) -> LOFModel:
     k = int(n_neighbors)
     pts = train.select(key, *features).transform(materialize)
-    cells = default_cells(pts, features, k)
-    lof = local_outlier_factor(pts, key, features, k, cells).transform(materialize)
+    lof = local_outlier_factor(pts, key, features, k).transform(materialize)
     stats = lof.select(F.col(key).alias("id"), "kdist", "lrd")
     thr = quantile(lof, "lof", 1.0 - contamination)
-    return LOFModel(features, key, stats, pts, k, cells, thr)
+    return LOFModel(features, key, stats, pts, k, thr)
 
 
 # ----------------------------------------------------------------- one-class SVM
