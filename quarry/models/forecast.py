@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,27 +36,43 @@ def _series(df: DataFrame, series_key: str | None) -> DataFrame:
 
 
 def sparse_solution(A: np.ndarray, b: np.ndarray, penalised: np.ndarray, weight: float, sweeps: int = 5000) -> np.ndarray:
-    """The minimum of c'Ac/2 - b'c + weight * sum |c_j| over the penalised j, by coordinate descent.
-    The other coefficients are eliminated first: they are the best ones for any choice of the penalised."""
+    """:func:`sparse_solutions` of one system."""
+    return sparse_solutions(A[None], b[None], penalised, np.array([weight]), sweeps)[0]
+
+
+def sparse_solutions(A: np.ndarray, b: np.ndarray, penalised: np.ndarray, weight: np.ndarray, sweeps: int = 5000) -> np.ndarray:
+    """For every system (first axis) the minimum of c'Ac/2 - b'c + weight * sum |c_j| over the penalised j, by coordinate
+    descent. The other coefficients are eliminated first: they are the best ones for any choice of the penalised. The
+    systems take their steps together and each stops when it has settled."""
     free = ~penalised
-    out = np.zeros(len(b))
-    U = np.linalg.pinv(A[np.ix_(free, free)], hermitian=True)
-    cross = A[np.ix_(penalised, free)] @ U
-    S = A[np.ix_(penalised, penalised)] - cross @ A[np.ix_(free, penalised)]
-    r = b[penalised] - cross @ b[free]
-    c, scale = np.zeros(len(r)), np.diag(S).copy()
-    usable = np.flatnonzero(scale > 1e-10 * max(np.diag(A)[penalised].max(initial=0.0), 1e-300))
+    out = np.zeros(b.shape)
+    U = np.linalg.pinv(A[:, free][:, :, free], hermitian=True)
+    cross = A[:, penalised][:, :, free] @ U
+    S = A[:, penalised][:, :, penalised] - cross @ A[:, free][:, :, penalised]
+    r = b[:, penalised] - np.einsum("ijk,ik->ij", cross, b[:, free])
+    scale = np.einsum("ijj->ij", S).copy()
+    most = np.einsum("ijj->ij", A)[:, penalised].max(axis=1, initial=0.0)
+    usable = scale > 1e-10 * np.maximum(most, 1e-300)[:, None]
+    found = np.zeros(r.shape)
+    at = np.arange(len(b))  # systems that have not settled
+    c, rows, q, d, use, w = found.copy(), S.transpose(1, 0, 2).copy(), r, scale, usable, weight
     for _ in range(sweeps):
-        change = 0.0
-        for j in usable:
-            z = r[j] - S[j] @ c + scale[j] * c[j]
-            new = math.copysign(max(abs(z) - weight, 0.0), z) / scale[j]
-            change = max(change, abs(new - c[j]) * scale[j])
-            c[j] = new
-        if change <= 1e-7 * weight:
-            break
-    out[penalised] = c
-    out[free] = U @ (b[free] - A[np.ix_(free, penalised)] @ c)
+        change = np.zeros(len(at))
+        for j in range(c.shape[1]):
+            z = q[:, j] - np.einsum("ik,ik->i", rows[j], c) + d[:, j] * c[:, j]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                new = np.where(use[:, j], np.copysign(np.maximum(np.abs(z) - w, 0.0), z) / d[:, j], 0.0)
+            change = np.maximum(change, np.where(use[:, j], np.abs(new - c[:, j]) * d[:, j], 0.0))
+            c[:, j] = new
+        going = ~(change <= 1e-7 * w)
+        if not going.all():
+            found[at[~going]] = c[~going]
+            at, c, rows, q, d, use, w = at[going], c[going], rows[:, going], q[going], d[going], use[going], w[going]
+            if not len(at):
+                break
+    found[at] = c
+    out[:, penalised] = found
+    out[:, free] = np.einsum("ijk,ik->ij", U, b[:, free] - np.einsum("ijk,ik->ij", A[:, free][:, :, penalised], found))
     return out
 
 
@@ -206,44 +223,99 @@ LEAST_NOISE = 0.005
 NOISE_ROUNDS = 5
 
 
+#: series that are solved together
+SERIES_AT_ONCE = 1024
+
+
+def _series_sums(batches, p: int):
+    """(series, sums of the products of all columns, rows, size) of rows in the order of their series."""
+    now, sums, n, size = None, None, 0, 0.0
+    done: list = []
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        z = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(p + 1)], axis=1)
+        cuts = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+        for a, b in zip([0, *cuts], [*cuts, len(names)]):
+            if a == b:
+                continue
+            if sums is None or names[a] != now:
+                if sums is not None:
+                    done.append((now, sums, n, size))
+                now, sums, n, size = names[a], np.zeros((p + 1, p + 1)), 0, 0.0
+            part = z[a:b]
+            sums += part.T @ part
+            n, size = n + len(part), max(size, float(np.abs(part[:, p]).max()))
+        if len(done) >= SERIES_AT_ONCE:
+            yield done
+            done = []
+    if sums is not None:
+        done.append((now, sums, n, size))
+    if done:
+        yield done
+
+
+def _trends(A: np.ndarray, b: np.ndarray, yy: np.ndarray, n: np.ndarray, size: np.ndarray, ridge: list[float], changes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, noise) per series: fit and noise estimate in turn."""
+    P = A + np.diag(np.where(changes, 0.0, ridge))
+    sigma, out = LEAST_NOISE * size, np.zeros(b.shape)
+    at = np.arange(len(b))  # series whose noise has not settled
+    for _ in range(NOISE_ROUNDS):
+        c = sparse_solutions(P[at], b[at], changes, sigma[at]**2 / (CHANGE_SCALE * size[at]))
+        out[at] = c
+        rest = np.maximum(yy[at] - 2 * np.einsum("ij,ij->i", c, b[at]) + np.einsum("ij,ijk,ik->i", c, A[at], c), 0.0)
+        new = np.maximum(np.sqrt(rest / np.maximum(n[at], 1.0)), LEAST_NOISE * size[at])
+        going = ~(np.abs(new - sigma[at]) < 1e-3 * sigma[at])
+        at = at[going]
+        if not len(at):
+            break
+        sigma[at] = new[going]
+    return out, sigma
+
+
 def solve_trend(df: DataFrame, xs: list[Column], y: Column, ridge: list[float], n_cp: int) -> DataFrame:
     """(series, coef, sigma, change) per series from moment sums: a Laplace prior on the
     slope changes (most are exactly 0), normal ones by ``ridge``. ``sigma`` is the noise, ``change`` the mean
-    absolute slope change."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
+    absolute slope change. Rows are dealt by ranges of (series, time), so a long series is several tasks'; a task adds up the
+    products of its series in numpy, and a few sums per series are added and solved, many series at once."""
     p = len(xs)
-    prods = [xs[i] * xs[j] for i in range(p) for j in range(i, p)] + [xi * y for xi in xs] + [y * y, F.lit(1.0)]
-    vec = array_to_vector(F.array(*[c.cast("double") for c in prods]))
-    sums = df.select(SERIES, vec.alias("__m"), F.abs(y).alias("__a")).groupBy(SERIES).agg(Summarizer.sum(F.col("__m")).alias("__m"), F.max("__a").alias("__a"))
-    sums = sums.select(SERIES, vector_to_array("__m").alias("m"), F.col("__a").alias("size"))
-    iu = np.triu_indices(p)
+    cols = [c.cast("double").alias(f"x{i}") for i, c in enumerate(xs)]
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.select(SERIES, *cols, y.cast("double").alias("y")).repartitionByRange(parts, SERIES, "x1").sortWithinPartitions(SERIES)
+    upper = np.triu_indices(p + 1)
     changes = np.zeros(p, bool)
     changes[2:2 + n_cp] = True
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for g, m, size in zip(pdf[SERIES], pdf["m"], pdf["size"]):
-            m = np.asarray(m, dtype=float)
-            A = np.zeros((p, p))
-            A[iu] = m[:len(iu[0])]
-            A = A + np.triu(A, 1).T
-            b, yy, n = m[len(iu[0]):-2], m[-2], m[-1]
-            size = size or 1.0
-            P = A + np.diag(np.where(changes, 0.0, ridge))
-            sigma = LEAST_NOISE * size
-            for _ in range(NOISE_ROUNDS):
-                c = sparse_solution(P, b, changes, sigma**2 / (CHANGE_SCALE * size))
-                rest = max(yy - 2 * c @ b + c @ A @ c, 0.0)
-                new = max(math.sqrt(rest / max(n, 1.0)), LEAST_NOISE * size)
-                if abs(new - sigma) < 1e-3 * sigma:
-                    break
-                sigma = new
-            out.append((g, c.tolist(), sigma, float(np.abs(c[changes]).mean()) if n_cp else 0.0))
-        return pd.DataFrame(out, columns=[SERIES, "coef", "sigma", "change"])
-
-    return sums.groupBy(SERIES).applyInPandas(solve, f"{SERIES} string, coef array<double>, sigma double, change double")
+    def sums(batches):
+        for done in _series_sums(batches, p):
+            yield pa.RecordBatch.from_pydict({SERIES: pa.array([d[0] for d in done], pa.string()), "m": [d[1][upper].tobytes() for d in done],
+                                              "n": pa.array([float(d[2]) for d in done]), "size": pa.array([d[3] for d in done])})
+
+    def solve(batches):
+        held: dict = {}
+
+        def solved():
+            m = np.array([v[0] for v in held.values()])
+            G = np.zeros((len(m), p + 1, p + 1))
+            G[:, upper[0], upper[1]] = G[:, upper[1], upper[0]] = m
+            n, size = np.array([v[1] for v in held.values()]), np.array([v[2] or 1.0 for v in held.values()])
+            c, sigma = _trends(G[:, :p, :p], G[:, :p, p], G[:, p, p], n, size, ridge, changes)
+            change = np.abs(c[:, changes]).mean(axis=1) if n_cp else np.zeros(len(m))
+            return pa.RecordBatch.from_pydict({SERIES: pa.array(list(held), pa.string()), "coef": pa.array(c.tolist(), pa.list_(pa.float64())),
+                                               "sigma": pa.array(sigma), "change": pa.array(change)})
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                name, m = r[SERIES], np.frombuffer(r["m"])
+                if name not in held and len(held) >= SERIES_AT_ONCE:  # all sums of a series come one after the other
+                    yield solved()
+                    held.clear()
+                old = held.get(name)
+                held[name] = (m, r["n"], r["size"]) if old is None else (old[0] + m, old[1] + r["n"], max(old[2], r["size"]))
+        if held:
+            yield solved()
+
+    added = rows.mapInArrow(sums, f"{SERIES} string, m binary, n double, size double")
+    return added.repartition(parts, SERIES).sortWithinPartitions(SERIES).mapInArrow(solve, f"{SERIES} string, coef array<double>, sigma double, change double")
 
 
 class TrendSeasonalModel:

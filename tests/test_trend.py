@@ -4,8 +4,8 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarry.models import fit_model
-from quarry.models.forecast import sparse_solution
+from quarry.models import fit_model, forecast
+from quarry.models.forecast import sparse_solution, sparse_solutions
 
 
 def test_sparse_solution_is_the_minimum():
@@ -44,3 +44,34 @@ def test_planted_breaks_are_found_and_the_rest_is_zero(spark):
     wide = [r["prediction_upper"] - r["prediction_lower"] for r in m.intervals(later).orderBy("t").collect()]
     assert all(b > a for a, b in zip(wide, wide[1:]))
     assert m.intervals(df.withColumn("prediction_x", F.lit(1))).count() == 2000
+
+
+def test_systems_solved_together_are_those_solved_alone():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6, 80, 7))
+    x[3, :, 5] = x[3, :, 4]  # not unique
+    x[4, :, 6] = 0.0
+    y = np.einsum("ijk,k->ij", x, [1, -2, 0, 0, 3, 0, 0.5]) + 0.1 * rng.normal(size=(6, 80))
+    A, b, pen = np.einsum("ijk,ijl->ikl", x, x), np.einsum("ijk,ij->ik", x, y), np.arange(7) > 1
+    weight = np.array([1.0, 5.0, 30.0, 5.0, 5.0, 1e6])
+    together = sparse_solutions(A, b, pen, weight)
+    for i in range(6):
+        assert np.allclose(together[i], sparse_solution(A[i], b[i], pen, weight[i]), atol=1e-9)
+        g = A[i] @ together[i] - b[i]
+        assert np.abs(g[~pen]).max() < 1e-6
+        for j in np.flatnonzero(pen):
+            assert abs(g[j] + weight[i] * np.sign(together[i][j])) < 1e-3 if together[i][j] else abs(g[j]) <= weight[i] + 1e-3
+
+
+def test_trend_sums_of_split_series_and_many_series_at_once(spark, monkeypatch):
+    monkeypatch.setattr(forecast, "SERIES_AT_ONCE", 3)
+    rng = np.random.default_rng(5)
+    t = np.arange(60) / 59
+    rows = [(f"s{s}", float(v), float(s + 2 * v + 0.01 * rng.normal())) for s in range(8) for v in t]
+    rows += [("long", float(v), float(5 - v)) for v in np.arange(3000) / 2999]  # more than a task's share
+    df = spark.createDataFrame(rows, "__series string, t double, y double").repartition(5)
+    xs = [F.lit(1.0), F.col("t"), F.greatest(F.col("t") - 0.5, F.lit(0.0))]
+    got = {r["__series"]: np.array(r["coef"]) for r in forecast.solve_trend(df, xs, F.col("y"), [0.0, 0.0, 1.0], 1).collect()}
+    assert len(got) == 9 and np.allclose(got["long"], [5, -1, 0], atol=1e-6)
+    for s in range(8):
+        assert np.allclose(got[f"s{s}"][:2], [s, 2], atol=0.05)
