@@ -167,15 +167,56 @@ class DBSCANModel:
         """New rows take the label of the nearest core point within eps
         (quirk Q16), else -1."""
         d = len(self.feature_cols)
-        ring = int(math.ceil(self.eps / self.side))
         q = df.select(self.key, *[F.col(c).cast("double").alias(f"q{i}") for i, c in enumerate(self.feature_cols)],
-                      *[c.alias(f"qc{i}") for i, c in enumerate(_cells(self.feature_cols, self.side, self.gd))])
+                      F.array(*_cells(self.feature_cols, self.side, self.gd)).alias("qcell"))
+        best = self._by_points(q) if self.gd < d else self._by_boxes(q)
+        return df.join(best, self.key, "left").withColumn(
+            "prediction", F.coalesce(F.col("__l"), F.lit(-1)).cast("double")).drop("__l")
+
+    def _by_points(self, q: DataFrame) -> DataFrame:
+        """(key, label) of the nearest core point within eps, from all points of the cells around."""
+        d = len(self.feature_cols)
+        ring = int(math.ceil(self.eps / self.side))
+        q = q.select(self.key, *[f"q{i}" for i in range(d)], *[F.col("qcell")[i].alias(f"qc{i}") for i in range(self.gd)])
         q = _explode_ring(q, [f"qc{i}" for i in range(self.gd)], ring)
         pairs = q.join(self.core.withColumnRenamed("cell", "ncell"), "ncell").where(
             _sqdist("q", "p", d) <= F.lit(self.eps ** 2))
-        best = pairs.groupBy(self.key).agg(F.min_by("label", F.struct(_sqdist("q", "p", d), F.col("label"))).alias("__l"))
-        return df.join(best, self.key, "left").withColumn(
-            "prediction", F.coalesce(F.col("__l"), F.lit(-1)).cast("double")).drop("__l")
+        return pairs.groupBy(self.key).agg(F.min_by("label", F.struct(_sqdist("q", "p", d), F.col("label"))).alias("__l"))
+
+    def _by_boxes(self, q: DataFrame) -> DataFrame:
+        """As ``_by_points``, where a cell has few labels (a dense cell has one, another less than min_samples points). A
+        row meets the bounding boxes of the labels around its cell, not their points: with one label in reach
+        and a box that is within eps as a whole, that is the label. Points are compared for the other rows only."""
+        d = len(self.feature_cols)
+        ring = int(math.ceil(self.eps / self.side))
+        q = q.where(F.col(self.key).isNotNull())
+        boxes = self.core.groupBy(F.col("cell").alias("ncell"), "label").agg(
+            *[f.alias(f"{n}{i}") for i in range(d) for n, f in (("lo", F.min(f"p{i}")), ("hi", F.max(f"p{i}")))])
+        cells = q.select("qcell").distinct()
+        cells = _explode_ring(cells.select("qcell", *[F.col("qcell")[i].alias(f"c{i}") for i in range(self.gd)]), [f"c{i}" for i in range(self.gd)], ring)
+        box = F.struct("label", *[f"{n}{i}" for i in range(d) for n in ("lo", "hi")])
+        around = cells.join(boxes, "ncell").groupBy("qcell").agg(F.collect_list(box).alias("around"))
+        eps2 = F.lit(self.eps ** 2)
+
+        def least(b: Column) -> Column:
+            gaps = [F.greatest(F.lit(0.0), b[f"lo{i}"] - F.col(f"q{i}"), F.col(f"q{i}") - b[f"hi{i}"]) for i in range(d)]
+            return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
+
+        def most(b: Column) -> Column:
+            ends = [F.greatest(F.abs(F.col(f"q{i}") - b[f"lo{i}"]), F.abs(b[f"hi{i}"] - F.col(f"q{i}"))) for i in range(d)]
+            return sum((g * g for g in ends[1:]), ends[0] * ends[0])
+
+        met = q.join(around, "qcell").withColumn("near", F.filter("around", lambda b: least(b) <= eps2)).where(F.size("near") > 0)
+        met = met.withColumn("labels", F.array_distinct(F.transform("near", lambda b: b["label"])))
+        met = met.withColumn("sure", (F.size("labels") == 1) & F.exists("near", lambda b: most(b) <= eps2))
+        met = saved(met.select(self.key, *[f"q{i}" for i in range(d)], "qcell", F.col("labels")[0].alias("label"), "sure"), "met")
+        # a key that comes more than once takes the label of its nearest row
+        unsure = met.where(~F.col("sure")).select(self.key).distinct()
+        several = met.groupBy(self.key).agg(F.countDistinct("label").alias("n"), F.count(F.lit(1)).alias("rows")).where("rows > 1 and n > 1").select(self.key)
+        open_keys = saved(unsure.unionByName(several).distinct(), "open-keys")
+        known = met.join(open_keys, self.key, "left_anti").groupBy(self.key).agg(F.min("label").alias("__l"))
+        rest = met.join(open_keys, self.key, "left_semi").select(self.key, *[f"q{i}" for i in range(d)], "qcell")
+        return known.unionByName(self._by_points(rest))
 
     def save(self, path: str) -> str:
         self.core.write.mode("overwrite").parquet(f"{path}/core")
