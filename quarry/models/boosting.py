@@ -15,8 +15,8 @@ on the order, a pass finds the splits of all leaves that may be next, and the or
 on these; the tree is the one that splitting one by one gives.
 
 Rows are sampled by a hash of row and round; one-side sampling (goss) keeps the rows of the largest
-gradients and a hash sample of the rest with more weight. Margins are written
-every ``ROUNDS_PER_WRITE`` rounds; in between a pass adds the latest trees itself. Where all rows are one task's
+gradients and a hash sample of the rest with more weight. The first pass of a round adds the last trees to the
+margins and keeps them for the others; every ``ROUNDS_PER_WRITE`` rounds they are written. Where all rows are one task's
 (``rows_per_task``), that task grows all rounds by the same code, without a job per pass. So it is for the squared loss
 where the features have few bins together (``histograms.cells_of``): rows of a cell have one margin, so the sums
 of the rows that each round draws are made for all rounds in one pass, and the trees are grown over the cells.
@@ -76,13 +76,10 @@ def gradients(objective: str, margin: np.ndarray, y: np.ndarray) -> tuple[np.nda
     return p - (y[:, None] == np.arange(margin.shape[1])), np.maximum(2 * p * (1 - p), 1e-16)
 
 
-def with_trees(margin: np.ndarray, recent: list[list[Packed]], bins: np.ndarray) -> np.ndarray:
-    if not recent:
-        return margin
+def with_trees(margin: np.ndarray, trees: list[Packed], bins: np.ndarray) -> np.ndarray:
     out = margin.copy()
-    for trees in recent:
-        for k, t in enumerate(trees):
-            out[:, k] += t.values(bins)[:, 0]
+    for k, t in enumerate(trees):
+        out[:, k] += t.values(bins)[:, 0]
     return out
 
 
@@ -148,8 +145,8 @@ def leaf_value(stats: np.ndarray, opt: BoostOptions) -> float:
 class _Round:
     """The trees of one round while they grow."""
 
-    def __init__(self, data: Data | LocalData, opt: BoostOptions, turn: int, recent: list[list[Packed]]):
-        self.data, self.opt, self.turn, self.recent = data, opt, turn, recent
+    def __init__(self, data: Data | LocalData, opt: BoostOptions, turn: int):
+        self.data, self.opt, self.turn = data, opt, turn
         self.trees = [Tree() for _ in range(opt.outputs)]
         d = len(data.edges)
         self.widths = [len(e) for e in data.edges]  # cuts per feature
@@ -166,12 +163,12 @@ class _Round:
         """The size of gradients (over all outputs) from which on they belong to
         the share that is always kept, at the resolution of one cell in ``GRADIENT_CELLS``
         of the logarithm's range."""
-        opt, recent = self.opt, self.recent
+        opt = self.opt
 
         def run(chunks):
             cells = np.zeros(GRADIENT_CELLS)
-            for _, bins, y, w, margin in chunks:
-                g, _ = gradients(opt.objective, with_trees(margin, recent, bins), y)
+            for _, _, y, w, margin in chunks:
+                g, _ = gradients(opt.objective, margin, y)
                 size = np.abs(g * w[:, None]).sum(axis=1)
                 at = np.clip((np.log2(np.maximum(size, 2.0**-40)) + 40) * (GRADIENT_CELLS / 80), 0, GRADIENT_CELLS - 1).astype(int)
                 cells += np.bincount(at, minlength=GRADIENT_CELLS)
@@ -211,30 +208,34 @@ class _Round:
                     self.hist[k].pop(self.parent[k][v], None)
 
     def _sum(self, asked: list[list[int]]) -> None:
-        opt, turn, recent, features, threshold = self.opt, self.turn, self.recent, self.features, self.threshold
+        opt, turn, features, threshold = self.opt, self.turn, self.features, self.threshold
         trees = [t.packed() for t in self.trees]
 
         def run(chunks):
             sums = [np.zeros((len(features[k]), len(nodes) * 256, 3)) for k, nodes in enumerate(asked)]
             for uid, bins, y, w, margin, *each in chunks:  # each: how many rows an entry stands for
-                g, h = gradients(opt.objective, with_trees(margin, recent, bins), y)
+                g, h = gradients(opt.objective, margin, y)
                 g, h = g * w[:, None], h * w[:, None]
                 times = sampled(opt, uid, np.abs(g).sum(axis=1), turn, threshold)
+                kept = np.arange(len(y)) if times is None else np.flatnonzero(times > 0)
                 for k, nodes in enumerate(asked):
                     if not nodes:
                         continue
-                    slot = np.full(len(trees[k].feature), -1)
-                    slot[nodes] = np.arange(len(nodes))
-                    at = slot[trees[k].nodes(bins)] if len(trees[k].feature) > 1 else np.zeros(len(y), int)
-                    rows = np.flatnonzero(at >= 0 if times is None else (at >= 0) & (times > 0))
-                    gk, hk, base = g[rows, k], h[rows, k], at[rows] * 256
+                    slot = {v: i for i, v in enumerate(nodes)}
+                    found = [(slot[v], r) for v, r in trees[k].groups(bins, nodes, kept)]
+                    rows = np.concatenate([r for _, r in found])
+                    base = np.repeat([i * 256 for i, _ in found], [len(r) for _, r in found])
+                    gk, hk = g[rows, k], h[rows, k]
                     nk = each[0][rows] if each else None
                     if times is not None:
                         gk, hk = gk * times[rows], hk * times[rows]
+                    alike = nk is None and bool((hk == 1).all())  # the curvatures count the rows
                     for i, f in enumerate(features[k]):
-                        cell = base + bins[f, rows]
-                        for j, x in enumerate((gk, hk, nk)):
-                            sums[k][i, :, j] += np.bincount(cell, x, len(nodes) * 256)
+                        cell = base + bins[f].take(rows)
+                        sums[k][i, :, 0] += np.bincount(cell, gk, len(nodes) * 256)
+                        count = np.bincount(cell, nk, len(nodes) * 256)
+                        sums[k][i, :, 1] += count if alike else np.bincount(cell, hk, len(nodes) * 256)
+                        sums[k][i, :, 2] += count
             keys = [(k, i) for k, nodes in enumerate(asked) if nodes for i in range(len(features[k]))]
             yield {"tree": [k for k, _ in keys], "feature": [i for _, i in keys], "sums": [sums[k][i].tobytes() for k, i in keys]}
 
@@ -346,19 +347,19 @@ def fit(df: DataFrame, features: list[str], label: str, opt: BoostOptions, weigh
 
 def _by_passes(data: Data, opt: BoostOptions) -> list[list[Packed]]:
     rounds: list[list[Packed]] = []
-    written, first = 0, data
+    first = data
     try:
         for turn in range(opt.rounds):
-            recent = rounds[written:]
-            if len(recent) >= ROUNDS_PER_WRITE:
-                def run(chunks, recent=recent):
+            older = data
+            if rounds:
+                def run(chunks, last=rounds[-1]):
                     for uid, bins, y, w, margin in chunks:
-                        yield pack(uid, bins, y, w, with_trees(margin, recent, bins))
+                        yield pack(uid, bins, y, w, with_trees(margin, last, bins))
 
-                older, data = data, data.replaced(data.map(run, CHUNK))
+                data = data.replaced(data.map(run, CHUNK), written=turn % ROUNDS_PER_WRITE == 0)
+            rounds.append(_Round(data, opt, turn).grown())
+            if older is not data:  # the round's first pass has made the new margins
                 older.release()
-                written, recent = len(rounds), []
-            rounds.append(_Round(data, opt, turn, recent).grown())
         return rounds
     finally:
         if data is not first:
@@ -371,8 +372,8 @@ def _in_one_task(data: Data, opt: BoostOptions) -> list[list[Packed]]:
     def run(chunks):
         held = list(chunks)
         for turn in range(opt.rounds):
-            trees = _Round(LocalData(held, edges, n), opt, turn, []).grown()
-            held = [(uid, bins, y, w, with_trees(margin, [trees], bins)) for uid, bins, y, w, margin in held]
+            trees = _Round(LocalData(held, edges, n), opt, turn).grown()
+            held = [(uid, bins, y, w, with_trees(margin, trees, bins)) for uid, bins, y, w, margin in held]
             for k, t in enumerate(trees):
                 yield {"tree": [turn * opt.outputs + k], "node": [0], **{c: [v] for c, v in tree_columns(t).items()}}
 
@@ -394,8 +395,8 @@ def _by_cells(data: Data, cells: Cells, opt: BoostOptions, start: list[float]) -
                 w, wy, each = np.frombuffer(r.as_buffer()).reshape(3, -1)
                 y = np.divide(wy, w, out=np.zeros_like(wy), where=w != 0)
                 for _ in range(1 if drawn else opt.rounds):
-                    trees = _Round(LocalData([(None, bins, y, w, margin, each)], edges, n), whole, turn, []).grown()
-                    margin = with_trees(margin, [trees], bins)
+                    trees = _Round(LocalData([(None, bins, y, w, margin, each)], edges, n), whole, turn).grown()
+                    margin = with_trees(margin, trees, bins)
                     columns = [{"tree": turn, "node": 0, **tree_columns(t)} for t in trees]
                     yield pa.RecordBatch.from_pylist(columns, TREE_ARROW)
                     turn += 1

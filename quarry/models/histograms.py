@@ -30,11 +30,13 @@ from quarry.session import saved
 
 MAX_BINS = 255  # bin 255 is a missing value
 MISSING = 255
-CHUNK_ROWS = 65_536
+CHUNK_ROWS = 32_768
 ROWS_PER_TASK = 250_000
 #: more distinct bin vectors than this, or more possible ones, are not grown over cells
 MOST_CELLS = 65_536
 CELL_SPACE = 1 << 22
+#: with more rows for each node, rows go down a tree node by node, else one by one
+ROWS_PER_NODE = 256
 #: rows whose sums per cell are added inside a task before they are handed on
 ROWS_PER_SUM = 4_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -94,11 +96,11 @@ class Data:
 
         def each(batches):
             for batch in batches:
-                for r in batch.to_pylist():
-                    y = np.frombuffer(r["y"])
+                for uid, bins, y, w, margin in zip(*[batch.column(c) for c in ("uid", "bins", "y", "w", "margin")]):
+                    y = np.frombuffer(y.as_buffer())
                     n = len(y)
-                    yield (np.frombuffer(r["uid"], np.int64), np.frombuffer(r["bins"], np.uint8).reshape(d, n), y, np.frombuffer(r["w"]),
-                           np.frombuffer(r["margin"]).reshape(n, -1))
+                    yield (np.frombuffer(uid.as_buffer(), np.int64), np.frombuffer(bins.as_buffer(), np.uint8).reshape(d, n), y,
+                           np.frombuffer(w.as_buffer()) if len(w.as_buffer()) else np.ones(n), np.frombuffer(margin.as_buffer()).reshape(n, -1))
 
         def task(batches):
             from pyspark.sql.pandas.types import to_arrow_schema
@@ -126,8 +128,11 @@ class Data:
             out[k] = out[k] + a if k in out else a
         return [{"tree": t, "feature": f, "sums": a} for (t, f), a in out.items()]
 
-    def replaced(self, chunks: DataFrame) -> Data:
-        return Data(saved(chunks, "chunks").persist(StorageLevel.MEMORY_AND_DISK), self.edges, self.rows, self.tasks)
+    def replaced(self, chunks: DataFrame, written: bool) -> Data:
+        """With other chunks, kept by the next pass over them; ``written`` first, so that nothing before is needed again."""
+        if written:
+            chunks = saved(chunks, "chunks").coalesce(self.tasks)
+        return Data(chunks.persist(StorageLevel.MEMORY_AND_DISK), self.edges, self.rows, self.tasks)
 
 
 @dataclass
@@ -146,7 +151,8 @@ CHUNK = "uid binary, bins binary, y binary, w binary, margin binary"
 
 
 def pack(uid, bins, y, w, margin) -> dict:
-    return {"uid": [uid.tobytes()], "bins": [bins.tobytes()], "y": [y.tobytes()], "w": [w.tobytes()], "margin": [margin.tobytes()]}
+    """Weights of 1 take no room."""
+    return {"uid": [uid.tobytes()], "bins": [bins.tobytes()], "y": [y.tobytes()], "w": [b"" if (w == 1).all() else w.tobytes()], "margin": [margin.tobytes()]}
 
 
 def prepare(df: DataFrame, features: list[str], label: str, weight: str | None = None, margin: list[float] | None = None,
@@ -158,7 +164,8 @@ def prepare(df: DataFrame, features: list[str], label: str, weight: str | None =
     rows = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("uid"), F.col(label).cast("double").alias("y"), w.alias("w"),
                      *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)])
     n = df.count()
-    tasks = max(1, -(-n // rows_per_task))
+    # a pass hands on sums of the same size from every task, so there are no more tasks than can work at once, or than their rows need
+    tasks = 1 if n <= rows_per_task else max(2, df.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_SUM))
 
     def run(batches):
         def emit(parts):
@@ -178,7 +185,11 @@ def prepare(df: DataFrame, features: list[str], label: str, weight: str | None =
         if held:
             yield emit(parts)
 
-    chunks = saved(rows.repartition(tasks, "uid").mapInArrow(run, CHUNK), "chunks")
+    written = saved(rows.repartition(tasks, "uid").mapInArrow(run, CHUNK), "chunks")
+    # a pass is short and its shuffle small: as one job instead of one per stage
+    passes = df.sparkSession.newSession()
+    passes.conf.set("spark.sql.adaptive.enabled", "false")
+    chunks = passes.read.schema(written.schema).parquet(*written.inputFiles()).coalesce(tasks) if n else written
     return Data(chunks.persist(StorageLevel.MEMORY_AND_DISK), edges, n, tasks)
 
 
@@ -218,9 +229,35 @@ class Packed:
     missing_left: np.ndarray
     value: np.ndarray  # nodes x outputs
 
+    def groups(self, bins: np.ndarray, wanted: list[int], rows: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(node, those of ``rows`` that it has, in their order) for the wanted leaves."""
+        needed = np.zeros(len(self.feature), bool)
+        needed[wanted] = True
+        for v in range(len(needed) - 1, -1, -1):  # a child's number is larger than its parent's
+            if self.feature[v] >= 0:
+                needed[v] = needed[self.left[v]] or needed[self.left[v] + 1]
+        out, open_ = [], [(0, rows)] if needed[0] else []
+        while open_:
+            v, rows = open_.pop()
+            if self.feature[v] < 0:
+                out.append((v, rows))
+                continue
+            b = bins[self.feature[v]].take(rows)
+            goes_left = b <= self.bin[v]
+            if self.missing_left[v]:
+                goes_left |= b == MISSING
+            for child, side in ((self.left[v], goes_left), (self.left[v] + 1, ~goes_left)):
+                if needed[child]:
+                    open_.append((int(child), rows[side]))
+        return out
+
     def nodes(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of every column of ``bins`` (features x rows)."""
         node = np.zeros(bins.shape[1], np.int32)
+        if len(node) > ROWS_PER_NODE * len(self.feature):
+            for v, rows in self.groups(bins, np.flatnonzero(self.feature < 0).tolist(), np.arange(len(node))):
+                node[rows] = v
+            return node
         rows = np.arange(bins.shape[1]) if self.feature[0] >= 0 else np.zeros(0, int)
         while len(rows):
             at = node[rows]

@@ -242,3 +242,18 @@ def test_scoring_walks_the_trees_once_for_each_bin_vector(spark, monkeypatch):
     monkeypatch.setattr(tree_models, "CELL_SPACE", 0)
     plain = m.raw(x.T)
     assert walked[-1] == len(x) and (first == plain[:200]).all() and (again == plain).all()
+
+
+def test_a_round_makes_its_margins_once_in_as_many_tasks_as_work_at_once(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id", "cast(id % 37 as double) as a", "cast(id * id % 101 as double) as b", "sin(id) as label")
+    made, tasks = [], []
+    monkeypatch.setattr(histograms.Data, "replaced", lambda self, *x, run=histograms.Data.replaced, **more: made.append(1) or run(self, *x, **more))
+    monkeypatch.setattr(histograms.Data, "sums", lambda self, *x, run=histograms.Data.sums: tasks.append((self.tasks, self.chunks.rdd.getNumPartitions())) or run(self, *x))
+    monkeypatch.setattr(boosting, "cells_of", lambda data: None)
+    opt = boosting.BoostOptions(rounds=4, max_depth=2)
+    _, _, a = boosting.fit(df, ["a", "b"], "label", opt, rows_per_task=10)
+    assert len(made) == 3  # none before the first
+    assert {n for t in tasks for n in t} == {spark.sparkContext.defaultParallelism}
+    _, _, b = boosting.fit(df, ["a", "b"], "label", opt)
+    for x, y in zip([t for r in a for t in r], [t for r in b for t in r]):
+        assert x.feature.tolist() == y.feature.tolist() and np.allclose(x.value, y.value)
