@@ -335,7 +335,7 @@ def fit(df: DataFrame, features: list[str], label: str, opt: BoostOptions, weigh
     """(start margins, cut values, trees by round and output)."""
     start = start_margin(df, label, opt, weight)
     more = {} if rows_per_task is None else {"rows_per_task": rows_per_task}
-    data = prepare(df, features, label, weight, start, opt.bins, **more)
+    data = prepare(df, features, label, weight, start, opt.bins, short_passes=True, **more)
     try:
         if data.tasks == 1:
             return start, data.edges, _in_one_task(data, opt)

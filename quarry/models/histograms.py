@@ -26,7 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import saved
+from quarry.session import saved, scratch_path
 
 MAX_BINS = 255  # bin 255 is a missing value
 MISSING = 255
@@ -156,8 +156,9 @@ def pack(uid, bins, y, w, margin) -> dict:
 
 
 def prepare(df: DataFrame, features: list[str], label: str, weight: str | None = None, margin: list[float] | None = None,
-            bins: int = MAX_BINS, rows_per_task: int = ROWS_PER_TASK) -> Data:
-    """Bins, chunks and identities (a hash of the whole row) of the training rows."""
+            bins: int = MAX_BINS, rows_per_task: int = ROWS_PER_TASK, short_passes: bool = False) -> Data:
+    """Bins, chunks and identities (a hash of the whole row) of the training rows. ``short_passes``: many passes
+    with small shuffles will follow."""
     edges = edges_of(df, features, bins)
     start, d = np.array(margin or [0.0]), len(features)
     w: Column = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -185,11 +186,13 @@ def prepare(df: DataFrame, features: list[str], label: str, weight: str | None =
         if held:
             yield emit(parts)
 
-    written = saved(rows.repartition(tasks, "uid").mapInArrow(run, CHUNK), "chunks")
-    # a pass is short and its shuffle small: as one job instead of one per stage
-    passes = df.sparkSession.newSession()
-    passes.conf.set("spark.sql.adaptive.enabled", "false")
-    chunks = passes.read.schema(written.schema).parquet(*written.inputFiles()).coalesce(tasks) if n else written
+    path, session = scratch_path(df.sparkSession, "chunks"), df.sparkSession
+    rows.repartition(tasks, "uid").mapInArrow(run, CHUNK).write.parquet(path)
+    if short_passes and tasks > 1:  # planned as one job instead of one for every stage
+        session = session.newSession()
+        session.conf.set("spark.sql.adaptive.enabled", "false")
+        session.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    chunks = session.read.schema(CHUNK).parquet(path).coalesce(tasks)
     return Data(chunks.persist(StorageLevel.MEMORY_AND_DISK), edges, n, tasks)
 
 
