@@ -230,6 +230,16 @@ def regressor_estimator(name: str, params: dict, n_train: int, y_std_pop: float)
     raise ValueError(f"unknown regressor {name!r}")
 
 
+#: rows of a partition while a classifier is fitted
+ROWS_PER_PART = 4_000_000
+
+
+def few_parts(train: DataFrame, n: int, rows: int = ROWS_PER_PART) -> DataFrame:
+    """In no more partitions than can work at once, or than ``n`` rows need: every iteration of a solver sends the driver
+    a result from each partition."""
+    return train.coalesce(max(train.sparkSession.sparkContext.defaultParallelism, -(-n // rows)))
+
+
 def fit_classifier(train: DataFrame, features: list[str], name: str, params: dict, n_classes: int, handle_invalid: str = "keep") -> PipelineModel:
     """Fit a catalogue classifier on ``train`` (needs a double ``label``)."""
     n = train.count()
@@ -237,7 +247,7 @@ def fit_classifier(train: DataFrame, features: list[str], name: str, params: dic
     if name == "svm" and p.get("kernel", "rbf") != "linear" and p.get("gamma", "scale") == "scale":
         p["_feature_var"] = feature_variance(train, features)
     extra, est, _ = classifier_estimator(name, p, n, n_classes, len(features))
-    return Pipeline(stages=feature_stages(train, features, handle_invalid) + extra + [est]).fit(train)
+    return Pipeline(stages=feature_stages(train, features, handle_invalid) + extra + [est]).fit(few_parts(train, n))
 
 
 def fit_regressor(train: DataFrame, features: list[str], name: str, params: dict, handle_invalid: str = "keep") -> PipelineModel:

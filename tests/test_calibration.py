@@ -41,3 +41,19 @@ def test_every_classifier_has_probabilities(spark, tmp_path, classes):
     again = load_model(spark, str(tmp_path / "m")).transform(df).filter("id = 7").first()
     assert np.allclose(again["probability"], got[7])
     assert m.transform(df.withColumn("probability_x", F.lit(1))).count() == 1500
+
+
+def test_a_solver_gets_few_partitions_and_the_same_margins(spark):
+    from quarry.models import supervised
+
+    df = spark.range(600).selectExpr("cast(id % 7 as double) as a", "cast(id % 11 as double) as b", "cast(id % 3 as double) as label").repartition(40, "a", "b")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        few = supervised.few_parts(df, 600)
+        assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < df.rdd.getNumPartitions()
+        assert supervised.few_parts(df, 600, rows=60).rdd.getNumPartitions() == 10  # as many as the rows need
+        assert sorted(few.collect()) == sorted(df.collect())
+        model = supervised.fit_classifier(df, ["a", "b"], "logistic_regression", {"max_iter": 5}, 3)
+        assert model.stages[-1].numClasses == 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
