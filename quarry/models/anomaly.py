@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -359,8 +358,14 @@ def fit_lof(train: DataFrame, features: list[str], key: str, n_neighbors: int =
 # ----------------------------------------------------------------- one-class SVM
 #: rows whose random features a task holds at once
 ROWS_AT_ONCE = 4096
-#: rows of a task that keeps random features
-ROWS_PER_TASK = 500_000
+#: rows of a task of a pass, at least where there are more tasks than can work at once
+ROWS_PER_TASK = 4_000_000
+#: rows whose features a pass holds at once: they stay in the processor's cache
+ROWS_IN_CACHE = 512
+#: bytes of rows that are kept as one value, and how many of these are joined at once
+BLOCK_BYTES, BLOCKS_AT_ONCE = 2048, 256
+#: a cosine in single precision of an angle reduced in double precision is less than this off, up to so many turns
+SINGLE, MOST_TURNS = 1e-6, 1e6
 #: cells of the histogram of margins
 MARGIN_CELLS = 16_384
 #: the quantile of the margins within a step may be this share of the rows off
@@ -408,34 +413,66 @@ class OneClassModel:
 
 @dataclass
 class FourierRows:
-    """The random features of the training rows, packed and kept: to make them takes much longer than to read them."""
+    """The training rows, packed and written to the shared folder; every pass makes their random features anew, so no more than
+    the rows themselves is kept. Cosines in single precision tell all margins up to ``slack``; exact features are made only for the
+    rows that this leaves open and for those that are summed."""
 
     rows: DataFrame
-    components: int
+    weights: np.ndarray
+    offsets: np.ndarray
 
     @staticmethod
     def build(x: DataFrame, weights: np.ndarray, offsets: np.ndarray) -> FourierRows:
         """``x``: the features as doubles."""
+        width = max(1, len(x.columns))
+        many = max(1, BLOCK_BYTES // (8 * width))
+
         def run(batches):
             import pyarrow as pa
 
             for batch in batches:
-                for i in range(0, batch.num_rows, ROWS_AT_ONCE):
-                    z = fourier(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.slice(i, ROWS_AT_ONCE).columns]), weights, offsets)
-                    yield pa.RecordBatch.from_pydict({"z": pa.array([r.tobytes() for r in z], pa.binary())})
+                a = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                yield pa.RecordBatch.from_pydict({"x": pa.array([a[i:i + many].tobytes() for i in range(0, len(a), many)], pa.binary())})
+
+        return FourierRows(saved(x.mapInArrow(run, "x binary"), "rows"), weights, offsets)
+
+    @property
+    def components(self) -> int:
+        return len(self.offsets)
+
+    def slack(self, w: np.ndarray) -> float:
+        return SINGLE * math.sqrt(2.0 / self.components) * float(np.abs(w).sum())
+
+    def near(self, w: np.ndarray) -> Callable:
+        """Function from rows to their margins, at most ``slack(w)`` off."""
+        W, b, scale = self.weights, self.offsets, math.sqrt(2.0 / self.components)
+        turns, start = W.T / (2 * math.pi), b / (2 * math.pi)
 
-        return FourierRows(x.mapInArrow(run, "z binary").persist(StorageLevel.MEMORY_AND_DISK), len(offsets))
+        def margins(x):
+            t = x @ turns + start
+            if not np.abs(t).max(initial=0.0) < MOST_TURNS:
+                return fourier(x, W, b) @ w
+            t -= np.rint(t)
+            c = t.astype(np.float32)
+            c *= np.float32(2 * math.pi)
+            np.cos(c, out=c)
+            t[:] = c
+            return scale * (t @ w)
+
+        return margins
 
     def map(self, run: Callable, schema: str) -> DataFrame:
-        """``run`` gets the random features of a task, some rows at a time, and yields dicts of lists."""
-        width = self.components
+        """``run`` gets the rows of a task, some at a time, and yields dicts of lists."""
+        d = self.weights.shape[1]
 
         def task(batches):
             import pyarrow as pa
 
             def parts():
                 for batch in batches:
-                    yield np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(-1, width)
+                    for i in range(0, batch.num_rows, BLOCKS_AT_ONCE):
+                        x = np.frombuffer(b"".join(v.as_buffer() for v in batch.column(0).slice(i, BLOCKS_AT_ONCE))).reshape(-1, d)
+                        yield from (x[j:j + ROWS_IN_CACHE] for j in range(0, len(x), ROWS_IN_CACHE))
 
             for cols in run(parts()):
                 yield pa.RecordBatch.from_pydict(cols)
@@ -443,19 +480,25 @@ class FourierRows:
         return self.rows.mapInArrow(task, schema)
 
     def sums(self, of: Callable, size: int) -> np.ndarray:
-        """``of(features)``, ``size`` numbers, added up: one row per task reaches the driver."""
+        """``of(rows)``, ``size`` numbers, added up: one row per task reaches the driver."""
         def run(parts):
             out = np.zeros(size)
-            for z in parts:
-                out += of(z)
+            for x in parts:
+                out += of(x)
             yield {"s": [out.tobytes()]}
 
         return np.sum([np.frombuffer(r["s"]) for r in self.map(run, "s binary").collect()], axis=0)
 
     def mean(self, w: np.ndarray | None = None, cut: float = 0.0) -> np.ndarray:
         """The mean of all feature vectors, or of those with a margin of at most ``cut``."""
-        def of(z):
-            if w is not None:
+        W, b = self.weights, self.offsets
+        near, slack = (self.near(w), self.slack(w)) if w is not None else (None, 0.0)
+
+        def of(x):
+            if near is not None:
+                x = x[near(x) <= cut + slack]
+            z = fourier(x, W, b)
+            if near is not None:
                 z = z[z @ w <= cut]
             return np.append(z.sum(axis=0), len(z))
 
@@ -468,12 +511,20 @@ class FourierRows:
         lo = -math.sqrt(2.0) * float(np.linalg.norm(w)) * (1 + 1e-9)  # no feature vector is longer than sqrt(2)
         hi, below = -lo, 0
         least = 1e-12 * (hi - lo)  # well above the rounding of a margin, so equal rows stay together
+        W, b, near, slack = self.weights, self.offsets, self.near(w), self.slack(w)
         while True:
-            def of(z, lo=lo, hi=hi):
-                m = z @ w
+            def of(x, lo=lo, hi=hi):
+                def cell(m):
+                    return np.ceil((m - lo) * (MARGIN_CELLS / (hi - lo))) - 1
+
+                m = near(x)
+                may = np.flatnonzero((m > lo - slack) & (m <= hi + slack))
+                first, last = cell(m[may] - slack), cell(m[may] + slack)
+                sure = (first == last) & (first >= 0) & (last < MARGIN_CELLS)
+                out = np.bincount(first[sure].astype(int), minlength=MARGIN_CELLS)
+                m = fourier(x[may[~sure]], W, b) @ w
                 m = m[(m > lo) & (m <= hi)]
-                at = np.clip(np.ceil((m - lo) * (MARGIN_CELLS / (hi - lo))) - 1, 0, MARGIN_CELLS - 1).astype(int)
-                return np.bincount(at, minlength=MARGIN_CELLS)
+                return out + np.bincount(np.clip(cell(m), 0, MARGIN_CELLS - 1).astype(int), minlength=MARGIN_CELLS)
 
             counts = self.sums(of, MARGIN_CELLS)
             at = int(np.searchsorted(below + counts.cumsum(), rank))
@@ -509,27 +560,25 @@ def fit_one_class_svm(train: DataFrame, features: list[str], nu: float = 0.1, ga
     x = train.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
     n = x.count()
     parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK))  # a pass is short, so tasks are few
-    z = FourierRows.build(x.repartition(parts), *(np.array(stage.getOrDefault(p)) for p in (stage.weights, stage.offsets)))
+    W, b = (np.array(stage.getOrDefault(p)) for p in (stage.weights, stage.offsets))
+    rows = FourierRows.build(x.repartition(parts), W, b)
 
     def margins(parts):
         for each in parts:
-            yield {"m": each @ w}
-
-    try:
-        rank, allowed = max(1, math.ceil(nu * n)), max(1, int(RANK_ERROR * n))
-        w = z.mean()
-        for step in range(steps):
-            target = z.mean(w, z.cut(w, rank, allowed))
-            new = w + (target - w) * 2.0 / (step + 3.0)
-            moved = float(np.linalg.norm(new - w)) / max(1e-12, float(np.linalg.norm(w)), float(np.linalg.norm(target)))
-            w = new
-            if moved < tol:
-                break
-        else:
-            raise RuntimeError(f"the one-class objective has not settled after {steps} steps (last move {moved:.2g}, tolerance {tol:g})")
-        rho = quantile(saved(z.map(margins, "m double"), "margins"), "m", nu, exact=True)
-    finally:
-        z.rows.unpersist()
+            yield {"m": fourier(each, W, b) @ w}
+
+    rank, allowed = max(1, math.ceil(nu * n)), max(1, int(RANK_ERROR * n))
+    w = rows.mean()
+    for step in range(steps):
+        target = rows.mean(w, rows.cut(w, rank, allowed))
+        new = w + (target - w) * 2.0 / (step + 3.0)
+        moved = float(np.linalg.norm(new - w)) / max(1e-12, float(np.linalg.norm(w)), float(np.linalg.norm(target)))
+        w = new
+        if moved < tol:
+            break
+    else:
+        raise RuntimeError(f"the one-class objective has not settled after {steps} steps (last move {moved:.2g}, tolerance {tol:g})")
+    rho = quantile(saved(rows.map(margins, "m double"), "margins"), "m", nu, exact=True)
     return OneClassModel(features, stage, w, float(rho))
 
 

@@ -73,3 +73,19 @@ def test_a_pass_has_as_few_tasks_as_its_rows_need(spark):
     infos = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("one-class-passes")]
     tasks = [s.numTasks for i in infos if i for s in (tracker.getStageInfo(k) for k in i.stageIds) if s]
     assert tasks and max(tasks) <= max(8, spark.sparkContext.defaultParallelism)
+
+
+@pytest.mark.parametrize("size", [1.0, 1e9])  # angles of many turns are not reduced in single precision
+def test_only_the_rows_are_kept(spark, size):
+    rng = np.random.default_rng(9)
+    x, W, b, w = rng.normal(size=(900, 2)) * size, rng.normal(size=(300, 2)), rng.uniform(0, 6, 300), rng.normal(size=300)
+    z = A.FourierRows.build(frame(spark, x).repartition(3), W, b)
+    assert not z.rows.storageLevel.useMemory
+    assert z.rows.selectExpr("sum(length(x))").first()[0] == x.nbytes
+    plain = A.fourier(x, W, b)
+    m, near = plain @ w, z.near(w)(x)
+    assert np.abs(near - m).max() <= z.slack(w)
+    assert size > 1 or (near != m).any()
+    at = np.sort(m)[89]
+    assert (m <= z.cut(w, 90, 1)).sum() == 90
+    assert np.allclose(z.mean(w, z.cut(w, 90, 1)), plain[m <= at].mean(axis=0), atol=1e-12)
