@@ -19,11 +19,12 @@ import itertools
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import saved, scratch_path
@@ -37,8 +38,14 @@ MOST_CELLS = 65_536
 CELL_SPACE = 1 << 22
 #: with more rows for each node, rows go down a tree node by node, else one by one
 ROWS_PER_NODE = 256
-#: rows whose sums per cell are added inside a task before they are handed on
-ROWS_PER_SUM = 4_000_000
+#: rows of a task of a pass over all of them
+ROWS_PER_PASS = 4_000_000
+#: bytes of the sums per cell that a task holds; more draws take several tasks over the same rows, each of up to so many rows
+SUM_BYTES, ROWS_PER_SUM = 32 << 20, 16_000_000
+#: a sum of whole weights and a count of rows in one number: weights + PAIR x rows
+PAIR = float(1 << 26)
+#: bytes of a row group of chunks and of a batch that a Python worker gets
+GROUP_BYTES = 16 << 20
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,6 +90,10 @@ class Data:
     edges: list[np.ndarray]
     rows: int
     tasks: int
+    files: DataFrame | None = None  # the chunks, not kept
+
+    def kept(self) -> Data:
+        return Data(self.chunks.persist(StorageLevel.MEMORY_AND_DISK), self.edges, self.rows, self.tasks, self.files)
 
     def release(self) -> None:
         self.chunks.unpersist()
@@ -100,7 +111,7 @@ class Data:
                     y = np.frombuffer(y.as_buffer())
                     n = len(y)
                     yield (np.frombuffer(uid.as_buffer(), np.int64), np.frombuffer(bins.as_buffer(), np.uint8).reshape(d, n), y,
-                           np.frombuffer(w.as_buffer()) if len(w.as_buffer()) else np.ones(n), np.frombuffer(margin.as_buffer()).reshape(n, -1))
+                           np.frombuffer(w.as_buffer()) if len(w.as_buffer()) else np.ones(n), np.frombuffer(margin.as_buffer()).reshape(n, -1) if len(margin.as_buffer()) else np.zeros((n, 0)))
 
         def task(batches):
             from pyspark.sql.pandas.types import to_arrow_schema
@@ -116,8 +127,12 @@ class Data:
         return self.chunks.mapInArrow(task, schema)
 
     def whole(self) -> Data:
-        """All chunks as one task's, for data of at most ``rows_per_task`` rows."""
-        return Data(self.chunks.coalesce(1), self.edges, self.rows, 1)
+        """All chunks as one task's, for data of at most ``rows_per_task`` rows or for tasks that take them in bit by bit."""
+        return Data((self.chunks if self.tasks == 1 or self.files is None else self.files).coalesce(1), self.edges, self.rows, 1)
+
+    def unkept(self, tasks: int) -> Data:
+        """The chunks read from their files, for passes that are too few to keep them in the executors."""
+        return Data((self.chunks if self.files is None else self.files).coalesce(tasks), self.edges, self.rows, tasks)
 
     def sums(self, run: Callable) -> list[dict]:
         """The rows (tree, feature, sums) of ``run``, added up over the tasks."""
@@ -156,17 +171,17 @@ def pack(uid, bins, y, w, margin) -> dict:
 
 
 def prepare(df: DataFrame, features: list[str], label: str, weight: str | None = None, margin: list[float] | None = None,
-            bins: int = MAX_BINS, rows_per_task: int = ROWS_PER_TASK, short_passes: bool = False) -> Data:
+            bins: int = MAX_BINS, rows_per_task: int = ROWS_PER_TASK, short_passes: bool = False, keep: bool = True) -> Data:
     """Bins, chunks and identities (a hash of the whole row) of the training rows. ``short_passes``: many passes
-    with small shuffles will follow."""
+    with small shuffles will follow. ``keep``: the executors keep the chunks for them."""
     edges = edges_of(df, features, bins)
-    start, d = np.array(margin or [0.0]), len(features)
+    start, d = np.array(margin or []), len(features)
     w: Column = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("uid"), F.col(label).cast("double").alias("y"), w.alias("w"),
                      *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)])
     n = df.count()
     # a pass hands on sums of the same size from every task, so there are no more tasks than can work at once, or than their rows need
-    tasks = 1 if n <= rows_per_task else max(2, df.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_SUM))
+    tasks = 1 if n <= rows_per_task else max(2, df.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_PASS))
 
     def run(batches):
         def emit(parts):
@@ -186,14 +201,27 @@ def prepare(df: DataFrame, features: list[str], label: str, weight: str | None =
         if held:
             yield emit(parts)
 
-    path, session = scratch_path(df.sparkSession, "chunks"), df.sparkSession
-    rows.repartition(tasks, "uid").mapInArrow(run, CHUNK).write.parquet(path)
+    path, session = scratch_path(df.sparkSession, "chunks"), _session(df.sparkSession)
+    # the rows are large: row groups and batches are of some MB instead of at least 100 rows
+    written = rows.repartition(tasks, "uid").mapInArrow(run, CHUNK).write
+    written.options(**{"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}).parquet(path)
     if short_passes and tasks > 1:  # planned as one job instead of one for every stage
-        session = session.newSession()
         session.conf.set("spark.sql.adaptive.enabled", "false")
         session.conf.set("spark.sql.shuffle.partitions", str(tasks))
-    chunks = session.read.schema(CHUNK).parquet(path).coalesce(tasks)
-    return Data(chunks.persist(StorageLevel.MEMORY_AND_DISK), edges, n, tasks)
+    files = session.read.schema(CHUNK).parquet(path)
+    data = Data(files.coalesce(tasks), edges, n, tasks, files)
+    return data.kept() if keep else data
+
+
+def _session(spark: SparkSession) -> SparkSession:
+    """A session for frames of chunks and sums: batches of some MB, and a union has the partitions of its parts."""
+    out = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            out.conf.set(name, value)
+    out.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(GROUP_BYTES))
+    out.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return out
 
 
 @dataclass
@@ -271,6 +299,31 @@ class Packed:
             rows = rows[self.feature[at] >= 0]
         return node
 
+    def walked(self, bins: np.ndarray, missing: bool) -> np.ndarray:
+        """``nodes`` of a few rows: a leaf is its own child, so the rows go down together. ``missing``: some bins may be missing values."""
+        n = bins.shape[1]
+        inner = self.feature >= 0
+        offset = np.where(inner, self.feature, 0).astype(np.intp) * n
+        cut, left = np.where(inner, self.bin, MISSING).astype(np.uint8), np.where(inner, self.left, np.arange(len(inner)))
+        flat, rows, at, out = np.ascontiguousarray(bins).ravel(), np.arange(n), np.zeros(n, np.intp), np.zeros(n, np.intp)
+        for step in itertools.count(1):
+            i = offset.take(at)
+            i += rows
+            b = flat.take(i)
+            right = b > cut.take(at)
+            if missing:
+                right &= (b != MISSING) | ~self.missing_left.take(at)
+            at = left.take(at)
+            at += right
+            if step % 4 == 0 or step < 2:
+                open_ = np.flatnonzero(inner.take(at))
+                if 2 * len(open_) < len(at):
+                    out[rows] = at
+                    rows, at = rows[open_], at[open_]
+                if not len(open_):
+                    out[rows] = at
+                    return out
+
     def values(self, bins: np.ndarray) -> np.ndarray:
         return self.value[self.nodes(bins)]
 
@@ -296,9 +349,12 @@ def summed(partials: DataFrame, tasks: int, schema: str) -> DataFrame:
     def run(batches):
         held: dict = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                k, a = (r["tree"], r["feature"]), np.frombuffer(r["sums"])
-                held[k] = held[k] + a if k in held else a
+            for t, f, sums in zip(batch.column("tree").to_pylist(), batch.column("feature").to_pylist(), batch.column("sums")):
+                a = np.frombuffer(sums.as_buffer())
+                if (t, f) in held:
+                    held[t, f] += a
+                else:
+                    held[t, f] = a.copy()
         if held:
             yield pa.RecordBatch.from_pydict({"tree": pa.array([k[0] for k in held], pa.int32()), "feature": pa.array([k[1] for k in held], pa.int32()),
                                               "sums": pa.array([a.tobytes() for a in held.values()], pa.binary())})
@@ -321,7 +377,7 @@ class Cells:
 
     def places(self) -> np.ndarray:
         """code -> cell."""
-        out = np.zeros(math.prod(self.sizes), np.int64)
+        out = np.zeros(math.prod(self.sizes), np.int32)
         out[self.codes] = np.arange(len(self.codes))
         return out
 
@@ -344,40 +400,54 @@ def cells_of(data: Data) -> Cells | None:
             seen[codes_of(bins, sizes)] = True
         yield {"code": np.flatnonzero(seen)}
 
-    found = data.map(run, "code long").distinct().limit(MOST_CELLS + 1).collect()
+    found = data.unkept(data.tasks).map(run, "code long").distinct().limit(MOST_CELLS + 1).collect()
     return Cells(np.sort(np.array([r["code"] for r in found], np.int64)), sizes) if len(found) <= MOST_CELLS else None
 
 
-def drawn_sums(data: Data, cells: Cells, draws: int, times: Callable | None) -> DataFrame:
+def drawn_sums(data: Data, cells: Cells, draws: int, times: Callable | None, shared: Callable | None = None) -> DataFrame:
     """(tree, feature, sums): for every draw, the weights, weighted labels and rows of all cells. ``times(uid, draw)``
-    says how often a draw takes each row; None takes every row once."""
+    says how often a draw takes each row; None takes every row once. ``shared(uid)``, if given, is made once for all draws and handed to ``times``
+    instead."""
     schema, many = "tree int, feature int, sums binary", len(cells.codes)
-
-    def run(chunks):
-        place = cells.places()
-
-        def added(held):
-            for t in range(draws):
-                out = np.zeros((3, many))
-                for uid, at, w, wy in held:
-                    if times is not None:
-                        k = times(uid, t)
-                        take = np.flatnonzero(k)
-                        at, w, wy = at[take], w[take] * k[take], wy[take] * k[take]
-                    out += [np.bincount(at, x, many) for x in (w, wy, None)]
-                yield {"tree": [t], "feature": [0], "sums": [out.tobytes()]}
-
-        held, rows = [], 0
-        for uid, bins, y, w, _ in chunks:
-            held.append((uid, place[codes_of(bins, cells.sizes)], w, w * y))
-            rows += len(y)
-            if rows >= ROWS_PER_SUM:
-                yield from added(held)
-                held, rows = [], 0
-        if held:
-            yield from added(held)
-
-    # a task adds up what it can: the sums of all draws are as long whatever the rows they stand for
-    parts = max(data.chunks.sparkSession.sparkContext.defaultParallelism, -(-data.rows // ROWS_PER_SUM))
-    spread = Data(data.chunks.coalesce(parts), data.edges, data.rows, data.tasks)
-    return summed(spread.map(run, schema), max(2, data.tasks), schema)
+    at_once = max(1, min(draws, SUM_BYTES // (24 * max(1, many))))
+    blocks = -(-draws // at_once)
+
+    def part(block: int) -> Callable:
+        mine = range(block * at_once, min(draws, (block + 1) * at_once))
+
+        def run(chunks):
+            place, out, pairs, rows = cells.places(), np.zeros((len(mine), 3, many)), np.zeros((len(mine), many)), 0
+
+            def settle():
+                each = np.floor(pairs / PAIR)
+                out[:, 0] += pairs - each * PAIR
+                out[:, 2] += each
+                pairs[:] = 0
+
+            for uid, bins, y, w, _ in chunks:
+                at, wy = place[codes_of(bins, cells.sizes)].astype(np.intp), w * y
+                ids = uid if shared is None else shared(uid)
+                plain = bool((w == 1).all() and np.isfinite(wy).all())
+                if rows + len(y) > PAIR / 4:
+                    settle()
+                    rows = 0
+                rows += len(y)
+                for i, t in enumerate(mine):
+                    k = np.ones(len(y)) if times is None else times(ids, t).astype(float)
+                    if plain:  # a row that a draw leaves out adds nothing
+                        out[i, 1] += np.bincount(at, k * wy, many)
+                        pairs[i] += np.bincount(at, k + PAIR * (k > 0), many)
+                        continue
+                    take = np.flatnonzero(k)
+                    for c, x in enumerate((w[take] * k[take], wy[take] * k[take], None)):
+                        out[i, c] += np.bincount(at[take], x, many)
+            settle()
+            for i, t in enumerate(mine):
+                yield {"tree": [t], "feature": [0], "sums": [out[i].tobytes()]}
+
+        return run
+
+    cores = data.chunks.sparkSession.sparkContext.defaultParallelism
+    rows = data.unkept(max(-(-2 * cores // blocks), -(-data.rows // ROWS_PER_SUM)))
+    sums = reduce(DataFrame.union, [rows.map(part(b), schema) for b in range(blocks)])
+    return summed(sums, max(2, min(draws, 64)), schema)

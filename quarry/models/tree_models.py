@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from quarry.models import boosting, forest
 from quarry.models.catalog import SEED
-from quarry.models.histograms import CELL_SPACE, MAX_BINS, TREE, Packed, binned, codes_of, tree_columns, unpack
+from quarry.models.histograms import CELL_SPACE, MAX_BINS, MISSING, ROWS_PER_NODE, TREE, Cells, Packed, binned, codes_of, tree_columns, unpack
 from quarry.models.served import read_meta, write_meta
 
 ROWS_AT_ONCE = 16_384
+#: of a model with more bytes of leaf values, and at most so many possible bin vectors, workers get the outputs instead of the trees
+LARGE_MODEL, TABLE_SPACE = 16 << 20, 1 << 18
 
 
 class TreeEnsembleModel:
@@ -24,6 +26,7 @@ class TreeEnsembleModel:
         self.feature_cols, self.edges, self.trees, self.kind, self.start = list(features), edges, trees, kind, list(start)
         self.task, self.name = task, name
         self._sent = None
+        self._table = None  # outputs of all bin vectors, instead of the trees
         self._known = None  # places and outputs of the bin vectors met so far, where few are possible
 
     def raw(self, x: np.ndarray) -> np.ndarray:
@@ -34,6 +37,8 @@ class TreeEnsembleModel:
         if math.prod(sizes) > CELL_SPACE:
             return self._walked(bins)
         codes = codes_of(bins, sizes)
+        if self._table is not None:
+            return self._table[codes]
         place, outputs = self._known or (np.full(math.prod(sizes), -1, np.int32), None)
         new, first = np.unique(codes[place[codes] < 0], return_index=True)
         if len(new) or outputs is None:
@@ -44,11 +49,13 @@ class TreeEnsembleModel:
         return outputs[place[codes]]
 
     def _walked(self, bins: np.ndarray) -> np.ndarray:
+        missing = bool((bins == MISSING).any())
+        values = (t.value[t.walked(bins, missing)] if bins.shape[1] <= ROWS_PER_NODE * len(t.feature) else t.values(bins) for t in self.trees)
         if not self.start:
-            return sum(t.values(bins) for t in self.trees) / len(self.trees)
+            return sum(values) / len(self.trees)
         out = np.tile(np.array(self.start), (bins.shape[1], 1))
-        for i, t in enumerate(self.trees):
-            out[:, i % len(self.start)] += t.values(bins)[:, 0]
+        for i, v in enumerate(values):
+            out[:, i % len(self.start)] += v[:, 0]
         return out
 
     def outputs(self, x: np.ndarray) -> np.ndarray:
@@ -65,9 +72,20 @@ class TreeEnsembleModel:
     def __getstate__(self):
         return {**self.__dict__, "_sent": None, "_known": None}
 
+    def light(self) -> TreeEnsembleModel:
+        """What workers need to score: of a large model over few possible bin vectors their outputs, else the model."""
+        sizes = [len(e) + 2 for e in self.edges]
+        space = math.prod(sizes)
+        if space > TABLE_SPACE or sum(t.value.nbytes for t in self.trees) < LARGE_MODEL:
+            return self
+        parts = [Cells(np.arange(i, min(space, i + ROWS_AT_ONCE)), sizes).bins() for i in range(0, space, ROWS_AT_ONCE)]
+        out = TreeEnsembleModel(self.feature_cols, self.edges, [], self.kind, self.start, self.task, self.name)
+        out._table = np.concatenate([self._walked(b) for b in parts])
+        return out
+
     def transform(self, df: DataFrame) -> DataFrame:
         if self._sent is None:  # as large as the model, whatever the data
-            self._sent = df.sparkSession.sparkContext.broadcast(self)
+            self._sent = df.sparkSession.sparkContext.broadcast(self.light())
         sent = self._sent
 
         @F.pandas_udf("array<double>")

@@ -257,3 +257,95 @@ def test_a_round_makes_its_margins_once_in_as_many_tasks_as_work_at_once(spark,
     _, _, b = boosting.fit(df, ["a", "b"], "label", opt)
     for x, y in zip([t for r in a for t in r], [t for r in b for t in r]):
         assert x.feature.tolist() == y.feature.tolist() and np.allclose(x.value, y.value)
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_trees_in_tasks_equal_trees_by_passes_of_all(spark, monkeypatch, classes):
+    """A tree's rows are never dealt out again while a task may read all of them."""
+    df, x, y = data(spark, 900, classes)
+    df = df.withColumn("w", 1.0 + F.col("id") % 2 / 2)
+    kind, raw = "shares" if classes else "regression", []
+    monkeypatch.setattr(histograms, "MOST_CELLS", 0)
+    for most, w in ((forest.WHOLE_ROWS, None), (0, None), (forest.WHOLE_ROWS, "w"), (0, "w")):
+        monkeypatch.setattr(forest, "WHOLE_ROWS", most)
+        passes = []
+        monkeypatch.setattr(forest, "_level", lambda *a, run=forest._level: passes.append(1) or run(*a))
+        opt = forest.ForestOptions(trees=7, max_depth=6, classes=classes, columns=2, least_rows=2, local_rows=160)
+        edges, trees = forest.fit(df, FEATURES, "label", opt, w, rows_per_task=300)
+        assert bool(passes) == (most == 0)
+        raw.append(TreeEnsembleModel(FEATURES, edges, trees, kind, [], "", "").raw(x.T))
+    assert np.allclose(raw[0], raw[1], atol=1e-9) and np.allclose(raw[2], raw[3], atol=1e-9) and not np.allclose(raw[0], raw[2], atol=1e-9)
+
+
+@pytest.mark.parametrize("classes, weighted", [(0, False), (2, False), (0, True), (3, True)])
+def test_a_tree_from_blocks_in_a_file_equals_one_from_memory(monkeypatch, classes, weighted):
+    rng = np.random.default_rng(8)
+    n, widths, found = 6000, [254, 9, 40], []
+    bins = np.stack([rng.integers(0, k + 1, n) for k in widths]).astype(np.uint8)
+    y = rng.integers(0, classes, n).astype(float) * (bins[0] > 99) if classes else ((rng.normal(size=n) + bins[0] / 50 + bins[1] * (bins[2] > 9)) * 64).round(0)  # sums without rounding
+    w, uid = 1.0 + weighted * rng.integers(0, 2, n) / 2, rng.integers(-2**62, 2**62, n)
+    for held, block, local in ((1 << 30, 1 << 20, 1 << 20), (1 << 30, 700, 300), (9_000, 700, 300), (9_000, 700, 16)):
+        monkeypatch.setattr(forest, "HELD_BYTES", held)
+        monkeypatch.setattr(forest, "BLOCK_ROWS", block)
+        blocks = forest._Blocks(((uid[i:i + 500], bins[:, i:i + 500], y[i:i + 500], w[i:i + 500], None) for i in range(0, n, 500)), 3)
+        assert (blocks.file is not None) == (held < 1 << 20)
+        tree = forest._tree(blocks, 2, widths, forest.ForestOptions(max_depth=8, classes=classes, columns=2, least_rows=3, local_rows=local))
+        found.append(tree.values(bins))
+    assert len(tree.feature) > 100
+    assert all(np.allclose(found[0], f, atol=1e-9) for f in found[1:])
+
+
+def test_draws_are_poisson_of_the_uniforms():
+    uid = np.random.default_rng(1).integers(-2**62, 2**62, 200_000)
+    for tree in (0, 7):
+        assert (forest.copies(uid, 42, tree) == np.searchsorted(forest.POISSON, uniforms(uid, 42, tree), side="right")).all()
+
+
+@pytest.mark.parametrize("classes, n", [(0, 3000), (2, 3000), (0, 90)])
+def test_small_nodes_split_like_dense_ones(monkeypatch, classes, n):
+    """Nodes of few rows are summed over the bins that they have."""
+    rng = np.random.default_rng(n)
+    bins = rng.integers(0, 255, (4, n)).astype(np.uint8)
+    bins[1] //= 60
+    y = (rng.random(n) < bins[0] / 255).astype(float) if classes else rng.normal(size=n) + bins[2] / 50
+    w = rng.integers(1, 4, n).astype(float)
+    opt, found = forest.ForestOptions(max_depth=20, classes=classes, columns=2, least_rows=2), []
+    for start in (0, 1 << 40):
+        monkeypatch.setattr(forest, "SPARSE_FROM", start)
+        found.append(forest.grow(bins, y, w, 3, 1, 0, [254, 4, 254, 254], opt))
+    a, b = found
+    assert len(a.feature) > n / 5
+    for name in ("feature", "bin", "left", "missing_left", "value"):
+        assert (getattr(a, name) == getattr(b, name)).all()
+    bins[0, ::7] = histograms.MISSING
+    assert (a.walked(bins, True) == a.nodes(np.tile(bins, 300)).reshape(300, -1)).all()
+
+
+def test_workers_get_the_outputs_of_a_large_model_over_few_bins(spark, monkeypatch):
+    df, x = few_valued(spark, 500)
+    df = df.filter("a is not null")
+    edges, trees = forest.fit(df, FEATURES, "label", forest.ForestOptions(trees=3, max_depth=4))
+    m = TreeEnsembleModel(FEATURES, edges, trees, "regression", [], "", "")
+    odd = df.unionByName(df.limit(20).withColumn("b", F.lit(None).cast("double"))).unionByName(df.limit(20).withColumn("a", F.lit(77.5)))
+    assert m.light() is m
+    plain = sorted((r["id"], r["prediction"]) for r in m.transform(odd).collect())
+    monkeypatch.setattr(tree_models, "LARGE_MODEL", 0)
+    m._sent = None
+    assert m.light().trees == [] and sorted((r["id"], r["prediction"]) for r in m.transform(odd).collect()) == plain
+
+
+def test_sums_per_cell_are_made_by_few_tasks_without_the_rows(spark, monkeypatch):
+    """What a draw adds up is not handed on for every few rows, and the chunks are not kept for it."""
+    df, x = few_valued(spark)
+    df = df.filter("a is not null")
+    got, kept = [], lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = kept()
+    for size in (1 << 20, 1):  # all draws in a task, one draw in a task
+        monkeypatch.setattr(histograms, "SUM_BYTES", size)
+        d = histograms.prepare(df, FEATURES, "label", "w", rows_per_task=500, keep=False)
+        sums = histograms.drawn_sums(d, histograms.cells_of(d), 5, forest.drawn, lambda uid: forest.seeded(uid, 42))
+        got.append({r["tree"]: np.frombuffer(r["sums"]).reshape(3, -1) for r in sums.collect()})
+        assert kept() <= before
+    uid = np.array([r[0] for r in df.select(F.xxhash64(*df.columns)).collect()], np.int64)
+    for t in range(5):
+        assert np.allclose(got[0][t], got[1][t]) and got[0][t][2].sum() == (forest.copies(uid, 42, t) > 0).sum()
