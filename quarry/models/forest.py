@@ -192,14 +192,20 @@ class _Sums:
         return self.decoded(self.raw(cell, cells))
 
 
+def _open(total: np.ndarray, exact: bool, opt: ForestOptions) -> np.ndarray:
+    """Which nodes may have a split, by their sums; ``exact`` ones tell which have rows of one class only."""
+    can = (total[:, -1] >= opt.least_rows_split) & (total[:, -1] >= 2 * opt.least_rows)
+    if opt.classes and exact:
+        can &= total[:, :-2].max(axis=1) < total[:, -2]
+    return can
+
+
 def _splits(bins: np.ndarray, rows: np.ndarray, node: np.ndarray, sums: _Sums, total: np.ndarray, first: np.ndarray, widths: list[int], opt: ForestOptions) -> _Best:
     """The best splits of the nodes of a level; ``rows`` and their ``node`` are sorted by node, ``first`` says which features a node tries.
     The others are looked at for nodes without a split by those."""
     count, k = len(total), sums.k
     best, level = _Best(count, k - 2), sums.at(rows)
-    can = (total[:, -1] >= opt.least_rows_split) & (total[:, -1] >= 2 * opt.least_rows)
-    if opt.classes and sums.pairs:
-        can &= total[:, :-2].max(axis=1) < total[:, -2]  # more than one class
+    can = _open(total, sums.pairs, opt)
     size = np.diff(np.searchsorted(node, np.arange(count + 1)))
 
     def offer(f, at, rank):
@@ -282,6 +288,8 @@ def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, path: int, d
         rows, node = rows[inside], node[inside]
         goes_right = bins[best.feature[node], rows] > best.bin[node]
         node = 2 * slot[node] + goes_right
+        inside = _open(below, sums_.pairs, opt)[node]
+        rows, node = rows[inside], node[inside]
         order = _by_node(node, 2 * len(split))
         rows, node = rows[order], node[order]
         paths = np.repeat(paths[split] * np.uint64(2), 2)
@@ -590,6 +598,8 @@ def _tree(blocks: _Blocks, t: int, widths: list[int], opt: ForestOptions) -> Pac
         lefts_, ups = [], []
         depth += 1
         most = limit(2 * len(level))
+        pair = np.stack([best.left, total - best.left], axis=1).reshape(-1, k)
+        may = _open(pair, not any(blocks.weighted), opt) & (depth < opt.max_depth)
         for i, v in enumerate(level):
             if best.feature[i] < 0:
                 closed.add(v)
@@ -599,7 +609,7 @@ def _tree(blocks: _Blocks, t: int, widths: list[int], opt: ForestOptions) -> Pac
             ups.append(i)
             for side, (c, s) in enumerate(((left, best.left[i]), (left + 1, total[i] - best.left[i]))):
                 sums[c] = s
-                if depth >= opt.max_depth:
+                if not may[2 * i + side]:  # its rows are not needed any more
                     closed.add(c)
                 elif s[-1] > most:
                     child[2 * i + side] = len(nexts)
